@@ -23,12 +23,27 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~F.rlike(text, F.lit(rf"(?s)[^{BLANKS[1:-1]}]")), F.lit(True))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Spark puts a column's expression wherever the column is used when it moves a
+    filter below a projection; bound like this, a costly one is not multiplied.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def interleave(between: Column, marked: Column) -> Column:
     """Join the n+1 texts around n marked texts back into one text."""
     return F.array_join(
         F.zip_with(between, marked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Rounded to so many digits, halves up, in plain double arithmetic."""
+    scale = 10 ** digits
+    return F.floor(value * scale + 0.5) / scale
+
+
 # ---- HTML ---------------------------------------------------------------
 
 # script, style and template texts, comments, declarations, then any tag;
@@ -39,16 +54,19 @@ _MARKUP = (
 )
 
 
+def _literal_map(pairs) -> Column:
+    """A constant string map, as one literal rather than one per entry."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs)),
+                        F.lit("\x02"), F.lit("\x01"))
+
+
 def _entity_maps() -> tuple[Column, Column]:
     """Named characters from the standard library, the common short set first."""
-    def literal(pairs):
-        return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]),
-                                 F.array(*[F.lit(v) for _, v in pairs]))
     short = [(name, chr(point)) for name, point in sorted(entities.name2codepoint.items())]
     known = {name for name, _ in short}
     rest = [(name[:-1], value) for name, value in sorted(entities.html5.items())
             if name.endswith(";") and name[:-1] not in known]
-    return literal(short), literal(rest)
+    return _literal_map(short), _literal_map(rest)
 
 
 def _code_point(n: Column) -> Column:

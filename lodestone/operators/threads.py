@@ -43,15 +43,12 @@ def chunk_qa(messages: DataFrame) -> DataFrame:
     texts = messages.select(
         *extra, "question_id", "is_question", F.coalesce("score", F.lit(0)).cast("bigint").alias("score"),
         (F.col("is_accepted") & ~F.col("is_question")).alias("is_accepted"), "tags",
-        content.alias("content"))
-    return (
-        texts
-        .withColumn("error_type", tx.first_error(F.col("content")))
-        .withColumn("spark_apis_mentioned", pt.api_names(pt.detect_apis(F.col("content"))))
-        .withColumn("spark_versions_mentioned", tx.version_mentions(F.col("content")))
-        .withColumn("chunk_id", qa_chunk_id(F.col("question_id"), F.col("is_question"),
-                                            F.col("content")))
-    )
+        tx.let(content, lambda c: F.struct(
+            c.alias("content"), tx.first_error(c).alias("error_type"),
+            pt.api_names(pt.detect_apis(c)).alias("spark_apis_mentioned"),
+            tx.version_mentions(c).alias("spark_versions_mentioned"),
+            qa_chunk_id(F.col("question_id"), F.col("is_question"), c).alias("chunk_id"))).alias("_row"))
+    return texts.select("*", "_row.*").drop("_row")
 
 
 def attach_comments(issues: DataFrame, comments: DataFrame) -> DataFrame:
@@ -66,6 +63,7 @@ def attach_comments(issues: DataFrame, comments: DataFrame) -> DataFrame:
     bodies = issues.select(*head, F.lit(False).alias("is_comment"), "title", "body", "author",
                            "milestone", "created_at", "closed_at")
     with_comments = issues.where(F.col("comments") > 0) if "comments" in issues.columns else issues
+    comments = comments.select("number", "body", "author", "created_at")
     answers = comments.join(with_comments.select(*head), "number").select(
         *head, F.lit(True).alias("is_comment"), F.lit(None).cast("string").alias("title"), "body",
         "author", F.lit(None).cast("string").alias("milestone"), "created_at",
@@ -108,17 +106,14 @@ def chunk_issues(messages: DataFrame) -> DataFrame:
         F.col("number").alias("parent_issue_number"), _text(F.col("author")).alias("author"),
         "labels", "milestone", _text(F.col("created_at")).alias("created_at"),
         F.when(is_body, _text(F.col("closed_at"))).otherwise("").alias("closed_at"),
-        content.alias("content"))
-    return (
-        texts
-        .withColumn("spark_versions_mentioned", F.when(
-            is_body, tx.all_versions(F.col("labels"), F.col("milestone"), F.col("content")))
-            .otherwise(tx.version_mentions(F.col("content"))))
-        .withColumn("linked_prs", tx.pr_refs(F.col("content")))
-        .withColumn("chunk_id", issue_chunk_id(F.col("issue_number"), F.col("is_comment"),
-                                               F.col("author"), F.col("content")))
-        .drop("milestone")
-    )
+        tx.let(content, lambda c: F.struct(
+            c.alias("content"),
+            F.when(is_body, tx.all_versions(F.col("labels"), F.col("milestone"), c))
+            .otherwise(tx.version_mentions(c)).alias("spark_versions_mentioned"),
+            tx.pr_refs(c).alias("linked_prs"),
+            issue_chunk_id(F.col("number"), F.col("is_comment"), _text(F.col("author")), c)
+            .alias("chunk_id"))).alias("_row"))
+    return texts.select("*", "_row.*").drop("_row", "milestone")
 
 
 def dedup_latest(chunks: DataFrame, order_by: list[Column], key: str = "chunk_id") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.rules import EXAMPLE_ENDINGS
+from ..session import path_exists
 
 
 # a scan of this many splits or more is left as it is
@@ -38,7 +39,7 @@ def scan_files(spark: SparkSession, root: str, paths: Sequence[str], endings: Se
     """
     suffixes = ",".join(e.lstrip("*") for e in endings)
     base = root.rstrip("/")
-    existing = [p for p in (f"{base}/{x.strip('/')}" for x in paths) if _exists(spark, p)]
+    existing = [p for p in (f"{base}/{x.strip('/')}" for x in paths) if path_exists(spark, p)]
     if not existing:
         return spark.createDataFrame([], "file_path string, content string")
     files = (
@@ -49,12 +50,7 @@ def scan_files(spark: SparkSession, root: str, paths: Sequence[str], endings: Se
         .load(existing)
     )
     return files.select(relative_path(F.col("path"), base).alias("file_path"),
-                        F.try_validate_utf8(F.col("content")).alias("valid"), "content") \
-        .select("file_path", F.coalesce("valid", _replaced("content")).alias("content"))
-
-
-def _replaced(content: str) -> Column:
-    return F.make_valid_utf8(F.col(content).cast("string"))
+                        F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def relative_path(path: Column, base: str) -> Column:
@@ -67,16 +63,6 @@ def _literal(text: str) -> str:
     return r"\Q" + text + r"\E"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).limit(0)
-        return True
-    except Exception as error:  # only a missing path is passed over
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-
-
 def scan_docs(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
     """Markdown files directly in the given folders."""
     return scan_files(spark, root, paths, [".md"], recursive=False)

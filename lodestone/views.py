@@ -47,6 +47,24 @@ select p_partkey, concat('core/src/f', cast(p_partkey as string), '.py') as file
 select vec_id, case vec_id % 4 when 0 then 'code' when 1 then 'docs' when 2 then 'qa' else 'issues' end as source,
   case when vec_id % 2 = 0 then '4.1.0' else '3.5.4' end as spark_version, cast(vec_id % 25 as bigint) as score, vec_id % 5 = 0 as is_accepted, case when vec_id % 3 = 0 then 'open' else 'closed' end as state, label, embedding from embeddings""",
 }
+VIEWS["vec_facts"] = f"""
+select *, split(case vec_id % 3 when 0 then 'DataFrame.collect,RDD.collect' when 1 then 'DataFrame.select' else 'RDD.map' end, ',') as apis,
+  split(case when vec_id % 8 < 4 then '4.1.0,3.5' else '3.5.4' end, ',') as versions
+ from ({VIEWS["vec_chunks"]}) v"""
+VIEWS["long_code"] = """
+select doc_id, concat('core/long/d', cast(doc_id as string), '.py') as file_path, '4.1.0' as spark_version,
+  concat('class D', cast(doc_id as string), ':', NL, '    def run(self):', NL, '        ',
+   replace(text, NL, concat(NL, '        ')), NL, '        return 1', NL) as content from documents"""
+VIEWS["issue_threads"] = f"""
+select issue_number, turn, is_comment, state, author, body, label, case when turn = 0 then concat('Issue ', cast(issue_number as string)) end as title,
+  case when issue_number % 5 = 0 then 'Release 4.1.0' end as milestone,
+  concat('2024-01-01T00:00:', lpad(cast(turn as string), 2, '0'), 'Z') as created_at,
+  case when state = 'closed' and turn = 0 then '2024-02-01T00:00:00Z' end as closed_at
+ from ({VIEWS["issue_items"]}) i"""
+VIEWS["qa_threads"] = f"""
+select question_id, turn, kind = 'q' as is_question, case when kind = 'q' then concat('Question ', cast(question_id as string)) end as title,
+  body_html as body, score, is_accepted
+ from ({VIEWS["qa_items"]}) i"""
 
 _TABLES = ("documents", "pages", "conversations", "embeddings", "events", "labels", "benchmark",
            "part", "orders", "lineitem", "customer", "supplier", "nation", "region")
