@@ -1,18 +1,29 @@
 """Embedders: a Column of texts to a Column of vectors.
 
-An embedder is any callable ``Column -> Column`` of ``array<float>``; a pandas UDF
-that calls a model fits as it is. The built-in one hashes tokens to signed buckets,
-so that nothing but Spark is needed.
+An embedder is any callable ``Column -> Column`` of ``array<float>``: an Arrow or
+pandas UDF that calls a model fits as it is. The built-in one hashes tokens to signed
+buckets, so that nothing but Spark is needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-TOKEN = r"[\p{L}\p{N}_]+"
+# words as runs of letters, digits and underscores of any script
+TOKEN = re.compile(r"\w+")
+# a task forgets its token codes beyond this many
+_CACHE = 1_000_000
+
+# Fixed value: the dimension of the served vector column.
+SERVED_DIM = 768
 
 
 @dataclass(frozen=True)
@@ -24,50 +35,39 @@ class Model:
     embed: Callable[[Column], Column]
 
 
-def hashed(text: Column, dim: int) -> Column:
-    """Signed feature hashing of lower-case tokens, scaled to length 1.
-
-    Bucket and sign come from the token's MD5. Sorted bucket codes are counted in
-    one pass, so a row costs its tokens and not tokens times dimension. A text
-    without tokens gives the zero vector.
-    """
-    digest = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), F.md5)
-
-    def code(h: Column) -> Column:
-        bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
-        return (bucket * 2 + (F.substring(h, 9, 1) < "8").cast("bigint")).cast("int")
-
-    codes = F.sort_array(F.transform(digest, code))
-    entry = "struct<b:int,v:bigint>"
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("out"), F.lit(-1).alias("b"),
-                     F.lit(0).cast("bigint").alias("v"))
+def token_code(token: str, dim: int) -> tuple[int, int]:
+    """Bucket and sign of a token, from its MD5."""
+    digest = hashlib.md5(token.encode()).digest()
+    return int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] < 128 else -1
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["b"] < 0, acc["out"]).otherwise(F.concat(
-            acc["out"], F.array(F.struct(acc["b"].alias("b"), acc["v"].alias("v")))))
 
-    def step(acc: Column, c: Column) -> Column:
-        bucket, sign = F.shiftright(c, 1), (c % 2 * 2 - 1).cast("bigint")
-        same = bucket == acc["b"]
-        return F.struct(
-            F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"),
-            bucket.alias("b"), F.when(same, acc["v"] + sign).otherwise(sign).alias("v"))
-
-    def dense(acc: Column) -> Column:
-        counts = closed(acc)
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"),
-                                  lambda s, e: s + e["v"] * e["v"]).cast("double"))
-        by_bucket = F.map_from_entries(counts)
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
-            norm > 0, F.coalesce(F.try_element_at(by_bucket, i), F.lit(0)) / norm)
-            .otherwise(0.0).cast("float"))
-
-    return F.aggregate(codes, start, step, dense)
+def hash_batch(texts: pa.Array, dim: int, codes: dict) -> pa.ListArray:
+    """Signed token counts per text, scaled to length 1; zeros for a text without tokens."""
+    rows, found = [], []
+    for text in texts.to_pylist():
+        tokens = TOKEN.findall(text.lower()) if text else []
+        for t in tokens:
+            if t not in codes:
+                codes[t] = token_code(t, dim)
+        found.extend([codes[t] for t in tokens])
+        rows.append(len(tokens))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    cells = np.repeat(np.arange(len(rows)) * dim, rows) + pairs[:, 0]
+    counts = np.bincount(cells, pairs[:, 1].astype(float), len(rows) * dim).reshape(len(rows), dim).astype(float)
+    norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
+    offsets = pa.array(np.arange(len(rows) + 1) * dim, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32).ravel()))
 
 
 def hashing_model(dim: int = 64, column: str = "emb_hash") -> Model:
-    return Model(f"hash-{dim}", column, dim, lambda text: hashed(text, dim))
-
-
-# Fixed value: the dimension of the served vector column.
-SERVED_DIM = 768
+    @F.arrow_udf(ArrayType(FloatType()))
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes: dict = {}
+        for texts in batches:
+            if len(codes) > _CACHE:
+                codes.clear()
+            yield hash_batch(texts, dim, codes)
+
+    # marked as such, an embedding is computed once and not again for every filter on it
+    return Model(f"hash-{dim}", column, dim, hashed.asNondeterministic())

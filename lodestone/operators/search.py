@@ -159,10 +159,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
         hits = _by_broadcast(few, rows, k, query_id, corpus_id, vector, list(by), limit_q, limit_c,
                              not_self, dim, out)
     else:
-        keyed = F.lit(0).alias("_key")
-        hits = blocked_top_k(wanted.select("*", keyed), rows.select("*", keyed), ["_key"], k,
-                             query_id, corpus_id, vector, list(by), limit_q, limit_c, not_self,
-                             dim, out)
+        hits = blocked_top_k(wanted, rows, [], k, query_id, corpus_id, vector, list(by), limit_q,
+                             limit_c, not_self, dim, out)
     return ranked(hits, k, [query_id, *by], corpus_id)
 
 
@@ -201,13 +199,26 @@ def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int
 
     Each key's queries are cut into blocks and its corpus rows into cells of bounded
     size, however many rows share the key; each block meets each cell in one group.
-    There must be few distinct keys: their sizes are broadcast.
+    Without keys every query meets every row. There must be few distinct keys: their
+    sizes are broadcast.
     """
-    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    def parts(n, size: int):
+        return F.ceil(n / size).cast("int")
 
-    sizes = F.broadcast(parts(queries, block_queries, "_blocks")
-                        .join(parts(corpus, cell_rows, "_cells"), keys))
+    def counted(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(parts(F.count(F.lit(1)), size).alias(name))
+
+    def sized(df: DataFrame) -> DataFrame:
+        if keys:
+            return df.join(sizes, keys)
+        return df.withColumns({"_blocks": F.lit(n_blocks), "_cells": F.lit(n_cells)})
+
+    if keys:
+        sizes = F.broadcast(counted(queries, block_queries, "_blocks")
+                            .join(counted(corpus, cell_rows, "_cells"), keys))
+    else:
+        n_blocks = -(-queries.count() // block_queries)
+        n_cells = max(1, -(-corpus.count() // cell_rows))
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -215,9 +226,9 @@ def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int
     def one(column: str, n: str):
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
 
-    q = queries.join(sizes, keys).withColumn("_block", one(query_id, "_blocks")) \
+    q = sized(queries).withColumn("_block", one(query_id, "_blocks")) \
         .withColumn("_cell", every("_cells")).drop("_blocks", "_cells")
-    c = corpus.join(sizes, keys).withColumn("_cell", one(corpus_id, "_cells")) \
+    c = sized(corpus).withColumn("_cell", one(corpus_id, "_cells")) \
         .withColumn("_block", every("_blocks")).drop("_blocks", "_cells")
     schema = _arrow_schema(out)
     group = [*keys, "_block", "_cell"]
