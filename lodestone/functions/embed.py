@@ -41,23 +41,19 @@ def token_code(token: str, dim: int) -> tuple[int, int]:
     return int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] < 128 else -1
 
 
-def hash_batch(texts: pa.Array, dim: int, codes: dict) -> pa.ListArray:
+def hash_texts(texts: list, dim: int, codes: dict) -> np.ndarray:
     """Signed token counts per text, scaled to length 1; zeros for a text without tokens."""
-    rows, found = [], []
-    for text in texts.to_pylist():
+    counts = np.zeros((len(texts), dim))
+    for row, text in enumerate(texts):
         tokens = TOKEN.findall(text.lower()) if text else []
         for t in tokens:
             if t not in codes:
                 codes[t] = token_code(t, dim)
-        found.extend([codes[t] for t in tokens])
-        rows.append(len(tokens))
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    cells = np.repeat(np.arange(len(rows)) * dim, rows) + pairs[:, 0]
-    counts = np.bincount(cells, pairs[:, 1].astype(float), len(rows) * dim).reshape(len(rows), dim).astype(float)
+        if tokens:
+            found = np.array([codes[t] for t in tokens])
+            counts[row] = np.bincount(found[:, 0], found[:, 1].astype(float), dim)
     norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-    unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-    offsets = pa.array(np.arange(len(rows) + 1) * dim, pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32).ravel()))
+    return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 
 
 def hashing_model(dim: int = 64, column: str = "emb_hash") -> Model:
@@ -67,7 +63,9 @@ def hashing_model(dim: int = 64, column: str = "emb_hash") -> Model:
         for texts in batches:
             if len(codes) > _CACHE:
                 codes.clear()
-            yield hash_batch(texts, dim, codes)
+            unit = hash_texts(texts.to_pylist(), dim, codes).astype(np.float32)
+            offsets = pa.array(np.arange(len(unit) + 1) * dim, pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
     # marked as such, an embedding is computed once and not again for every filter on it
     return Model(f"hash-{dim}", column, dim, hashed.asNondeterministic())

@@ -154,9 +154,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
                         rows.schema[corpus_id], T.StructField(_SIM, T.DoubleType())])
     # the size check: at most this many queries are brought to every task
     most = broadcast_bytes // (8 * max(dim, 1))
-    few = wanted.limit(most + 1).toArrow()
-    if few.num_rows <= most:
-        hits = _by_broadcast(few, rows, k, query_id, corpus_id, vector, list(by), limit_q, limit_c,
+    if queries.count() <= most:
+        hits = _by_broadcast(wanted.toArrow(), rows, k, query_id, corpus_id, vector, list(by), limit_q, limit_c,
                              not_self, dim, out)
     else:
         hits = blocked_top_k(wanted, rows, [], k, query_id, corpus_id, vector, list(by), limit_q,

@@ -42,8 +42,7 @@ def wrong_dimension(vectors: DataFrame, dim: int, vector: str = "vec") -> DataFr
 
 
 def checked_dimension(vectors: DataFrame, dim: int, vector: str = "vec") -> DataFrame:
-    """The same rows; reading one of another dimension fails the query."""
-    good = F.size(vector) == dim
-    return vectors.where(F.when(good, True).otherwise(
-        F.raise_error(F.concat(F.lit(f"vector of dimension other than {dim}: "),
-                               F.size(vector).cast("string"))).cast("boolean")))
+    """The same rows; reading one without a vector of this dimension fails the query."""
+    found = F.coalesce(F.size(vector).cast("string"), F.lit("none"))
+    wrong = F.raise_error(F.concat(F.lit(f"vector of dimension other than {dim}: "), found))
+    return vectors.where(F.when(F.size(vector) == dim, True).otherwise(wrong.cast("boolean")))

@@ -176,13 +176,16 @@ class ChunkStore:
     def _insert(self, table: str, df: DataFrame, overwrite: bool) -> tuple[int, set]:
         """Write rows; gives their number and the partitions written.
 
-        The rebalance hint gathers a partition's rows into few files and splits a
-        partition too large for one task, so a hot version or bucket is written by
-        many tasks.
+        Rows bound for id buckets are gathered by bucket first, or every task would
+        write a file per bucket; the rebalance hint also splits a bucket too large for
+        one task. Other tables have a few partitions and are written where they are.
         """
         names = self.tables[table].partition_names
         seen = Observation()
-        rows = self._bucketed(table, df).hint("rebalance", *names).observe(
+        rows = self._bucketed(table, df)
+        if self._is_bucketed(table):
+            rows = rows.hint("rebalance", *names)
+        rows = rows.observe(
             seen, F.count(F.lit(1)).alias("n"),
             F.collect_set(F.struct(*[F.col(c).cast("string") for c in names])).alias("parts"))
         with overridden(self.spark, _DYNAMIC, "dynamic"), \

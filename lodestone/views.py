@@ -27,8 +27,8 @@ select conv_id as question_id, turn, case when turn = q_turn then 'q' else 'a' e
   concat('<p>', text, '</p><p>Spark ', cast(3 + conv_id % 2 as string), '.', cast(turn % 6 as string),
    case when conv_id % 3 = 0 then ' <code>java.lang.OutOfMemoryError</code> <code>df.collect()</code>' else '' end, '</p>') as body_html,
   cast((conv_id * 7 + turn * 3) % 30 as bigint) as score, coalesce(turn = a_turn, false) as is_accepted
- from (select *, min(case when role = 'user' then turn end) over (partition by conv_id) as q_turn,
-              min(case when role = 'assistant' then turn end) over (partition by conv_id) as a_turn from conversations) c
+ from conversations c join (select conv_id as q_conv, min(case when role = 'user' then turn end) as q_turn,
+              min(case when role = 'assistant' then turn end) as a_turn from conversations group by conv_id) g on conv_id = q_conv
  where role <> 'system'""",
     "issue_items": """
 select 10000 + conv_id as issue_number, turn, turn > 0 as is_comment,
