@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import strip
+from .text import matches, strip
+
+PROBLEMS = "array<struct<name:string,risk:string,description:string,line:int,match_text:string>>"
 
 # ``.``, ``^`` and ``$`` know only the line feed as a line end
 _UNIX = "(?d)"
@@ -17,7 +19,7 @@ def _first_line(text: Column, rule: rules.Rule) -> Column:
     pattern = _UNIX + rule.doc_pattern
     before = F.split(text, pattern, 2)[0]
     line = F.length(before) - F.length(F.translate(before, "\n", "")) + 1
-    return F.when(F.rlike(text, F.lit(pattern)), line)
+    return F.when(matches(text, rule, pattern), line)
 
 
 def detect_apis(text: Column, api_rules=rules.API_RULES) -> Column:

@@ -6,6 +6,7 @@ Patterns of one-line rules match inside a line only. ``Rule.doc_pattern`` rewrit
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -24,6 +25,14 @@ class Rule:
     def doc_pattern(self) -> str:
         return self.pattern if self.spans_lines else in_line(self.pattern)
 
+    @property
+    def word(self) -> str:
+        """A word that every match contains, or nothing if the pattern is not that simple."""
+        plain = re.sub(r"\\[bBsSwWdDnt]", " ", self.pattern)
+        if re.search(r"\||\(\?|\[|[A-Za-z_][?*{]", plain):
+            return ""
+        return max(re.findall(r"[A-Za-z_]+", plain), key=len, default="")
+
 
 def in_line(pattern: str) -> str:
     """The pattern with white space that cannot cross a line end."""

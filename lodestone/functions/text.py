@@ -9,18 +9,19 @@ from pyspark.sql import Column, functions as F
 from . import rules
 
 # Fixed value: the characters that count as white space when a text is stripped.
-BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 _NODE = "\x01"  # marks the border between two text nodes
 
 
 def strip(text: Column) -> Column:
     """The text without leading and trailing white space, Unicode blanks included."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{BLANKS}+", ""), rf"{BLANKS}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(~F.rlike(text, F.lit(rf"(?s)[^{BLANKS[1:-1]}]")), F.lit(True))
+    return F.coalesce(strip(text) == "", F.lit(True))
 
 
 def let(value: Column, body) -> Column:
@@ -126,8 +127,10 @@ def html_tables(text: Column) -> Column:
 
 def config_keys(text: Column) -> Column:
     """Distinct configuration keys, sorted."""
-    return F.sort_array(F.array_distinct(
+    found = F.sort_array(F.array_distinct(
         F.regexp_extract_all(text, F.lit(f"({rules.CONFIG_KEY})"), 1)))
+    # most texts name none: a plain search is cheaper than the pattern
+    return F.when(text.contains("spark."), found).otherwise(F.array().cast("array<string>"))
 
 
 def version_mentions(text: Column) -> Column:
@@ -157,9 +160,15 @@ def pr_refs(text: Column) -> Column:
 
 # ---- classification -----------------------------------------------------
 
+def matches(text: Column, rule: rules.Rule, pattern: str) -> Column:
+    """Whether the pattern occurs; the rule's fixed word, if any, is looked for first."""
+    found = F.rlike(text, F.lit(pattern))
+    return text.contains(rule.word) & found if rule.word else found
+
+
 def error_types(text: Column, error_rules=rules.ERROR_RULES) -> Column:
     """Names of all error classes found, in rule order."""
-    hits = F.array(*[F.when(F.rlike(text, F.lit(r.pattern)), F.lit(r.name)) for r in error_rules])
+    hits = F.array(*[F.when(matches(text, r, r.pattern), F.lit(r.name)) for r in error_rules])
     return F.filter(hits, lambda n: n.isNotNull())
 
 

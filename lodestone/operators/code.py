@@ -237,7 +237,7 @@ def enrich_units(units: DataFrame) -> DataFrame:
         units.withColumn("spark_apis", F.when(
             is_method, pt.api_names(pt.detect_apis(F.col("content")))).otherwise(no_apis))
         .withColumn("problem_indicators", F.when(is_method, problems).otherwise(
-            F.filter(problems, lambda _: F.lit(False))))
+            F.array().cast(pt.PROBLEMS)))
     )
 
 

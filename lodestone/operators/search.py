@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 # similarities are rounded to this many digits before ranking, ties go by id
 DIGITS = 6
-BROADCAST_BYTES = 64 << 20
-BLOCK_QUERIES = 4096
-CELL_ROWS = 65536
+# size bounds of what one task holds: queries sent to all, a block, a cell
+BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 32 << 20
+CELL_BYTES = 256 << 20
 _TILE_QUERIES = 1024
 _SIM = "sim"
 
@@ -193,7 +194,7 @@ def _by_broadcast(few: pa.Table, rows, k, query_id, corpus_id, vector, by, limit
 def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str,
                   corpus_id: str, vector: str, by: list[str], limit_q: str | None,
                   limit_c: str | None, not_self: bool, dim: int, out: T.StructType,
-                  block_queries: int = BLOCK_QUERIES, cell_rows: int = CELL_ROWS) -> DataFrame:
+                  block_queries: int | None = None, cell_rows: int | None = None) -> DataFrame:
     """Best k per query among corpus rows with the same ``keys``, block by block.
 
     Each key's queries are cut into blocks and its corpus rows into cells of bounded
@@ -201,6 +202,9 @@ def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int
     Without keys every query meets every row. There must be few distinct keys: their
     sizes are broadcast.
     """
+    block_queries = block_queries or max(1, BLOCK_BYTES // (8 * dim))
+    cell_rows = cell_rows or max(1, CELL_BYTES // (8 * dim))
+
     def parts(n, size: int):
         return F.ceil(n / size).cast("int")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-PROBLEMS = "array<struct<name:string,risk:string,description:string,line:int,match_text:string>>"
+from ..functions.patterns import PROBLEMS
 
 # number of partitions of a table keyed by source id
 ID_BUCKETS = 64
