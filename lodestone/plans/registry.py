@@ -278,8 +278,7 @@ def qa_source(spark, d):
     answers = rows.where("not is_question").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     items = questions.join(answers, "question_id", "left").select(
         *questions.columns, F.coalesce("n", F.lit(0)).alias("answer_count"),
-        (F.unix_timestamp(F.to_timestamp(F.lit("2024-01-01"))) + F.col("question_id") * 3600)
-        .alias("last_activity_date"))
+        (F.lit(1704067200) + F.col("question_id") * 3600).alias("last_activity_date"))
     path = scratch_path(spark, "questions")
     items.write.json(path)
     kept = landed.select_questions(landed.read_questions(spark, path), ["apache-spark"], "2024-01-01 06:00:00")
@@ -294,7 +293,8 @@ def issue_source(spark, d):
         F.struct(F.col("author").alias("login")).alias("user"),
         F.array(F.struct(F.col("label").alias("name"))).alias("labels"),
         F.struct(F.col("milestone").alias("title")).alias("milestone"), "created_at", "closed_at",
-        F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("issue_number") * 60),
+        F.date_format(F.lit("2024-01-01").cast("timestamp_ntz")
+                      + F.make_dt_interval(mins=F.col("issue_number").cast("int")),
                       "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
         F.when(F.col("issue_number") % 4 == 0, F.struct(F.lit("pull").alias("url"))).alias("pull_request"))
     path = scratch_path(spark, "issues")

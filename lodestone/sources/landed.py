@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +20,12 @@ MAX_QUESTIONS = 5000
 MAX_ISSUES = 10000
 
 
+def moment(since: str):
+    """A date or time of ISO format as a timestamp; without a zone it is UTC."""
+    at = datetime.fromisoformat(since)
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION).json(path)
 
@@ -34,7 +41,7 @@ def select_questions(items: DataFrame, tags: Sequence[str] = (), since: str | No
     for tag in tags:
         kept = kept.where(F.array_contains("tags", tag))
     if since:
-        kept = kept.where(F.col("last_activity_date") >= F.unix_timestamp(F.to_timestamp(F.lit(since))))
+        kept = kept.where(F.col("last_activity_date") >= F.unix_timestamp(moment(since)))
     newest = kept.orderBy(F.desc("last_activity_date"), "question_id")
     return newest.limit(most) if most else newest
 
@@ -46,11 +53,13 @@ def select_issues(items: DataFrame, state: str = "all", since: str | None = None
     if state != "all":
         kept = kept.where(F.col("state") == state)
     if since:
-        kept = kept.where(F.try_to_timestamp("updated_at") >= F.to_timestamp(F.lit(since)))
+        kept = kept.where(F.try_to_timestamp("updated_at") >= moment(since))
     newest = kept.orderBy(F.desc(F.try_to_timestamp("updated_at")), "number")
     return newest.limit(most) if most else newest
 
 
 def changed_since(df: DataFrame, column: str, since: str) -> DataFrame:
-    """Rows changed after a date."""
-    return df.where(F.col(column) > F.to_timestamp(F.lit(since)))
+    """Rows changed after a date; times without a zone are compared as written."""
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        return df.where(F.col(column) > F.lit(since).cast("timestamp_ntz"))
+    return df.where(F.col(column) > moment(since))
