@@ -416,7 +416,8 @@ sql("incremental_since", f"select event_id, event_type, value from events where
 sql("table_info", with_(cte("qa_threads"), select="""select 'code_chunks' as table_name, true as present, count(*) * 5 as n_rows from part
   union all select 'doc_chunks', true, 0 union all select 'qa_chunks', true, count(*) from qa_threads
   union all select 'issue_chunks', true, count(*) from conversations union all select 'chunk_vectors', false, 0"""))
-sql("scan_corpus", with_(cte("code_files"), select="""select spark_version, length(content) + 1 as n_chars, md5(concat(content, chr(10))) as content_md5 from code_files"""))
+sql("scan_corpus", with_(cte("code_files"), lines("l", "code_files", "spark_version", "content"),
+    select="select spark_version, line, count(*) as n from l where line <> '' group by 1, 2"))
 
 sql("embed_hash", with_(embedded("e", "documents", "doc_id", "text"), select=f"select doc_id, {print_of('vec')} as vec from e"))
 _DOC_KEY = uuid5("concat('4.1.0:docs:', doc_id, ':', " + hash16("text") + ")")

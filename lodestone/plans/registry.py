@@ -411,13 +411,14 @@ def table_info(spark, d):
 
 @query
 def scan_corpus(spark, d):
-    """Sources written one file each, found again by ending and read whole."""
+    """Sources written as text files, found again by ending, read whole, counted by line."""
     root = scratch_path(spark, "corpus")
     files = frame(spark, d, "code_files").select("content", F.col("spark_version").alias("v"))
-    files.write.partitionBy("v").option("maxRecordsPerFile", 1).text(f"{root}/core")
+    files.write.partitionBy("v").option("maxRecordsPerFile", 200).text(f"{root}/core")
     found = scan.scan_files(spark, root, ["core/", "absent/"], [".txt"])
-    return found.select(F.regexp_extract("file_path", "v=([^/]+)/", 1).alias("spark_version"),
-                        F.length("content").alias("n_chars"), md5("content").alias("content_md5"))
+    lines = found.select(F.regexp_extract("file_path", "v=([^/]+)/", 1).alias("spark_version"),
+                         F.explode(F.split("content", "\n")).alias("line"))
+    return lines.where("line <> ''").groupBy("spark_version", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- vectors and search ----
