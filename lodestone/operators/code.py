@@ -81,6 +81,7 @@ def _line_facts(line: Column, no: Column, language: Column) -> Column:
         F.concat(extract(1, 1), extract(1, 2)).alias("unit_name"),
         _per_language(language, lambda h: F.rlike(line, F.lit(h[2])), F.lit(False)).alias("is_import"),
         (body.startswith("@") & (language == "python")).alias("decorator"),
+        (body.startswith("@") & (language != "python")).alias("annotation"),
     )
 
 
@@ -96,15 +97,17 @@ def find_units(source: Column, language: Column) -> Column:
 
     ``kind`` is ``import``, ``class``, ``method``; a function inside a function
     belongs to the outer one. A top-level Python definition under a decorator is
-    left out, with all it contains.
+    left out, with all it contains. Scala and Java annotations on the lines before a
+    header are part of its unit.
     """
     none = F.lit(None).cast(_UNIT)
     start = F.struct(F.array().cast(f"array<{_UNIT}>").alias("units"), none.alias("cls"),
-                     none.alias("open"), F.lit(False).alias("skip"), F.lit(False).alias("deco"))
+                     none.alias("open"), F.lit(False).alias("skip"), F.lit(False).alias("deco"),
+                     F.lit(None).cast("int").alias("note"))
 
-    def state(units, cls, open_, skip, deco) -> Column:
+    def state(units, cls, open_, skip, deco, note) -> Column:
         return F.struct(units.alias("units"), cls.alias("cls"), open_.alias("open"),
-                        skip.alias("skip"), deco.alias("deco"))
+                        skip.alias("skip"), deco.alias("deco"), note.alias("note"))
 
     def extended(unit: Column, line: Column) -> Column:
         return F.when(unit.isNotNull(), unit.withField("end", line["no"]))
@@ -132,17 +135,22 @@ def find_units(source: Column, language: Column) -> Column:
         is_class = free & top & (line["class_name"] != "")
         is_unit = free & ~is_class & (line["unit_name"] != "") & (top | cls_1.isNotNull())
         is_import = free & top & line["is_import"]
-        cls_2 = F.when(is_class, _unit(
-            line["no"], "class", line["class_kind"], line["class_name"], line["class_name"],
-            line["no"], line["indent"], line["no"])).otherwise(cls_1)
+        # a header after annotations starts where they do
+        first = F.coalesce(acc["note"], line["no"])
+        starts = is_class | is_unit | is_import
+        note = F.when(line["annotation"] & free & ~starts, first)
+        cls_2 = F.when(is_class, _unit(first, "class", line["class_kind"], line["class_name"],
+                                       line["class_name"], line["no"], line["indent"], first)) \
+            .otherwise(cls_1)
         open_2 = (
             F.when(is_import, _unit(line["no"], "import", None, None, "", line["no"],
                                     line["indent"], None))
-            .when(is_unit, _unit(line["no"], "method", cls_1["class_kind"], cls_1["class_name"],
+            .when(is_unit, _unit(first, "method", cls_1["class_kind"], cls_1["class_name"],
                                  line["unit_name"], line["no"], line["indent"], cls_1["start"]))
             .otherwise(open_1))
         deco = F.when(top, line["decorator"]).otherwise(acc["deco"])
-        return F.when(line["ignored"], acc).otherwise(state(units_2, cls_2, open_2, skip, deco))
+        return F.when(line["ignored"], acc).otherwise(
+            state(units_2, cls_2, open_2, skip, deco, note))
 
     def finish(acc: Column) -> Column:
         # by start line, which is the first field

@@ -21,6 +21,7 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 32 << 20
 CELL_BYTES = 256 << 20
 _TILE_QUERIES = 1024
+TASKS_PER_CORE = 4
 _SIM = "sim"
 
 
@@ -188,7 +189,10 @@ def _by_broadcast(few: pa.Table, rows, k, query_id, corpus_id, vector, by, limit
         for arrays in _emit(scorer, schema, query_id, by, corpus_id):
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return rows.mapInArrow(score, out)
+    # every task hands on its own best: read in a bounded number of tasks, however many
+    # splits the corpus has, so that what is left to merge does not grow with it
+    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(tasks).mapInArrow(score, out)
 
 
 def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str,

@@ -171,8 +171,15 @@ def test_scala_units(spark):
 
 def test_java_units(spark):
     methods, others = units(spark, "a_java", JAVA)
-    assert {n: (m.start_line, m.end_line) for n, m in methods.items()} == {"Q.Q": (7, 9), "Q.get": (12, 16)}
-    assert others["Q"].signature == "class Q"
+    assert {n: (m.start_line, m.end_line) for n, m in methods.items()} == {"Q.Q": (7, 9), "Q.get": (11, 16)}
+    assert methods["Q.get"].content.startswith("@Override\n  public <U> List<U> get(")
+    assert others["Q"].signature == "class Q" and others["Q"].start_line == 4
+
+
+def test_annotations_belong_to_the_next_header_only(spark):
+    source = "@Service\n@Named(\"a\")\nclass A {\n  @Inject\n  private int f;\n  void g() {\n  }\n}\n"
+    methods, others = units(spark, "a_java", source)
+    assert others["A"].start_line == 1 and methods["A.g"].start_line == 6
 
 
 def test_unknown_endings_give_nothing(spark):

@@ -3,7 +3,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from lodestone.functions.embed import hashing_model, token_code
+from lodestone.functions.embed import Model, hashing_model, token_code
 from lodestone.operators import rank, search, vectors
 
 RNG = np.random.default_rng(3)
@@ -134,6 +134,22 @@ def test_hashed_vectors(spark):
     assert out[1].v == [0.0] * 8 and out[2].v == [0.0] * 8
 
 
+def test_own_embedders(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    rows = spark.createDataFrame([("a", "xy"), ("b", "xyz")], "chunk_id string, content string")
+    none = spark.createDataFrame([], "chunk_id string, vec array<float>, model_column string")
+    native = Model("native", "emb_n", 2, lambda t: F.array(F.length(t).cast("float"), F.lit(1.0).cast("float")))
+    for model in (Model("udf", "emb_u", 2, lengths), native):
+        filled = vectors.fill_vectors(rows, none, model)
+        assert {r.chunk_id: (r.vec, r.model_column) for r in filled.collect()} == {
+            "a": ([2.0, 1.0], model.column), "b": ([3.0, 1.0], model.column)}
+
+
 def test_fill_is_incremental(spark):
     model = hashing_model(8)
     chunks = spark.createDataFrame([("a", "x y"), ("b", "z"), ("b", "z")], "chunk_id string, content string")
