@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.ids import doc_chunk_id
 from ..functions.packing import pack_paragraphs
 from ..functions.rules import MIN_PROSE_CHARS
+from ..session import checkpointed
 
 # Headings, fences, tables and include tags.
 HEADING = r"(?dm)^(#{1,6})\s+(.+)$"
@@ -160,21 +161,15 @@ def resolve_includes(docs: DataFrame, lookup: DataFrame, key: str,
         key, F.posexplode(F.arrays_zip(
             F.regexp_extract_all(F.col(content), F.lit(INCLUDE), 1).alias("name"),
             F.regexp_extract_all(F.col(content), F.lit(INCLUDE), 2).alias("path"))).alias("no", "tag"))
-    tags = tags.select(key, "no", "tag.name", "tag.path")
-    wanted = tags.select(F.explode(F.array("name", "path")).alias("key")).distinct()
-    # an empty text counts as no text, as for a missing key
-    known = (
-        lookup.where(F.col("code") != "").join(wanted, "key", "left_semi")
-        .groupBy("key").agg(F.max("code").alias("code"))
-    )
-    # many documents name the same example: distinct pairs meet the lookup once
-    pairs = tags.select("name", "path").distinct()
+    # written out: tags are few beside the texts they are found in, and read three times
+    tags = checkpointed(tags.select(key, "no", "tag.name", "tag.path"), "tags")
+    # many documents name the same example: distinct pairs meet the lookup, once, under
+    # both their keys; an empty text counts as no text, as for a missing key
+    asked = tags.select("name", "path").distinct().select(
+        "name", "path", F.posexplode(F.array("name", "path")).alias("choice", "key"))
     found = (
-        pairs.join(known.select(F.col("key").alias("name"), F.col("code").alias("by_name")),
-                   "name", "left")
-        .join(known.select(F.col("key").alias("path"), F.col("code").alias("by_path")),
-              "path", "left")
-        .select("name", "path", F.coalesce("by_name", "by_path").alias("code"))
+        lookup.where(F.col("code") != "").join(asked, "key")
+        .groupBy("name", "path").agg(F.min_by("code", F.struct("choice", "code")).alias("code"))
     )
     text = F.when(F.col("code").isNotNull(), F.concat(F.lit("```\n"), F.col("code"), F.lit("\n```"))) \
         .otherwise(F.concat(F.lit("[Example: "), F.col("name"), F.lit(" ("), F.col("path"), F.lit(")]")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.embed import Model
 
@@ -36,9 +36,14 @@ def merge_vectors(chunks: DataFrame, vectors: DataFrame, model: Model) -> DataFr
     return chunks.join(own, "chunk_id", "left")
 
 
+def is_wrong(vector: str, dim: int) -> Column:
+    """Whether a vector is missing or has another dimension."""
+    return F.coalesce(F.size(vector) != dim, F.lit(True))
+
+
 def wrong_dimension(vectors: DataFrame, dim: int, vector: str = "vec") -> DataFrame:
-    """Rows whose vector is missing or has another dimension."""
-    return vectors.where(F.coalesce(F.size(vector) != dim, F.lit(True)))
+    """The rows to reject."""
+    return vectors.where(is_wrong(vector, dim))
 
 
 def checked_dimension(vectors: DataFrame, dim: int, vector: str = "vec") -> DataFrame:

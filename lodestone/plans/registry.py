@@ -476,12 +476,12 @@ def merge_embeddings(spark, d):
     """Chunks with their vector as a column, null for documents without a label."""
     chunks = text_chunks(spark, d)
     labelled = chunks.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-    own = vectors.embed(labelled, "content", MODEL).select("chunk_id", "vec", F.lit(MODEL.column).alias("model_column"))
+    own = checkpointed(vectors.embed(labelled, "content", MODEL).select(
+        "chunk_id", "vec", F.lit(MODEL.column).alias("model_column")), "vectors")
     merged = vectors.merge_vectors(chunks, vectors.checked_dimension(own, MODEL.dim), MODEL)
-    wrong = vectors.wrong_dimension(merged, MODEL.dim, MODEL.column).select("chunk_id", F.lit(True).alias("is_missing"))
-    return merged.join(wrong, "chunk_id", "left").select(
+    return merged.select(
         "doc_id", "chunk_id", F.coalesce(print_of(MODEL.column), F.lit("")).alias("vec"),
-        F.coalesce("is_missing", F.lit(False)).alias("is_missing"))
+        vectors.is_wrong(MODEL.column, MODEL.dim).alias("is_missing"))
 
 
 @query
@@ -637,7 +637,7 @@ def judged_hits(spark, d):
     corpus = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
     queries = checkpointed(label_centres(spark, d), "centres")
-    hits = search.top_k(queries, corpus, 50, dim=64)
+    hits = checkpointed(search.top_k(queries, corpus, 50, dim=64), "hits")
     return hits, queries.drop("vec"), corpus.drop("vec")
 
 
