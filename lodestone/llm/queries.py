@@ -67,17 +67,17 @@ counts as (select src, count(*) as n, ceil(count(*) / 8.0)::bigint as blocks fro
 parts as (select src, blocks, 1 + floor(64 * sqrt(n / (max(n) over ())::double))::bigint as a, row_number() over (order by src) as i from counts),
 shape as (select sum(a)::bigint as q, list(a order by i) as a, list(blocks order by i) as blocks, list(src order by i) as srcs from parts),
 slots as (
-  select 0::bigint as slot, list_transform(a, x -> 0::bigint) as served, 0::bigint as pick from shape
+  select 0::bigint as slot, list_transform(a, lambda x: 0::bigint) as served, 0::bigint as pick from shape
   union all
-  select slot + 1, list_transform(served, (x, k) -> case when k = best then x + 1 else x end), best::bigint
+  select slot + 1, list_transform(served, lambda x, k: case when k = best then x + 1 else x end), best::bigint
   from (select slot, served, list_position(due, list_min(due)) as best
-    from (select slot, served, list_transform(served, (x, k) -> case when x * q // a[k] <= slot then ((x + 1) * q + a[k] - 1) // a[k] end) as due
+    from (select slot, served, list_transform(served, lambda x, k: case when x * q // a[k] <= slot then ((x + 1) * q + a[k] - 1) // a[k] end) as due
       from slots cross join shape where slot < q) s) t),
 turns as (select slot - 1 as slot, pick, served[pick] - 1 as turn,
-  list_transform(served, (x, k) -> case when k = pick then x - 1 else x end) as ahead from slots where slot > 0),
+  list_transform(served, lambda x, k: case when k = pick then x - 1 else x end) as ahead from slots where slot > 0),
 placed as (select doc_id, r.source, r.src, row_number() over (partition by r.src order by hashed, doc_id) - 1 as nth from rows_of r),
 blocks as (select doc_id, source, nth // 8 as block, nth % 8 as mix_row, a, i from placed join parts using (src))
 select b.doc_id, b.source,
-  (1 + list_sum(list_transform(t.ahead, (x, k) -> least(s.blocks[k], (b.block // b.a) * s.a[k] + x))))::bigint as mix_position,
+  (1 + list_sum(list_transform(t.ahead, lambda x, k: least(s.blocks[k], (b.block // b.a) * s.a[k] + x))))::bigint as mix_position,
   b.mix_row::integer as mix_row
 from blocks b join turns t on t.pick = b.i and t.turn = b.block % b.a cross join shape s"""
