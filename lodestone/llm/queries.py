@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing
+from . import decontam, exact, mixing, repeats
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op7_exact_dedup(spark, d):
     return exact.dedup_exact(table(spark, d, "documents"))
 
 
+@query
+def op8_repeated_passages(spark, d):
+    return repeats.find_repeats(table(spark, d, "documents"))
+
+
 @query
 def op9_decontaminate(spark, d):
     return decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
