@@ -87,7 +87,8 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     text. Extra columns are not read.
     """
     key, content = quoted([id, text])
-    hits = hit_counts(find_hits(docs, items, id, text, item_id, item_text, n))
+    # written once: counting words and items both read it
+    hits = hit_counts(checkpointed(find_hits(docs, items, id, text, item_id, item_text, n), "hits"))
     base = docs.select(key.alias("doc_id"), F.xxhash64(content).alias("print"),
                        F.size(words_of(content)).cast("bigint").alias("n_words"))
     both = base.join(hits.withColumnsRenamed({"doc_id": "hit_id", "print": "hit_print"}),
