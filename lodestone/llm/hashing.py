@@ -83,9 +83,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without blanks, tabs and line ends."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without blanks, tabs and line ends, inside stretches that fill ``data``."""
+    inside = ~_SPACE[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    some = ends > starts
+    before[starts[some]] = False
+    after[ends[some] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1

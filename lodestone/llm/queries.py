@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing, repeats
+from . import decontam, exact, lm, mixing, repeats
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op3_score_texts(spark, d):
+    return lm.score_texts(table(spark, d, "documents"))
+
+
 @query
 def op7_exact_dedup(spark, d):
     return exact.dedup_exact(table(spark, d, "documents"))
