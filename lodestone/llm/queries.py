@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, lm, mixing, repeats
+from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,36 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_quality(spark, d):
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op2_personal_data(spark, d):
+    return pii.detect(table(spark, d, "documents"))
+
+
 @query
 def op3_score_texts(spark, d):
     return lm.score_texts(table(spark, d, "documents"))
 
 
+@query
+def op4_fuzzy_lines(spark, d):
+    return lines.deduplicated(table(spark, d, "documents"))
+
+
+@query
+def op5_near_duplicates(spark, d):
+    return near.find_groups(table(spark, d, "documents"))
+
+
+@query
+def op6_language(spark, d):
+    return language.identify(table(spark, d, "documents"))
+
+
 @query
 def op7_exact_dedup(spark, d):
     return exact.dedup_exact(table(spark, d, "documents"))
