@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, quoted
+from .common import checkpointed, fold, quoted
 from .hashing import Stretches, distinct, mixed
 
 MIN_SHARE = 1e-5
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = count_features(rows, longest)
+    # written once: totals and known features both read it
+    counts = checkpointed(count_features(rows, longest), "language-counts")
     totals = {(r["lang"], r["n"]): r["times"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()} \
         if names else {}
     if not totals:
