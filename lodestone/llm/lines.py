@@ -15,18 +15,22 @@ from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
-#: a shingle: up to CHARS characters from the start of a word
-SHINGLES = r"(?<!\S)(?=(\S.{0,%d}))"
+#: longs of parities that a set is compared by first; a power of two
+WORDS = 4
+#: a shingle: CHARS characters from the start of a word; a line without any is one shingle
+SHINGLES = r"(?<!\S)(?=(\S.{%d}))"
 
 
 def normal(line: Column) -> Column:
-    """Lower case, single blanks, no blanks around."""
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+    """Lower case, no blanks around."""
+    return F.lower(F.trim(line))
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
     """The shingles of a normal line, in order."""
-    return F.regexp_extract_all(line, F.lit(SHINGLES % (chars - 1)), 1)
+    whole = F.when(F.char_length(line) <= chars, F.array(line))
+    found = F.regexp_extract_all(line, F.lit(SHINGLES % (chars - 1)), 1)
+    return F.coalesce(whole, F.nullif(found, F.array().cast("array<string>")), F.array(line))
 
 
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
@@ -35,8 +39,12 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
     Shingles become rows, and one aggregation takes all minima: a line's rows are
     neighbours, so nearly all of it happens before the shuffle.
     """
-    # 31 bits of each minimum are enough to tell lines apart, and shuffle well
-    least = [F.min(F.shiftrightunsigned(F.xxhash64("h", F.lit(i)), 33)).alias(f"m{i}") for i in range(bands * rows)]
+    # 31 bits of each minimum are enough to tell lines apart, and shuffle well; one hash gives two
+    def part(i: int) -> Column:
+        h = F.xxhash64("h", F.lit(i // 2))
+        return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
+
+    least = [F.min(part(i)).alias(f"m{i}") for i in range(bands * rows)]
     minima = lines.select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
         .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
@@ -59,16 +67,23 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
     """
     placed = _lines(docs, id, text).withColumn("node", F.xxhash64("line"))
     spots = checkpointed(placed.select("doc_id", "print", "pos", "node"), "spots")
+    def parity(word: int) -> Column:
+        """Parities of the elements in the cells of one long."""
+        return F.aggregate(F.filter("set", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == word),
+                           F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(
+                               F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
     def describe(asked: DataFrame) -> DataFrame:
         return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.first("line").alias("line")) \
-            .select("node", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set"))
+            .select("node", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set")) \
+            .withColumn("size", F.size("set")).withColumn("marks", F.array(*[parity(w) for w in range(WORDS)]))
 
     def similar(pairs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("set_a", "set_b"))
         return pairs.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
     # equal lines are one node; 64-bit hashes stand for lines
-    roots, _ = link_groups(band_members(placed, chars, bands, rows), describe, similar)
+    roots, _ = link_groups(band_members(placed, chars, bands, rows), describe, similar, similarity, WORDS)
     grouped = spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "print", "pos")).alias("first"), F.count("*").alias("n")) \
         .where("n > 1").select("root", "first")

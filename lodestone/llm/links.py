@@ -33,15 +33,25 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a bucket but not a component."""
-    placed = buckets.join(roots, "node", "left") \
-        .select("key", "node", F.coalesce("root", "node").alias("root"))
+def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Distinct pairs ``a < b`` that share a bucket but not a component.
+
+    The join itself leaves out pairs that can't reach the similarity. ``marks`` are the
+    parities of a set's elements in some cells; where two sets differ in ``d`` parities,
+    at least ``d`` elements are in one of them only, so that their Jaccard similarity is
+    at most ``(sizes - d) / (sizes + d)``. The bound is exact: no link is lost.
+    """
+    placed = buckets.join(roots, "node", "left").join(sets.select("node", "size", "marks"), "node") \
+        .select("key", "node", "size", "marks", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
         .where("low < high").select("key")
     left = checkpointed(placed.join(mixed, "key"), "open")
-    right = left.withColumnsRenamed({"node": "node2", "root": "root2"})
-    return left.join(right, "key").where("node < node2 and root <> root2") \
+    right = left.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2", "marks": "marks2"})
+    apart = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("marks2", F.lit(i)))) for i in range(words)), F.lit(0))
+    low = similarity - 1e-9  # a similarity met exactly must pass
+    near = (F.least("size", "size2") >= low * F.greatest("size", "size2")) \
+        & (apart * (1 + low) <= (F.col("size") + F.col("size2")) * (1 - low))
+    return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & near) \
         .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -71,25 +81,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_groups(members: DataFrame, describe: Callable[[DataFrame], DataFrame],
-                similar: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+                similar: Callable[[DataFrame], DataFrame], similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
     """Components and verified links of everything that shares a bucket.
 
     ``members`` holds ``key`` and ``node``. ``describe`` gets the nodes that share any
-    bucket and returns ``node``, ``set``; ``similar`` gets pairs with ``set_a`` and
+    bucket and returns ``node``, ``set``, ``size`` and ``marks``
+    (``words`` longs, see ``open_pairs``); ``similar`` gets pairs with ``set_a`` and
     ``set_b`` and returns the links ``a``, ``b`` among them. A pair in a bucket goes
     unverified only if its members are already in one component.
     """
     buckets = crowded(members)
     sets = checkpointed(describe(buckets.select("node").distinct()), "sets")
 
+    plain = sets.select("node", "set")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        return similar(pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
-                       .join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b"))
+        return similar(pairs.join(plain.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
+                       .join(plain.withColumnsRenamed({"node": "b", "set": "set_b"}), "b"))
 
     tried = checkpointed(leader_pairs(buckets), "tried")
     links = checkpointed(verified(tried), "links")
     roots = components(links)
-    rest = checkpointed(open_pairs(buckets, roots).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = checkpointed(open_pairs(buckets, roots, sets, similarity, words).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = checkpointed(links.unionByName(verified(rest)), "links")
         roots = components(links)

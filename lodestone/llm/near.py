@@ -23,6 +23,8 @@ from .links import link_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
+#: longs of parities that a set is compared by first
+WORDS = 16
 GOLDEN = 0x9E3779B97F4A7C15
 SLICE_BYTES = 2 << 20
 #: chances that a cell of area one holds at most 0, 1, 2, ... darts (Poisson, mean 1)
@@ -179,19 +181,25 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
                     n = part.stop - part.start
                     owner, keys, weights = shingles_of(bodies[part], shingle, counted)
                     at = np.searchsorted(owner, np.arange(n + 1))
-                    yield frame.iloc[part][["node"]].assign(set=[
-                        keys[i:j].tobytes() + weights[i:j].astype(np.uint64).tobytes() for i, j in zip(at, at[1:])])
+                    cells = owner * (64 * WORDS) + (keys % np.uint64(64 * WORDS)).astype(np.int64)
+                    odd = np.bincount(cells, minlength=n * 64 * WORDS).astype(np.uint8) & (0 if counted else 1)
+                    yield frame.iloc[part][["node"]].assign(
+                        set=[keys[i:j].tobytes() + weights[i:j].astype(np.uint64).tobytes() for i, j in zip(at, at[1:])],
+                        marks=list(np.packbits(odd).view(np.int64).reshape(n, WORDS)))
 
         # a text's first row stands for its copies
         texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["rep"])).where(F.sha2("body", 256) == F.col("sha")) \
             .select("node", "body")
-        return texts.mapInPandas(pack, "node bigint, set binary").groupBy("node").agg(F.min("set").alias("set"))
+        return texts.mapInPandas(pack, "node bigint, set binary, marks array<bigint>").groupBy("node") \
+            .agg(F.min("set").alias("set"), F.min("marks").alias("marks")) \
+            .withColumn("size", F.length("set") / 16)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.loc[similar(frame) >= similarity, ["a", "b"]]
 
-    roots, links = link_groups(members, describe, lambda pairs: pairs.mapInPandas(compare, "a bigint, b bigint"))
+    roots, links = link_groups(members, describe, lambda pairs: pairs.mapInPandas(compare, "a bigint, b bigint"),
+                               0.0 if counted else similarity, WORDS)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("sha", "node").join(roots, "node", "left").join(degree, "node", "left") \
         .select("sha", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
