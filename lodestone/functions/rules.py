@@ -27,16 +27,23 @@ class Rule:
 
     @property
     def word(self) -> str:
-        """A word that every match contains, or nothing if the pattern is not that simple."""
+        """A word that every match contains, or nothing if the pattern is not that simple.
+
+        What stands in a group may be optional and doesn't count.
+        """
         plain = re.sub(r"\\[bBsSwWdDnt]", " ", self.pattern)
         if re.search(r"\||\(\?|\[|[A-Za-z_][?*{]", plain):
             return ""
+        while (outer := re.sub(r"(?<!\\)\((?:[^()\\]|\\.)*(?<!\\)\)[?*+]?", " ", plain)) != plain:
+            plain = outer
+        if re.search(r"(?<!\\)[()]", plain):
+            return ""
         return max(re.findall(r"[A-Za-z_]+", plain), key=len, default="")
 
 
 def in_line(pattern: str) -> str:
-    """The pattern with white space that cannot cross a line end."""
-    return pattern.replace(r"\s", r"[^\S\n]")
+    """The pattern with white space and negated classes that cannot cross a line end."""
+    return re.sub(r"(?<!\\)\[\^", r"[^\\n", pattern).replace(r"\s", r"[^\S\n]")
 
 
 # API names and their patterns, in rule order.

@@ -86,9 +86,10 @@ def unescape(text: Column) -> Column:
     short, rest = _entity_maps()
 
     def one(name: Column) -> Column:
-        hexadecimal = F.lower(name).startswith("#x")
-        number = F.when(hexadecimal, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(
-            F.substring(name, 2, 18)).try_cast("bigint")
+        digits = F.regexp_replace(name, "^#[xX]?0*(?=.)", "")
+        # more than eight digits without leading zeros is no character
+        number = F.when(F.lower(name).startswith("#x"), F.when(F.length(digits) <= 8, F.conv(digits, 16, 10))) \
+            .otherwise(digits).try_cast("bigint")
         named = F.coalesce(F.try_element_at(short, name), F.try_element_at(rest, name),
                            F.concat(F.lit("&"), name))
         return F.when(name.startswith("#"), _code_point(number)).otherwise(named)

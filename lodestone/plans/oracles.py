@@ -396,10 +396,10 @@ sql("issue_chunks", with_(ISSUES, select=f"""select issue_number, created_at, co
   {uuid5("concat('issue:', issue_number, ':', case when is_comment then 'comment' else 'body' end, ':', author, ':', " + hash16("content") + ")")} as chunk_id from issues"""))
 sql("qa_source", with_(cte("qa_threads"), """n as (select question_id, count(*) filter (not is_question) as answers, count(*) filter (is_question) as questions from qa_threads group by 1)""",
     select="""select question_id, title, score, answers as answer_count, 1704067200 + question_id * 3600 as last_activity_date
-  from qa_threads join n using (question_id) where is_question and answers > 0 and question_id >= 6 order by last_activity_date desc, question_id limit 5000"""))
+  from qa_threads join n using (question_id) where is_question and answers > 0 and question_id >= 6"""))
 sql("issue_source", with_(cte("issue_threads"), select="""select issue_number as number, title, state, author as login,
   strftime(make_timestamp((1704067200 + issue_number * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as updated_at
-  from issue_threads where turn = 0 and issue_number % 4 <> 0 and state = 'closed' order by issue_number desc limit 10000"""))
+  from issue_threads where turn = 0 and issue_number % 4 <> 0 and state = 'closed'"""))
 sql("chunks_per_thread", with_(cte("qa_threads"), select="select question_id, count(*) as n_chunks from qa_threads group by 1"))
 
 _VERSION = "case when doc_id % 2 = 0 then '4.1.0' else '3.5.4' end"

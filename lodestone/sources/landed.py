@@ -15,10 +15,6 @@ ISSUE = """number bigint, title string, body string, state string, user struct<l
   closed_at string, updated_at string, comments int, pull_request struct<url:string>,
   comments_data array<struct<body:string,user:struct<login:string>,created_at:string>>"""
 
-# How many items one run takes at most.
-MAX_QUESTIONS = 5000
-MAX_ISSUES = 10000
-
 
 def moment(since: str):
     """A date or time of ISO format as a timestamp; without a zone it is UTC."""
@@ -35,7 +31,7 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_questions(items: DataFrame, tags: Sequence[str] = (), since: str | None = None,
-                     most: int | None = MAX_QUESTIONS) -> DataFrame:
+                     most: int | None = None) -> DataFrame:
     """Answered questions with all the tags, newest activity first."""
     kept = items.where(F.col("answer_count") > 0)
     for tag in tags:
@@ -47,7 +43,7 @@ def select_questions(items: DataFrame, tags: Sequence[str] = (), since: str | No
 
 
 def select_issues(items: DataFrame, state: str = "all", since: str | None = None,
-                  most: int | None = MAX_ISSUES) -> DataFrame:
+                  most: int | None = None) -> DataFrame:
     """Issues that are no pull requests, last updated first."""
     kept = items.where(F.col("pull_request").isNull())
     if state != "all":

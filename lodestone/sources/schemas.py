@@ -93,11 +93,11 @@ SERVED_LISTS = {
 
 # Served columns, in order, with their length limits (0: none).
 SERVED_COLUMNS = {
-    "code_chunks": {"content": 65535, "spark_version": 32, "file_path": 512, "language": 32,
-                    "chunk_type": 32, "qualified_name": 512, "signature": 1024,
+    "code_chunks": {"content": 65535, "spark_version": 0, "file_path": 0, "language": 0,
+                    "chunk_type": 0, "qualified_name": 512, "signature": 1024,
                     "spark_apis": 0, "problem_indicators": 0},
-    "doc_chunks": {"content": 65535, "spark_version": 32, "doc_url": 512, "doc_section": 256,
-                   "heading_hierarchy": 0, "content_type": 32, "related_configs": 0},
+    "doc_chunks": {"content": 65535, "spark_version": 0, "doc_url": 512, "doc_section": 256,
+                   "heading_hierarchy": 0, "content_type": 0, "related_configs": 0},
     "qa_chunks": {"content": 65535, "question_id": 0, "is_question": 0, "score": 0,
                   "is_accepted": 0, "tags": 0, "error_type": 256, "spark_apis_mentioned": 0,
                   "spark_versions_mentioned": 0},

@@ -28,13 +28,15 @@ def sync_newer(store: ChunkStore, table: str, source: DataFrame, changed: str,
                newer: list[Column]) -> None:
     """Take what changed after the stored mark, replace by id, advance the mark.
 
-    The mark is written last: a run that breaks off is repeated from the old mark.
+    The mark is written last: a run that breaks off is repeated from the old mark. Rows at
+    the mark itself are read again, as more of them may have landed since; taking a row
+    twice changes nothing.
     """
     spark = source.sparkSession
     marks = f"{store.database}.sync_marks"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {marks} (table_name string, mark timestamp) USING parquet")
     mark = spark.table(marks).where(F.col("table_name") == table).agg(F.max("mark")).first()[0]
-    fresh = source if mark is None else source.where(F.col(changed) > F.lit(mark))
+    fresh = source if mark is None else source.where(F.col(changed) >= F.lit(mark))
     taken = checkpointed(fresh, "fresh")
     upsert_latest(store, table, taken, newer)
     top = taken.agg(F.lit(table).alias("table_name"), F.max(changed).alias("mark"))
