@@ -27,10 +27,13 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
-    """The shingles of a normal line, in order."""
-    whole = F.when(F.char_length(line) <= chars, F.array(line))
-    found = F.regexp_extract_all(line, F.lit(SHINGLES % (chars - 1)), 1)
-    return F.coalesce(whole, F.nullif(found, F.array().cast("array<string>")), F.array(line))
+    """The shingles of a normal line, in order; none if the whole line stands for them.
+
+    The pattern stands here once: an expression that also names the array to test it for
+    being empty would run it again.
+    """
+    return F.when(F.char_length(line) <= chars, F.array(line)) \
+        .otherwise(F.regexp_extract_all(line, F.lit(SHINGLES % (chars - 1)), 1))
 
 
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
@@ -45,8 +48,8 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
         return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
 
     least = [F.min(part(i)).alias(f"m{i}") for i in range(bands * rows)]
-    minima = lines.select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
-        .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
+    minima = lines.select("node", "line", F.explode_outer(shingles(F.col("line"), chars)).alias("s")) \
+        .select("node", F.xxhash64(F.coalesce("s", "line")).alias("h")).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
@@ -75,7 +78,9 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
 
     def describe(asked: DataFrame) -> DataFrame:
         return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.first("line").alias("line")) \
-            .select("node", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set")) \
+            .select("node", "line", shingles(F.col("line"), chars).alias("found")) \
+            .withColumn("found", F.when(F.size("found") == 0, F.array("line")).otherwise(F.col("found"))) \
+            .select("node", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s))).alias("set")) \
             .withColumn("size", F.size("set")).withColumn("marks", F.array(*[parity(w) for w in range(WORDS)]))
 
     def similar(pairs: DataFrame) -> DataFrame:
