@@ -67,10 +67,11 @@ def search_references(parsed: DataFrame, chunks: DataFrame, model: Model, *,
         model.embed(F.col("query_text")).alias("vec")), "queries")
     corpus = chunks.select(
         "chunk_id", "source", "vec",
-        F.when(F.col("source").isin("code", "docs"), F.col("spark_version")).alias("only_version"))
+        # a missing version equals none that is asked for, but passes where all are
+        F.when(F.col("source").isin("code", "docs"), F.coalesce("spark_version", F.lit(""))).alias("only_version"))
     hits = top_k(vectors, corpus, per_source, by=["source"], limit=("only_version", "only_version"),
                  dim=model.dim)
-    hits = hits.withColumn("request_id", F.substring_index("query_id", "/", 1))
+    hits = hits.withColumn("request_id", F.regexp_replace("query_id", "/[0-9]+$", ""))
     if multi_query:
         hits = hits.groupBy("request_id", "source", "chunk_id").agg(F.max("sim").alias("sim"))
         hits = ranked(hits, per_source, ["request_id", "source"], "chunk_id")

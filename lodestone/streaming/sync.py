@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.threads import dedup_latest
-from ..session import checkpointed, scratch_path
+from ..session import checkpointed
 from ..sources.tables import ChunkStore
 
 
@@ -44,15 +44,18 @@ def sync_newer(store: ChunkStore, table: str, source: DataFrame, changed: str,
 
 
 def stream_upsert(store: ChunkStore, table: str, landing: str, schema, newer: list[Column],
-                  checkpoint: str | None = None, max_files: int = 1000) -> None:
-    """Upsert all files that landed since the last run, in micro-batches."""
+                  checkpoint: str, max_files: int = 1000) -> None:
+    """Upsert all files that landed since the last run, in micro-batches.
+
+    ``checkpoint`` is the folder that remembers what was read, the same one in every run.
+    """
     spark = store.spark
     store.create(table)
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
               .parquet(landing))
     query = (
         stream.writeStream
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, _: upsert_latest(store, table, batch, newer))
         .trigger(availableNow=True)
         .start()
