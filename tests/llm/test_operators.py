@@ -105,6 +105,16 @@ def test_components(spark):
         assert (got[x] == got[y]) == (find(x) == find(y))
 
 
+def test_components_contract_stars_at_once_and_paths_in_few_rounds(spark, monkeypatch):
+    names, plain = [], links.checkpointed
+    monkeypatch.setattr(links, "checkpointed", lambda df, name: names.append(name) or plain(df, name))
+    star = spark.range(1, 3001).selectExpr("cast(0 as bigint) as a", "id as b")
+    assert links.components(star).select("root").distinct().count() == 1 and names.count("up") == 1
+    names.clear()
+    path = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    assert links.components(path).select("root").distinct().count() == 1 and names.count("up") < 25
+
+
 def grams(text, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1)))}
