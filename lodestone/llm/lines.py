@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line is known by the character shingles that start at its words. Minima of keyed hashes
-over the shingles make bands; lines that share a band are compared by the exact Jaccard
+A line is known by its character shingles, from every place. Minima of keyed hashes over
+the shingles make bands; lines that share a band are compared by the exact Jaccard
 similarity of their shingles, and union-find over the verified links leaves one line of
 each component. Equal lines are one node throughout, however often they occur.
 """
@@ -17,8 +17,8 @@ CHARS, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
 #: longs of parities that a set is compared by first; a power of two
 WORDS = 4
-#: a shingle: CHARS characters from the start of a word; a line without any is one shingle
-SHINGLES = r"(?<!\S)(?=(\S.{%d}))"
+#: a shingle: CHARS characters from any place; matches take a whole character each
+SHINGLES = r"(?s)(?=(.{%d}))."
 
 
 def normal(line: Column) -> Column:
@@ -27,13 +27,12 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
-    """The shingles of a normal line, in order; none if the whole line stands for them.
+    """The shingles of a normal line, in order; a line of at most ``chars`` is its only one.
 
-    The pattern stands here once: an expression that also names the array to test it for
-    being empty would run it again.
+    A pattern finds them in one pass, while a substring would count from the start each time.
     """
     return F.when(F.char_length(line) <= chars, F.array(line)) \
-        .otherwise(F.regexp_extract_all(line, F.lit(SHINGLES % (chars - 1)), 1))
+        .otherwise(F.regexp_extract_all(line, F.lit(SHINGLES % chars), 1))
 
 
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
@@ -48,8 +47,9 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
         return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
 
     least = [F.min(part(i)).alias(f"m{i}") for i in range(bands * rows)]
-    minima = lines.select("node", "line", F.explode_outer(shingles(F.col("line"), chars)).alias("s")) \
-        .select("node", F.xxhash64(F.coalesce("s", "line")).alias("h")).groupBy("node").agg(*least)
+    minima = lines.select("node", "line").distinct() \
+        .select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
+        .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
@@ -78,9 +78,7 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
 
     def describe(asked: DataFrame) -> DataFrame:
         return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.first("line").alias("line")) \
-            .select("node", "line", shingles(F.col("line"), chars).alias("found")) \
-            .withColumn("found", F.when(F.size("found") == 0, F.array("line")).otherwise(F.col("found"))) \
-            .select("node", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s))).alias("set")) \
+            .select("node", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set")) \
             .withColumn("size", F.size("set")).withColumn("marks", F.array(*[parity(w) for w in range(WORDS)]))
 
     def similar(pairs: DataFrame) -> DataFrame:

@@ -176,6 +176,31 @@ def test_lines(spark):
     assert lines.deduplicated(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_lines_against_all_pairs_of_character_shingles(spark):
+    rng = random.Random(11)
+    texts = ["the answer is yes", "the answer is no", "chapter 1: page 10", "chapter 1: page 11",
+             "tail \r one two three four", "tail \r one two three five", "😀😁😂🤣😃😄😅😆😉😊😋😎", "😀😁😂🤣😃😄😅😆😉😊😋😍"]
+    texts += [f"https://www.example.org/{rng.randrange(10 ** 12)}/{rng.randrange(10 ** 12)}" for _ in range(20)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60)) for _ in range(10)]
+    for t in texts[-30::3]:
+        at = rng.randrange(len(t) - 1)
+        texts += [f"{t}0", f"{t[:at]}x{t[at + 1:]}"]
+    texts = sorted(set(texts))
+    sets = {t: {t[i:i + 9] for i in range(max(1, len(t) - 8))} for t in texts}
+    up = {t: t for t in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    got = lines.drop_lines(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"] for r in got if r["text"]} == {texts.index(find(t)) for t in texts}
+    assert len(texts) > len({find(t) for t in texts}) > 30
+
+
 def test_base_spans_match_plain_patterns():
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
