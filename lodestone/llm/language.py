@@ -1,13 +1,13 @@
 """Language identification by known words, backing off to character n-grams.
 
-A word is known if it makes up at least ``MIN_SHARE`` of the words of some language; it
-then scores by its log frequency in each. An unseen word is scored by its n-grams,
-blanks around it included, from the longest length down: the first length of which any
-n-gram is known decides. A document's score is the mean over its words.
-
-The share bounds what a language can know: no more than ``1 / MIN_SHARE`` words, and as
-many n-grams of a length, however large the corpus. That bounds the model that is
-broadcast. Frequencies come from all training documents.
+A word that stands in any training document scores by its log frequency in each language.
+An unseen word is scored by its n-grams, blanks around it included, from the longest
+length down: the first length of which any n-gram is known decides. A document's score is
+the mean over its words.
+
+All counted words and n-grams stay, in a table. Blocks of documents ask for their distinct
+words by a join, and only unseen words ask for n-grams, once each, so that no task holds
+the model. What a language lacks scores a floor that is below all that was seen.
 """
 
 from __future__ import annotations
@@ -15,18 +15,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .blocks import Block, opened, stage
 from .common import checkpointed, fold, quoted
 from .hashing import Stretches, distinct, mixed
 
+#: what was never seen scores a tenth of this share, or of one occurrence if that is less
 MIN_SHARE = 1e-5
 LONGEST = 5
 MOST_LANGUAGES = 1000
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
+#: scores are rounded to so many digits, so that the order of sums does not show
+DIGITS = 9
 SLICE_CHARS = 1 << 20
 BLANK = 32
 
@@ -122,76 +127,102 @@ def count_features(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE,
-        longest: int = LONGEST) -> tuple[list[str], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Languages in order, and by length the sorted known keys with a log frequency per language."""
+        longest: int = LONGEST) -> tuple[list[str], DataFrame | None, float]:
+    """Languages in order, ``n, key, gains`` for all that was counted, and the floor.
+
+    ``gains`` has ``place`` (of a language) and ``gain``, its log frequency above the floor.
+    Without anything counted there are no languages and no table.
+    """
     key, content, label = quoted([id, text, lang])
     rows = docs.where(label.isNotNull() & (fold(key, FOLDS) != HELD_OUT)) \
         .select(label.cast("string").alias("lang"), F.coalesce(content, F.lit("")).alias("text"))
     names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # written once: totals and known features both read it
+    # written once: totals and features both read it
     counts = checkpointed(count_features(rows, longest), "language-counts")
-    totals = {(r["lang"], r["n"]): r["times"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()} \
-        if names else {}
+    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect() if names else []
     if not totals:
-        return names, {}
-    share = F.create_map(*[F.lit(x) for (g, n), t in totals.items() for x in (f"{n} {g}", t * min_share)])
-    # at most 1/min_share rows for each language and length
-    known = counts.where(F.col("times") >= share[F.concat_ws(" ", F.col("n").cast("string"), "lang")]).toPandas()
-    place = {g: k for k, g in enumerate(names)}
-    model = {}
-    for n, part in known.groupby("n"):
-        keys = part["key"].to_numpy(np.int64).view(np.uint64)
-        first, at = distinct(keys)
-        scores = np.full((len(first), len(names)), np.log10(min_share) - 1, np.float32)
-        size = np.array([totals[g, n] for g in part["lang"]], float)
-        scores[at, [place[g] for g in part["lang"]]] = np.log10(part["times"].to_numpy(float) / size)
-        model[int(n)] = (keys[first], scores)
-    return names, model
-
-
-def look_up(model: dict, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are known, and their place in the table of length ``n``."""
-    if n not in model or not len(keys):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    table = model[n][0]
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
-
-
-def predict(texts: list[str | None], names: list[str], model: dict, longest: int) -> tuple[list[str], np.ndarray]:
-    """The best language of each text and the share of belief it gets."""
-    w, size = Words(texts), len(names)
-    worst = min((float(s.min()) for _, s in model.values()), default=-6.0)
-    score = np.full((len(w.start), size), worst, np.float64)
-    known, at = look_up(model, 0, w.word_keys())
-    if known.any():
-        score[known] = model[0][1][at[known]]
-    unseen = np.flatnonzero(~known)
-    for n in range(longest, 0, -1):
-        if not len(unseen) or n not in model:
-            continue
-        owner, keys = w.grams(unseen, n)
-        found, at = look_up(model, n, keys)
-        hit = np.bincount(owner[found], minlength=len(unseen)) > 0
-        take = hit[owner]
-        row = np.full((int(take.sum()), size), worst)
-        row[found[take]] = model[n][1][at[take & found]]
-        sums = np.stack([np.bincount(owner[take], row[:, k], len(unseen)) for k in range(size)], 1)
-        many = np.bincount(owner[take], minlength=len(unseen))
-        score[unseen[hit]] = sums[hit] / many[hit][:, None]
-        unseen = unseen[~hit]
-    words = np.bincount(w.doc, minlength=len(texts))
-    mean = np.stack([np.bincount(w.doc, score[:, k], len(texts)) for k in range(size)], 1) / np.maximum(words, 1)[:, None] \
-        if size else np.zeros((len(texts), 0))
+        return [], None, 0.0
+    floor = min(np.log10(min_share), -np.log10(max(r["total"] for r in totals))) - 1
+    sizes = docs.sparkSession.createDataFrame(
+        [(r["lang"], r["n"], names.index(r["lang"]), r["total"]) for r in totals], "lang string, n int, place int, total bigint")
+    gain = F.round(F.log10(F.col("times") / F.col("total")) - float(floor), DIGITS)
+    known = counts.join(F.broadcast(sizes), ["lang", "n"]).groupBy("n", "key") \
+        .agg(F.collect_list(F.struct("place", gain.alias("gain"))).alias("gains"))
+    return names, known, float(floor)
+
+
+def unseen_gains(unseen: DataFrame, known: DataFrame, longest: int) -> DataFrame:
+    """``key, gains`` of words (``key, word``) by the longest n-grams of which any is known."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("word").to_pylist()
+            own = batch.column("key").to_numpy()
+            for part in slices(texts):
+                words, keys = Words(texts[part]), own[part]
+                everything = np.arange(len(words.start))
+                for n in range(1, longest + 1):
+                    owner, found = words.grams(everything, n)
+                    many = np.bincount(owner, minlength=len(everything))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[owner]), pa.array(np.full(len(owner), n, np.int32)), pa.array(found.view(np.int64)),
+                         pa.array(many[owner])], ["word_key", "n", "key", "many"])
+
+    asked = unseen.mapInArrow(grams, "word_key bigint, n int, key bigint, many bigint")
+    each = asked.join(known, ["n", "key"]).select("word_key", "n", "many", F.explode("gains").alias("g")) \
+        .groupBy("word_key", "n", "g.place").agg((F.sum("g.gain") / F.first("many")).alias("gain"))
+    return each.groupBy("word_key", "n") \
+        .agg(F.collect_list(F.struct("place", F.round("gain", DIGITS).alias("gain"))).alias("gains")) \
+        .groupBy(F.col("word_key").alias("key")).agg(F.max_by("gains", "n").alias("gains"))
+
+
+def words_of(block: Block) -> Iterator[tuple[slice, list[str], Words]]:
+    """A block's texts and their words, some documents at a time."""
+    texts = [block.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(block.starts, block.ends)]
+    for part in slices(texts):
+        yield part, texts[part], Words(texts[part])
+
+
+def asked_words(table: pa.Table) -> pa.Table:
+    """The distinct words of a block."""
+    block, found = opened(table), {}
+    for _, _, words in words_of(block):
+        keys = words.word_keys()
+        first, _ = distinct(keys)
+        for k, s, e in zip(keys[first].view(np.int64).tolist(), words.start[first].tolist(), words.end[first].tolist()):
+            if k not in found:
+                found[k] = words.points[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace")
+    return pa.table({"block": pa.array([table["block"][0].as_py()] * len(found), pa.int64()),
+                     "key": pa.array(list(found), pa.int64()), "word": pa.array(list(found.values()), pa.string())})
+
+
+def predict(words: Words, texts: int, names: list[str], keys: np.ndarray, bounds: np.ndarray,
+            place: np.ndarray, gain: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The best language of each text and the share of belief it gets.
+
+    ``keys`` are sorted; key ``k`` has the gains from ``bounds[k]`` to ``bounds[k + 1]``.
+    """
+    size, many = len(names), np.bincount(words.doc, minlength=texts)
     if not size:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    belief = np.exp(np.log(10) * (mean - mean.max(1, keepdims=True)) * np.minimum(words, 10)[:, None])
+        return [UNKNOWN] * texts, np.zeros(texts)
+    total = np.zeros(texts * size)
+    if len(keys) and len(words.start):
+        asked = words.word_keys().view(np.int64)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[at] == asked
+        at, doc = at[hit], words.doc[hit]
+        n = bounds[at + 1] - bounds[at]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[at], n)
+        total = np.bincount(np.repeat(doc, n) * size + place[entry], gain[entry], texts * size)
+    # what all languages have in common, the floor, changes neither order nor belief
+    mean = np.round(total.reshape(texts, size) / np.maximum(many, 1)[:, None], DIGITS)
+    belief = np.exp(np.log(10) * (mean - mean.max(1, keepdims=True)) * np.minimum(many, 10)[:, None])
     belief /= belief.sum(1, keepdims=True)
     best = mean.argmax(1)
-    return ([names[k] if n else UNKNOWN for k, n in zip(best, words)],
-            np.where(words > 0, belief[np.arange(len(texts)), best], 0.0))
+    return ([names[k] if n else UNKNOWN for k, n in zip(best, many)],
+            np.where(many > 0, belief[np.arange(texts), best], 0.0))
 
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -204,19 +235,37 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     learned. Ties go to the language that sorts first. Repeated rows count and are
     answered each; an empty table gives no rows; extra columns are not read.
     """
-    names, model = fit(docs, id, text, lang, min_share, longest)
-    shared = docs.sparkSession.sparkContext.broadcast((names, model))
-    key, content = quoted([id, text])
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_names, own_model = shared.value
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for part in slices(texts):
-                got, score = predict(texts[part], own_names, own_model, longest)
-                yield frame.iloc[part][["doc_id", "held_out"]].assign(lang_pred=got, score=score)
-
-    rows = docs.select(key.alias("doc_id"), (fold(key, FOLDS) == HELD_OUT).alias("held_out"),
-                       F.coalesce(content, F.lit("")).alias("text"))
-    id_type = docs.schema[id].dataType.simpleString()
-    return rows.mapInPandas(answer, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    names, known, _ = fit(docs, id, text, lang, min_share, longest)
+    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS) == HELD_OUT)
+    asked = checkpointed(staged.rows.groupBy("block").applyInArrow(
+        asked_words, "block bigint, key bigint, word string"), "language-words")
+    if known is None:
+        gains = docs.sparkSession.createDataFrame([], "key bigint, gains array<struct<place int, gain double>>")
+    else:
+        seen = known.where("n = 0").select("key", "gains")
+        each = asked.groupBy("key").agg(F.min("word").alias("word"))
+        unseen = each.join(seen.select("key"), "key", "left_anti")
+        gains = seen.unionByName(unseen_gains(unseen, known.where("n > 0"), longest))
+    answers = asked.select("block", "key").join(gains, "key") \
+        .select("block", "key", F.col("gains.place").alias("place"), F.col("gains.gain").alias("gain"))
+    id_type = docs.schema[id].dataType
+    arrow_id = to_arrow_type(id_type)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = opened(left)
+        right = right.sort_by("key").combine_chunks()
+        keys = right["key"].to_numpy()
+        sizes = pc.list_value_length(right["place"]).to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        place, gain = (pc.list_flatten(right[c]).to_numpy() for c in ("place", "gain"))
+        preds, scores = [], []
+        for part, texts, words in words_of(block):
+            got, score = predict(words, len(texts), names, keys, bounds, place, gain)
+            preds += got
+            scores.append(score)
+        return pa.table({"doc_id": pa.array(block.ids, arrow_id), "held_out": pa.array(block.marks.astype(bool)),
+                         "lang_pred": pa.array(preds, pa.string()),
+                         "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
+
+    return staged.rows.groupBy("block").cogroup(answers.groupBy("block")) \
+        .applyInArrow(answer, f"doc_id {id_type.simpleString()}, held_out boolean, lang_pred string, score double")

@@ -264,6 +264,37 @@ def test_classifier_and_language_held_out(spark, sf):
     assert len(quality.keep_good(frame(spark, EDGES), labels).columns) == 7
 
 
+def test_language_knows_rare_words_of_a_large_language(spark):
+    import math
+    import zlib
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(200) if i not in train]
+    docs = [(train[0], "common " * 150_000 + "zyxo", "a"), (train[1], "zywo other", "b"), (train[2], "vowel", None),
+            (held[0], "zyxo", None), (held[1], "zywo zyxo zyxo", None), (held[2], "zyxe", None), (held[3], "1 2", None)]
+    seen = {("a", n): Counter() for n in range(6)} | {("b", n): Counter() for n in range(6)}
+    parts = lambda w, n: [f" {w} "[i:i + n] for i in range(len(w) + 3 - n)] if n else [w]
+    for _, t, g in docs[:2]:
+        for w, n in itertools.product(t.split(), range(6)):
+            seen[g, n].update(parts(w, n))
+    total = {k: sum(c.values()) for k, c in seen.items()}
+    floor = min(-5, -math.log10(max(total.values()))) - 1
+
+    def score(w, g):
+        for n in (0, 5, 4, 3, 2, 1):
+            if any(p in seen[x, n] for x in "ab" for p in parts(w, n)):
+                each = [math.log10(seen[g, n][p] / total[g, n]) if p in seen[g, n] else floor for p in parts(w, n)]
+                return sum(each) / len(each)
+        return floor
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(rows).collect()}
+    assert len(got) == 7 and got[held[0]]["lang_pred"] == "a" and got[held[3]]["lang_pred"] == "und"
+    for i, t, _ in docs[2:6]:
+        mean = [sum(score(w, g) for w in t.split()) / len(t.split()) for g in "ab"]
+        belief = [10 ** ((m - max(mean)) * min(len(t.split()), 10)) for m in mean]
+        assert got[i]["lang_pred"] == "ab"[mean.index(max(mean))]
+        assert got[i]["score"] == pytest.approx(1 / sum(belief), abs=1e-6)
+
+
 def test_classifier_and_language_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     got = quality.classify(frame(spark, EDGES), none).collect()
