@@ -1,9 +1,10 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Fixed patterns give the base spans, which always stay. Around what digits and at-signs
-are left, a semi-Markov model chooses boundaries and kinds together: every run of up to
-``LONGEST`` tokens is a candidate segment with features of the whole run, and dynamic
-programming over segment ends finds the best segmentation. Weights maximise the
+are left, a semi-Markov model chooses boundaries and kinds together: up to ``LONGEST``
+neighbouring tokens with a digit or at-sign are a candidate segment with features of the
+whole segment, and dynamic programming over segment ends finds the best segmentation of
+all tokens, however many stand side by side. Weights maximise the
 likelihood of base spans in a bounded sample of texts, some of them rewritten (other
 separators, no plus) so that the model learns shapes the patterns miss.
 """
@@ -29,10 +30,14 @@ IP = re.compile(r"[0-9]+((?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: what every base span holds, for Spark: texts without it have none
+MAYBE = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9][ ().0-9-]{7,}[0-9]"
 ANCHOR = re.compile(r"[0-9@]")
 #: a token; two tokens belong to one region if at most GAP characters part them
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
-LONGEST, GAP, REACH = 10, 1, 40
+LONGEST, GAP = 10, 1
+#: segment ends that are scored at a time
+ENDS = 1000
 #: training: texts at most, steps, rate
 SAMPLE_ROWS, STEPS, RATE = 240, 6, 0.2
 #: features of a span at most
@@ -80,28 +85,40 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def regions(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that hold a digit or an at-sign, outside ``taken`` spans."""
-    out, done = [], 0
-    for m in ANCHOR.finditer(text):
-        if m.start() < done:
-            continue
-        low, high = max(done, m.start() - REACH), min(len(text), m.start() + REACH)
-        tokens = [t.span() for t in TOKEN.finditer(text, low, high)]
-        at = next((i for i, (s, e) in enumerate(tokens) if s <= m.start() < e), None)
-        if at is None:
-            done = m.end()
-            continue
-        first = last = at
-        free = lambda i: not any(s < tokens[i][1] and tokens[i][0] < e for s, e in taken)  # noqa: E731, B023
-        if not free(at):
-            done = tokens[at][1]
+    """Whole tokens outside ``taken`` spans, cut only where no candidate segment can cross.
+
+    Tokens further than ``LONGEST`` from every digit and at-sign are in no candidate.
+    """
+    out: list[list[tuple[int, int]]] = []
+    spans, p, covered = sorted(taken), 0, -1
+    run: list[tuple[int, int]] = []  # neighbouring free tokens
+    low = high = 0  # of the open region in the run: its first token, and the end of its reach
+
+    def close() -> None:
+        if high:
+            out.append(run[low:high])
+
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        while p < len(spans) and spans[p][0] < e:
+            covered = max(covered, spans[p][1])
+            p += 1
+        free = covered <= s
+        if not free or (run and s - run[-1][1] > GAP):
+            close()
+            run, low, high = [], 0, 0
+        if not free:
             continue
-        while first and tokens[first][0] - tokens[first - 1][1] <= GAP and at - first < LONGEST and free(first - 1):
-            first -= 1
-        while last + 1 < len(tokens) and tokens[last + 1][0] - tokens[last][1] <= GAP and last - at < LONGEST and free(last + 1):
-            last += 1
-        out.append(tokens[first:last + 1])
-        done = max(tokens[last][1], m.end())
+        run.append((s, e))
+        if "0" <= text[s] <= "9" or text[s] == "@":
+            first = max(0, len(run) - LONGEST)
+            if high and first >= high:
+                close()
+                run, low, high = run[first:], 0, 0
+            elif not high:
+                low = first
+            high = len(run) + LONGEST - 1
+    close()
     return out
 
 
@@ -128,11 +145,15 @@ def features(text: str, start: int, end: int, tokens: int) -> list[str]:
     return out
 
 
-def segments(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
-    """Candidate segments of a region by token bounds, with a digit or at-sign in each."""
+def segments(text: str, tokens: list[tuple[int, int]], low: int = 0, high: int | None = None) -> dict[tuple[int, int], list[str]]:
+    """Candidate segments of a region by token bounds, with a digit or at-sign in each.
+
+    Only those that end after ``low`` tokens and at ``high`` at most.
+    """
     out = {}
-    for i in range(len(tokens)):
-        for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
+    high = len(tokens) if high is None else min(high, len(tokens))
+    for i in range(max(0, low + 1 - LONGEST), high):
+        for j in range(max(i, low) + 1, min(i + LONGEST, high) + 1):
             s, e = tokens[i][0], tokens[j - 1][1]
             if ANCHOR.search(text, s, e):
                 out[i, j] = features(text, s, e, j - i)
@@ -157,25 +178,42 @@ class Weights:
         return self.table[codes].sum(1)
 
 
+class Viterbi:
+    """Best segmentations over segment ends; a token outside all segments scores 0."""
+
+    def __init__(self):
+        self.best, self.back = [0.0], [None]
+
+    def extend(self, n: int, bounds: list[tuple[int, int]], scored: np.ndarray) -> None:
+        """On to ``n`` tokens, given all candidates that end behind the tokens so far."""
+        by_end: dict[int, list] = {}
+        if bounds:
+            for (i, j), k, s in zip(bounds, scored.argmax(1).tolist(), scored.max(1).tolist()):
+                by_end.setdefault(j, []).append((i, k, s))
+        for j in range(len(self.best), n + 1):
+            top, back = self.best[j - 1], None
+            for i, k, s in by_end.get(j, ()):
+                if self.best[i] + s > top:
+                    top, back = self.best[i] + s, (i, k)
+            self.best.append(top)
+            self.back.append(back)
+
+    def path(self) -> list[tuple[int, int, int]]:
+        out, j = [], len(self.back) - 1
+        while j:
+            if self.back[j] is None:
+                j -= 1
+            else:
+                out.append((self.back[j][0], j, self.back[j][1]))
+                j = self.back[j][0]
+        return out[::-1]
+
+
 def best_segments(n: int, bounds: list[tuple[int, int]], scored: np.ndarray) -> list[tuple[int, int, int]]:
-    """Viterbi over segment ends: the best segmentation; a token outside all segments scores 0."""
-    best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-    by_end: dict[int, list] = {}
-    for (i, j), k, s in zip(bounds, scored.argmax(1).tolist(), scored.max(1).tolist()):
-        by_end.setdefault(j, []).append((i, k, s))
-    for j in range(1, n + 1):
-        best[j], back[j] = best[j - 1], None
-        for i, k, s in by_end.get(j, ()):
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, k)
-    out, j = [], n
-    while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            out.append((back[j][0], j, back[j][1]))
-            j = back[j][0]
-    return out[::-1]
+    """The best segmentation of ``n`` tokens."""
+    found = Viterbi()
+    found.extend(n, bounds, scored)
+    return found.path()
 
 
 def _add_logs(values: list[float]) -> float:
@@ -256,10 +294,11 @@ def find_spans(text: str, weights: Weights) -> tuple[list, list]:
     more = []
     if weights.place and ANCHOR.search(text):
         for tokens in regions(text, [(s, e) for _, s, e in base]):
-            cands = segments(text, tokens)
-            if cands:
-                for i, j, k in best_segments(len(tokens), list(cands), weights.scores(weights.codes(cands))):
-                    more.append((k, tokens[i][0], tokens[j - 1][1]))
+            best = Viterbi()
+            for low in range(0, len(tokens), ENDS):
+                cands = segments(text, tokens, low, low + ENDS)
+                best.extend(min(low + ENDS, len(tokens)), list(cands), weights.scores(weights.codes(cands)))
+            more += [(k, tokens[i][0], tokens[j - 1][1]) for i, j, k in best.path()]
     return base, sorted(base + more)
 
 
@@ -271,15 +310,20 @@ def detect(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_rows:
     model span never touches a base span. Null and empty texts have none; equal texts
     have equal answers; repeated rows are answered each; an empty table gives no rows;
     extra columns are not read. The model is trained on at most ``sample_rows`` texts
-    that hold a digit or an at-sign, chosen by hash, of which long ones give 4000
-    characters around the first; every text is searched whole.
+    with a base span, chosen by hash, of which long ones give 4000 characters around
+    what may be the first; every text is searched whole.
     """
     key, content = quoted([id, text])
     rows = docs.select(key.alias("doc_id"), F.coalesce(content, F.lit("")).alias("text"))
-    at = F.regexp_instr("text", F.lit("[0-9@]"))
-    sample = rows.where(F.col("text").rlike("[0-9@]")) \
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substr("text", F.greatest(F.lit(1), at - 200), F.lit(4000)).alias("t")) \
-        .orderBy("h", "doc_id", "t").limit(sample_rows).collect()
+    at = F.regexp_instr("text", F.lit(MAYBE))
+
+    def with_spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[any(base_spans(t).values()) for t in frame["t"]]]
+
+    maybe = rows.where(F.col("text").rlike(MAYBE)) \
+        .select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substr("text", F.greatest(F.lit(1), at - 200), F.lit(4000)).alias("t"))
+    sample = maybe.mapInPandas(with_spans, maybe.schema).orderBy("h", "doc_id", "t").limit(sample_rows).collect()
     weights = fit([r["t"] for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

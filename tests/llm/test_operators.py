@@ -227,6 +227,35 @@ def test_pii_finds_rewritten_spans(spark, sf):
     assert pii.detect(frame(spark, EDGES).limit(0)).collect() == []
 
 
+def test_pii_decodes_whole_runs_of_tokens(monkeypatch):
+    import numpy as np
+    text = "17, 4, 2024-05-01, 0049 30 1234567"
+    assert [t for t, in [(text[r[0][0]:r[-1][1]],) for r in pii.regions(text, [])]] == [text]
+    assert pii.regions("a " + "7" * 100 + " b", []) == [[(0, 1), (2, 102), (103, 104)]]
+    rng = random.Random(4)
+    weights = pii.Weights()
+    texts = ["".join(rng.choices(["12", "a", "@", " ", " ", ", ", ".", "word ", "x" * 50 + " ", "  ", "+", "c-d "], k=90)) for _ in range(60)]
+    for t in texts:
+        for r in pii.regions(t, []):
+            weights.codes(pii.segments(t, r), learn=True)
+    weights.table = np.random.default_rng(4).normal(0, 1, (len(weights.place) + 1, len(pii.KINDS)))
+    monkeypatch.setattr(pii, "ENDS", 3)
+    for t in texts:
+        base, both = pii.find_spans(t, weights)
+        taken, want, run = [x[1:] for x in base], list(base), []
+        for m in [*pii.TOKEN.finditer(t), None]:  # all tokens of a run at once
+            bad = m is not None and any(s < m.end() and m.start() < e for s, e in taken)
+            if run and (m is None or bad or m.start() - run[-1][1] > pii.GAP):
+                cands = pii.segments(t, run)
+                if cands:
+                    want += [(k, run[i][0], run[j - 1][1]) for i, j, k in
+                             pii.best_segments(len(run), list(cands), weights.scores(weights.codes(cands)))]
+                run = []
+            if m is not None and not bad:
+                run.append(m.span())
+        assert both == sorted(want)
+
+
 def test_segmentation_against_all_segmentations():
     import numpy as np
     rng = np.random.default_rng(0)
