@@ -70,6 +70,21 @@ def test_mix(spark):
     assert len(set(again.columns)) == 5
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    many = spark.range(3000).selectExpr("id as doc_id", "cast(id % 1600 as string) as source")
+    got = mixing.mix(many, block_rows=1).collect()  # over 100,000 slots
+    assert sorted(r["mix_position"] for r in got) == list(range(1, 3001))
+    first = [r["source"] for r in sorted(got, key=lambda r: r["mix_position"])[:1600]]
+    assert len(set(first)) > 1500
+    rows = frame(spark, EDGES + [(1000 + i, "t", "a" if i % 3 else "b") for i in range(400)])
+    key = lambda r: (r["doc_id"] or 0, r["mix_position"], r["mix_row"])
+    for parts in (None, {"a": 3, "b": 2, None: 1}):
+        want = sorted(mixing.mix(rows, parts, block_rows=4).collect(), key=key)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MOST_COUNTERS", 0)
+            assert sorted(mixing.mix(rows, parts, block_rows=4).collect(), key=key) == want
+
+
 def test_decontamination_edges(spark):
     words = [f"w{i}" for i in range(30)]
     items = spark.createDataFrame([(1, " ".join(words[:12])), (2, "Tiny ITEM"), (3, None), (4, "..."), (5, " ".join(words[:12]))],
