@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from .vectors import checked_dimension
+
 # similarities are rounded to this many digits before ranking, ties go by id
 DIGITS = 6
 # size bounds of what one task holds: queries sent to all, a block, a cell
@@ -142,7 +144,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
     Result: ``query_id``, ``by``, ``corpus_id``, ``sim``, ``rank``. ``limit`` names a
     query column and a corpus column; a pair counts only if they are equal or one of
     them is null. ``not_self`` leaves out the pair of equal ids. Null vectors are left
-    out; if ``dim`` is not given, it is that of the first query vector.
+    out; one of another dimension than ``dim`` on either side fails the query. If ``dim``
+    is not given, it is that of the first query vector, other queries fail, and corpus
+    rows of another one are left out: ``vectors.wrong_dimension`` has them.
     """
     limit_q, limit_c = limit if limit else (None, None)
     wanted = queries.where(F.col(vector).isNotNull()).select(
@@ -150,7 +154,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
     if dim is None:
         first = wanted.select(F.size(vector)).first()
         dim = first[0] if first else 0
-    rows = corpus.where(F.size(vector) == dim).select(
+        held = corpus.where(F.size(vector) == dim)
+    else:
+        held = checked_dimension(corpus.where(F.col(vector).isNotNull()), dim, vector)
+    wanted = checked_dimension(wanted, dim, vector)
+    rows = held.select(
         corpus_id, vector, *by, *([limit_c] if limit and limit_c not in by else []))
     out = T.StructType([wanted.schema[query_id], *[rows.schema[c] for c in by],
                         rows.schema[corpus_id], T.StructField(_SIM, T.DoubleType())])
@@ -284,11 +292,11 @@ def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id
     """Top k among the corpus rows that share a sign bucket with the query.
 
     More tables find more neighbours, more bits compare fewer rows. A bucket of any
-    size is scored whole, in cells.
+    size is scored whole, in cells. Vectors are left out or fail the query as in ``top_k``.
     """
-    q = hyperplane_keys(queries.where(F.size(vector) == dim).select(query_id, vector),
-                        vector, dim, tables, bits, seed)
-    rows = corpus.where(F.size(vector) == dim).select(corpus_id, vector, *by)
+    held, asked = (checked_dimension(df.where(F.col(vector).isNotNull()), dim, vector) for df in (corpus, queries))
+    q = hyperplane_keys(asked.select(query_id, vector), vector, dim, tables, bits, seed)
+    rows = held.select(corpus_id, vector, *by)
     c = hyperplane_keys(rows, vector, dim, tables, bits, seed)
     out = T.StructType([q.schema[query_id], *[rows.schema[x] for x in by],
                         rows.schema[corpus_id], T.StructField(_SIM, T.DoubleType())])

@@ -121,6 +121,19 @@ def test_approximate_recall(spark):
     assert all(sims[r.query_id, r.chunk_id] == r.sim for r in found)
 
 
+@pytest.mark.parametrize("side", ["queries", "corpus"])
+def test_other_dimensions_fail_the_search(spark, side):
+    rows = lambda name, vecs: spark.createDataFrame(vecs, f"{name} bigint, vec array<double>")
+    good, other = [(1, [1.0, 0.0]), (2, None)], [(3, [1.0, 0.0, 0.0])]
+    queries = rows("query_id", good + other * (side == "queries"))
+    corpus = rows("chunk_id", good + other * (side == "corpus"))
+    for run in (lambda q, c: search.top_k(q, c, 2, dim=2), lambda q, c: search.top_k(q, c, 2, dim=2, broadcast_bytes=0),
+                lambda q, c: search.approximate_top_k(q, c, 2, dim=2)):
+        assert run(rows("query_id", good), rows("chunk_id", good)).count() == 1
+        with pytest.raises(Exception, match="dimension other than 2"):
+            run(queries, corpus).collect()
+
+
 # ---- embeddings ----
 
 def test_hashed_vectors(spark):
