@@ -9,6 +9,7 @@ both sides are cut into blocks that meet by equi-join keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -264,8 +265,11 @@ def blocked_top_k(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int
 
 
 def hyperplane_keys(df: DataFrame, vector: str, dim: int, tables: int, bits: int,
-                    seed: int) -> DataFrame:
-    """One row per hash table: ``_table`` and ``_bucket``, the signs of random projections."""
+                    seed: int, beside: bool = False) -> DataFrame:
+    """One row per hash table: ``_table`` and ``_bucket``, the signs of random projections.
+
+    With ``beside``, also a row for each bucket that differs in one sign.
+    """
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     schema = T.StructType([*df.schema.fields, T.StructField("_table", T.IntegerType()),
                            T.StructField("_bucket", T.IntegerType())])
@@ -278,9 +282,9 @@ def hyperplane_keys(df: DataFrame, vector: str, dim: int, tables: int, bits: int
                 continue
             signs = (_matrix(batch.column(vector), dim) @ planes > 0).reshape(-1, tables, bits)
             buckets = (signs * powers).sum(axis=2)
-            for t in range(tables):
+            for t, flip in product(range(tables), [0, *powers.tolist()] if beside else [0]):
                 extra = [pa.array(np.full(batch.num_rows, t), pa.int32()),
-                         pa.array(buckets[:, t], pa.int32())]
+                         pa.array(buckets[:, t] ^ flip, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], schema=arrow)
 
     return df.mapInArrow(sign, schema)
@@ -289,13 +293,13 @@ def hyperplane_keys(df: DataFrame, vector: str, dim: int, tables: int, bits: int
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
                       corpus_id: str = "chunk_id", vector: str = "vec", by: Sequence[str] = (),
                       dim: int, tables: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
-    """Top k among the corpus rows that share a sign bucket with the query.
+    """Top k among the corpus rows that share a sign bucket with the query, but for one sign.
 
     More tables find more neighbours, more bits compare fewer rows. A bucket of any
     size is scored whole, in cells. Vectors are left out or fail the query as in ``top_k``.
     """
     held, asked = (checked_dimension(df.where(F.col(vector).isNotNull()), dim, vector) for df in (corpus, queries))
-    q = hyperplane_keys(asked.select(query_id, vector), vector, dim, tables, bits, seed)
+    q = hyperplane_keys(asked.select(query_id, vector), vector, dim, tables, bits, seed, beside=True)
     rows = held.select(corpus_id, vector, *by)
     c = hyperplane_keys(rows, vector, dim, tables, bits, seed)
     out = T.StructType([q.schema[query_id], *[rows.schema[x] for x in by],

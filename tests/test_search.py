@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.embed import Model, hashing_model, token_code
 from lodestone.operators import rank, search, vectors
+from lodestone.plans import registry
 
 RNG = np.random.default_rng(3)
 DIM = 16
@@ -121,6 +122,13 @@ def test_approximate_recall(spark):
     assert all(sims[r.query_id, r.chunk_id] == r.sim for r in found)
 
 
+def test_recall_of_the_registered_query(spark, sf):
+    d = sf.replace("0.001", "0.01")
+    found = registry.ann_lsh(spark, d).where("in_exact").count()
+    exact = registry.exact_hits(spark, d, registry.chunk_facts(spark, d)).count()
+    assert exact == 1600 and found >= 0.9 * exact, (found, exact)
+
+
 @pytest.mark.parametrize("side", ["queries", "corpus"])
 def test_other_dimensions_fail_the_search(spark, side):
     rows = lambda name, vecs: spark.createDataFrame(vecs, f"{name} bigint, vec array<double>")
