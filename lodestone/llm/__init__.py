@@ -10,6 +10,7 @@
 ``repeats``   repeated passages by blockwise suffix classes with a difference cover
 ``decontam``  benchmark windows found in documents
 ``mixing``    Pfair interleaving of sources
+``whitening`` embeddings on the components of their covariance
 ``queries``   the registered queries and their SQL
 
 Nothing else in the library imports this subpackage.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats
+from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def op10_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents").select("doc_id", "source"))
 
 
+@query
+def op11_whiten(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_exact_dedup"] = f"""
