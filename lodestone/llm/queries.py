@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats, whitening
+from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op11_whiten(spark, d):
     return whitening.whiten(table(spark, d, "embeddings"))
 
 
+@query
+def op12_warc(spark, d):
+    return warc.round_trip(table(spark, d, "pages"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_exact_dedup"] = f"""
@@ -80,6 +85,13 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
   doc_id = max(doc_id) over w as kept, sha256(body) as text_sha256
 from (select doc_id, {_LOWER} as body from documents) d window w as (partition by body)"""
 
+_FIRST = "min(page_id) over (partition by payload)"
+ORACLES["op12_warc"] = f"""
+select page_id, payload_bytes, sha256(payload) as payload_digest, case when again then 'revisit' else 'response' end as record_type,
+  case when again then first_id end as refers_to
+from (select page_id, payload, payload_bytes, {_FIRST} as first_id, payload_bytes >= 100 and page_id is distinct from {_FIRST} as again
+  from (select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages) p) q"""
+
 _WORDS = fr"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES["op9_decontaminate"] = f"""
