@@ -11,6 +11,7 @@
 ``decontam``  benchmark windows found in documents
 ``mixing``    Pfair interleaving of sources
 ``whitening`` embeddings on the components of their covariance
+``negatives`` hard negatives by a vertical scan with bounds
 ``spectral``  eigenvectors of one matrix by QDWH divide and conquer
 ``warc``      WARC archives, read in splits by boundary chains
 ``queries``   the registered queries and their SQL

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact, language, lines, lm, mixing, near, pii, quality, repeats, warc, whitening
+from . import decontam, exact, language, lines, lm, mixing, near, negatives, pii, quality, repeats, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,13 @@ def op12_warc(spark, d):
     return warc.round_trip(table(spark, d, "pages"))
 
 
+@query
+def op13_hard_negatives(spark, d):
+    rows = table(spark, d, "embeddings").withColumn(
+        "label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op7_exact_dedup"] = f"""
@@ -92,6 +99,22 @@ select page_id, payload_bytes, sha256(payload) as payload_digest, case when agai
 from (select page_id, payload, payload_bytes, {_FIRST} as first_id, payload_bytes >= 100 and page_id is distinct from {_FIRST} as again
   from (select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages) p) q"""
 
+ORACLES["op13_hard_negatives"] = """
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+anchors as (select *, row_number() over () as no from v where vec_id % 100 = 0),
+scored as (select a.no, a.vec_id as anchor_id, b.vec_id, b.label = a.label as same,
+    list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::bigint as score
+  from anchors a join v b on b.vec_id <> a.vec_id),
+positives as (select * from scored where same qualify row_number() over (partition by no order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+  row_number() over (partition by p.no, p.vec_id, p.score order by n.score desc, n.vec_id)::integer as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on n.no = p.no and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+qualify rank <= 5"""
+
 _WORDS = fr"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES["op9_decontaminate"] = f"""

@@ -1,7 +1,7 @@
 """WARC archives: written as Spark text files, read back in splits by boundary chains.
 
 A payload may hold the bytes a record starts with, so that a task that begins inside a
-file cannot know which of them are records. Reading takes two scans:
+file cannot know which of them are records. Reading takes two kinds of scans:
 
 1.  Spark's text reader cuts every split at the magic. Each place that parses as a record
     header is a candidate, whose length names its successor. A task follows its candidates
@@ -10,9 +10,10 @@ file cannot know which of them are records. Reading takes two scans:
     reaches: one for each split at most, in as many rounds as the doublings that span the splits.
 3.  The second scan starts each split at its reached candidate and follows the lengths.
     Whatever lies between is payload. A record that runs over several splits, because the
-    magic stands in its payload, is put together from its parts.
+    magic stands in its payload, is put together from its parts; these are looked for first,
+    in one more scan, so that the records themselves need not be written.
 
-Both scans see bytes only through Spark's reader, so that any file system will do.
+All scans see bytes only through Spark's reader, so that any file system will do.
 """
 
 from __future__ import annotations
