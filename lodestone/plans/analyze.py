@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import patterns as pt, rules, text as tx
@@ -9,6 +11,7 @@ from ..functions.embed import Model
 from ..operators.rank import merge_hits, rerank_score
 from ..operators.search import ranked, top_k
 from ..session import checkpointed
+from .corpus import PLACES, Corpus, chosen, details_of, facts_of, search_rows
 
 # Phrases of the added queries.
 API_QUERY = ("Spark ", " usage patterns and best practices")
@@ -50,14 +53,19 @@ def expand_queries(parsed: DataFrame) -> DataFrame:
     return parsed.select(*rest, F.posexplode(texts).alias("query_no", "query_text"))
 
 
-def search_references(parsed: DataFrame, chunks: DataFrame, model: Model, *,
+def search_references(parsed: DataFrame, corpus: Corpus, model: Model, *, sources: Sequence[str] | None = None,
                       per_source: int = rules.TOP_PER_SOURCE, total: int = rules.TOP_TOTAL,
                       weights=None, multi_query: bool = False) -> DataFrame:
-    """Ranked hits per distinct request text: search_id, position, source, chunk, score.
+    """Ranked hits per distinct request text: search_id, position, source, chunk_id, sim, score.
 
-    ``chunks``: chunk_id, source, spark_version, vec, apis, votes, accepted, state,
-    versions. Their texts stay out of the search and the shuffles.
+    ``corpus`` has the chunk table of each source; ``sources`` are those to search, all by
+    default. A source without a table is skipped; without any there are no hits.
     """
+    tables = chosen(corpus, sources)
+    rows = search_rows(tables)
+    if rows is None:
+        return parsed.sparkSession.createDataFrame(
+            [], "search_id string, position int, source string, chunk_id string, sim double, score double")
     queries = expand_queries(parsed.withColumnRenamed("search_id", "request_id"))
     if not multi_query:
         queries = queries.where(F.col("query_no") == 0)
@@ -65,42 +73,33 @@ def search_references(parsed: DataFrame, chunks: DataFrame, model: Model, *,
         F.concat_ws("/", "request_id", "query_no").alias("query_id"),
         F.when(F.col("version") != "all", F.col("version")).alias("only_version"),
         model.embed(F.col("query_text")).alias("vec")), "queries")
-    corpus = chunks.select(
-        "chunk_id", "source", "vec",
-        # a missing version equals none that is asked for, but passes where all are
-        F.when(F.col("source").isin("code", "docs"), F.coalesce("spark_version", F.lit(""))).alias("only_version"))
-    hits = top_k(vectors, corpus, per_source, by=["source"], limit=("only_version", "only_version"),
-                 dim=model.dim)
+    hits = top_k(vectors, rows, per_source, by=["source"], limit=("only_version", "only_version"), dim=model.dim)
     hits = hits.withColumn("request_id", F.regexp_replace("query_id", "/[0-9]+$", ""))
     if multi_query:
         hits = hits.groupBy("request_id", "source", "chunk_id").agg(F.max("sim").alias("sim"))
         hits = ranked(hits, per_source, ["request_id", "source"], "chunk_id")
-    # written out, the hits have a known size: the join reads the corpus without a
-    # shuffle whenever they are small enough to be broadcast
     hits = checkpointed(hits, "hits")
-    facts = chunks.select("chunk_id", "spark_version", F.col("apis").alias("hit_apis"), "votes",
-                          "accepted", "state", "versions")
-    asked = parsed.select(F.col("search_id").alias("request_id"), "input_type", "apis", "version")
+    asked = parsed.select(F.col("search_id").alias("request_id"), "input_type", F.col("apis").alias("asked_apis"), "version")
     scored = (
-        hits.join(facts, "chunk_id").join(asked, "request_id")
+        hits.join(facts_of(hits, tables), ["source", "chunk_id"]).join(asked, "request_id")
         .withColumn("score", rerank_score(
-            F.col("sim"), F.col("input_type"), F.col("source"), F.col("apis"), F.col("hit_apis"),
+            F.col("sim"), F.col("input_type"), F.col("source"), F.col("asked_apis"), F.col("apis"),
             F.col("votes"), F.col("accepted"), F.col("state"), F.col("versions"),
             F.col("version"), weights))
     )
     best = merge_hits(scored, total)
-    return best.select(F.col("request_id").alias("search_id"), "position", "source", "chunk_id",
-                       "spark_version", "sim", "score", "votes", "accepted", "state")
+    return best.select(F.col("request_id").alias("search_id"), "position", "source", "chunk_id", "sim", "score")
 
 
-def analyze_batch(requests: DataFrame, chunks: DataFrame, texts: DataFrame, model: Model, *,
+def analyze_batch(requests: DataFrame, corpus: Corpus, model: Model, *, sources: Sequence[str] | None = None,
                   baseline: str = rules.BASELINE_VERSION, **search) -> DataFrame:
     """Answer a table of requests (``request_id``, ``input``, optionally ``version``).
 
-    Equal inputs of equal version are parsed and searched once and their hits joined
-    back, so repeated requests cost their output only. ``texts`` (chunk_id, content)
-    is joined after the final top-k. Blank inputs give no rows (see
-    ``split_requests``).
+    One row per request and hit: the parsed request, position, source, the start of the
+    text, score, ``metadata`` (JSON of the source's own columns) and the columns that name
+    the hit's place, null where its source has none. Equal inputs of equal version are parsed
+    and searched once and their hits joined back, so repeated requests cost their output only.
+    Blank inputs give no rows (see ``split_requests``).
     """
     asked, _ = split_requests(requests)
     version = F.col("version") if "version" in asked.columns else F.lit("")
@@ -110,13 +109,18 @@ def analyze_batch(requests: DataFrame, chunks: DataFrame, texts: DataFrame, mode
     distinct = asked.select(*columns).groupBy("search_id").agg(
         *[F.any_value(c).alias(c) for c in columns[1:]])
     parsed = checkpointed(parse_requests(distinct, baseline), "parsed")
-    hits = checkpointed(search_references(parsed, chunks, model, **search), "references")
+    tables = chosen(corpus, sources)
+    hits = checkpointed(search_references(parsed, tables, model, **search), "references")
+    details = details_of(hits, tables)
+    if details is None:
+        kinds = {"content": "string", "metadata": "string"} | PLACES
+        shown = hits.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items()})
+    else:
+        shown = hits.join(details, ["source", "chunk_id"])
     shaped = (
-        hits.join(texts.select("chunk_id", "content"), "chunk_id")
-        .join(parsed.select("search_id", "input_type", "patterns", "error_types", "version"), "search_id")
+        shown.join(parsed.select("search_id", "input_type", "patterns", "error_types", "version"), "search_id")
         .select("search_id", "input_type", "patterns", "error_types", "version", "position", "source",
                 "chunk_id", F.left("content", F.lit(2000)).alias("content"),
-                tx.half_up(F.col("score"), 4).alias("score"),
-                F.to_json(F.struct("spark_version", "votes", "accepted", "state")).alias("metadata"))
+                tx.half_up(F.col("score"), 4).alias("score"), "metadata", *PLACES)
     )
     return asked.select("request_id", "search_id").join(shaped, "search_id").drop("search_id")

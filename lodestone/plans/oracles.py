@@ -205,15 +205,15 @@ def nearest(name: str, queries: str, key: str, corpus: str, k: int, where: str =
   qualify rank <= {k})"""
 
 
-def weight(kind: str, source: str) -> str:
+def weight(kind: str, source: str, weights=rules.SOURCE_WEIGHTS) -> str:
     cases = " ".join(f"when {kind} = '{t}' and {source} = '{s}' then {w}::double"
-                     for t, ws in rules.SOURCE_WEIGHTS.items() for s, w in ws.items())
+                     for t, ws in weights.items() for s, w in ws.items())
     return f"case {cases} else 0.1::double end"
 
 
-def score(request_apis: str, version: str) -> str:
+def score(request_apis: str, version: str, weights=rules.SOURCE_WEIGHTS) -> str:
     """Of a row with sim, input_type and the facts f of the hit."""
-    return f"""(sim * ({weight("input_type", "h.source")})
+    return f"""(sim * ({weight("input_type", "h.source", weights)})
   + (case when h.source in ('code', 'qa') then 0.05::double * len(list_intersect({request_apis}, f.apis)) else 0::double end)
   + (case when h.source = 'qa' and f.score > 10 then 0.03::double else 0::double end)
   + (case when h.source = 'qa' and f.is_accepted then 0.05::double else 0::double end)
@@ -225,6 +225,29 @@ POSITION = ("row_number() over (partition by {key} order by score desc, "
             "case source when 'code' then 0 when 'docs' then 1 when 'qa' then 2 else 3 end, rank)")
 V41 = "(c.source not in ('code', 'docs') or c.spark_version = '4.1.0')"
 
+# ---- the served chunk tables, with the JSON of their own columns ----
+
+PLACES = {"spark_version": "varchar", "file_path": "varchar", "doc_url": "varchar", "question_id": "bigint", "issue_number": "bigint"}
+_SERVED = {
+    "code": ("spark_version, file_path, language, chunk_type, qualified_name, signature, spark_apis, problem_indicators",
+             {"problem_indicators": "string_split(problems, ',')"}),
+    "docs": ("spark_version, doc_url, doc_section, heading_hierarchy, content_type, related_configs", {}),
+    "qa": ("question_id, is_question, score, is_accepted, tags, error_type, spark_apis_mentioned, spark_versions_mentioned", {}),
+    "issues": ("issue_number, state, is_comment, parent_issue_number, author, labels, created_at, closed_at, spark_versions_mentioned, linked_prs",
+               {"linked_prs": "[pr::bigint]"})}
+
+
+def _served(source: str) -> str:
+    columns, own = _SERVED[source]
+    names = columns.split(", ")
+    shown = ", ".join(f"'{c}': {own.get(c, c)}" for c in names)
+    places = ", ".join(c if c in names else f"null::{kind} as {c}" for c, kind in PLACES.items())
+    return f"select '{source}' as source, chunk_id as vec_id, content, to_json({{{shown}}})::varchar as metadata, {places} from {source}_served"
+
+
+SERVED = ",\n".join(cte(f"{s}_served") for s in _SERVED) + ",\nserved as (" + "\n union all ".join(map(_served, _SERVED)) + ")"
+BESIDE = ", ".join(f"s.{c}" for c in PLACES)
+
 # ---- the Markdown documents, by lines ----
 
 MD = f"""{cte("md_docs")},
@@ -432,29 +455,52 @@ sql("filtered_knn", with_(HELD, nearest("hits", "held_v", "item_id", "vec_facts"
     "(c.source = 'qa' and c.score > 10 and c.is_accepted) or (c.source = 'issues' and c.state = 'closed')"),
     select="select item_id, source, vec_id, sim, rank from hits"))
 sql("rerank", with_(SCORED, select=f"select item_id, source, vec_id, rank, {half_up('score', 6)} as score from scored"))
-sql("knn_union", with_(SCORED, select=f"select item_id, position, source, vec_id, {half_up('score', 6)} as score from merged"))
+sql("knn_union", with_(SCORED, SERVED, select=f"""select item_id, position, m.source, m.vec_id, {half_up('m.score', 6)} as score, {BESIDE}
+  from merged m join served s on s.source = m.source and s.vec_id = m.vec_id"""))
 sql("hits_by_source", with_(SCORED, select="select item_id, position, vec_id from merged where source = 'qa'"))
 sql("json_contains", with_(QA, select="""select question_id, turn, to_json({'apis': apis})::varchar as apis from qa where list_contains(apis, 'DataFrame.collect')"""))
 sql("serving_export", with_(QA, embedded("e", "qa", "id", "content"), select=f"""select question_id, is_question, score, is_accepted and not is_question as is_accepted, '{{"tags":["apache-spark"]}}' as tags,
   coalesce(errs[1], '') as error_type, to_json({{'apis': apis}})::varchar as spark_apis_mentioned, to_json({{'versions': versions}})::varchar as spark_versions_mentioned,
   md5(content) as content_md5, {print_of("vec")} as embedding from qa join e using (id)"""))
 
-sql("expand_queries", with_(ASKED, """q as (select id, input_type, 0 as query_no, input as query_text from parsed
+_QUERIES = """q as (select id, input_type, 0 as query_no, input as query_text from parsed
   union all select id, input_type, 1, concat('Spark ', array_to_string(apis[1:5], ' '), ' usage patterns and best practices') from parsed where input_type = 'code' and len(apis) > 0
-  union all select id, input_type, 1, concat('Spark ', errs[1], ' cause and fix') from parsed where input_type = 'logs' and len(errs) > 0)""",
+  union all select id, input_type, 1, concat('Spark ', errs[1], ' cause and fix') from parsed where input_type = 'logs' and len(errs) > 0)"""
+sql("expand_queries", with_(ASKED, _QUERIES,
     select="select event_id as request_id, input_type, query_no, query_text from log_texts join q on q.id = md5(input)"))
-sql("analyze_batch", with_(ASKED, embedded("pv", "parsed", "id", "input"), cte("vec_facts"), nearest("hits", "pv", "id", "vec_facts", 10, V41),
-    f"""scored as (select h.*, {score("p.apis", "'4.1.0'")} as score, f.spark_version, f.score as votes, f.is_accepted as accepted, f.state
-   from hits h join vec_facts f using (vec_id) join parsed p using (id))""",
-    f"merged as (select *, {POSITION.format(key='id')} as position from scored qualify position <= 20)",
-    select=f"""select event_id as request_id, p.input_type, {bar("p.patterns")} as patterns, {bar("p.errs")} as error_types, '4.1.0' as version, position, m.source, vec_id,
-  md5(left(d.text, 2000)) as content_md5, {half_up("m.score", 4)} as score,
-  to_json({{'spark_version': m.spark_version, 'votes': votes, 'accepted': accepted, 'state': m.state}})::varchar as metadata
-  from log_texts l join parsed p on p.id = md5(l.input) join merged m using (id) join documents d on d.doc_id = m.vec_id"""))
-sql("build_context", with_(SCORED,
-    """entries as (select item_id, string_agg(concat('### [', position, '] ', case m.source when 'code' then 'Code' when 'docs' then 'Docs' when 'qa' then 'Stackoverflow' else 'Issues' end,
-   ' (v', spark_version, ')', chr(10), '```', chr(10), left(d.text, 1500), chr(10), '```'), chr(10) order by position) as shown
-   from merged m join documents d on d.doc_id = m.vec_id where position <= 15 group by 1)""",
+def _answers(chosen: str) -> str:
+    return with_(ASKED, embedded("pv", "parsed", "id", "input"), cte("vec_facts"), SERVED, nearest("hits", "pv", "id", "vec_facts", 10, V41 + chosen),
+        f"""scored as (select h.*, {score("p.apis", "'4.1.0'")} as score from hits h join vec_facts f using (vec_id) join parsed p using (id))""",
+        f"merged as (select *, {POSITION.format(key='id')} as position from scored qualify position <= 20)",
+        select=f"""select event_id as request_id, p.input_type, {bar("p.patterns")} as patterns, {bar("p.errs")} as error_types, '4.1.0' as version, position, m.source, m.vec_id,
+  md5(left(s.content, 2000)) as content_md5, {half_up("m.score", 4)} as score, s.metadata, {BESIDE}
+  from log_texts l join parsed p on p.id = md5(l.input) join merged m using (id) join served s on s.source = m.source and s.vec_id = m.vec_id""")
+
+
+sql("analyze_batch", _answers(""))
+sql("analyze_two_sources", _answers(" and c.source in ('qa', 'code')"))
+_OWN = {"code": {"code": 0.9, "docs": 0.05}, "logs": {"qa": 0.7, "issues": 0.6}}
+sql("analyze_all_queries", with_(ASKED, _QUERIES, "qk as (select *, concat(id, '/', query_no) as qid from q)",
+    embedded("qv", "qk", "qid", "query_text"), cte("vec_facts"), SERVED,
+    "asking as (select event_id, md5(input) as id, ['all', '3.5.4', '4.1.0'][(event_id % 3 + 1)::int] as v from log_texts where event_id % 10 <> 0)",
+    f"""near as (select a.id, a.v, k.qid, c.source, c.vec_id, {cosine("e.vec", "c.embedding")} as sim
+  from (select distinct id, v from asking) a join qk k using (id) join qv e using (qid) cross join vec_facts c
+  where a.v = 'all' or c.source not in ('code', 'docs') or c.spark_version = a.v)""",
+    "firsts as (select * from near qualify row_number() over (partition by id, v, qid, source order by sim desc, vec_id) <= 10)",
+    "once as (select id, v, source, vec_id, max(sim) as sim from firsts group by all)",
+    """hits as (select *, row_number() over (partition by id, v, source order by sim desc, vec_id) as rank from once qualify rank <= 10)""",
+    f"""scored as (select h.*, {score("p.apis", "h.v", _OWN)} as score from hits h join vec_facts f using (vec_id) join parsed p using (id))""",
+    f"merged as (select *, {POSITION.format(key='id, v')} as position from scored qualify position <= 20)",
+    select=f"""select a.event_id as request_id, p.input_type, {bar("p.patterns")} as patterns, {bar("p.errs")} as error_types, a.v as version, position, m.source, m.vec_id,
+  md5(left(s.content, 2000)) as content_md5, {half_up("m.score", 4)} as score, s.metadata, {BESIDE}
+  from asking a join parsed p using (id) join merged m on m.id = a.id and m.v = a.v join served s on s.source = m.source and s.vec_id = m.vec_id"""))
+sql("rejected_requests", """select event_id as request_id, case event_id % 10 when 0 then 3 else -1 end as n_chars from events where event_id % 10 < 2""")
+sql("build_context", with_(SCORED, SERVED,
+    """shown as (select m.item_id, m.position, m.source, s.content, concat_ws(', ', 'file: ' || s.file_path, 'doc: ' || s.doc_url,
+   'SO #' || s.question_id, 'issue #' || s.issue_number, 'v' || s.spark_version) as place from merged m join served s on s.source = m.source and s.vec_id = m.vec_id)""",
+    """entries as (select item_id, string_agg(concat('### [', position, '] ', case source when 'code' then 'Code' when 'docs' then 'Docs' when 'qa' then 'Stackoverflow' else 'Issues' end,
+   ' (', place, ')', chr(10), '```', chr(10), left(content, 1500), chr(10), '```'), chr(10) order by position) as shown
+   from shown where position <= 15 group by 1)""",
     problems("pr", "held", "item_id", "input"),
     "bullets as (select item_id, string_agg(concat('- **', name, '** (', risk, '): ', description), chr(10) order by rule_no) as found from pr group by 1)",
     """texts as (select item_id, concat('## User Input (', input_type, ')', chr(10), chr(10), input, chr(10),

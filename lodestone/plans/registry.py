@@ -19,7 +19,7 @@ from ..sources.schemas import Table
 from ..sources.tables import ChunkStore
 from ..streaming import sync
 from ..views import frame
-from . import analyze, context, evaluate
+from . import analyze, context, corpus as corpora, evaluate
 
 MODEL = hashing_model(64)
 SINCE = "2024-01-15"
@@ -542,8 +542,11 @@ def merged_hits(spark, d) -> DataFrame:
 
 @query
 def knn_union(spark, d):
-    return merged_hits(spark, d).select(
-        "item_id", "position", "source", F.col("chunk_id").alias("vec_id"), tx.half_up(F.col("score"), 6).alias("score"))
+    best = checkpointed(merged_hits(spark, d).select("item_id", "position", "source", "chunk_id", "score"), "merged")
+    places = corpora.details_of(best, served_corpus(spark, d)).drop("content", "metadata")
+    return best.join(places, ["source", "chunk_id"]).select(
+        "item_id", "position", "source", F.col("chunk_id").alias("vec_id"), tx.half_up(F.col("score"), 6).alias("score"),
+        *corpora.PLACES)
 
 
 @query
@@ -597,17 +600,53 @@ def expand_queries(spark, d):
         "request_id", "input_type", "query_no", "query_text")
 
 
-def reference_texts(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+def served_corpus(spark, d) -> dict[str, corpora.Source]:
+    """The four chunk tables, each with its own columns."""
+    code = frame(spark, d, "code_served").withColumn("problem_indicators", F.transform(
+        F.split("problems", ","), lambda p: F.struct(
+            p.alias("name"), F.lit("HIGH").alias("risk"), F.lit("").alias("description"), F.lit(1).alias("line"),
+            F.lit("").alias("match_text"))))
+    issues = frame(spark, d, "issues_served").withColumn("linked_prs", F.array(F.col("pr").cast("bigint")))
+    return {"code": corpora.Source(code), "docs": corpora.Source(frame(spark, d, "docs_served")),
+            "qa": corpora.Source(frame(spark, d, "qa_served")), "issues": corpora.Source(issues)}
 
 
-@query
-def analyze_batch(spark, d):
-    answered = analyze.analyze_batch(requests(spark, d), chunk_facts(spark, d), reference_texts(spark, d), MODEL)
-    return answered.select(
+def answered(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "request_id", "input_type", pt.pattern_names(F.col("patterns")).alias("patterns"), "error_types",
         "version", "position", "source", F.col("chunk_id").alias("vec_id"), md5("content").alias("content_md5"),
-        "score", "metadata")
+        "score", "metadata", *corpora.PLACES)
+
+
+@query
+def analyze_batch(spark, d):
+    return answered(analyze.analyze_batch(requests(spark, d), served_corpus(spark, d), MODEL))
+
+
+@query
+def analyze_two_sources(spark, d):
+    """Threads and code alone; the tables of the other sources are not opened."""
+    corpus = served_corpus(spark, d)
+    return answered(analyze.analyze_batch(requests(spark, d), corpus, MODEL, sources=["qa", "code"]))
+
+
+@query
+def analyze_all_queries(spark, d):
+    """Requests of three versions, every added query searched, own weights; blank inputs are rejected."""
+    asked = requests(spark, d).select(
+        "request_id", F.when(F.col("request_id") % 10 == 0, "  ").otherwise(F.col("input")).alias("input"),
+        F.element_at(F.array(*map(F.lit, ("all", "3.5.4", ""))), (F.col("request_id") % 3 + 1).cast("int")).alias("version"))
+    own = {"code": {"code": 0.9, "docs": 0.05}, "logs": {"qa": 0.7, "issues": 0.6}}
+    rows = analyze.analyze_batch(asked, served_corpus(spark, d), MODEL, multi_query=True, weights=own)
+    return answered(rows)
+
+
+@query
+def rejected_requests(spark, d):
+    """Requests without an input."""
+    asked = requests(spark, d).select("request_id", F.when(F.col("request_id") % 10 == 0, " \t\u2003").when(
+        F.col("request_id") % 10 == 1, F.lit(None)).otherwise(F.col("input")).alias("input"))
+    return analyze.split_requests(asked)[1].select("request_id", F.coalesce(F.length("input"), F.lit(-1)).alias("n_chars"))
 
 
 @query
@@ -615,9 +654,9 @@ def build_context(spark, d):
     """Answering contexts of the benchmark texts."""
     asked = held_out(spark, d).select(F.col("item_id").alias("request_id"), "input", "input_type",
                                       pt.detect_patterns(F.col("input")).alias("patterns"))
-    hits = merged_hits(spark, d).select(F.col("item_id").alias("request_id"), "position", "source",
-                                        "spark_version", "chunk_id")
-    shown = hits.join(reference_texts(spark, d), "chunk_id")
+    best = checkpointed(merged_hits(spark, d).select("item_id", "position", "source", "chunk_id"), "merged")
+    shown = best.withColumnRenamed("item_id", "request_id").join(
+        corpora.details_of(best, served_corpus(spark, d)), ["source", "chunk_id"])
     return context.build_context(asked, shown).select(
         "request_id", F.length("context").alias("n_chars"), md5("context").alias("context_md5"))
 

@@ -66,6 +66,28 @@ select question_id, turn, kind = 'q' as is_question, case when kind = 'q' then c
   body_html as body, score, is_accepted
  from ({VIEWS["qa_items"]}) i"""
 
+# the chunk tables of the four sources, with vectors and texts
+VIEWS["served_rows"] = f"""
+select f.*, coalesce(text, '') as content from ({VIEWS["vec_facts"]}) f left join (select doc_id, text from documents) d on doc_id = vec_id"""
+VIEWS["code_served"] = f"""
+select vec_id as chunk_id, embedding as vec, content, spark_version, concat('core/src/f', cast(vec_id % 40 as string), '.py') as file_path, 'python' as language,
+  case when vec_id % 8 = 0 then 'class_summary' else 'method' end as chunk_type, concat('C', cast(vec_id % 50 as string), '.run') as qualified_name,
+  concat('def run', cast(vec_id as string), '(self)') as signature, apis as spark_apis,
+  case when vec_id % 16 = 0 then 'collect_in_loop,coalesce_one' else 'cache_no_unpersist' end as problems from ({VIEWS["served_rows"]}) r where source = 'code'"""
+VIEWS["docs_served"] = f"""
+select vec_id as chunk_id, embedding as vec, content, spark_version, concat('docs/guide', cast(vec_id % 30 as string), '.md') as doc_url, 'Guide' as doc_section,
+  split(concat('Guide,Part ', cast(vec_id % 7 as string)), ',') as heading_hierarchy, case when vec_id % 3 = 0 then 'config_table' else 'prose' end as content_type,
+  split(concat('spark.sql.k', cast(vec_id % 5 as string)), ',') as related_configs from ({VIEWS["served_rows"]}) r where source = 'docs'"""
+VIEWS["qa_served"] = f"""
+select vec_id as chunk_id, embedding as vec, content, vec_id * 10 as question_id, vec_id % 4 = 2 as is_question, score, is_accepted, split('apache-spark,join', ',') as tags,
+  case when vec_id % 6 = 0 then 'OutOfMemoryError' else '' end as error_type, apis as spark_apis_mentioned, versions as spark_versions_mentioned
+ from ({VIEWS["served_rows"]}) r where source = 'qa'"""
+VIEWS["issues_served"] = f"""
+select vec_id as chunk_id, embedding as vec, content, 10000 + vec_id as issue_number, state, vec_id % 8 = 7 as is_comment, 10000 + vec_id as parent_issue_number,
+  concat('user', cast(vec_id % 17 as string)) as author, split('bug', ',') as labels, '2024-01-01T00:00:00Z' as created_at,
+  case when state = 'closed' then '2024-02-01T00:00:00Z' else '' end as closed_at, versions as spark_versions_mentioned, concat('4', cast(7000 + vec_id as string)) as pr
+ from ({VIEWS["served_rows"]}) r where source = 'issues'"""
+
 _TABLES = ("documents", "pages", "conversations", "embeddings", "events", "labels", "benchmark",
            "part", "orders", "lineitem", "customer", "supplier", "nation", "region")
 

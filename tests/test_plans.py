@@ -1,3 +1,5 @@
+import json
+
 import duckdb
 import pytest
 from conftest import plan_of
@@ -6,8 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lodestone.functions.embed import hashing_model
 from lodestone.operators import stats
-from lodestone.plans import analyze, context, evaluate
+from lodestone.plans import analyze, context, corpus as corpora, evaluate
+from lodestone.plans.corpus import Source
 from lodestone.plans.registry import QUERIES
+from lodestone.sources.tables import ChunkStore
 
 MODEL = hashing_model(16)
 
@@ -16,12 +20,18 @@ MODEL = hashing_model(16)
 def corpus(spark):
     texts = [(f"{s}{i}", s, "4.1.0" if i % 2 else "3.5.4", f"{s} text number {i} about collect and joins")
              for s in ("code", "docs", "qa", "issues") for i in range(30)]
-    chunks = spark.createDataFrame(texts, "chunk_id string, source string, spark_version string, content string")
-    facts = chunks.select(
-        "chunk_id", "source", "spark_version", MODEL.embed(F.col("content")).alias("vec"),
-        F.array(F.lit("DataFrame.collect")).alias("apis"), F.lit(20).cast("long").alias("votes"),
-        F.lit(True).alias("accepted"), F.lit("closed").alias("state"), F.array(F.lit("4.1.0")).alias("versions"))
-    return facts, chunks.select("chunk_id", "content")
+    chunks = spark.createDataFrame(texts, "chunk_id string, source string, spark_version string, content string") \
+        .withColumn("vec", MODEL.embed(F.col("content")))
+    own = {"code": {"file_path": F.concat(F.lit("f/"), "chunk_id"), "spark_apis": F.array(F.lit("DataFrame.collect"))},
+           "docs": {"doc_url": F.concat(F.lit("d/"), "chunk_id")},
+           "qa": {"question_id": F.lit(7).cast("long"), "score": F.lit(20).cast("long"), "is_accepted": F.lit(True),
+                  "spark_apis_mentioned": F.array(F.lit("DataFrame.collect")), "spark_versions_mentioned": F.array(F.lit("4.1.0"))},
+           "issues": {"issue_number": F.lit(9).cast("long"), "state": F.lit("closed"), "spark_versions_mentioned": F.array(F.lit("4.1.0"))}}
+    out = {}
+    for name, columns in own.items():
+        rows = chunks.where(F.col("source") == name).drop("source").withColumns(columns)
+        out[name] = Source(rows if name in ("code", "docs") else rows.drop("spark_version"))
+    return out
 
 
 REQUESTS = [(1, "How do I join two tables?", None), (2, "How do I join two tables?", ""), (3, "df = x\ndf.collect()", "all"),
@@ -33,8 +43,7 @@ def asked(spark):
 
 
 def test_batch_analysis(spark, corpus):
-    facts, texts = corpus
-    rows = analyze.analyze_batch(asked(spark), facts, texts, MODEL).collect()
+    rows = analyze.analyze_batch(asked(spark), corpus, MODEL).collect()
     by = {}
     for r in rows:
         by.setdefault(r.request_id, []).append(r)
@@ -53,10 +62,66 @@ def test_batch_analysis(spark, corpus):
     assert kept.count() == 5 and [r.request_id for r in rejected.collect()] == [5]
 
 
+def test_each_source_has_its_own_columns(spark, corpus):
+    rows = analyze.analyze_batch(asked(spark), corpus, MODEL, total=40).where("request_id = 1").collect()
+    fields = {"code": {"spark_version", "file_path", "spark_apis"}, "docs": {"spark_version", "doc_url"},
+              "qa": {"question_id", "score", "is_accepted", "spark_apis_mentioned", "spark_versions_mentioned"},
+              "issues": {"issue_number", "state", "spark_versions_mentioned"}}
+    assert {r.source for r in rows} == set(fields)
+    for r in rows:
+        assert set(json.loads(r.metadata)) == fields[r.source]
+        assert (r.file_path, r.doc_url, r.question_id, r.issue_number) == (
+            f"f/{r.chunk_id}" if r.source == "code" else None, f"d/{r.chunk_id}" if r.source == "docs" else None,
+            7 if r.source == "qa" else None, 9 if r.source == "issues" else None)
+
+
+def test_chosen_sources(spark, corpus):
+    rows = analyze.analyze_batch(asked(spark), corpus, MODEL, sources=["issues", "code"]).collect()
+    assert {r.source for r in rows} == {"code", "issues"}
+    with pytest.warns(UserWarning, match="no chunk table for source"):
+        rows = analyze.analyze_batch(asked(spark), {**corpus, "qa": None}, MODEL, sources=["qa", "docs", "papers"]).collect()
+    assert {r.source for r in rows} == {"docs"} and len(rows) == 5 * 10
+    with pytest.warns(UserWarning):
+        none = analyze.analyze_batch(asked(spark), {}, MODEL, sources=["qa"])
+    assert none.collect() == [] and {"metadata", "file_path", "content"} <= set(none.columns)
+
+
+def test_sources_of_a_store_open_only_what_is_asked_for(spark):
+    store = ChunkStore.scratch(spark)
+    for table in ("code_chunks", "doc_chunks", "chunk_vectors"):
+        store.create(table)
+    ids = spark.createDataFrame([("a", "4.1.0"), ("b", "3.5.4")], "chunk_id string, spark_version string")
+    for table in ("code_chunks", "doc_chunks"):
+        kinds = {f.name: f.dataType for f in spark.table(store.full_name(table)).schema}
+        store.write(table, ids.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in ("chunk_id", "spark_version")})
+                    .withColumn("content", F.concat(F.lit("text "), "chunk_id")))
+        for model in (MODEL, hashing_model(8, "emb_other")):
+            store.write("chunk_vectors", ids.select("chunk_id", F.array_repeat(F.lit(1.0), model.dim).alias("vec"),
+                                                    F.lit(model.column).alias("model_column"), F.lit(table).alias("table_name")))
+    found = corpora.from_store(store, MODEL)
+    assert [n for n, s in found.items() if s is None] == ["qa", "issues"]
+    rows = corpora.search_rows(corpora.chosen(corpora.from_store(store, MODEL, ["docs", "qa"])))
+    plan = plan_of(rows)
+    assert "doc_chunks" in plan and "code_chunks" not in plan and "PartitionFilters: [isnotnull(model_column" in plan
+    assert {(r.chunk_id, r.source, r.only_version, len(r.vec)) for r in rows.collect()} \
+        == {("a", "docs", "4.1.0", 16), ("b", "docs", "3.5.4", 16)}
+    asked_one = spark.createDataFrame([(1, "text a", "all")], "request_id long, input string, version string")
+    with pytest.warns(UserWarning):
+        hits = analyze.analyze_batch(asked_one, found, MODEL).collect()
+    assert {(r.source, r.content) for r in hits} == {(s, f"text {c}") for s in ("code", "docs") for c in "ab"}
+
+
+def test_late_columns_come_by_broadcast(spark, corpus):
+    hits = spark.createDataFrame([("code", "code1"), ("code", "code1"), ("qa", "qa2")], "source string, chunk_id string")
+    details = corpora.details_of(hits, corpus)
+    assert {(r.source, r.chunk_id, r.content) for r in details.collect()} \
+        == {("code", "code1", "code text number 1 about collect and joins"), ("qa", "qa2", "qa text number 2 about collect and joins")}
+    assert "BroadcastHashJoin" in plan_of(details) and "SortMergeJoin" not in plan_of(details)
+
+
 def test_all_queries_of_a_request(spark, corpus):
-    facts, texts = corpus
-    one = analyze.analyze_batch(asked(spark), facts, texts, MODEL).where("request_id = 3").collect()
-    more = analyze.analyze_batch(asked(spark), facts, texts, MODEL, multi_query=True).where("request_id = 3").collect()
+    one = analyze.analyze_batch(asked(spark), corpus, MODEL).where("request_id = 3").collect()
+    more = analyze.analyze_batch(asked(spark), corpus, MODEL, multi_query=True).where("request_id = 3").collect()
     assert len(more) == 20 and min(r.score for r in more) >= min(r.score for r in one)
 
 
