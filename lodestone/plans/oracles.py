@@ -458,6 +458,35 @@ sql("rerank", with_(SCORED, select=f"select item_id, source, vec_id, rank, {half
 sql("knn_union", with_(SCORED, SERVED, select=f"""select item_id, position, m.source, m.vec_id, {half_up('m.score', 6)} as score, {BESIDE}
   from merged m join served s on s.source = m.source and s.vec_id = m.vec_id"""))
 sql("hits_by_source", with_(SCORED, select="select item_id, position, vec_id from merged where source = 'qa'"))
+
+def _cells(name: str, centroids: str) -> str:
+    """``name(vec_id, cell)``: the most similar centroid of each vector."""
+    return (f"{name} as (select vec_id, cell from (select v.vec_id, c.cell, {cosine('v.u', 'c.u')} as sim from units v cross join {centroids} c) "
+            "qualify row_number() over (partition by vec_id order by sim desc, cell) = 1)")
+
+
+def _moved(name: str, cells: str, centroids: str) -> str:
+    """Centroids moved to the means of their vectors; one without vectors stays."""
+    return f"""{name}_m as (select cell, list(m order by i) as u from (select cell, i, avg(x) as m from {cells} join parts using (vec_id) group by all) group by cell),
+{name} as (select cell, coalesce(m.u, c.u) as u from {centroids} c left join {name}_m m using (cell))"""
+
+
+sql("ann_lsh", with_(
+    "units as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings)",
+    "parts as (select vec_id, unnest(u) as x, generate_subscripts(u, 1) - 1 as i from units)",
+    "seeds as (select (row_number() over (order by md5(vec_id::varchar)) - 1) as cell, u from units qualify cell < 64)",
+    _cells("cells_0", "seeds"), _moved("first", "cells_0", "seeds"), _cells("cells_1", "first"), _moved("second", "cells_1", "first"), _cells("cells_2", "second"),
+    "signs as (select b, i, case when substr(md5(concat(b, '/', i)), 1, 1) < '8' then 1 else -1 end as s from (select unnest(range(256)) as b) cross join (select unnest(range(64)) as i))",
+    "codes as (select vec_id, list(bit order by b) as code from (select vec_id, b, sum(round(x * 1048576) * s) > 0 as bit from parts join signs using (i) group by all) group by vec_id)",
+    f"visits as (select vec_id as item_id, cell from (select v.vec_id, c.cell, {cosine('v.u', 'c.u')} as sim from units v cross join second c where v.vec_id % 50 = 0) qualify row_number() over (partition by vec_id order by sim desc, cell) <= 40)",
+    f"""scored as (select q.item_id, c.vec_id, {cosine("a.u", "b.u")} as sim from visits q join cells_2 c using (cell)
+  join units a on a.vec_id = q.item_id join units b on b.vec_id = c.vec_id join codes x on x.vec_id = q.item_id join codes y on y.vec_id = c.vec_id
+  where len(list_filter(list_zip(x.code, y.code), lambda p: p[1] = p[2])) >= 136)""",
+    f"exact as (select item_id, vec_id from (select a.vec_id as item_id, b.vec_id, {cosine('a.u', 'b.u')} as sim from units a cross join units b where a.vec_id % 50 = 0) qualify row_number() over (partition by item_id order by sim desc, vec_id) <= 10)",
+    "counts as (select item_id, count(*) as n_scored from scored group by 1)",
+    "firsts as (select *, row_number() over (partition by item_id order by sim desc, vec_id) as rank from scored qualify rank <= 10)",
+    select="""select item_id, vec_id, sim, rank, e.item_id is not null as in_exact, n_scored, (select count(*) from embeddings) as n_rows
+  from firsts f left join exact e using (item_id, vec_id) join counts using (item_id)"""))
 sql("json_contains", with_(QA, select="""select question_id, turn, to_json({'apis': apis})::varchar as apis from qa where list_contains(apis, 'DataFrame.collect')"""))
 sql("serving_export", with_(QA, embedded("e", "qa", "id", "content"), select=f"""select question_id, is_question, score, is_accepted and not is_question as is_accepted, '{{"tags":["apache-spark"]}}' as tags,
   coalesce(errs[1], '') as error_type, to_json({{'apis': apis}})::varchar as spark_apis_mentioned, to_json({{'versions': versions}})::varchar as spark_versions_mentioned,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import ids, packing, patterns as pt, rules, text as tx
 from ..functions.embed import hashing_model
-from ..operators import code, markdown, rank, search, stats, threads, vectors
+from ..operators import code, index, markdown, rank, search, stats, threads, vectors
 from ..session import checkpointed, scratch_path
 from ..sources import landed, scan, serving
 from ..sources.schemas import Table
@@ -575,17 +575,17 @@ def serving_export(spark, d):
 
 @query
 def ann_lsh(spark, d):
-    """Approximate neighbours, and whether each is among the exact ones.
-
-    No SQL states random hyperplanes, so there is no oracle for this one.
-    """
-    queries, corpus = held_out(spark, d), chunk_facts(spark, d)
-    found = search.approximate_top_k(queries, corpus, rules.TOP_PER_SOURCE, query_id="item_id",
-                                     by=["source"], dim=64, tables=16, bits=4)
-    exact = exact_hits(spark, d, corpus).select("item_id", "chunk_id", F.lit(True).alias("in_exact"))
-    return found.join(exact, ["item_id", "chunk_id"], "left").select(
-        "item_id", "source", F.col("chunk_id").alias("vec_id"), "sim", "rank",
-        F.coalesce("in_exact", F.lit(False)).alias("in_exact"))
+    """Neighbours by a stored index of cells and sign codes: whether each is among the exact ones,
+    how many rows its query scored, and how many there are."""
+    corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    queries = corpus.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "item_id")
+    built = index.build_index(corpus, scratch_path(spark, "index"), dim=64, cells=64)
+    found = index.probe(built, queries, 10, query_id="item_id", probes=40, agree=136)
+    exact = search.top_k(queries, corpus, 10, query_id="item_id", dim=64).select(
+        "item_id", "chunk_id", F.lit(True).alias("in_exact"))
+    return found.join(exact, ["item_id", "chunk_id"], "left").crossJoin(corpus.agg(F.count("*").alias("n_rows"))).select(
+        "item_id", F.col("chunk_id").alias("vec_id"), "sim", "rank", F.coalesce("in_exact", F.lit(False)).alias("in_exact"),
+        "n_scored", "n_rows")
 
 
 # ---- requests ----
