@@ -1,164 +1,46 @@
-"""Source files to code units, by layout.
+"""Source files to code units.
 
-A unit starts at a header line and runs until the next line that is not indented
-deeper and is not a closing bracket. This approximates syntax-tree units: it holds
-for consistently indented Python, Scala and Java, with braces or without. Known
-misses: several units on one line, headers split before the name, text at column 0
-inside Scala or Java block strings. Python triple-quoted texts are masked first.
+A scan over a file's tokens finds the import block, the top-level classes and functions,
+and the functions of classes, in Python, Scala and Java. It knows strings, comments and
+nested brackets, so that several units may share a line and one header may take many.
+It is no syntax tree; ``functions.scanner`` tells how a unit ends. Known misses: nested
+quotes inside an interpolation, nested block comments.
 
-A file is one row and stays one row until its units are exploded; nothing is shuffled.
+The scan is one Arrow function whose work grows with the text. A file is one row and
+stays one row until its units are exploded; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import patterns as pt, text as tx
+from ..functions import patterns as pt, scanner, text as tx
 from ..functions.ids import code_chunk_id
 from ..functions.packing import pack_lines
 from ..functions.rules import MAX_CHUNK_CHARS
 
-_SCALA_MODS = (r"(?:@\w+(?:\([^)]*\))?\s+|(?:private|protected)(?:\[[\w.]+\])?\s+"
-               r"|(?:final|override|implicit|lazy|sealed|abstract|inline|transparent|opaque)\s+)*")
-_JAVA_MODS = (r"(?:@\w+(?:\([^)]*\))?\s+|(?:public|protected|private|static|final|abstract"
-              r"|synchronized|native|default|strictfp|sealed)\s+)*")
-
-_JAVA_TYPED = rf"{_JAVA_MODS}(?:<[^>]+>\s+)?(?:[\w$.<>\[\],?&]+\s+)+([\w$]+)\s*\([^=]*$"
-_JAVA_BARE = r"([\w$]+)\s*\([^;]*\{\s*$"
-_JAVA_NOT = (r"(?!(?:return|new|else|throw|if|for|while|switch|catch|try|case|do|assert|super|this"
-             r"|synchronized\s*\()\b)")
-
-# per language: class header (kind, name), unit header (name), import header
-HEADERS = {
-    "python": (r"^(class)\s+([\p{L}_][\p{L}\p{N}_]*)",
-               r"^\s*(?:async\s+)?def\s+([\p{L}_][\p{L}\p{N}_]*)()",
-               r"^(?:import\s|from\s+(?!__future__\b))"),
-    "scala": (rf"^{_SCALA_MODS}(?:case\s+)?(class|object|trait)\s+([\w$]+)",
-              rf"^\s*{_SCALA_MODS}def\s+([^\s(\[:=]+)()",
-              r"^(?:import|package)\s"),
-    "java": (rf"^{_JAVA_MODS}(class|interface|enum)\s+([\w$]+)",
-             rf"^\s*{_JAVA_NOT}(?:{_JAVA_TYPED}|{_JAVA_BARE})",
-             r"^(?:import|package)\s"),
-}
-_TRIPLE = r"(?s)(?:\"\"\".*?\"\"\"|'''.*?''')"
-_INSIDE = "\x05"  # starts every further line of a triple-quoted text in the shape
-
-_UNIT = ("struct<start:int,kind:string,class_kind:string,class_name:string,name:string,"
-         "end:int,indent:int,class_start:int>")
-
-
-def _shape(source: Column) -> Column:
-    """The source line for line, with the inside of triple-quoted texts pushed right."""
-    hidden = F.transform(
-        F.regexp_extract_all(source, F.lit(_TRIPLE), 0),
-        lambda t: F.replace(t, F.lit("\n"), F.lit("\n" + " " * 200 + _INSIDE)))
-    return F.when(source.contains('"""') | source.contains("'''"),
-                  tx.interleave(F.split(source, _TRIPLE, -1), hidden)).otherwise(source)
-
-
-def _per_language(language: Column, value, default: Column) -> Column:
-    found = default
-    for name, headers in HEADERS.items():
-        found = F.when(language == name, value(headers)).otherwise(found)
-    return found
-
-
-def _line_facts(line: Column, no: Column, language: Column) -> Column:
-    """What the fold needs to know of one line."""
-    body = F.regexp_replace(line, r"^\s+", "")
-    comment = F.rlike(body, F.when(language == "python", r"^#").otherwise(r"^(?://|/\*|\*)"))
-    name = F.lit("")
-
-    def extract(which: int, group: int) -> Column:
-        return _per_language(language, lambda h: F.regexp_extract(line, h[which], group), name)
-
-    return F.struct(
-        (no + 1).alias("no"),
-        (F.length(line) - F.length(body)).alias("indent"),
-        ((body == "") | comment).alias("ignored"),
-        F.rlike(body, F.lit(r"^[)\]}{]")).alias("closer"),
-        extract(0, 1).alias("class_kind"), extract(0, 2).alias("class_name"),
-        F.concat(extract(1, 1), extract(1, 2)).alias("unit_name"),
-        _per_language(language, lambda h: F.rlike(line, F.lit(h[2])), F.lit(False)).alias("is_import"),
-        (body.startswith("@") & (language == "python")).alias("decorator"),
-        (body.startswith("@") & (language != "python")).alias("annotation"),
-    )
-
-
-def _unit(start, kind, class_kind, class_name, name, end, indent, class_start) -> Column:
-    values = (start, kind, class_kind, class_name, name, end, indent, class_start)
-    fields = [f.split(":") for f in _UNIT[len("struct<"):-1].split(",")]
-    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(kind_).alias(name_)
-                      for v, (name_, kind_) in zip(values, fields)])
-
 
 def find_units(source: Column, language: Column) -> Column:
-    """array<struct<kind, class_kind, class_name, name, start, end, ..>> of one file.
+    """struct<imports, classes, methods> of one file, as ``scanner.units_of`` gives them.
 
-    ``kind`` is ``import``, ``class``, ``method``; a function inside a function
-    belongs to the outer one. A top-level Python definition under a decorator is
-    left out, with all it contains. Scala and Java annotations on the lines before a
-    header are part of its unit.
+    A function inside a function belongs to the outer one. A top-level Python definition
+    under a decorator is left out, with all it contains. Modifiers and, in Scala and Java,
+    annotations are part of their unit.
     """
-    none = F.lit(None).cast(_UNIT)
-    start = F.struct(F.array().cast(f"array<{_UNIT}>").alias("units"), none.alias("cls"),
-                     none.alias("open"), F.lit(False).alias("skip"), F.lit(False).alias("deco"),
-                     F.lit(None).cast("int").alias("note"))
-
-    def state(units, cls, open_, skip, deco, note) -> Column:
-        return F.struct(units.alias("units"), cls.alias("cls"), open_.alias("open"),
-                        skip.alias("skip"), deco.alias("deco"), note.alias("note"))
-
-    def extended(unit: Column, line: Column) -> Column:
-        return F.when(unit.isNotNull(), unit.withField("end", line["no"]))
-
-    def added(units: Column, unit: Column) -> Column:
-        return F.when(unit.isNull(), units).otherwise(F.concat(units, F.array(unit)))
-
-    def step(acc: Column, line: Column) -> Column:
-        def leaves(unit: Column) -> Column:
-            return F.coalesce((line["indent"] < unit["indent"])
-                              | ((line["indent"] == unit["indent"]) & ~line["closer"]), F.lit(False))
-
-        units = acc["units"]
-        top = (line["indent"] == 0) & ~line["closer"]
-        # what ends at this line
-        ends_open = leaves(acc["open"])
-        units_1 = F.when(ends_open, added(units, acc["open"])).otherwise(units)
-        open_1 = F.when(ends_open, none).otherwise(extended(acc["open"], line))
-        ends_cls = leaves(acc["cls"])
-        units_2 = F.when(ends_cls, added(units_1, acc["cls"])).otherwise(units_1)
-        cls_1 = F.when(ends_cls, none).otherwise(extended(acc["cls"], line))
-        # what starts at this line
-        skip = F.when(top, acc["deco"] & ~line["decorator"]).otherwise(acc["skip"])
-        free = open_1.isNull() & ~skip
-        is_class = free & top & (line["class_name"] != "")
-        is_unit = free & ~is_class & (line["unit_name"] != "") & (top | cls_1.isNotNull())
-        is_import = free & top & line["is_import"]
-        # a header after annotations starts where they do
-        first = F.coalesce(acc["note"], line["no"])
-        starts = is_class | is_unit | is_import
-        note = F.when(line["annotation"] & free & ~starts, first)
-        cls_2 = F.when(is_class, _unit(first, "class", line["class_kind"], line["class_name"],
-                                       line["class_name"], line["no"], line["indent"], first)) \
-            .otherwise(cls_1)
-        open_2 = (
-            F.when(is_import, _unit(line["no"], "import", None, None, "", line["no"],
-                                    line["indent"], None))
-            .when(is_unit, _unit(first, "method", cls_1["class_kind"], cls_1["class_name"],
-                                 line["unit_name"], line["no"], line["indent"], cls_1["start"]))
-            .otherwise(open_1))
-        deco = F.when(top, line["decorator"]).otherwise(acc["deco"])
-        return F.when(line["ignored"], acc).otherwise(
-            state(units_2, cls_2, open_2, skip, deco, note))
-
-    def finish(acc: Column) -> Column:
-        # by start line, which is the first field
-        return F.array_sort(added(added(acc["units"], acc["open"]), acc["cls"]))
-
-    facts = F.transform(F.split(_shape(source), "\n"),
-                        lambda line, no: _line_facts(line, no, language))
-    return F.aggregate(facts, start, step, finish)
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    result = pa.struct([(part, pa.list_(pa.struct([(n, kinds[k]) for n, k in columns.items()])))
+                        for part, columns in scanner.FIELDS.items()])
+
+    @F.arrow_udf(scanner.UNITS)
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, languages in batches:
+            yield pa.array([scanner.units_of(t.as_py(), n.as_py()) for t, n in zip(texts, languages)], result)
+
+    # marked as such, a file is scanned once, however many expressions read its units
+    return scan.asNondeterministic()(source, language)
 
 
 def signature(text: Column) -> Column:
@@ -170,27 +52,20 @@ def signature(text: Column) -> Column:
     return found
 
 
-def _content(lines: Column, unit: Column) -> Column:
-    text = F.array_join(F.slice(lines, unit["start"], unit["end"] - unit["start"] + 1), "\n")
-    return F.regexp_replace(text, r"\A\s+", "")
-
-
 def with_units(files: DataFrame) -> DataFrame:
-    """Files with ``_units``: the found units, each with its ``content``."""
-    found = (
+    """Files of a known language with ``_units``, what was found in each."""
+    return (
         files.withColumn("language", tx.detect_language(F.col("file_path")))
         .where(F.col("language").isNotNull())
-        .withColumn("_lines", F.split("content", "\n"))
-        .withColumn("_found", find_units(F.col("content"), F.col("language")))
+        .withColumn("_units", find_units(F.col("content"), F.col("language"))).drop("content")
     )
-    texts = F.transform("_found", lambda u: u.withField("content", _content(F.col("_lines"), u)))
-    return found.withColumn("_units", texts).drop("_lines", "_found", "content")
 
 
 def _summary_rows(units: Column) -> Column:
     """One entry per class with methods: kind and name, then the method signatures."""
     def summary(c: Column) -> Column:
-        methods = F.filter(units, lambda u: (u["kind"] == "method") & (u["class_start"] == c["start"]))
+        # a class's methods stand together
+        methods = F.slice(units["methods"], c["first"], c["count"])
         sigs = F.filter(F.transform(methods, lambda m: signature(m["content"])), lambda s: s != "")
         head = F.concat(c["class_kind"], F.lit(" "), c["name"])
         listed = F.array_join(F.transform(sigs, lambda s: F.concat(F.lit("  "), s)), "\n")
@@ -200,12 +75,11 @@ def _summary_rows(units: Column) -> Column:
             F.when(F.size(sigs) > 0, F.concat(head, F.lit("\n\nMethods:\n"), listed)).alias("content"),
             c["start"].alias("start_line"), c["end"].alias("end_line"))
 
-    classes = F.filter(units, lambda u: u["kind"] == "class")
-    return F.filter(F.transform(classes, summary), lambda s: s["content"].isNotNull())
+    return F.filter(F.transform(units["classes"], summary), lambda s: s["content"].isNotNull())
 
 
 def _import_rows(units: Column, path: Column) -> Column:
-    imports = F.transform(F.filter(units, lambda u: u["kind"] == "import"), lambda u: u["content"])
+    imports = F.transform(units["imports"], lambda u: u["content"])
     row = F.struct(
         F.lit("imports").alias("chunk_type"), F.concat(path, F.lit(":imports")).alias("qualified_name"),
         F.lit("").alias("signature"), F.array_join(imports, "\n").alias("content"),
@@ -214,8 +88,7 @@ def _import_rows(units: Column, path: Column) -> Column:
 
 
 def _method_rows(units: Column) -> Column:
-    methods = F.filter(units, lambda u: u["kind"] == "method")
-    return F.transform(methods, lambda u: F.struct(
+    return F.transform(units["methods"], lambda u: F.struct(
         F.lit("method").alias("chunk_type"),
         F.concat_ws(".", u["class_name"], u["name"]).alias("qualified_name"),
         signature(u["content"]).alias("signature"), u["content"].alias("content"),

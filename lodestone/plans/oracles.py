@@ -5,7 +5,7 @@ folds, literal rules and block scoring."""
 from __future__ import annotations
 
 from ..functions import rules
-from ..views import cte
+from ..views import cte, filled
 from .registry import SINCE
 
 ORACLES: dict[str, str] = {}
@@ -401,12 +401,54 @@ sql("code_units", with_(CODE, apis("ua", "methods", "id", "content"), problems("
   union all select m.p_partkey, 'method', m.qualified_name, m.signature, m.i, m.last, {bar("ua.apis")}, {bar("ug.names")}, m.content from methods m left join ua using (id) left join ug using (id))""",
     select=f"""select p_partkey, chunk_type, qualified_name, signature, start_line, end_line, spark_apis, problems, md5(c.content) as content_md5,
   {uuid5("concat(f.spark_version, ':', f.file_path, ':', qualified_name, ':', start_line)")} as chunk_id from chunks c join code_files f using (p_partkey)"""))
+# the units that stand in the templates: kind, class, name, first and last line, text
+_UNITS = {
+    0: [("imports", None, None, 1, 0, "import os\nfrom a import (\n    b,\n)"),
+        ("class_summary", "K{n}", "class", 10, 16, "class K{n}\n\nMethods:\n  def run(self, df)"),
+        ("method", "K{n}", "run", 14, 16, 'def run(self, df):\n        s = "} # not a comment"\n        return df.collect()'),
+        ("method", None, "top{size}", 18, 19, "def top{size}(a):\n    return a")],
+    1: [("imports", None, None, 1, 0, "package org.x\nimport a.{B, C}"),
+        ("class_summary", "K{n}", "class", 4, 5, "class K{n}\n\nMethods:\n  def one = 1\n  def two(x: Int): Int ="),
+        ("method", "K{n}", "one", 5, 5, "def one = 1"), ("method", "K{n}", "two", 5, 5, "def two(x: Int): Int = { x + a }"),
+        ("class_summary", "K{n}", "object", 7, 14, "object K{n}\n\nMethods:\n  def apply(\n      a\n  def run(df"),
+        ("method", "K{n}", "apply", 10, 12, "def apply(\n      a: Int): K{n} =\n    new K{n}(a)"),
+        ("method", "K{n}", "run", 13, 13, "def run(df: D) = df.collect()")],
+    2: [("imports", None, None, 1, 0, "package a.b;\nimport x.Y;"),
+        ("class_summary", "K{n}", "class", 4, 9, "class K{n}\n\nMethods:\n  public void go()\n  @Override public <U> List<U> get(String a,\n      int b) throws E\n  void two()\n  abstract int last(int a);"),
+        ("method", "K{n}", "go", 5, 5, "public void go() { x(); }"),
+        ("method", "K{n}", "get", 6, 7, '@Override public <U> List<U> get(String a,\n      int b) throws E { String s = "} void no() {"; return null; }'),
+        ("method", "K{n}", "two", 7, 7, "void two() { d.collect(); }"), ("method", "K{n}", "last", 8, 8, "abstract int last(int a);"),
+        ("class_summary", "I{size}", "interface", 10, 10, "interface I{size}\n\nMethods:\n  int one(int a);\n  default int two()"),
+        ("method", "I{size}", "one", 10, 10, "int one(int a);"), ("method", "I{size}", "two", 10, 10, "default int two() { return 2; }")],
+}
+
+
+def _unit(third: int, no: int, unit: tuple) -> str:
+    kind, owner, name, first, last, text = unit
+    label = "concat(file_path, ':imports')" if kind == "imports" else filled(
+        owner if kind == "class_summary" else f"{owner}.{name}" if owner else name)
+    shown = filled(f"{name} {owner}") if kind == "class_summary" else "''" if kind == "imports" else signature(filled(text))
+    return (f"select p_partkey, p_partkey * 100 + {no} as id, '{kind}' as chunk_type, {label} as qualified_name, {shown} as signature, "
+            f"{first} as start_line, {last} as end_line, {filled(text)} as content from unit_files where p_partkey % 3 = {third}").replace("NL", "chr(10)")
+
+
+sql("code_units_languages", with_(
+    cte("unit_files"), "made as (" + "\n union all ".join(_unit(k, i, u) for k, us in _UNITS.items() for i, u in enumerate(us)) + ")",
+    "methods as (select * from made where chunk_type = 'method')", apis("ua", "methods", "id", "content"), problems("up", "methods", "id", "content"),
+    "ug as (select id, list(name order by rule_no) as names from up group by 1)",
+    select=f"""select m.p_partkey, ['python', 'scala', 'java'][(m.p_partkey % 3 + 1)::int] as language, chunk_type, qualified_name, signature, start_line, end_line,
+  {bar("ua.apis")} as spark_apis, {bar("ug.names")} as problems, md5(m.content) as content_md5,
+  {uuid5("concat(f.spark_version, ':', f.file_path, ':', qualified_name, ':', start_line)")} as chunk_id
+  from made m join unit_files f using (p_partkey) left join ua using (id) left join ug using (id)"""))
 sql("class_summary", with_(CODE, select="select p_partkey, qualified_name, signature, content, start_line, end_line from summaries"))
 sql("split_units", with_(
     f"""t as (select doc_id, concat('def run(self):', chr(10), '        ', replace(text, chr(10), concat(chr(10), '        ')), chr(10), '        return 1') as content from documents)""",
     f"""p as (select doc_id, content, length(content) > 2048 as long, case when length(content) > 2048 then {fold("string_split(content, chr(10))", 1)} else [content] end as pieces from t)""",
     "u as (select doc_id, content, long, pieces, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as part_no from p)",
-    select=f"""select doc_id, part_no, concat('D', doc_id, '.run', case when len(pieces) > 1 then concat('_part', part_no) else '' end) as qualified_name,
+    select=f"""select doc_id, 'class_summary' as chunk_type, 0 as part_no, concat('D', doc_id) as qualified_name, length(concat('class D', doc_id)) as signature_chars,
+  1 as start_line, 1 + len(string_split(content, chr(10))) as end_line,
+  md5(concat('class D', doc_id, chr(10), chr(10), 'Methods:', chr(10), '  def run(self)')) as content_md5 from t
+  union all select doc_id, 'method', part_no, concat('D', doc_id, '.run', case when len(pieces) > 1 then concat('_part', part_no) else '' end) as qualified_name,
   length(case when not long or (part_no = 0 and len(pieces) > 1) then {signature("content")} else '' end) as signature_chars,
   2 + coalesce(list_sum(list_transform(pieces[1:part_no], lambda x: len(string_split(x, chr(10))))), 0)::bigint as start_line,
   case when long then 0 else 1 + len(string_split(content, chr(10))) end as end_line, md5(piece) as content_md5 from u"""))

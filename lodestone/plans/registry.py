@@ -229,6 +229,14 @@ def code_units(spark, d):
         "chunk_id")
 
 
+@query
+def code_units_languages(spark, d):
+    """Units of Python, Scala and Java sources."""
+    return code.chunk_code(frame(spark, d, "unit_files")).select(
+        "p_partkey", "language", "chunk_type", "qualified_name", "signature", "start_line", "end_line", "spark_apis",
+        pt.pattern_names(F.col("problem_indicators")).alias("problems"), md5("content").alias("content_md5"), "chunk_id")
+
+
 @query
 def class_summary(spark, d):
     return code.class_summaries(frame(spark, d, "code_files")).select(
@@ -238,8 +246,8 @@ def class_summary(spark, d):
 @query
 def split_units(spark, d):
     units = code.enrich_units(code.code_units(frame(spark, d, "long_code")))
-    return code.split_units(units).where("chunk_type = 'method'").select(
-        "doc_id", "part_no", "qualified_name", F.length("signature").alias("signature_chars"),
+    return code.split_units(units).select(
+        "doc_id", "chunk_type", "part_no", "qualified_name", F.length("signature").alias("signature_chars"),
         "start_line", "end_line", md5("content").alias("content_md5"))
 
 

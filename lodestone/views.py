@@ -66,6 +66,72 @@ select question_id, turn, kind = 'q' as is_question, case when kind = 'q' then c
   body_html as body, score, is_accepted
  from ({VIEWS["qa_items"]}) i"""
 
+# sources of three languages: strings and comments that look like code, decorators, several
+# headers on a line, headers over several lines; {n} and {size} differ by file
+UNIT_SOURCES = {
+    "py": """import os
+from a import (
+    b,
+)
+
+@wrapped
+def gone(x):
+    return x
+
+class K{n}(Base):
+    '''Text: def no(self): {
+    class No:'''
+    @property
+    def run(self, df):
+        s = "} # not a comment"
+        return df.collect()
+
+def top{size}(a):
+    return a
+""",
+    "scala": """package org.x
+import a.{B, C}
+
+class K{n}(a: Int)
+  extends Bar { def one = 1; def two(x: Int): Int = { x + a } }
+
+object K{n} {
+  val s = "} def no = 1" // def no2 = {
+  /* def no3 = { */
+  def apply(
+      a: Int): K{n} =
+    new K{n}(a)
+  def run(df: D) = df.collect()
+}
+""",
+    "java": """package a.b;
+import x.Y;
+
+public final class K{n}<T> extends Z {
+  private Runnable r = new Runnable() { public void go() { x(); } };
+  @Override public <U> List<U> get(String a,
+      int b) throws E { String s = "} void no() {"; return null; } void two() { d.collect(); }
+  abstract int last(int a);
+}
+interface I{size} { int one(int a); default int two() { return 2; } }
+""",
+}
+
+
+def filled(template: str) -> str:
+    """A template over ``part`` as an SQL expression."""
+    quoted = template.replace("'", "''").replace("\n", "', NL, '")
+    for name, value in (("n", "p_partkey % 50"), ("size", "p_size")):
+        quoted = quoted.replace(f"{{{name}}}", f"', cast({value} as string), '")
+    return f"concat('{quoted}')"
+
+
+VIEWS["unit_files"] = f"""
+select p_partkey, p_size, concat('core/f', cast(p_partkey as string), case p_partkey % 3 when 0 then '.py' when 1 then '.scala' else '.java' end) as file_path,
+  case when p_partkey % 2 = 0 then '4.1.0' else '3.5.4' end as spark_version,
+  case p_partkey % 3 when 0 then {filled(UNIT_SOURCES["py"])} when 1 then {filled(UNIT_SOURCES["scala"])} else {filled(UNIT_SOURCES["java"])} end as content
+ from part"""
+
 # the chunk tables of the four sources, with vectors and texts
 VIEWS["served_rows"] = f"""
 select f.*, coalesce(text, '') as content from ({VIEWS["vec_facts"]}) f left join (select doc_id, text from documents) d on doc_id = vec_id"""
@@ -99,8 +165,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                for t in _TABLES if re.search(rf"\bfrom {t}\b", sql)}
     for t in sources:
         sql = re.sub(rf"\bfrom {t}\b", f"from {{{t}}}", sql)
-    # the include tag and the JSON-like braces are text, not parameters
-    sql = sql.replace("{%", "{{%").replace("%}", "%}}")
+    # all other braces are text, not parameters
+    marks = {f"{{{t}}}": f"\x00{t}\x00" for t in sources}
+    for name, mark in marks.items():
+        sql = sql.replace(name, mark)
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name, mark in marks.items():
+        sql = sql.replace(mark, name)
     return spark.sql(sql, **sources)
 
 
