@@ -12,8 +12,6 @@ from . import rules
 BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
           "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-_NODE = "\x01"  # marks the border between two text nodes
-
 
 def strip(text: Column) -> Column:
     """The text without leading and trailing white space, Unicode blanks included."""
@@ -99,25 +97,80 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), resolved).otherwise(text)
 
 
-def _nodes(html: Column) -> Column:
-    pieces = F.split(F.regexp_replace(html, _MARKUP, _NODE), _NODE)
-    return F.filter(F.transform(pieces, lambda p: strip(unescape(p))), lambda p: p != "")
+def _text_nodes(html: Column) -> Column:
+    """What stands between the tags, resolved and stripped: one more than there are tags."""
+    return F.transform(F.split(html, _MARKUP, -1), lambda p: strip(unescape(p)))
 
 
 def html_to_text(html: Column) -> Column:
     """Visible text nodes, stripped, blank ones dropped, one per line."""
-    return F.array_join(_nodes(html), "\n")
+    return F.array_join(F.filter(_text_nodes(html), lambda p: p != ""), "\n")
+
+
+# Elements without content.
+_VOID = ("area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
+         "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr")
+_ELEMENT = "struct<no:int,count:int,row:boolean,start:int,end:int>"
+_OPEN = "array<struct<name:string,no:int,start:int>>"
+
+
+def _elements(tags: Column) -> Column:
+    """Rows and cells among the tags in order of their start, as far as each reaches.
+
+    A fold with the stack of open elements. An end tag closes the last open element of
+    its name and all inside it; without one it closes nothing. ``no`` numbers rows and cells,
+    ``count`` is how many of them an element holds, ``start`` and ``end`` are numbers of tags.
+    """
+    first = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<{_ELEMENT}>").alias("done"), F.lit(0).alias("n"))
+    facts = F.transform(tags, lambda t, i: F.struct(
+        i.alias("i"), F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
+        t.startswith("</").alias("ends"), F.rlike(t, F.lit(r"(?is)/>\z|</(?:script|style|template)\s*>\z")).alias("whole")))
+
+    def kept(name: Column) -> Column:
+        return name.isin("tr", "td", "th")
+
+    def closed(acc: Column, depth: Column, at: Column) -> Column:
+        """Everything above a depth leaves the stack."""
+        gone = F.filter(F.slice(acc["open"], depth + 1, F.size(acc["open"])), lambda e: kept(e["name"]))
+        ended = F.transform(gone, lambda e: F.struct(
+            e["no"].alias("no"), (acc["n"] - e["no"] - 1).alias("count"), (e["name"] == "tr").alias("row"),
+            e["start"].alias("start"), at.cast("int").alias("end")))
+        return F.struct(F.slice(acc["open"], F.lit(1), depth).alias("open"), F.concat(acc["done"], ended).alias("done"),
+                        acc["n"].alias("n"))
+
+    def step(acc: Column, tag: Column) -> Column:
+        named = F.transform(acc["open"], lambda e: e["name"])
+        # the last of the name, counted from 1
+        last = F.size(named) + 1 - F.array_position(F.reverse(named), tag["name"]).cast("int")
+        opened = F.struct(
+            F.concat(acc["open"], F.array(F.struct(tag["name"].alias("name"), acc["n"].alias("no"), tag["i"].alias("start")))).alias("open"),
+            acc["done"].alias("done"), (acc["n"] + kept(tag["name"]).cast("int")).alias("n"))
+        return (F.when((tag["name"] == "") | (~tag["ends"] & (tag["whole"] | tag["name"].isin(*_VOID))), acc)
+                .when(~tag["ends"], opened)
+                .when(F.array_contains(named, tag["name"]), closed(acc, last - 1, tag["i"]))
+                .otherwise(acc))
+
+    whole = F.aggregate(facts, first, step)
+    return F.array_sort(closed(whole, F.lit(0), F.size(tags))["done"])
 
 
 def table_to_text(html: Column) -> Column:
-    """Rows of an HTML table as lines, cells joined by a bar."""
-    def cells(row: Column) -> Column:
-        found = F.regexp_extract_all(row, F.lit(r"(?is)<(?:th|td)\b[^>]*+>(.*?)</(?:th|td)\s*+>"), 1)
-        return F.array_join(F.transform(found, lambda c: F.array_join(_nodes(c), "")), " | ")
-
-    table_rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*+>(.*?)</tr\s*+>"), 1)
-    with_cells = F.filter(table_rows, lambda r: F.rlike(r, F.lit(r"(?is)<(?:th|td)\b")))
-    return F.array_join(F.transform(with_cells, cells), "\n")
+    """Rows of an HTML table as lines, cells joined by a bar.
+
+    A row has all cells below it, those of a nested table too, and a cell all texts below
+    it. What is not closed reaches to the end of what holds it.
+    """
+    def rows(nodes: Column, elements: Column) -> Column:
+        def line(row: Column) -> Column:
+            cells = F.filter(F.slice(elements, row["no"] + 2, row["count"]), lambda e: ~e["row"])
+            return F.struct(F.size(cells).alias("n"), F.array_join(F.transform(cells, lambda c: F.array_join(
+                F.slice(nodes, c["start"] + 2, c["end"] - c["start"]), "")), " | ").alias("text"))
+
+        found = F.filter(F.transform(F.filter(elements, lambda e: e["row"]), line), lambda r: r["n"] > 0)
+        return F.array_join(F.transform(found, lambda r: r["text"]), "\n")
+
+    return let(_text_nodes(html), lambda nodes: let(
+        _elements(F.regexp_extract_all(html, F.lit(f"({_MARKUP})"), 1)), lambda elements: rows(nodes, elements)))
 
 
 def html_tables(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Markdown documents to typed chunks.
 
 The whole job is narrow: fenced code and HTML tables are folded into marked single
-lines, headings split the text, and sections are exploded. Nothing is shuffled but
-the small include lookup, and only when tags are to be resolved.
+lines, headings split the text, and sections are exploded. Marks are control characters;
+those of the text itself are escaped before and restored in every part. Nothing is shuffled
+but the small include lookup, and only when tags are to be resolved.
 """
 
 from __future__ import annotations
@@ -26,6 +27,25 @@ _CODE, _TABLE, _BAR, _LF = "\x02", "\x03", "\x04", "\x05"
 _MARKED = rf"(?dm)^([{_CODE}{_TABLE}][^\n]*)$"
 
 
+# escape of a mark that stands in the text: the first mark and a letter
+_MARKS = "\x01" + _CODE + _TABLE + _BAR + _LF
+_HOLDS_MARK = f"[{_MARKS}]"
+
+
+def _escaped(text: Column) -> Column:
+    out = text
+    for mark, letter in zip(_MARKS, "abcde"):
+        out = F.replace(out, F.lit(mark), F.lit("\x01" + letter))
+    return F.when(F.rlike(text, F.lit(_HOLDS_MARK)), out).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    out = text
+    for mark, letter in reversed(list(zip(_MARKS, "abcde"))):
+        out = F.replace(out, F.lit("\x01" + letter), F.lit(mark))
+    return F.when(text.contains("\x01"), out).otherwise(text)
+
+
 def _folded(text: Column, pattern: str, group: int, mark: str, prepare) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), group)
 
@@ -72,7 +92,7 @@ def heading_paths(levels: Column, headings: Column) -> Column:
 
 
 def split_sections(docs: DataFrame, content: str = "content") -> DataFrame:
-    """One row per section: ``section_no``, ``level``, ``heading``, ``path``, ``body``.
+    """One row per section: ``section_no``, ``level``, ``heading``, ``path``, ``body`` (for ``section_parts``).
 
     Text before the first heading is section 0 of level 0, and absent when blank.
     Blocks are folded before the split, so a ``#`` line in code is no heading.
@@ -80,10 +100,10 @@ def split_sections(docs: DataFrame, content: str = "content") -> DataFrame:
     text = F.col("_folded")
     levels = F.transform(F.regexp_extract_all(text, F.lit(HEADING), 1), F.length)
     headings = F.transform(F.regexp_extract_all(text, F.lit(HEADING), 2),
-                           lambda h: tx.strip(_placeholders(h)))
+                           lambda h: _restored(tx.strip(_placeholders(h))))
     marked = (
         docs.where(~tx.is_blank(F.col(content)))
-        .withColumn("_folded", fold_blocks(F.col(content)))
+        .withColumn("_folded", fold_blocks(_escaped(F.col(content))))
         .withColumn("_levels", levels).withColumn("_headings", headings)
         .withColumn("_bodies", F.split(text, HEADING, -1))
         .withColumn("_paths", heading_paths(F.col("_levels"), F.col("_headings")))
@@ -105,23 +125,26 @@ def split_sections(docs: DataFrame, content: str = "content") -> DataFrame:
 def section_parts(body: Column) -> Column:
     """Prose runs and blocks of a section in order: array<struct<content_type, content>>."""
     prose = F.transform(F.split(body, _MARKED, -1), lambda p: F.struct(
-        F.lit("prose").alias("content_type"), tx.strip(_placeholders(p)).alias("content")))
+        F.lit("prose").alias("content_type"), _restored(tx.strip(_placeholders(p))).alias("content")))
     blocks = F.transform(F.regexp_extract_all(body, F.lit(_MARKED), 1), lambda m: F.struct(
         F.when(m.startswith(_CODE), "code_example").otherwise("config_table").alias("content_type"),
-        F.when(m.startswith(_CODE), _unfold(m))
-        .otherwise(tx.table_to_text(_unfold(m))).alias("content")))
+        F.when(m.startswith(_CODE), _restored(_unfold(m)))
+        .otherwise(tx.table_to_text(_restored(_unfold(m)))).alias("content")))
     ordered = F.flatten(F.zip_with(prose, blocks, lambda a, b: F.array(a, b)))
     return F.filter(ordered, lambda p: p.isNotNull() & F.when(
         p["content_type"] == "prose", F.length(p["content"]) > MIN_PROSE_CHARS)
         .otherwise(~tx.is_blank(p["content"])))
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
+def chunk_documents(docs: DataFrame, examples: DataFrame | None = None) -> DataFrame:
     """Chunks of documents (``spark_version``, ``file_path``, ``content``, plus any keys).
 
-    Configuration keys are those of the whole run of prose, code or table, given to
-    every piece it is packed into.
+    With ``examples`` (``key``, ``code``) include tags are resolved first; else they stay as
+    they are. Configuration keys are those of the whole run of prose, code or table, given
+    to every piece it is packed into.
     """
+    if examples is not None:
+        docs = resolve_includes(docs, examples)
     keys = [c for c in docs.columns if c not in ("content", "file_path", "spark_version")]
     parts = (
         split_sections(docs)
@@ -148,21 +171,23 @@ def code_blocks(content: Column) -> Column:
     return F.filter(found, lambda c: c != "")
 
 
-def resolve_includes(docs: DataFrame, lookup: DataFrame, key: str,
-                     content: str = "content") -> DataFrame:
+def resolve_includes(docs: DataFrame, lookup: DataFrame, content: str = "content") -> DataFrame:
     """Replace include tags by the looked-up code, by name, then by path.
 
     ``lookup`` has ``key`` and ``code``. Tags are exploded and joined, never the
     documents: a document without tags does not enter the shuffle. The join carries
-    names and code only; texts are cut and put back together within their row.
+    names and code only; texts are cut and put back together within their row. Equal
+    texts have equal tags, so that a text's digest finds them: no document key is
+    needed, and a null one loses nothing.
     """
     tagged = F.coalesce(F.rlike(F.col(content), F.lit(INCLUDE)), F.lit(False))
+    digest = F.sha2(F.col(content), 256)
     tags = docs.where(tagged).select(
-        key, F.posexplode(F.arrays_zip(
+        digest.alias("_text"), F.posexplode(F.arrays_zip(
             F.regexp_extract_all(F.col(content), F.lit(INCLUDE), 1).alias("name"),
             F.regexp_extract_all(F.col(content), F.lit(INCLUDE), 2).alias("path"))).alias("no", "tag"))
     # written out: tags are few beside the texts they are found in, and read three times
-    tags = checkpointed(tags.select(key, "no", "tag.name", "tag.path"), "tags")
+    tags = checkpointed(tags.select("_text", "no", "tag.name", "tag.path").distinct(), "tags")
     # many documents name the same example: distinct pairs meet the lookup, once, under
     # both their keys; an empty text counts as no text, as for a missing key
     asked = tags.select("name", "path").distinct().select(
@@ -174,12 +199,13 @@ def resolve_includes(docs: DataFrame, lookup: DataFrame, key: str,
     text = F.when(F.col("code").isNotNull(), F.concat(F.lit("```\n"), F.col("code"), F.lit("\n```"))) \
         .otherwise(F.concat(F.lit("[Example: "), F.col("name"), F.lit(" ("), F.col("path"), F.lit(")]")))
     resolved = (
-        tags.join(found, ["name", "path"], "left").select(key, "no", text.alias("text"))
-        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("no", "text"))).alias("_tags"))
+        tags.join(found, ["name", "path"], "left").select("_text", "no", text.alias("text"))
+        .groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("no", "text"))).alias("_tags"))
     )
     filled = tx.interleave(F.split(F.col(content), INCLUDE, -1),
                            F.transform(F.col("_tags"), lambda t: t["text"]))
     return (
-        docs.where(tagged).join(resolved, key).withColumn(content, filled).drop("_tags")
+        docs.where(tagged).withColumn("_text", digest).join(resolved, "_text")
+        .withColumn(content, filled).drop("_tags", "_text")
         .unionByName(docs.where(~tagged))
     )

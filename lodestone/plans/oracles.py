@@ -5,7 +5,7 @@ folds, literal rules and block scoring."""
 from __future__ import annotations
 
 from ..functions import rules
-from ..views import cte, filled
+from ..views import VIEWS, cte, filled
 from .registry import SINCE
 
 ORACLES: dict[str, str] = {}
@@ -250,8 +250,15 @@ BESIDE = ", ".join(f"s.{c}" for c in PLACES)
 
 # ---- the Markdown documents, by lines ----
 
+_EX = "concat('ex', cast(doc_id % 4 as varchar))"
+INCLUDED = f"""lookup as (select concat('ex', cast(p_partkey * 2 as varchar)) as key, content as code from code_files),
+md_included as (select doc_id, file_path, spark_version, replace(d.content, concat('{{% include_example ', {_EX}, ' python/ex.py %}}'),
+  coalesce('```' || chr(10) || l.code || chr(10) || '```', concat('[Example: ', {_EX}, ' (python/ex.py)]'))) as content
+  from md_docs d left join lookup l on l.key = {_EX})"""
 MD = f"""{cte("md_docs")},
-{lines("md_l", "md_docs", "doc_id", "content")},
+{cte("code_files")},
+{INCLUDED},
+{lines("md_l", "md_included", "doc_id", "content")},
 md_f as (select *, starts_with(line, '```') as is_fence, sum(case when starts_with(line, '```') then 1 else 0 end) over (partition by doc_id order by i) as nf from md_l),
 md_k as (select *, case when is_fence or nf % 2 = 1 then 'code_example' when starts_with(line, '<table') then 'config_table'
    when regexp_matches(line, '^#{{1,6}}\\s+.+$') then 'heading' else 'prose' end as kind from md_f),
@@ -362,6 +369,13 @@ sql("json_unwrap", """select event_id, json_extract_string(props, '$.k') as k,
 sql("md_sections", with_(MD_CHUNKS, select=f"""select doc_id, section_no::bigint as section_no, part_no, piece_no, doc_url, doc_section, {bar("path")} as heading_hierarchy,
   content_type, {bar("configs")} as related_configs, md5(content) as content_md5,
   {uuid5("concat(spark_version, ':', doc_url, ':', doc_section, ':', " + hash16("content") + ")")} as chunk_id from md_chunks"""))
+_MARKS = f"md_docs as ({VIEWS['mark_docs'].replace('NL', 'chr(10)')})"
+ORACLES["md_sections_marks"] = ORACLES["md_sections"].replace(cte("md_docs"), _MARKS)
+sql("html_tables_nested", """
+select doc_id, 0 as table_no, concat('Key | Value & more', chr(10), 'inx', n_chars, 'y | x', n_chars, ' | y', chr(10), 'x', n_chars, ' | y') as table_text from documents
+union all select doc_id, 1, concat('a', doc_id, 'bcd | bcd | d', chr(10), 'd') from documents
+union all select doc_id, 2, '' from documents
+union all select doc_id, 3, concat('ef | ', lang) from documents""")
 sql("heading_path", with_(MD, select=f"""select doc_id, section_no::bigint as section_no, level, heading, {bar("path")} as heading_path
   from md_h join md_paths using (doc_id, section_no)"""))
 sql("md_code_blocks", with_(cte("md_docs"), r"""f as (select doc_id, regexp_extract_all(content, '(?ms)^```(\w*)\n(.*?)^```', 2) as blocks from md_docs)""",
@@ -372,13 +386,8 @@ sql("html_tables", with_(cte("md_docs"), "f as (select doc_id, regexp_extract_al
     select=f"select doc_id, table_no, {table_text('html')} as table_text from u"))
 sql("html_to_text", with_(f"t as (select page_id, {html('html')} as page_text from pages)",
     select="select page_id, length(page_text) as n_chars, md5(page_text) as text_md5 from t"))
-_EX = "concat('ex', cast(doc_id % 4 as varchar))"
-sql("include_join", with_(cte("md_docs"), cte("code_files"),
-    "lookup as (select concat('ex', cast(p_partkey * 2 as varchar)) as key, content as code from code_files)",
-    f"""r as (select doc_id, replace(d.content, concat('{{% include_example ', {_EX}, ' python/ex.py %}}'),
-      coalesce('```' || chr(10) || l.code || chr(10) || '```', concat('[Example: ', {_EX}, ' (python/ex.py)]'))) as content
-      from md_docs d left join lookup l on l.key = {_EX})""",
-    select="select doc_id, length(content) as n_chars, md5(content) as content_md5 from r"))
+sql("include_join", with_(cte("md_docs"), cte("code_files"), INCLUDED,
+    select="select doc_id, length(content) as n_chars, md5(content) as content_md5 from md_included"))
 sql("top_sections", with_(MD_CHUNKS, select="select doc_section, count(*) as n_chunks from md_chunks group by 1 order by 2 desc, 1 limit 10"))
 
 sql("detect_apis", with_(cte("code_files"), apis("a", "code_files", "p_partkey", "content"),

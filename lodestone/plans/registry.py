@@ -139,13 +139,24 @@ def json_unwrap(spark, d):
 
 # ---- documents ----
 
-@query
-def md_sections(spark, d):
-    return markdown.chunk_documents(frame(spark, d, "md_docs")).select(
+def section_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select(
         "doc_id", "section_no", "part_no", "piece_no", "doc_url", "doc_section", "heading_hierarchy",
         "content_type", "related_configs", md5("content").alias("content_md5"), "chunk_id")
 
 
+@query
+def md_sections(spark, d):
+    """The whole document job: include tags resolved, then sections, parts and pieces."""
+    return section_rows(markdown.chunk_documents(frame(spark, d, "md_docs"), example_code(spark, d)))
+
+
+@query
+def md_sections_marks(spark, d):
+    """Documents that hold the control characters which mark folded blocks."""
+    return section_rows(markdown.chunk_documents(frame(spark, d, "mark_docs"), example_code(spark, d)))
+
+
 @query
 def heading_path(spark, d):
     return markdown.split_sections(frame(spark, d, "md_docs")).select(
@@ -165,6 +176,13 @@ def html_tables(spark, d):
         .select("doc_id", "table_no", tx.table_to_text(F.col("html")).alias("table_text"))
 
 
+@query
+def html_tables_nested(spark, d):
+    """Tables with nested tables, cells and rows that are not closed, tags in capitals, and no cells."""
+    found = frame(spark, d, "table_docs").select("doc_id", F.posexplode(tx.html_tables(F.col("content"))).alias("table_no", "html"))
+    return found.select("doc_id", "table_no", tx.table_to_text(F.col("html")).alias("table_text"))
+
+
 @query
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("page_text")) \
@@ -179,13 +197,13 @@ def example_code(spark, d) -> DataFrame:
 
 @query
 def include_join(spark, d):
-    resolved = markdown.resolve_includes(frame(spark, d, "md_docs"), example_code(spark, d), "doc_id")
+    resolved = markdown.resolve_includes(frame(spark, d, "md_docs"), example_code(spark, d))
     return resolved.select("doc_id", F.length("content").alias("n_chars"), md5("content").alias("content_md5"))
 
 
 @query
 def top_sections(spark, d):
-    return stats.top_values(markdown.chunk_documents(frame(spark, d, "md_docs")), "doc_section")
+    return stats.top_values(markdown.chunk_documents(frame(spark, d, "md_docs"), example_code(spark, d)), "doc_section")
 
 
 # ---- code ----

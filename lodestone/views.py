@@ -132,6 +132,15 @@ select p_partkey, p_size, concat('core/f', cast(p_partkey as string), case p_par
   case p_partkey % 3 when 0 then {filled(UNIT_SOURCES["py"])} when 1 then {filled(UNIT_SOURCES["scala"])} else {filled(UNIT_SOURCES["java"])} end as content
  from part"""
 
+VIEWS["mark_docs"] = f"""
+select doc_id, file_path, spark_version, translate(content, 'jwzvJ', concat(chr(1), chr(2), chr(3), chr(4), chr(5))) as content from ({VIEWS["md_docs"]}) m"""
+# tables that a tag-by-tag reading must follow: see the oracle for what they say
+VIEWS["table_docs"] = """
+select doc_id, concat('before <table class="a"><tr><th>Key</th><th>Value &amp; more</th></tr><tr><td>in<table border=1><tr><td> x', cast(n_chars as string),
+   ' </td><td>y</td></tr></table> cut </td></tr></table> between <TABLE><TR><TD>a', cast(doc_id as string), '<TD><b>b</b> c<TR><TD>d</TABLE> and <table><tr></tr><p>no cells</p></table>',
+   '<table><tr><td>e<br/>f<!-- <td>g</td> --></b></td><th>', lang, '</th><script>h</script></tr></table>') as content
+ from documents"""
+
 # the chunk tables of the four sources, with vectors and texts
 VIEWS["served_rows"] = f"""
 select f.*, coalesce(text, '') as content from ({VIEWS["vec_facts"]}) f left join (select doc_id, text from documents) d on doc_id = vec_id"""

@@ -56,8 +56,28 @@ def test_includes(spark):
     lookup = spark.createDataFrame([("python/x.py", "print(1)"), ("named", "two"), ("blank", "")], "key string, code string")
     given = docs(spark, "a {% include_example n1 python/x.py %} b {%include_example named z%}.",
                  "{% include_example blank none %}", "no tag")
-    out = {r.doc_id: r.content for r in markdown.resolve_includes(given, lookup, "doc_id").collect()}
+    out = {r.doc_id: r.content for r in markdown.resolve_includes(given, lookup).collect()}
     assert out == {0: "a ```\nprint(1)\n``` b ```\ntwo\n```.", 1: "[Example: blank (none)]", 2: "no tag"}
+    # documents without a key, and repeated ones, lose nothing
+    same = spark.createDataFrame([(None, "{% include_example named z %}"), (None, "{% include_example named z %}"), (3, None), (None, None)],
+                                 "doc_id long, content string")
+    assert sorted(str(r.content) for r in markdown.resolve_includes(same, lookup).collect()) == ["None", "None"] + ["```\ntwo\n```"] * 2
+
+
+def test_includes_are_part_of_the_document_job(spark):
+    lookup = spark.createDataFrame([("named", "# no heading\nx = 1")], "key string, code string")
+    rows = markdown.chunk_documents(docs(spark, "# A\nsome prose before the tag, long enough\n{% include_example named z %}\n"), lookup)
+    assert [(r.content_type, r.content) for r in rows.orderBy("part_no").collect()] \
+        == [("prose", "some prose before the tag, long enough"), ("code_example", "# no heading\nx = 1")]
+
+
+def test_control_characters_of_the_text_stay(spark):
+    odd = "".join(map(chr, range(1, 7))) * 2
+    text = f"# H{odd}\nprose {odd} that is long enough here\x01b\n```\ncode{odd}\nb\x02\n```\n<table><tr><td>{odd}c</td></tr></table>\n\x02tail with a mark first, long enough"
+    rows = markdown.chunk_documents(docs(spark, text)).orderBy("part_no").collect()
+    assert [(r.content_type, r.heading_hierarchy, r.content) for r in rows] == [
+        ("prose", [f"H{odd}"], f"prose {odd} that is long enough here\x01b"), ("code_example", [f"H{odd}"], f"code{odd}\nb\x02"),
+        ("config_table", [f"H{odd}"], f"{odd}c"), ("prose", [f"H{odd}"], "\x02tail with a mark first, long enough")]
 
 
 def test_document_chunking_is_narrow_and_native(spark):

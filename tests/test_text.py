@@ -1,5 +1,7 @@
 import hashlib
+import random
 import uuid
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -162,3 +164,60 @@ def test_lists_as_json(value):
 def test_source_labels(value):
     assert [value(tx.source_label(T), t=s) for s in ("code", "qa", "spark_user_notes")] == \
         ["Code", "Stackoverflow", "User Notes"]
+
+
+class _Tree(HTMLParser):
+    """Elements as nested lists: an end tag closes the last open element of its name and all inside it."""
+
+    def __init__(self):
+        super().__init__()
+        self.root = ["root"]
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag]
+        self.open[-1].append(node)
+        if tag not in ("br", "img"):
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1].append([tag])
+
+    def handle_endtag(self, tag):
+        at = max((i for i, n in enumerate(self.open) if n[0] == tag), default=0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+
+def _below(node, *names):
+    for child in node[1:]:
+        if isinstance(child, list):
+            if child[0] in names:
+                yield child
+            yield from _below(child, *names)
+
+
+def _text(node):
+    return "".join(c.strip() if isinstance(c, str) else _text(c) for c in node[1:])
+
+
+def test_tables_against_a_tree(spark):
+    rng = random.Random(4)
+    bits = ["<tr>", "</tr>", "<td>", "</td>", "<TH a='>'>", "</th>", "<table>", "</table>", "<b>", "</b>", "<p>", "</p>", "<br>", "<i/>", " x ", "y", "\n", "<!-- <td> -->"]
+    tables = ["<table>" + "".join(rng.choice(bits) + (str(i) if rng.random() < .3 else "") for i in range(rng.randrange(40))) + "</table>" for _ in range(300)]
+    want = []
+    for html in tables:
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
+        rows = ([_text(c) for c in _below(r, "td", "th")] for r in _below(tree.root, "tr"))
+        want.append("\n".join(" | ".join(cells) for cells in rows if cells))
+    got = spark.createDataFrame(list(enumerate(tables)), "i int, html string").select("i", tx.table_to_text(F.col("html")).alias("t"))
+    assert [r.t for r in got.orderBy("i").collect()] == want
+
+
+def test_control_characters_are_text(value):
+    assert value(tx.html_to_text(F.col("t")), t="a\x01b<p>c\x02</p>") == "a\x01b\nc\x02"
