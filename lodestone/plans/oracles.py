@@ -314,6 +314,37 @@ summaries as (select c.p_partkey, c.name as qualified_name, concat('class ', c.n
    concat('class ', c.name, chr(10), chr(10), 'Methods:', chr(10), string_agg(concat('  ', m.signature), chr(10) order by m.i)) as content, c.i as start_line, c.last as end_line
    from units c join methods m on m.p_partkey = c.p_partkey and m.class_name = c.name where c.kind = 'class' group by c.p_partkey, c.name, c.i, c.last)"""
 
+# the units that stand in the templates: kind, class, name, first and last line, text
+_UNITS = {
+    0: [("imports", None, None, 1, 0, "import os\nfrom a import (\n    b,\n)"),
+        ("class_summary", "K{n}", "class", 10, 16, "class K{n}\n\nMethods:\n  def run(self, df)"),
+        ("method", "K{n}", "run", 14, 16, 'def run(self, df):\n        s = "} # not a comment"\n        return df.collect()'),
+        ("method", None, "top{size}", 18, 19, "def top{size}(a):\n    return a")],
+    1: [("imports", None, None, 1, 0, "package org.x\nimport a.{B, C}"),
+        ("class_summary", "K{n}", "class", 4, 5, "class K{n}\n\nMethods:\n  def one = 1\n  def two(x: Int): Int ="),
+        ("method", "K{n}", "one", 5, 5, "def one = 1"), ("method", "K{n}", "two", 5, 5, "def two(x: Int): Int = { x + a }"),
+        ("class_summary", "K{n}", "object", 7, 14, "object K{n}\n\nMethods:\n  def apply(\n      a\n  def run(df"),
+        ("method", "K{n}", "apply", 10, 12, "def apply(\n      a: Int): K{n} =\n    new K{n}(a)"),
+        ("method", "K{n}", "run", 13, 13, "def run(df: D) = df.collect()")],
+    2: [("imports", None, None, 1, 0, "package a.b;\nimport x.Y;"),
+        ("class_summary", "K{n}", "class", 4, 9, "class K{n}\n\nMethods:\n  public void go()\n  @Override public <U> List<U> get(String a,\n      int b) throws E\n  void two()\n  abstract int last(int a);"),
+        ("method", "K{n}", "go", 5, 5, "public void go() { x(); }"),
+        ("method", "K{n}", "get", 6, 7, '@Override public <U> List<U> get(String a,\n      int b) throws E { String s = "} void no() {"; return null; }'),
+        ("method", "K{n}", "two", 7, 7, "void two() { d.collect(); }"), ("method", "K{n}", "last", 8, 8, "abstract int last(int a);"),
+        ("class_summary", "I{size}", "interface", 10, 10, "interface I{size}\n\nMethods:\n  int one(int a);\n  default int two()"),
+        ("method", "I{size}", "one", 10, 10, "int one(int a);"), ("method", "I{size}", "two", 10, 10, "default int two() { return 2; }")],
+}
+
+
+def _unit(third: int, no: int, unit: tuple) -> str:
+    kind, owner, name, first, last, text = unit
+    label = "concat(file_path, ':imports')" if kind == "imports" else filled(
+        owner if kind == "class_summary" else f"{owner}.{name}" if owner else name)
+    shown = filled(f"{name} {owner}") if kind == "class_summary" else "''" if kind == "imports" else signature(filled(text))
+    return (f"select p_partkey, p_partkey * 100 + {no} as id, '{kind}' as chunk_type, {label} as qualified_name, {shown} as signature, "
+            f"{first} as start_line, {last} as end_line, {filled(text)} as content from unit_files where p_partkey % 3 = {third}").replace("NL", "chr(10)")
+
+
 # ---- requests ----
 
 ASKED = f"""{cte("log_texts")},
@@ -410,37 +441,6 @@ sql("code_units", with_(CODE, apis("ua", "methods", "id", "content"), problems("
   union all select m.p_partkey, 'method', m.qualified_name, m.signature, m.i, m.last, {bar("ua.apis")}, {bar("ug.names")}, m.content from methods m left join ua using (id) left join ug using (id))""",
     select=f"""select p_partkey, chunk_type, qualified_name, signature, start_line, end_line, spark_apis, problems, md5(c.content) as content_md5,
   {uuid5("concat(f.spark_version, ':', f.file_path, ':', qualified_name, ':', start_line)")} as chunk_id from chunks c join code_files f using (p_partkey)"""))
-# the units that stand in the templates: kind, class, name, first and last line, text
-_UNITS = {
-    0: [("imports", None, None, 1, 0, "import os\nfrom a import (\n    b,\n)"),
-        ("class_summary", "K{n}", "class", 10, 16, "class K{n}\n\nMethods:\n  def run(self, df)"),
-        ("method", "K{n}", "run", 14, 16, 'def run(self, df):\n        s = "} # not a comment"\n        return df.collect()'),
-        ("method", None, "top{size}", 18, 19, "def top{size}(a):\n    return a")],
-    1: [("imports", None, None, 1, 0, "package org.x\nimport a.{B, C}"),
-        ("class_summary", "K{n}", "class", 4, 5, "class K{n}\n\nMethods:\n  def one = 1\n  def two(x: Int): Int ="),
-        ("method", "K{n}", "one", 5, 5, "def one = 1"), ("method", "K{n}", "two", 5, 5, "def two(x: Int): Int = { x + a }"),
-        ("class_summary", "K{n}", "object", 7, 14, "object K{n}\n\nMethods:\n  def apply(\n      a\n  def run(df"),
-        ("method", "K{n}", "apply", 10, 12, "def apply(\n      a: Int): K{n} =\n    new K{n}(a)"),
-        ("method", "K{n}", "run", 13, 13, "def run(df: D) = df.collect()")],
-    2: [("imports", None, None, 1, 0, "package a.b;\nimport x.Y;"),
-        ("class_summary", "K{n}", "class", 4, 9, "class K{n}\n\nMethods:\n  public void go()\n  @Override public <U> List<U> get(String a,\n      int b) throws E\n  void two()\n  abstract int last(int a);"),
-        ("method", "K{n}", "go", 5, 5, "public void go() { x(); }"),
-        ("method", "K{n}", "get", 6, 7, '@Override public <U> List<U> get(String a,\n      int b) throws E { String s = "} void no() {"; return null; }'),
-        ("method", "K{n}", "two", 7, 7, "void two() { d.collect(); }"), ("method", "K{n}", "last", 8, 8, "abstract int last(int a);"),
-        ("class_summary", "I{size}", "interface", 10, 10, "interface I{size}\n\nMethods:\n  int one(int a);\n  default int two()"),
-        ("method", "I{size}", "one", 10, 10, "int one(int a);"), ("method", "I{size}", "two", 10, 10, "default int two() { return 2; }")],
-}
-
-
-def _unit(third: int, no: int, unit: tuple) -> str:
-    kind, owner, name, first, last, text = unit
-    label = "concat(file_path, ':imports')" if kind == "imports" else filled(
-        owner if kind == "class_summary" else f"{owner}.{name}" if owner else name)
-    shown = filled(f"{name} {owner}") if kind == "class_summary" else "''" if kind == "imports" else signature(filled(text))
-    return (f"select p_partkey, p_partkey * 100 + {no} as id, '{kind}' as chunk_type, {label} as qualified_name, {shown} as signature, "
-            f"{first} as start_line, {last} as end_line, {filled(text)} as content from unit_files where p_partkey % 3 = {third}").replace("NL", "chr(10)")
-
-
 sql("code_units_languages", with_(
     cte("unit_files"), "made as (" + "\n union all ".join(_unit(k, i, u) for k, us in _UNITS.items() for i, u in enumerate(us)) + ")",
     "methods as (select * from made where chunk_type = 'method')", apis("ua", "methods", "id", "content"), problems("up", "methods", "id", "content"),
@@ -539,9 +539,42 @@ sql("ann_lsh", with_(
     select="""select item_id, vec_id, sim, rank, e.item_id is not null as in_exact, n_scored, (select count(*) from embeddings) as n_rows
   from firsts f left join exact e using (item_id, vec_id) join counts using (item_id)"""))
 sql("json_contains", with_(QA, select="""select question_id, turn, to_json({'apis': apis})::varchar as apis from qa where list_contains(apis, 'DataFrame.collect')"""))
-sql("serving_export", with_(QA, embedded("e", "qa", "id", "content"), select=f"""select question_id, is_question, score, is_accepted and not is_question as is_accepted, '{{"tags":["apache-spark"]}}' as tags,
-  coalesce(errs[1], '') as error_type, to_json({{'apis': apis}})::varchar as spark_apis_mentioned, to_json({{'versions': versions}})::varchar as spark_versions_mentioned,
-  md5(content) as content_md5, {print_of("vec")} as embedding from qa join e using (id)"""))
+
+
+def _longer(column: str, limit: int, by: int = 2000) -> str:
+    return f"left(concat({column}, ' ', repeat('x', {by})), {limit})"
+
+
+def _some(key: str, k: int, column: str, limit: int) -> str:
+    return f"case when {key} % 97 = {k} then {_longer(column, limit)} else {column} end"
+
+
+def _wrapped(key: str, items: str) -> str:
+    return f"to_json({{'{key}': {items}}})::varchar"
+
+
+_ISSUE_VERSIONS = f"case when is_comment then {versions('content')} else list_sort(list_distinct(list_concat({labelled('label', 'milestone')}, {versions('content')}))) end"
+sql("serving_export", with_(QA, ISSUES, MD_CHUNKS, cte("unit_files"),
+    "made as (" + "\n union all ".join(_unit(k, i, u) for k, us in _UNITS.items() for i, u in enumerate(us)) + ")",
+    "methods as (select * from made where chunk_type = 'method')", apis("ua", "methods", "id", "content"), problems("up", "methods", "id", "content"),
+    "ug as (select id, list(name order by rule_no) as names from up group by 1)",
+    f"""exported as (
+  select 'qa_chunks' as table_name, content, to_json({{'question_id': question_id, 'is_question': is_question, 'score': score, 'is_accepted': is_accepted and not is_question,
+    'tags': '{{"tags":["apache-spark"]}}', 'error_type': {_longer("coalesce(errs[1], '')", 256)}, 'spark_apis_mentioned': {_wrapped("apis", "apis")},
+    'spark_versions_mentioned': {_wrapped("versions", "versions")}}})::varchar as fields from qa
+  union all select 'issue_chunks', content, to_json({{'issue_number': issue_number, 'state': {_longer("state", 16)}, 'is_comment': is_comment, 'parent_issue_number': issue_number,
+    'author': {_longer("author", 128)}, 'labels': {_wrapped("labels", "[label]")}, 'created_at': {_longer("created_at", 32)}, 'closed_at': {_longer("coalesce(closed_at, '')", 32)},
+    'spark_versions_mentioned': {_wrapped("versions", _ISSUE_VERSIONS)}, 'linked_prs': {_wrapped("prs", prs("content"))}}})::varchar from issues
+  union all select 'doc_chunks', content, to_json({{'spark_version': spark_version, 'doc_url': {_some("doc_id", 0, "doc_url", 512)}, 'doc_section': {_some("doc_id", 2, "doc_section", 256)},
+    'heading_hierarchy': to_json(path)::varchar, 'content_type': content_type, 'related_configs': {_wrapped("configs", "configs")}}})::varchar from md_chunks where spark_version = '4.1.0'
+  union all select 'code_chunks', case when m.p_partkey % 97 = 0 then concat(m.content, ' ', repeat('x', 70000)) else m.content end,
+    to_json({{'spark_version': f.spark_version, 'file_path': f.file_path, 'language': ['python', 'scala', 'java'][(m.p_partkey % 3 + 1)::int], 'chunk_type': chunk_type,
+    'qualified_name': {_some("m.p_partkey", 1, "qualified_name", 512)}, 'signature': {_some("m.p_partkey", 2, "signature", 1024)},
+    'spark_apis': {_wrapped("apis", "coalesce(ua.apis, [])")}, 'problem_indicators': {_wrapped("patterns", "coalesce(ug.names, [])")}}})::varchar
+    from made m join unit_files f using (p_partkey) left join ua using (id) left join ug using (id) where f.spark_version = '4.1.0')""",
+    "texts as (select distinct md5(content) as cid, content from exported where length(content) % 2 = 0)", embedded("e", "texts", "cid", "content"),
+    select=f"""select table_name, md5(left(content, 65535)) as content_md5, length(left(content, 65535)) as n_chars, md5(fields) as fields, coalesce({print_of("vec")}, '') as embedding
+  from exported left join e on cid = md5(content)"""))
 
 _QUERIES = """q as (select id, input_type, 0 as query_no, input as query_text from parsed
   union all select id, input_type, 1, concat('Spark ', array_to_string(apis[1:5], ' '), ' usage patterns and best practices') from parsed where input_type = 'code' and len(apis) > 0

@@ -384,9 +384,10 @@ def replace_version(spark, d):
 
 @query
 def upsert_by_id(spark, d):
-    """Every open issue replaced by its first message."""
-    store = ChunkStore.scratch(spark, tables=MESSAGES)
+    """Every open issue replaced by its first message, through a store opened with another bucket count."""
+    store = ChunkStore.scratch(spark, tables=MESSAGES, buckets=16)
     store.write("messages", messages(spark, d))
+    store = ChunkStore(spark, store.database, tables=MESSAGES, buckets=5)
     new = frame(spark, d, "issue_items").where("state = 'open' and turn = 0")
     store.replace_by_id("messages", new.select(
         "issue_number", "turn", F.concat(F.lit("new "), "body").alias("body")))
@@ -589,14 +590,41 @@ def json_contains(spark, d):
     return served.where(F.array_contains(tx.unwrap_list(F.col("apis"), "apis"), "DataFrame.collect"))
 
 
+def longer(column: str, by: int = 2000) -> Column:
+    """A text with a tail that the served limits cut."""
+    return F.concat(column, F.lit(" "), F.repeat(F.lit("x"), by))
+
+
+def chunk_tables(spark, d) -> dict[str, DataFrame]:
+    """Chunks of all four kinds, some of their texts and names over the served limits."""
+    some = lambda key, k, column, by=2000: F.when(F.col(key) % 97 == k, longer(column, by)).otherwise(F.col(column))
+    made = code.chunk_code(frame(spark, d, "unit_files")).withColumns({
+        "content": some("p_partkey", 0, "content", 70_000), "qualified_name": some("p_partkey", 1, "qualified_name"),
+        "signature": some("p_partkey", 2, "signature")})
+    docs = markdown.chunk_documents(frame(spark, d, "md_docs"), example_code(spark, d)).withColumns({
+        "doc_url": some("doc_id", 0, "doc_url"), "doc_section": some("doc_id", 2, "doc_section")})
+    return {"code_chunks": made, "doc_chunks": docs,
+            "qa_chunks": threads.chunk_qa(qa_messages(spark, d)).withColumn("error_type", longer("error_type")),
+            "issue_chunks": issue_rows(spark, d).withColumns({c: longer(c) for c in ("state", "author", "created_at", "closed_at")})}
+
+
 @query
 def serving_export(spark, d):
-    chunks = threads.chunk_qa(qa_messages(spark, d))
-    own = vectors.fill_vectors(chunks, spark.createDataFrame([], "chunk_id string, vec array<float>, model_column string"), MODEL)
-    out = serving.serving_export("qa_chunks", chunks, checkpointed(own, "vectors"), MODEL.column, MODEL.dim)
-    return out.select("question_id", "is_question", "score", "is_accepted", "tags", "error_type",
-                      "spark_apis_mentioned", "spark_versions_mentioned", md5("content").alias("content_md5"),
-                      print_of("embedding").alias("embedding"))
+    """The rows to load of all four tables, the versioned ones of one version; each row as its JSON's digest."""
+    rows = None
+    for name, chunks in chunk_tables(spark, d).items():
+        version = "4.1.0" if "spark_version" in chunks.columns else None
+        kept = checkpointed(chunks, name)
+        own = vectors.fill_vectors(kept.where(F.length("content") % 2 == 0), spark.createDataFrame(
+            [], "chunk_id string, vec array<float>, model_column string"), MODEL)
+        out = serving.serving_export(name, kept, checkpointed(own, "vectors"), MODEL.column, MODEL.dim, version)
+        served = [F.col(c) for c in out.columns if c not in ("content", "embedding")]
+        part = out.select(
+            F.lit(name).alias("table_name"), md5("content").alias("content_md5"), F.length("content").alias("n_chars"),
+            F.to_json(F.struct(*served), {"ignoreNullFields": "false"}).alias("fields"),
+            F.coalesce(print_of("embedding"), F.lit("")).alias("embedding"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.withColumn("fields", md5("fields"))
 
 
 @query

@@ -16,10 +16,16 @@ from ..session import checkpointed, overridden, scratch_path
 from .schemas import ID_BUCKETS, TABLES, Table
 
 _DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
+# the table property that holds the number of id buckets
+BUCKETS = "lodestone.buckets"
 
 
 class ChunkStore:
-    """The chunk tables of one database."""
+    """The chunk tables of one database.
+
+    ``buckets`` is the number of id buckets of tables that this store creates. A table keeps
+    its number as a property, and every store that opens it goes by that.
+    """
 
     def __init__(self, spark: SparkSession, database: str, location: str | None = None,
                  buckets: int = ID_BUCKETS, tables: dict[str, Table] | None = None,
@@ -27,6 +33,7 @@ class ChunkStore:
         self.spark, self.database, self.buckets = spark, database, buckets
         self.tables = tables or TABLES
         self.max_records = max_records_per_file
+        self._layout: dict[str, int] = {}
         place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
 
@@ -51,9 +58,11 @@ class ChunkStore:
         name, spec = self.full_name(table), self.tables[table]
         if drop_existing:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._layout.pop(table, None)
+        kept = f" TBLPROPERTIES ('{BUCKETS}' = '{self.buckets}')" if self._is_bucketed(table) else ""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({spec.columns}, {spec.partitions}) USING parquet "
-            f"PARTITIONED BY ({', '.join(spec.partition_names)})")
+            f"PARTITIONED BY ({', '.join(spec.partition_names)}){kept}")
 
     def create_all(self, drop_existing: bool = False) -> None:
         for table in self.tables:
@@ -83,16 +92,22 @@ class ChunkStore:
         return df.drop("bucket") if self._is_bucketed(table) else df
 
     def write(self, table: str, df: DataFrame, mode: str = "append") -> int:
-        """Append to a table or overwrite it whole; gives the number of rows written."""
+        """Append to a table or overwrite it whole; gives the number of rows written.
+
+        New partitions replace old ones when the job commits, and only then those without
+        new rows go: a failure leaves old rows, never none.
+        """
         if mode not in ("append", "overwrite"):
             raise ValueError(f"unknown mode {mode}")
-        name = self.full_name(table)
         self.create(table)
-        if mode == "overwrite":
-            # the rows may come from this very table: stage them before it is emptied
-            df = checkpointed(df, table)
-            self.spark.sql(f"TRUNCATE TABLE {name}")
-        return self._insert(table, df, overwrite=False)[0]
+        if mode == "append":
+            return self._insert(table, df, overwrite=False)[0]
+        # the rows may come from this very table: stage them before its files go
+        n, written = self._insert(table, checkpointed(df, table), overwrite=True)
+        for part in self._partitions(table):
+            if tuple(part[c] for c in self.tables[table].partition_names) not in written:
+                self._drop_partition(table, part)
+        return n
 
     def replace_version(self, table: str, version: str, df: DataFrame) -> int:
         """Replace all rows of a version by ``df``; for tables partitioned by version."""
@@ -128,7 +143,7 @@ class ChunkStore:
         """Delete all rows whose id is in ``ids``, a table with the id column."""
         key = self._needs_id(table)
         gone = checkpointed(ids.select(F.col(key).cast("bigint").alias(key)).distinct(), table)
-        buckets = gone.select(self._bucket(key).alias("bucket")).distinct()
+        buckets = gone.select(self._bucket(table).alias("bucket")).distinct()
         touched = [r["bucket"] for r in buckets.collect()]
         old = self.spark.table(self.full_name(table)).where(F.col("bucket").isin(touched))
         _, written = self._insert(table, old.join(gone, key, "left_anti"), overwrite=True)
@@ -139,7 +154,7 @@ class ChunkStore:
     def rows_of(self, table: str, ids: DataFrame) -> DataFrame:
         """Stored rows whose id is in ``ids``; only the buckets of these ids are read."""
         key = self._needs_id(table)
-        buckets = ids.select(self._bucket(key).alias("bucket")).distinct()
+        buckets = ids.select(self._bucket(table).alias("bucket")).distinct()
         touched = [r["bucket"] for r in buckets.collect()]
         stored = self.read(table, where=F.col("bucket").isin(touched))
         return stored.join(ids.select(key).distinct(), key, "left_semi")
@@ -158,12 +173,23 @@ class ChunkStore:
             raise ValueError(f"{table} is not kept by source id")
         return self.tables[table].id_column
 
-    def _bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(self.buckets)).cast("int")
+    def buckets_of(self, table: str) -> int:
+        """The number of id buckets that a table was created with."""
+        if table not in self._layout:
+            name = self.full_name(table)
+            stored = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+            if BUCKETS not in stored:
+                raise ValueError(f"{name} doesn't say how many id buckets it has: set its property {BUCKETS}")
+            self._layout[table] = int(stored[BUCKETS])
+        return self._layout[table]
+
+    def _bucket(self, table: str) -> Column:
+        key = F.col(self.tables[table].id_column).cast("bigint")
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets_of(table))).cast("int")
 
     def _bucketed(self, table: str, df: DataFrame) -> DataFrame:
         if self._is_bucketed(table) and "bucket" not in df.columns:
-            df = df.withColumn("bucket", self._bucket(self.tables[table].id_column))
+            df = df.withColumn("bucket", self._bucket(table))
         return self._conformed(table, df)
 
     def _conformed(self, table: str, df: DataFrame) -> DataFrame:

@@ -220,3 +220,31 @@ def test_a_batch_run_again_changes_nothing(spark, store):
     for _ in range(3):
         sync.upsert_latest(store, "rows", batch, newest())
         assert content(store, "rows", "item", "n") == [(1, 1), (2, 2)]
+
+
+def test_bucket_count_is_the_table_s_own(spark):
+    first = ChunkStore.scratch(spark, tables=SMALL, buckets=4)
+    table = next(t for t in SMALL if SMALL[t].id_column)
+    first.create(table)
+    second = ChunkStore(spark, first.database, tables=SMALL, buckets=9)
+    assert first.buckets_of(table) == second.buckets_of(table) == 4
+    second.create(table, drop_existing=True)
+    assert second.buckets_of(table) == 9
+    spark.sql(f"ALTER TABLE {second.full_name(table)} UNSET TBLPROPERTIES ('lodestone.buckets')")
+    with pytest.raises(ValueError, match="id buckets"):
+        ChunkStore(spark, first.database, tables=SMALL).buckets_of(table)
+
+
+def test_failed_overwrite_keeps_the_old_rows(spark, store, monkeypatch):
+    store.write("docs", docs(spark, (1, "a", "4.1.0", "py"), (2, "b", "3.5", "py")))
+    before = content(store, "docs", "doc_id", "content")
+    bad = store.read("docs").withColumn("content", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.write("docs", bad, "overwrite")
+    with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+        m.setattr("lodestone.sources.tables.checkpointed", lambda df, _: df)  # fails inside the insert itself
+        store.write("docs", bad, "overwrite")
+    assert content(store, "docs", "doc_id", "content") == before
+    assert store.write("docs", docs(spark, (3, "c", "4.1.0", "py")), "overwrite") == 1
+    assert content(store, "docs", "doc_id", "content") == [(3, "c")]
+    assert store.write("docs", docs(spark, (3, "c", "4.1.0", "py")).limit(0), "overwrite") == 0 and not content(store, "docs", "doc_id")
