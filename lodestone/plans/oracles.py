@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from ..functions import rules
 from ..views import VIEWS, cte, filled
-from .registry import SINCE
+from .registry import OWN_APIS, OWN_PROBLEMS, SINCE
 
 ORACLES: dict[str, str] = {}
 
@@ -84,17 +84,17 @@ def rule_rows(name: str, rule_list) -> str:
     return f"{name}(rule_no, name, risk, description, pattern, unless, spans) as (values {rows})"
 
 
-def apis(name: str, source: str, key: str, text: str) -> str:
+def apis(name: str, source: str, key: str, text: str, rule_list=rules.API_RULES) -> str:
     """``name(key, apis, first_lines)`` for keys with any API."""
-    return f"""{rule_rows(name + "_rules", rules.API_RULES)},
+    return f"""{rule_rows(name + "_rules", rule_list)},
 {lines(name + "_l", source, key, text)},
 {name}_h as (select {key}, rule_no, name, min(i) as line from {name}_l join {name}_rules on regexp_matches(line, pattern) group by all),
 {name} as (select {key}, list(name order by line, rule_no) as apis, list(line order by line, rule_no) as first_lines from {name}_h group by {key})"""
 
 
-def problems(name: str, source: str, key: str, text: str) -> str:
+def problems(name: str, source: str, key: str, text: str, rule_list=rules.PROBLEM_RULES) -> str:
     """``name(key, rule_no, name, risk, description, line, match_text)``."""
-    return f"""{rule_rows(name + "_rules", rules.PROBLEM_RULES)},
+    return f"""{rule_rows(name + "_rules", rule_list)},
 {lines(name + "_l", source, key, text)},
 {name}_one as (select {key}, rule_no, min(i) as line, arg_min(line, i) as found from {name}_l join {name}_rules on not spans and regexp_matches(line, pattern) group by all),
 {name}_many as (select {key}, rule_no, regexp_extract({text}, pattern) as found, {text} as txt from {source} join {name}_rules on spans and regexp_matches({text}, pattern)),
@@ -425,6 +425,13 @@ sql("detect_apis", with_(cte("code_files"), apis("a", "code_files", "p_partkey",
     select=f"""select p_partkey, {bar("a.apis")} as apis, {bar("a.first_lines")} as first_lines from code_files left join a using (p_partkey)"""))
 sql("detect_patterns", with_(cte("code_files"), problems("p", "code_files", "p_partkey", "content"),
     select="""select p_partkey, row_number() over (partition by p_partkey order by rule_no) - 1 as pattern_no, name, risk, description, line, match_text from p"""))
+sql("detect_every_rule", with_(cte("rule_texts"), apis("a", "rule_texts", "p_partkey", "content"), problems("p", "rule_texts", "p_partkey", "content"),
+    "g as (select p_partkey, list(name order by rule_no) as names, list(line order by rule_no) as nos, list(match_text order by rule_no) as found from p group by 1)",
+    select=f"""select p_partkey, {bar("a.apis")} as apis, {bar("a.first_lines")} as api_lines, {bar("names")} as patterns, {bar("nos")} as pattern_lines, {bar("found")} as found,
+  {bar(errors("content"))} as error_types from rule_texts left join a using (p_partkey) left join g using (p_partkey)"""))
+sql("detect_own_rules", with_(cte("code_files"), apis("a", "code_files", "p_partkey", "content", OWN_APIS), problems("p", "code_files", "p_partkey", "content", OWN_PROBLEMS),
+    "g as (select p_partkey, list(concat_ws('/', name, risk, description, line, match_text) order by rule_no) as ps from p group by 1)",
+    select=f"""select p_partkey, {bar("a.apis")} as apis, {bar("ps")} as patterns from code_files left join a using (p_partkey) left join g using (p_partkey)"""))
 sql("pattern_metadata", with_(cte("code_files"), apis("a", "code_files", "p_partkey", "content"), problems("p", "code_files", "p_partkey", "content"),
     "g as (select p_partkey, list(name order by rule_no) as names, list({'name': name, 'risk': risk, 'description': description} order by rule_no) as ps from p group by 1)",
     select=f"""select p_partkey, {bar("a.apis")} as apis, {bar("names")} as pattern_names, names is not null as has_problems,
@@ -462,18 +469,23 @@ sql("split_units", with_(
   2 + coalesce(list_sum(list_transform(pieces[1:part_no], lambda x: len(string_split(x, chr(10))))), 0)::bigint as start_line,
   case when long then 0 else 1 + len(string_split(content, chr(10))) end as end_line, md5(piece) as content_md5 from u"""))
 
-sql("qa_chunks", with_(QA, select=f"""select question_id, turn, is_question, score, is_accepted and not is_question as is_accepted, 'apache-spark' as tags,
+sql("qa_chunks", with_(QA, select=f"""select question_id, turn, kind, is_question, score, is_accepted and not is_question as is_accepted, 'apache-spark' as tags,
   coalesce(errs[1], '') as error_type, {bar("apis")} as spark_apis_mentioned, {bar("versions")} as spark_versions_mentioned, md5(content) as content_md5, chunk_id from qa"""))
 sql("issue_chunks", with_(ISSUES, select=f"""select issue_number, created_at, coalesce(closed_at, '') as closed_at, state, is_comment, issue_number as parent_issue_number, author, label as labels,
   case when is_comment then {bar(versions("content"))} else {bar(f"list_sort(list_distinct(list_concat({labelled('label', 'milestone')}, {versions('content')})))")} end as spark_versions_mentioned,
   {bar(prs("content"))} as linked_prs, md5(content) as content_md5,
   {uuid5("concat('issue:', issue_number, ':', case when is_comment then 'comment' else 'body' end, ':', author, ':', " + hash16("content") + ")")} as chunk_id from issues"""))
-sql("qa_source", with_(cte("qa_threads"), """n as (select question_id, count(*) filter (not is_question) as answers, count(*) filter (is_question) as questions from qa_threads group by 1)""",
+sql("qa_source", with_(cte("qa_threads"), """n as (select question_id, count(*) filter (kind = 'a') as answers, count(*) filter (is_question) as questions from qa_threads group by 1)""",
     select="""select question_id, title, score, answers as answer_count, 1704067200 + question_id * 3600 as last_activity_date
   from qa_threads join n using (question_id) where is_question and answers > 0 and question_id >= 6"""))
+sql("qa_nested", with_(QA, "n as (select question_id, count(*) filter (kind = 'a') as answers, count(*) filter (is_question) as questions from qa_threads group by 1)",
+    select=f"""select question_id, is_question, score, is_accepted and not is_question as is_accepted, 'apache-spark|join' as tags,
+  coalesce(errs[1], '') as error_type, {bar("apis")} as spark_apis_mentioned, {bar("versions")} as spark_versions_mentioned, md5(content) as content_md5, chunk_id
+  from qa join n using (question_id) where kind <> 's' and answers > 0 and questions > 0 and question_id >= 6 and question_id % 2 = 0"""))
 sql("issue_source", with_(cte("issue_threads"), select="""select issue_number as number, title, state, author as login,
   strftime(make_timestamp((1704067200 + issue_number * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as updated_at
   from issue_threads where turn = 0 and issue_number % 4 <> 0 and state = 'closed'"""))
+ORACLES["issue_nested"] = ORACLES["issue_chunks"] + " where issue_number % 4 <> 0"
 sql("chunks_per_thread", with_(cte("qa_threads"), select="select question_id, count(*) as n_chunks from qa_threads group by 1"))
 
 _VERSION = "case when doc_id % 2 = 0 then '4.1.0' else '3.5.4' end"
@@ -635,6 +647,23 @@ recalls as (select query_id, n_relevant, count(*) filter (relevant and rank <= 1
 sql("recall_at_k", with_(_CENTRES, select="select query_id, n_relevant, recall_10, recall_50 from recalls"))
 sql("mrr", with_(_CENTRES, "rr as (select query_id, 1.0::double / min(rank) as rr from judged where relevant group by 1)",
     select="select count(*) as n_queries, round(avg(recall_10), 6) as recall_10, round(avg(recall_50), 6) as recall_50, round(avg(coalesce(rr, 0)), 6) as mrr from recalls left join rr using (query_id)"))
+
+
+def _scores(name: str, dim: int) -> str:
+    """``name(model, dataset, n_queries, recall_10, recall_50, mrr)``."""
+    return f"""{embedded(name + "_e", "documents", "doc_id", "text", dim)},
+{name}_a as (select q.doc_id as q, c.doc_id as c, {cosine("q.vec", "c.vec")} as sim from {name}_e q join fold using (doc_id) join {name}_e c on c.doc_id <> q.doc_id),
+{name}_s as (select q, c, case when isnan(sim) then 0 else sim end as sim from {name}_a), -- a text without words
+{name}_h as (select *, row_number() over (partition by q order by sim desc, c) as rank from {name}_s qualify rank <= 50),
+{name}_j as (select h.q, h.rank, a.lang = b.lang as relevant from {name}_h h join documents a on a.doc_id = h.q join documents b on b.doc_id = h.c),
+{name}_q as (select d.doc_id, d.source, count(*) filter (relevant and rank <= 10) / nullif(n - 1, 0) as r10, count(*) filter (relevant) / nullif(n - 1, 0) as r50,
+   coalesce(1.0::double / min(rank) filter (relevant), 0) as rr from fold join documents d using (doc_id) join sizes using (lang) left join {name}_j j on j.q = d.doc_id group by d.doc_id, d.source, n),
+{name} as (select 'hash-{dim}' as model, source as dataset, count(*) as n_queries, round(avg(r10), 6) as recall_10, round(avg(r50), 6) as recall_50, round(avg(rr), 6) as mrr from {name}_q group by source)"""
+
+
+sql("evaluate_models", with_("fold as (select doc_id from documents where concat('0x', substr(md5(doc_id::varchar), 1, 8))::bigint % 10 = 0)",
+    "sizes as (select lang, count(*) as n from documents group by 1)", _scores("big", 64), _scores("small", 16),
+    select="select * from big union all select * from small"))
 sql("corpus_stats", """select 'total' as kind, '' as value, count(*) as n_chunks, sum(length(text))::bigint as n_chars, (sum(length(text)) // 4)::bigint as n_tokens from documents
   union all select 'lang', lang, count(*), sum(length(text))::bigint, (sum(length(text)) // 4)::bigint from documents group by lang
   union all select 'source', source, count(*), sum(length(text))::bigint, (sum(length(text)) // 4)::bigint from documents group by source""")

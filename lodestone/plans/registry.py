@@ -229,6 +229,33 @@ def pattern_metadata(spark, d):
                          "r.has_problems", pt.pattern_json(F.col("r")).alias("pattern_json"))
 
 
+@query
+def detect_every_rule(spark, d):
+    """Texts in which each of the API, problem and error rules occurs."""
+    text = F.col("content")
+    found = frame(spark, d, "rule_texts").select(
+        "p_partkey", pt.detect_apis(text).alias("a"), pt.detect_patterns(text).alias("p"), tx.error_types(text).alias("error_types"))
+    return found.select("p_partkey", pt.api_names(F.col("a")).alias("apis"), F.transform("a", lambda x: x["line"]).alias("api_lines"),
+                        pt.pattern_names(F.col("p")).alias("patterns"), F.transform("p", lambda x: x["line"]).alias("pattern_lines"),
+                        F.transform("p", lambda x: x["match_text"]).alias("found"), "error_types")
+
+
+#: a user's own rules: a plain one, one that another text cancels, one over two lines
+OWN_APIS = (rules.Rule("load", r"\bload[0-9]+\s*\("), rules.Rule("write csv", r"\.csv\b"))
+OWN_PROBLEMS = (rules.Rule("parquet", r"\.parquet\s*\(", "LOW", "reads a file", unless=r"C1[0-9]:"),
+                rules.Rule("loop", r"for\s.*\n.*\.filter\s*\(", "MEDIUM", "filters in a loop", spans_lines=True))
+
+
+@query
+def detect_own_rules(spark, d):
+    """API and problem rules of the caller instead of the given ones."""
+    text = F.col("content")
+    found = frame(spark, d, "code_files").select("p_partkey", pt.detect_apis(text, OWN_APIS).alias("a"),
+                                                 pt.detect_patterns(text, OWN_PROBLEMS).alias("p"))
+    return found.select("p_partkey", pt.api_names(F.col("a")).alias("apis"),
+                        F.transform("p", lambda x: F.concat_ws("/", x["name"], x["risk"], x["description"], x["line"], x["match_text"])).alias("patterns"))
+
+
 @query
 def detect_language(spark, d):
     """Files of four endings; those of no known language are dropped."""
@@ -278,10 +305,53 @@ def qa_messages(spark, d) -> DataFrame:
 @query
 def qa_chunks(spark, d):
     return threads.chunk_qa(qa_messages(spark, d)).select(
-        "question_id", "turn", "is_question", "score", "is_accepted", "tags", "error_type",
+        "question_id", "turn", "kind", "is_question", "score", "is_accepted", "tags", "error_type",
         "spark_apis_mentioned", "spark_versions_mentioned", md5("content").alias("content_md5"), "chunk_id")
 
 
+@query
+def qa_nested(spark, d):
+    """Items with nested answers landed as JSON, read, selected by two tags and date, cut into chunks."""
+    rows = frame(spark, d, "qa_threads").where("kind <> 's'")
+    tags = F.split(F.when(F.col("question_id") % 2 == 0, "apache-spark,join").otherwise("apache-spark,sql"), ",")
+    answers = rows.where("kind = 'a'").groupBy("question_id").agg(F.count(F.lit(1)).alias("answer_count"), F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "body", "score", "is_accepted"))),
+        lambda a: F.struct(a["turn"].alias("answer_id"), a["body"].alias("body"), a["score"].alias("score"),
+                           a["is_accepted"].alias("is_accepted"))).alias("answers"))
+    items = rows.where("is_question").join(answers, "question_id", "left").select(
+        "question_id", "title", "body", "score", tags.alias("tags"), F.coalesce("answer_count", F.lit(0)).alias("answer_count"),
+        (F.lit(1704067200) + F.col("question_id") * 3600).alias("last_activity_date"), "answers")
+    path = scratch_path(spark, "nested")
+    items.write.json(path)
+    kept = landed.select_questions(landed.read_questions(spark, path), ["join", "apache-spark"], "2024-01-01 06:00:00")
+    return threads.chunk_qa(threads.qa_messages(kept)).select(
+        "question_id", "is_question", "score", "is_accepted", "tags", "error_type", "spark_apis_mentioned",
+        "spark_versions_mentioned", md5("content").alias("content_md5"), "chunk_id")
+
+
+@query
+def issue_nested(spark, d):
+    """Issues with nested comments landed as JSON, pull requests dropped, cut into chunks."""
+    rows = frame(spark, d, "issue_threads")
+    comments = rows.where("is_comment").groupBy("issue_number").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "body", "author", "created_at"))),
+        lambda c: F.struct(c["body"].alias("body"), F.struct(c["author"].alias("login")).alias("user"),
+                           c["created_at"].alias("created_at"))).alias("comments_data"))
+    items = rows.where("not is_comment").join(comments, "issue_number", "left").select(
+        F.col("issue_number").alias("number"), "title", "body", "state",
+        F.struct(F.col("author").alias("login")).alias("user"),
+        F.array(F.struct(F.col("label").alias("name"))).alias("labels"),
+        F.struct(F.col("milestone").alias("title")).alias("milestone"), "created_at", "closed_at",
+        F.lit("2024-01-02T00:00:00Z").alias("updated_at"),
+        F.when(F.col("issue_number") % 4 == 0, F.struct(F.lit("pull").alias("url"))).alias("pull_request"), "comments_data")
+    path = scratch_path(spark, "nested")
+    items.write.json(path)
+    kept = landed.select_issues(landed.read_issues(spark, path), "all", "2024-01-01")
+    return threads.chunk_issues(threads.issue_messages(kept)).select(
+        "issue_number", "created_at", "closed_at", "state", "is_comment", "parent_issue_number", "author",
+        "labels", "spark_versions_mentioned", "linked_prs", md5("content").alias("content_md5"), "chunk_id")
+
+
 def issue_rows(spark, d) -> DataFrame:
     """Issues and comments as two tables, put together."""
     rows = frame(spark, d, "issue_threads").withColumn("number", F.col("issue_number"))
@@ -301,7 +371,7 @@ def qa_source(spark, d):
     """Items written as JSON lines, read back and selected."""
     rows = qa_messages(spark, d)
     questions = rows.where("is_question").select("question_id", "title", "body", "score", "tags")
-    answers = rows.where("not is_question").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+    answers = rows.where("kind = 'a'").groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     items = questions.join(answers, "question_id", "left").select(
         *questions.columns, F.coalesce("n", F.lit(0)).alias("answer_count"),
         (F.lit(1704067200) + F.col("question_id") * 3600).alias("last_activity_date"))
@@ -746,6 +816,14 @@ def mrr(spark, d):
     return means.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall_10", "recall_50", "mrr")])
 
 
+@query
+def evaluate_models(spark, d):
+    """Two embedders on held-out documents of each source; documents of the same language are relevant."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    scores = evaluate.compare_models(docs, [MODEL, hashing_model(16, "emb_small")], id="doc_id", text="text", label="lang", dataset="source")
+    return scores.select("model", "dataset", "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_10", "recall_50", "mrr")])
+
+
 @query
 def corpus_stats(spark, d):
     return stats.corpus_stats(table(spark, d, "documents"), "lang", "source", content="text")

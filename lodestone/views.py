@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import rules
 from .sources.scan import read_table
 
 VIEWS = {
@@ -23,13 +24,12 @@ select doc_id, concat('docs/', source, '/', cast(doc_id as string), '.md') as fi
    '<table><tr><th>Property</th><th>Default</th></tr><tr><td>spark.a.b', cast(doc_id % 9 as string), '</td><td>', cast(n_chars as string), '</td></tr></table>', NL) as content
  from documents""",
     "qa_items": """
-select conv_id as question_id, turn, case when turn = q_turn then 'q' else 'a' end as kind,
+select conv_id as question_id, turn, case when role = 'system' then 's' when turn = q_turn then 'q' else 'a' end as kind,
   concat('<p>', text, '</p><p>Spark ', cast(3 + conv_id % 2 as string), '.', cast(turn % 6 as string),
    case when conv_id % 3 = 0 then ' <code>java.lang.OutOfMemoryError</code> <code>df.collect()</code>' else '' end, '</p>') as body_html,
   cast((conv_id * 7 + turn * 3) % 30 as bigint) as score, coalesce(turn = a_turn, false) as is_accepted
  from conversations c join (select conv_id as q_conv, min(case when role = 'user' then turn end) as q_turn,
-              min(case when role = 'assistant' then turn end) as a_turn from conversations group by conv_id) g on conv_id = q_conv
- where role <> 'system'""",
+              min(case when role = 'assistant' then turn end) as a_turn from conversations group by conv_id) g on conv_id = q_conv""",
     "issue_items": """
 select 10000 + conv_id as issue_number, turn, turn > 0 as is_comment,
   case when conv_id % 3 = 0 then 'open' else 'closed' end as state, concat('user', cast((conv_id + turn) % 17 as string)) as author,
@@ -62,7 +62,7 @@ select issue_number, turn, is_comment, state, author, body, label, case when tur
   case when state = 'closed' and turn = 0 then '2024-02-01T00:00:00Z' end as closed_at
  from ({VIEWS["issue_items"]}) i"""
 VIEWS["qa_threads"] = f"""
-select question_id, turn, kind = 'q' as is_question, case when kind = 'q' then concat('Question ', cast(question_id as string)) end as title,
+select question_id, turn, kind, kind = 'q' as is_question, case when kind = 'q' then concat('Question ', cast(question_id as string)) end as title,
   body_html as body, score, is_accepted
  from ({VIEWS["qa_items"]}) i"""
 
@@ -132,6 +132,26 @@ select p_partkey, p_size, concat('core/f', cast(p_partkey as string), case p_par
   case p_partkey % 3 when 0 then {filled(UNIT_SOURCES["py"])} when 1 then {filled(UNIT_SOURCES["scala"])} else {filled(UNIT_SOURCES["java"])} end as content
  from part"""
 
+
+
+def sample(pattern: str) -> str:
+    """A text that a rule's pattern matches."""
+    out = re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", pattern)
+    for part, text in ((r"\s*", " "), (r"\s", " "), (r"\b", ""), (r"\n", "\n"), (".*", "k"), ("\\", "")):
+        out = out.replace(part, text)
+    return out
+
+
+def picked(rule_list, number: str) -> str:
+    """The sample of one rule of a list, by number, as an SQL expression."""
+    cases = " ".join(f"when {i} then {filled(sample(r.pattern))}" for i, r in enumerate(rule_list))
+    return f"case {number} % {len(rule_list)} {cases} end"
+
+
+# every rule of every list stands in some text; a third of the texts drop the cache rule
+VIEWS["rule_texts"] = f"""
+select p_partkey, concat('plain', NL, 'x ', {picked(rules.API_RULES, "p_partkey")}, ' a)', NL, 'y = ', {picked(rules.PROBLEM_RULES, "p_partkey")}, NL,
+  case when p_partkey % 3 = 0 then concat('y.unpersist()', NL) else '' end, 'at ', {picked(rules.ERROR_RULES, "p_partkey")}, ': lost', NL) as content from part"""
 VIEWS["mark_docs"] = f"""
 select doc_id, file_path, spark_version, translate(content, 'jwzvJ', concat(chr(1), chr(2), chr(3), chr(4), chr(5))) as content from ({VIEWS["md_docs"]}) m"""
 # tables that a tag-by-tag reading must follow: see the oracle for what they say

@@ -53,3 +53,13 @@ def test_record(value):
     record = value(pt.pattern_record(T), t="df.read.parquet(x).collect()")
     assert record.apis == ["DataFrame.read", "DataFrame.collect", "RDD.collect"] and record.has_problems
     assert value(pt.pattern_json(pt.pattern_record(T)), t="plain") == '{"apis":[],"patterns":[]}'
+
+
+def test_every_rule_has_a_text(spark, sf):
+    from lodestone.plans.registry import QUERIES
+    rows = QUERIES["detect_every_rule"](spark, sf).collect()
+    seen = lambda c: {name for r in rows for name in r[c].split("|")}
+    assert seen("apis") >= {r.name for r in rules.API_RULES}
+    assert seen("patterns") >= {r.name for r in rules.PROBLEM_RULES}
+    assert seen("error_types") == {r.name for r in rules.ERROR_RULES}
+    assert any("unpersist" in r.apis and "cache_no_unpersist" not in r.patterns for r in rows)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import duckdb
@@ -157,6 +158,19 @@ def test_evaluation(spark):
     assert (means.n_queries, means.mrr) == (3, 0.5)
 
 
+def test_models_on_held_out_rows(spark):
+    words = {"a": "red green blue", "b": "one two three"}
+    docs = spark.createDataFrame([(i, f"{words[k]} x{i}", k, "s" if i % 2 else "t") for i, k in enumerate("ab" * 40)] + [(100, "alone", "c", "s")],
+                                 "doc_id long, text string, lang string, source string")
+    out = evaluate.compare_models(docs, [MODEL, hashing_model(4, "emb_4")], id="doc_id", text="text", label="lang", dataset="source",
+                                  folds=2, cuts=(10, 39)).collect()
+    assert {(r.model, r.dataset) for r in out} == {(m, d) for m in ("hash-16", "hash-4") for d in "st"}
+    held = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 2 == 0 for i in [*range(80), 100])
+    assert sum(r.n_queries for r in out) == 2 * held
+    best = [r for r in out if r.model == "hash-16"]
+    assert all(r.recall_39 <= 1 and abs(r.recall_10 - 10 / 39) < 0.03 and r.mrr > 0.9 for r in best)
+
+
 def test_statistics(spark):
     rows = spark.createDataFrame([("m", "py", "12345"), ("m", "java", "1"), ("i", "py", "12")], "kind string, lang string, content string")
     out = {(r.kind, r.value): (r.n_chunks, r.n_chars, r.n_tokens) for r in stats.corpus_stats(
