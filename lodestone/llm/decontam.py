@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, checkpointed, quoted
+from .common import ascii_lower, checkpointed, fresh, quoted
 
 #: runs of digits, a-z and characters beyond ASCII, in lower-cased text
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,9 +107,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", tex
     Rows with a null or empty text stay, and so does everything if the benchmark is empty.
     """
     key, content = quoted([id, text])
+    hit_id, hit_print = fresh(docs, "hit_id"), fresh(docs, "hit_print")
     bad = find_hits(docs, items, id, text, item_id, item_text, n).select(
-        F.col("doc_id").alias("hit_id"), F.col("print").alias("hit_print")).distinct()
-    return docs.join(bad, key.eqNullSafe(F.col("hit_id")) & (F.xxhash64(content) == F.col("hit_print")), "left_anti")
+        F.col("doc_id").alias(hit_id), F.col("print").alias(hit_print)).distinct()
+    return docs.join(bad, key.eqNullSafe(F.col(hit_id)) & (F.xxhash64(content) == F.col(hit_print)), "left_anti")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
@@ -119,16 +120,17 @@ def cut_spans(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     Other rows and columns are as they were; null texts stay null.
     """
     key, content = quoted([id, text])
+    hit_id, hit_print, hit_words = (fresh(docs, c) for c in ("hit_id", "hit_print", "hit_words"))
     hits = find_hits(docs, items, id, text, item_id, item_text, n).groupBy("doc_id", "print").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("p"), F.col("p") + F.col("len") - 1)))).alias("hit_words")) \
-        .withColumnsRenamed({"doc_id": "hit_id", "print": "hit_print"})
-    both = docs.join(hits, key.eqNullSafe(F.col("hit_id")) & (F.xxhash64(content) == F.col("hit_print")), "left")
+        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("p"), F.col("p") + F.col("len") - 1)))).alias(hit_words)) \
+        .withColumnsRenamed({"doc_id": hit_id, "print": hit_print})
+    both = docs.join(hits, key.eqNullSafe(F.col(hit_id)) & (F.xxhash64(content) == F.col(hit_print)), "left")
     # the text as alternating gaps and words; a word is kept, with the gap before it, unless hit
     words = F.regexp_extract_all(content, F.lit(WORD_ANY_CASE), 0)
     gaps = F.split(content, WORD_ANY_CASE, -1)
-    inside = lambda i: F.array_contains("hit_words", i)
+    inside = lambda i: F.array_contains(hit_words, i)
     kept = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda i: F.concat(
         F.when((i > 1) & inside(i - 1) & inside(i), F.lit("")).otherwise(F.get(gaps, i - 1)),
         F.when(inside(i), F.lit("")).otherwise(F.coalesce(F.get(words, i - 1), F.lit("")))))
-    cut = F.when(F.col("hit_words").isNull(), content).otherwise(F.array_join(kept, ""))
+    cut = F.when(F.col(hit_words).isNull(), content).otherwise(F.array_join(kept, ""))
     return both.select(*[cut.alias(c) if c == text else quoted([c])[0] for c in docs.columns])

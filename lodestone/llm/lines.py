@@ -104,14 +104,15 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     an id and a text count as one and keep the same lines. Extra columns stay.
     """
     key, content = quoted([id, text])
-    gone = surplus_lines(docs, id, text, **options).withColumnsRenamed({"doc_id": "gone_id", "print": "gone_print", "gone": "gone_at"})
-    both = docs.join(gone, key.eqNullSafe(F.col("gone_id")) & (F.xxhash64(content) == F.col("gone_print")), "left")
-    left = F.filter(F.split(content, "\n"), lambda x, i: ~F.array_contains("gone_at", i))
-    new = F.when(F.col("gone_at").isNull(), content).otherwise(F.array_join(left, "\n"))
+    gone_id, gone_print, gone_at = (fresh(docs, c) for c in ("gone_id", "gone_print", "gone_at"))
+    gone = surplus_lines(docs, id, text, **options).withColumnsRenamed({"doc_id": gone_id, "print": gone_print, "gone": gone_at})
+    both = docs.join(gone, key.eqNullSafe(F.col(gone_id)) & (F.xxhash64(content) == F.col(gone_print)), "left")
+    left = F.filter(F.split(content, "\n"), lambda x, i: ~F.array_contains(gone_at, i))
+    new = F.when(F.col(gone_at).isNull(), content).otherwise(F.array_join(left, "\n"))
     out = [new.alias(c) if c == text else F.coalesce(F.char_length(new), F.lit(0)).cast(docs.schema[c].dataType).alias(c)
            if c == length else quoted([c])[0] for c in docs.columns]
     if count:
-        out.append(F.coalesce(F.size("gone_at"), F.lit(0)).cast("bigint").alias(fresh(docs, count)))
+        out.append(F.coalesce(F.size(gone_at), F.lit(0)).cast("bigint").alias(fresh(docs, count)))
     return both.select(*out)
 
 

@@ -24,6 +24,7 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     """Distinct pairs ``a < b`` of a bucket's leader with each other member.
 
     The leader meets the most members over all its buckets, so that the middle of a group
+    leads wherever it stands; ties go to the smaller node.
     """
     degree = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     ranked = buckets.join(degree, "node")

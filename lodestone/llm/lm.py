@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import Block, from_planes_many, per_block, round_of, sent, stage
 from .common import fold, quoted
@@ -197,6 +198,9 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
     learned = per_block(staged, answers, estimates, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(learned["code"].to_numpy(np.int64), learned["n"].to_numpy(np.float64), order, 1 / (v_rest + 1))
 
+    kind = docs.schema[id].dataType
+    id_type = to_arrow_type(kind)
+
     def score(block: int, b: Block, got: dict) -> pa.Table:
         t, counts = looked_up(b, got)
         counts = [c[0] for c in counts]
@@ -206,12 +210,12 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
         for k, r in enumerate(rates):
             p = p + w[:, k + 1] * r
         size, known, base, model = len(b.ids), counts[0] > 0, np.log10((counts[0] + 0.1) / (n + 0.1 * (v + 1))), np.log10(p)
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(b.marks == HELD_OUT),
+        return pa.table({"doc_id": pa.array(b.ids, id_type), "held_out": pa.array(b.marks == HELD_OUT),
                          "n_tokens": pa.array(t.sizes, pa.int64()),
                          "n_known": pa.array(np.bincount(t.doc, known, size).astype(np.int64)),
                          "train_tokens": pa.array([n] * size, pa.int64()),
                          "base_score": pa.array(np.bincount(t.doc, base, size)),
                          "score": pa.array(np.bincount(t.doc, model, size))})
 
-    return per_block(staged, answers, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
+    return per_block(staged, answers, score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, "
                      "train_tokens bigint, base_score double, score double")

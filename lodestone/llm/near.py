@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, checkpointed, quoted
+from .common import ascii_lower, checkpointed, fresh, quoted
 from .hashing import Stretches, distinct, lowered, mixed, word_bounds
 from .links import link_groups
 
@@ -214,6 +214,6 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
 
     Rows that repeat that id all stay.
     """
-    name = "kept_id"
+    name = fresh(docs, "kept_id")
     kept = find_groups(docs, id, text, **options).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, quoted([id])[0].eqNullSafe(F.col(name)), "left_semi")

@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import BLOCK_BYTES, Block, bits_of, per_block, round_of, sent, split, stage, to_bits
 from .hashing import Stretches, distinct, from_planes, planes
@@ -197,6 +198,9 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     answers = round_of(staged, send_marks, _any_mark, answers, "marks")
     answers = round_of(staged, send_suffixes, _window_ties, answers, "suffixes")
 
+    kind = docs.schema[id].dataType
+    id_type = to_arrow_type(kind)
+
     def remove(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
         repeated = view.repeated(got)
@@ -209,14 +213,14 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
             removed.append(int(own.sum()))
             spans.append(int((np.diff(own.astype(np.int8), prepend=0) == 1).sum()))
             kept.append(b.data[start:end][~own].tobytes())
-        out = {"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array(size, pa.int64()),
+        out = {"doc_id": pa.array(b.ids, id_type), "n_bytes": pa.array(size, pa.int64()),
                "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
         if keep_text:
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return per_block(staged, answers, remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+    return per_block(staged, answers, remove, f"doc_id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, "
                         "kept_sha256 string" + ", kept binary" * keep_text)
 
 
