@@ -36,31 +36,61 @@ def benchmark_windows(items: DataFrame, id: str = "item_id", text: str = "text",
         .groupBy("len", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
-              item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
-    """Occurrences: ``doc_id``, ``print`` (hash of the text), ``p`` (first word, from 1), ``len``, ``items``.
+def _key(words: Column) -> Column:
+    """One number for each word, so that a word is hashed once for all windows it is in."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    Rows that repeat an id and a text share their occurrences.
+
+def _window_key(marks: Column, first, size: int) -> Column:
+    return F.xxhash64(*[F.get(marks, first + i) for i in range(size)])
+
+
+def scan(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
+         item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """Occurrences as ``find_hits`` has them, and a row with ``p`` 0 and ``n_words`` for every document.
+
+    Both come from one pass over the texts: a document's words also hold one place before
+    the first, which the lookup knows as a window without words.
     """
     key, content = quoted([id, text])
     windows = checkpointed(benchmark_windows(items, item_id, item_text, n), "windows")
     sizes = sorted(r["len"] for r in windows.select("len").distinct().collect())  # n values at most
     small = windows.count() <= BROADCAST_WINDOWS
-    lookup = windows.withColumn("key", F.coalesce(*[
-        F.when(F.col("len") == size, F.xxhash64(*[F.get("window", F.lit(i)) for i in range(size)]))
-        for size in sizes], F.lit(0).cast("bigint")))
+    marks = F.col("marks")
+    lookup = windows.withColumn("marks", _key(F.col("window"))).withColumn("key", F.coalesce(*[
+        F.when(F.col("len") == size, _window_key(marks, F.lit(0), size)) for size in sizes],
+        F.lit(0).cast("bigint"))).drop("marks")
+    place = docs.sparkSession.range(1).select(
+        F.lit(0).alias("len"), F.array().cast("array<string>").alias("window"),
+        F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("key"))
+    lookup = lookup.unionByName(place)
     positions = docs.select(key.alias("doc_id"), F.xxhash64(content).alias("print"), words_of(content).alias("words")) \
-        .select("doc_id", "print", "words", F.posexplode("words").alias("p", "word")).drop("word")
-    at = [F.struct(F.lit(size).alias("len"), F.xxhash64(*[F.get("words", F.col("p") + i) for i in range(size)])
-                   .alias("key")) for size in sizes]
+        .select("*", _key(F.col("words")).alias("marks")) \
+        .select("doc_id", "print", "words", "marks", F.explode(F.sequence(F.lit(0), F.size("words"))).alias("p"))
+    at = [F.struct(F.lit(size).alias("len"), _window_key(marks, F.col("p") - 1, size).alias("key")) for size in sizes]
+    before = F.struct(F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("key"))
+    # windows that meet the lookup in a shuffle carry their own words alone
+    own = F.col("words") if small else F.slice("words", F.greatest("p", F.lit(1)), n)
+    kept = ["doc_id", "print", "p", F.size("words").cast("bigint").alias("n_words"), own.alias("words")]
     if len(at) == 1:
-        keyed = positions.select("*", at[0].alias("at")).select("doc_id", "print", "words", "p", "at.len", "at.key")
+        keyed = positions.select(*kept, F.when(F.col("p") > 0, at[0]).otherwise(before).alias("at")) \
+            .select("doc_id", "print", "p", "n_words", "words", "at.len", "at.key")
     else:
-        keyed = positions.select("doc_id", "print", "words", "p", F.inline(
-            F.array(*at) if at else F.array().cast("array<struct<len:int,key:bigint>>")))
+        keyed = positions.select(*kept, F.inline(F.when(F.col("p") > 0, F.array(*at) if at else F.array().cast(
+            "array<struct<len:int,key:bigint>>")).otherwise(F.array(before))))
     met = keyed.join(F.broadcast(lookup) if small else lookup, ["key", "len"])
-    return met.where(F.slice("words", F.col("p") + 1, F.col("len")) == F.col("window")) \
-        .select("doc_id", "print", (F.col("p") + 1).alias("p"), "len", "items")
+    there = F.slice("words", F.greatest("p", F.lit(1)) if small else F.lit(1), F.col("len")) == F.col("window")
+    return met.where((F.col("p") == 0) | there).select(
+        "doc_id", "print", "p", "len", "items", F.when(F.col("p") == 0, F.col("n_words")).alias("n_words"))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
+              item_id: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """Occurrences: ``doc_id``, ``print`` (hash of the text), ``p`` (first word, from 1), ``len``, ``items``.
+
+    Rows that repeat an id and a text share their occurrences.
+    """
+    return scan(docs, items, id, text, item_id, item_text, n).where("p > 0").drop("n_words")
 
 
 def hit_counts(hits: DataFrame) -> DataFrame:
@@ -86,11 +116,10 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     without words have no window. Rows that repeat an id are answered each by their own
     text. Extra columns are not read.
     """
-    key, content = quoted([id, text])
-    # written once: counting words and items both read it
-    hits = hit_counts(checkpointed(find_hits(docs, items, id, text, item_id, item_text, n), "hits"))
-    base = docs.select(key.alias("doc_id"), F.xxhash64(content).alias("print"),
-                       F.size(words_of(content)).cast("bigint").alias("n_words"))
+    # written once: documents, their hit words and their items all read it
+    found = checkpointed(scan(docs, items, id, text, item_id, item_text, n), "hits")
+    hits = hit_counts(found.where("p > 0"))
+    base = found.where("p = 0").select("doc_id", "print", "n_words")
     both = base.join(hits.withColumnsRenamed({"doc_id": "hit_id", "print": "hit_print"}),
                      F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("print") == F.col("hit_print")), "left")
     ids = F.coalesce(F.array_join("item_list", ","), F.lit(""))
