@@ -534,7 +534,7 @@ def _moved(name: str, cells: str, centroids: str) -> str:
 {name} as (select cell, coalesce(m.u, c.u) as u from {centroids} c left join {name}_m m using (cell))"""
 
 
-sql("ann_lsh", with_(
+sql("ann_index", with_(
     "units as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings)",
     "parts as (select vec_id, unnest(u) as x, generate_subscripts(u, 1) - 1 as i from units)",
     "seeds as (select (row_number() over (order by md5(vec_id::varchar)) - 1) as cell, u from units qualify cell < 64)",
