@@ -1,16 +1,19 @@
 """Hashes of many stretches of one byte or code-point array, with NumPy.
 
-The hash of a stretch is a polynomial over mixed symbols, modulo 2**64. It comes from
-prefix sums, so that any number of stretches of any length cost a few operations each,
-and equal stretches have equal hashes wherever they stand.
+The hash of a stretch is a pair of polynomials over mixed symbols, modulo the prime
+2**31 - 1, each at a base of its own and of the seed's. Two different stretches of n symbols
+agree in both with a chance of about (n / 2**31)**2, whatever they hold; a power of two
+as modulus would give equal hashes to some made words at every base. The polynomials come
+from prefix sums, so that any number of stretches of any length cost a few operations
+each, and equal stretches have equal hashes wherever they stand.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+_P, _31 = np.uint64(PRIME), np.uint64(31)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,33 +23,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}  # of a worker process
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Equal to ``x`` modulo the prime, and below 2**34; ``x`` is overwritten."""
+    high = x >> _31
+    x &= _P
+    x += high
+    return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**n`` modulo 2**64, kept up to the longest asked for."""
-    if len(_POWERS.get(base, ())) <= n:
-        size = 1 << max(12, int(n).bit_length())
-        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64)
-    return _POWERS[base][:n + 1]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """The residue of ``x`` modulo the prime; ``x`` is overwritten."""
+    x = _folded(_folded(x))
+    x[x >= _P] -= _P
+    return x
+
+
+def _number(*parts: int) -> int:
+    """A number from 2 to the prime less 2 that the parts determine."""
+    x = np.zeros(1, np.uint64)
+    for p in parts:
+        x = mixed(x + np.uint64(p * 1_000_003 + 12345))
+    return 2 + int(x[0]) % (PRIME - 3)
 
 
-def _symbols(seed: int) -> np.ndarray:
-    return mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 12345)) | np.uint64(1)
+_POWERS: dict[int, np.ndarray] = {}  # of a worker process
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base**0 .. base**n`` modulo the prime, kept up to the longest asked for."""
+    held = _POWERS.get(base, np.ones(1, np.uint32))
+    while len(held) <= n:
+        more = held[:n + 1 - len(held)].astype(np.uint64)
+        more *= np.uint64(pow(base, len(held), PRIME))
+        held = np.concatenate([held, _reduced(more).astype(np.uint32)])
+    _POWERS[base] = held
+    return held[:n + 1]
 
 
 class Stretches:
     """Hashes of stretches ``[start, end)`` of one array of symbols."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
-        n = len(data)
-        values = _symbols(seed)[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64) + np.uint64(seed))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(BASE, n)[:n], out=self.sums[1:])
-        self.back = powers(INVERSE, n)
+        self.n = n = len(data)
+        self.limbs = []
+        for limb in (1, 2):
+            base = _number(seed, limb)
+            if data.dtype == np.uint8:
+                values = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(_number(seed, limb, 3))) % _P)[data]
+            else:
+                values = mixed(data.astype(np.uint64) + np.uint64(_number(seed, limb, 3))) % _P
+            values *= powers(base, n)[:n]
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_folded(values), out=sums[1:])
+            self.limbs.append((base, sums))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        parts = []
+        for base, sums in self.limbs:
+            # all stretches are brought to one place, the end of the array, and from there to 0
+            x = _reduced(sums[ends] - sums[starts])
+            x *= powers(base, self.n)[self.n - starts]
+            x = _reduced(x)
+            x *= np.uint64(pow(base, -self.n, PRIME))
+            parts.append(_reduced(x))
+        return mixed((parts[0] << _31) | parts[1])
 
 
 def distinct(hi: np.ndarray, lo: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
