@@ -36,7 +36,8 @@ class Staged:
     ranges: int
 
 
-def stage(docs: DataFrame, id: str, text: str, mark: Column | None = None, block_bytes: int = BLOCK_BYTES) -> Staged:
+def stage(docs: DataFrame, id: str, text: str, mark: Column | None = None, block_bytes: int = BLOCK_BYTES,
+          range_bytes: int = RANGE_BYTES) -> Staged:
     """Write texts (null: empty) into blocks. The table stays in the shared folder."""
     spark = docs.sparkSession
     key, content = quoted([id, text])
@@ -50,7 +51,7 @@ def stage(docs: DataFrame, id: str, text: str, mark: Column | None = None, block
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet") \
         .option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
-    return Staged(spark.table(name), blocks, max(24, math.ceil(total / RANGE_BYTES)))
+    return Staged(spark.table(name), blocks, max(24, math.ceil(total / range_bytes)))
 
 
 @dataclass

@@ -30,6 +30,9 @@ FREQUENCIES = 16
 #: estimates are told apart by tenths of a decade when weights are learned
 STEP, LOWEST = 0.1, 120
 FLOOR = 1e-6
+#: a block's n-grams stand in memory beside their answers, and an owner holds every block's
+#: n-grams of its range, most of them different: many times these bytes of text
+SCORED_BYTES, COUNTED_BYTES = 2 << 20, 8 << 20
 
 
 class _Tokens:
@@ -153,7 +156,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
     """
     if order < 1:
         raise ValueError("order must be positive")
-    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS))
+    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS), block_bytes=SCORED_BYTES, range_bytes=COUNTED_BYTES)
     ranges = staged.ranges
 
     def sender(k: int):
