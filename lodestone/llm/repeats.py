@@ -13,7 +13,7 @@ all. Of the rest
 3. only the suffixes around marked names go to their bucket, a key range that one task
    sorts at a time; equal neighbours are repeats.
 
-Keys have 96 bits, so that a chance tie is less likely than a disk error.
+Keys have 94 bits, so that a chance tie is less likely than a disk error.
 """
 
 from __future__ import annotations
@@ -54,18 +54,20 @@ class _View:
     def __init__(self, block: Block, length: int):
         v, cover = cover_for(length)
         self.b, self.length, self.v = block, length, v
-        chosen = np.zeros(v, bool)
-        chosen[list(cover)] = True
         name = length - v + 1
-        offset = np.arange(len(block.data), dtype=np.int64) - np.repeat(block.starts, block.ends - block.starts)
-        room = np.repeat(block.ends, block.ends - block.starts) - np.arange(len(block.data))
-        self.cover = np.flatnonzero(chosen[offset % v] & (room >= name))
+        # whole periods of the cover from each text's start, then those with room for a name
+        periods = (block.ends - block.starts - name) // v + 1
+        periods[block.ends - block.starts < name] = 0
+        owner = np.repeat(np.arange(len(periods)), periods)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(periods) - periods, periods)
+        at = (block.starts[owner] + nth * v)[:, None] + np.array(cover)
+        fits = at + name <= block.ends[owner][:, None]
+        self.cover, owner = at[fits], np.broadcast_to(owner[:, None], at.shape)[fits]
         self.first = Stretches(block.data, 1)
         names = self.first.of(self.cover, self.cover + name)
         # 32 bits beside the range are enough: a chance tie only adds candidates
         self.names = names & ~np.uint64(0xFFF)
         self.heads, self.place = distinct(self.names)
-        owner = np.searchsorted(block.ends, self.cover, side="right")
         # starts of the windows that a cover position answers for: from low to high
         self.low = np.maximum(self.cover - v + 1, block.starts[owner])
         self.high = np.minimum(self.cover, block.ends[owner] - length)
@@ -79,9 +81,13 @@ class _View:
         return flags[self.place]
 
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        second = Stretches(self.b.data, 2)
-        ends = starts + self.length
-        return self.first.of(starts, ends), (second.of(starts, ends) >> np.uint64(32)).astype(np.uint32)
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        # the second hash reads the bytes of the windows alone, which stay together
+        inside = self.covered(starts)
+        moved = (np.cumsum(inside) - 1)[starts]
+        second = Stretches(self.b.data[inside], 2).of(moved, moved + self.length)
+        return self.first.of(starts, starts + self.length), (second >> np.uint64(32)).astype(np.uint32)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """Bytes inside the windows at ``starts``."""
