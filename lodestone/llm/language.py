@@ -5,13 +5,17 @@ An unseen word is scored by its n-grams, blanks around it included, from the lon
 length down: the first length of which any n-gram is known decides. A document's score is
 the mean over its words.
 
-All counted words and n-grams stay, in a table. Blocks of documents ask for their distinct
-words by a join, and only unseen words ask for n-grams, once each, so that no task holds
-the model. What a language lacks scores a floor that is below all that was seen.
+Texts are read once: neighbouring documents become a chunk, which keeps where each of its
+distinct words stands, and the words themselves with their counts by language. n-grams are
+counted from distinct words, weighted by their counts. All that was counted stays; chunks
+get the gains of their words by a join, and only unseen words ask for n-grams, a length at
+a time, so that no task holds the model. What a language lacks scores a floor that is below
+all that was seen. Gains are whole numbers, so that the order of sums does not show.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +24,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import Block, opened, stage
 from .common import checkpointed, fold, quoted
-from .hashing import Stretches, distinct, mixed
+from .hashing import Stretches, distinct, from_planes, mixed, planes
 
 #: what was never seen scores a tenth of this share, or of one occurrence if that is less
 MIN_SHARE = 1e-5
 LONGEST = 5
-MOST_LANGUAGES = 1000
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-#: scores are rounded to so many digits, so that the order of sums does not show
+#: gains are counted in units of ten to the minus DIGITS
 DIGITS = 9
 SLICE_CHARS = 1 << 20
+#: a chunk ends with the document that fills it
+CHUNK_CHARS = 64 << 20
+#: entries of gains added up at a time
+STEP = 1 << 20
 BLANK = 32
 
 _LETTERS: dict[str, np.ndarray] = {}  # of a worker process
@@ -87,19 +93,120 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[slice]:
         yield slice(low, len(texts))
 
 
-def count_features(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Over ``lang`` and ``text``: ``lang, n, key, times``; ``n`` is 0 for words."""
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, their count in front."""
+    raw = len(values).to_bytes(8, "little") + planes(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return from_planes(raw[8:], dtype)
+
+
+def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the exact sum of each one's values."""
+    order = np.argsort(codes, kind="stable")
+    codes, values = codes[order], values[order]
+    new = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1)) if len(codes) else np.zeros(0, np.int64)
+    return codes[new], np.add.reduceat(values, new) if len(new) else values
+
+
+class _Chunk:
+    """Documents that are read together: their facts, and the places of their words."""
+
+    def __init__(self) -> None:
+        self.ids, self.marks, self.langs, self.many = [], [], [], []
+        self.parts, self.spelled, self.chars = [], {}, 0
+
+    def add(self, ids: list, marks: list, langs: list, texts: list) -> None:
+        words = Words(texts)
+        keys = words.word_keys()
+        heads, place = distinct(keys, words.doc.astype(np.uint64))
+        self.parts.append((keys[heads], (words.doc[heads] + len(self.ids)).astype(np.uint32),
+                           np.bincount(place, minlength=len(heads)).astype(np.uint32)))
+        first, _ = distinct(keys)
+        for k, s, e in zip(keys[first].tolist(), words.start[first].tolist(), words.end[first].tolist()):
+            if k not in self.spelled:
+                self.spelled[k] = words.points[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace")
+        self.many += np.bincount(words.doc, minlength=len(texts)).tolist()
+        self.ids += ids
+        self.marks += marks
+        self.langs += langs
+        self.chars += sum(len(t or "") for t in texts)
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """One row of the documents, then one of each word."""
+        name = uuid.uuid4().int >> 65
+        keys, docs, counts = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")
+        keys, docs, counts = keys[order], docs[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(keys)))
+        yield from self._batch(schema, 1, chunk=[name], ids=[self.ids], marks=[self.marks], many=[self.many],
+                               sizes=[packed(sizes.astype(np.uint32))], docs=[packed(docs)], counts=[packed(counts)])
+        names = sorted({x for x in self.langs if x is not None})
+        code = np.array([-1 if x is None else names.index(x) for x in self.langs], np.int64)[docs]
+        rank = np.repeat(np.arange(len(first)), sizes)
+        taught = code >= 0
+        pair, times = summed(rank[taught] * len(names) + code[taught], counts[taught].astype(np.int64))
+        ends = np.searchsorted(pair, np.arange(len(first) + 1) * len(names)).astype(np.int32)
+        labels = pa.DictionaryArray.from_arrays(pa.array(pair % max(len(names), 1), pa.int32()),
+                                                pa.array(names, pa.string())).dictionary_decode()
+        own = keys[first]
+        yield from self._batch(
+            schema, len(first), chunk=np.full(len(first), name), at=np.arange(len(first), dtype=np.int32),
+            key=own.view(np.int64), word=[self.spelled[k] for k in own.tolist()],
+            langs=pa.ListArray.from_arrays(pa.array(ends), labels), times=pa.ListArray.from_arrays(pa.array(ends), pa.array(times)))
+
+    @staticmethod
+    def _batch(schema: pa.Schema, n: int, **columns) -> Iterator[pa.RecordBatch]:
+        arrays = [pa.nulls(n, f.type) if f.name not in columns else columns[f.name].cast(f.type)
+                  if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema]
+        if n:
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
+    """All documents as chunks, in one pass, written once so that a chunk's name holds.
+
+    Rows with ``ids`` hold a chunk's documents; the others one word of a chunk each:
+    ``at`` (its rank in the chunk), ``key``, ``word`` and its ``times`` in ``langs`` that
+    are learned from.
+    """
+    key, content, label = quoted([id, text, lang])
+    held = fold(key, FOLDS) == HELD_OUT
+    rows = docs.select(key.alias("id"), content.alias("text"), F.coalesce(held, F.lit(False)).alias("mark"),
+                       F.when(~F.coalesce(held, F.lit(False)), label.cast("string")).alias("lang"))
+    kind = docs.schema[id].dataType
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("marks", pa.list_(pa.bool_())),
+                        ("many", pa.list_(pa.int64())), ("sizes", pa.binary()), ("docs", pa.binary()),
+                        ("counts", pa.binary()), ("at", pa.int32()), ("key", pa.int64()), ("word", pa.string()),
+                        ("langs", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk()
+        for batch in batches:
+            ids, texts, marks, langs = (batch.column(c).to_pylist() for c in ("id", "text", "mark", "lang"))
+            for part in slices(texts):
+                chunk.add(ids[part], marks[part], langs[part], texts[part])
+                if chunk.chars >= CHUNK_CHARS:
+                    yield from chunk.rows(schema)
+                    chunk = _Chunk()
+        if chunk.ids:
+            yield from chunk.rows(schema)
+
+    return checkpointed(rows.mapInArrow(read, (
+        f"chunk bigint, ids array<{kind.simpleString()}>, marks array<boolean>, many array<bigint>, sizes binary, "
+        "docs binary, counts binary, at int, key bigint, word string, langs array<string>, times array<bigint>")), "language-chunks")
+
+
+def count_grams(words: DataFrame, longest: int) -> DataFrame:
+    """Over ``lang, word, times``: ``lang, n, key, times`` of the words' n-grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[str, int], list] = {}
 
-        def add(lang: str, n: int, keys: np.ndarray, times: np.ndarray | None = None) -> None:
-            old = kept.get((lang, n), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            keys = np.concatenate([old[0], keys])
-            times = np.concatenate([old[1], np.ones(len(keys) - len(old[0]), np.int64) if times is None else times])
-            first, place = distinct(keys)
-            kept[lang, n] = (keys[first], np.bincount(place, times, len(first)).astype(np.int64))
-
         def emit() -> Iterator[pa.RecordBatch]:
             for (lang, n), (keys, times) in kept.items():
                 yield pa.RecordBatch.from_arrays(
@@ -109,120 +216,125 @@ def count_features(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
 
         for batch in batches:
             by: dict[str, list] = {}
-            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(t)
-            for lang, texts in by.items():
-                for part in slices(texts):
-                    words = Words(texts[part])
-                    add(lang, 0, words.word_keys())
-                    everything = np.arange(len(words.start))
-                    for n in range(1, longest + 1):
-                        add(lang, n, words.grams(everything, n)[1])
+            for lang, word, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "times"))):
+                by.setdefault(lang, []).append((word, times))
+            for lang, pairs in by.items():
+                words, weight = Words([w for w, _ in pairs]), np.array([t for _, t in pairs], np.int64)
+                everything = np.arange(len(words.start))
+                for n in range(1, longest + 1):
+                    owner, keys = words.grams(everything, n)
+                    old = kept.get((lang, n), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                    kept[lang, n] = summed(np.concatenate([old[0], keys]),
+                                           np.concatenate([old[1], weight[words.doc[owner]]]))
             if sum(len(k) for k, _ in kept.values()) > 2_000_000:
                 yield from emit()
         yield from emit()
 
-    parts = rows.mapInArrow(count, "lang string, n int, key bigint, times bigint")
+    parts = words.select("lang", "word", "times").mapInArrow(count, "lang string, n int, key bigint, times bigint")
     return parts.groupBy("lang", "n", "key").agg(F.sum("times").alias("times"))
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE,
-        longest: int = LONGEST) -> tuple[list[str], DataFrame | None, float]:
+def fit(words: DataFrame, min_share: float = MIN_SHARE, longest: int = LONGEST) -> tuple[list[str], DataFrame | None, float]:
     """Languages in order, ``n, key, gains`` for all that was counted, and the floor.
 
+    ``words`` are the ``lang, key, word, times`` learned from; ``n`` is 0 for words.
     ``gains`` has ``place`` (of a language) and ``gain``, its log frequency above the floor.
-    Without anything counted there are no languages and no table.
+    Without anything counted there are no languages and no table. The languages' names and
+    totals are held by the driver, as they are part of the model.
     """
-    key, content, label = quoted([id, text, lang])
-    rows = docs.where(label.isNotNull() & (fold(key, FOLDS) != HELD_OUT)) \
-        .select(label.cast("string").alias("lang"), F.coalesce(content, F.lit("")).alias("text"))
-    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # written once: totals and features both read it
-    counts = checkpointed(count_features(rows, longest), "language-counts")
-    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect() if names else []
+    grams = count_grams(words, longest)
+    counts = checkpointed(words.select("lang", F.lit(0).alias("n"), "key", "times").unionByName(grams), "language-counts")
+    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()
     if not totals:
         return [], None, 0.0
+    names = sorted({r["lang"] for r in totals})
+    place = {name: k for k, name in enumerate(names)}
     floor = min(np.log10(min_share), -np.log10(max(r["total"] for r in totals))) - 1
-    sizes = docs.sparkSession.createDataFrame(
-        [(r["lang"], r["n"], names.index(r["lang"]), r["total"]) for r in totals], "lang string, n int, place int, total bigint")
-    gain = F.round(F.log10(F.col("times") / F.col("total")) - float(floor), DIGITS)
+    sizes = words.sparkSession.createDataFrame(
+        [(r["lang"], r["n"], place[r["lang"]], r["total"]) for r in totals], "lang string, n int, place int, total bigint")
+    gain = F.round((F.log10(F.col("times") / F.col("total")) - float(floor)) * 10 ** DIGITS).cast("bigint")
     known = counts.join(F.broadcast(sizes), ["lang", "n"]).groupBy("n", "key") \
         .agg(F.collect_list(F.struct("place", gain.alias("gain"))).alias("gains"))
-    return names, known, float(floor)
+    return names, checkpointed(known, "language-known"), float(floor)
 
 
 def unseen_gains(unseen: DataFrame, known: DataFrame, longest: int) -> DataFrame:
-    """``key, gains`` of words (``key, word``) by the longest n-grams of which any is known."""
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("word").to_pylist()
-            own = batch.column("key").to_numpy()
-            for part in slices(texts):
-                words, keys = Words(texts[part]), own[part]
-                everything = np.arange(len(words.start))
-                for n in range(1, longest + 1):
-                    owner, found = words.grams(everything, n)
-                    many = np.bincount(owner, minlength=len(everything))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[owner]), pa.array(np.full(len(owner), n, np.int32)), pa.array(found.view(np.int64)),
-                         pa.array(many[owner])], ["word_key", "n", "key", "many"])
-
-    asked = unseen.mapInArrow(grams, "word_key bigint, n int, key bigint, many bigint")
-    each = asked.join(known, ["n", "key"]).select("word_key", "n", "many", F.explode("gains").alias("g")) \
-        .groupBy("word_key", "n", "g.place").agg((F.sum("g.gain") / F.first("many")).alias("gain"))
-    return each.groupBy("word_key", "n") \
-        .agg(F.collect_list(F.struct("place", F.round("gain", DIGITS).alias("gain"))).alias("gains")) \
-        .groupBy(F.col("word_key").alias("key")).agg(F.max_by("gains", "n").alias("gains"))
-
+    """``key, gains`` of words (``key, word``) by the longest n-grams of which any is known.
 
-def words_of(block: Block) -> Iterator[tuple[slice, list[str], Words]]:
-    """A block's texts and their words, some documents at a time."""
-    texts = [block.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(block.starts, block.ends)]
-    for part in slices(texts):
-        yield part, texts[part], Words(texts[part])
-
-
-def asked_words(table: pa.Table) -> pa.Table:
-    """The distinct words of a block."""
-    block, found = opened(table), {}
-    for _, _, words in words_of(block):
-        keys = words.word_keys()
-        first, _ = distinct(keys)
-        for k, s, e in zip(keys[first].view(np.int64).tolist(), words.start[first].tolist(), words.end[first].tolist()):
-            if k not in found:
-                found[k] = words.points[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace")
-    return pa.table({"block": pa.array([table["block"][0].as_py()] * len(found), pa.int64()),
-                     "key": pa.array(list(found), pa.int64()), "word": pa.array(list(found.values()), pa.string())})
-
-
-def predict(words: Words, texts: int, names: list[str], keys: np.ndarray, bounds: np.ndarray,
-            place: np.ndarray, gain: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The best language of each text and the share of belief it gets.
+    Lengths come one at a time: only words without a known n-gram go on to the next.
+    """
 
-    ``keys`` are sorted; key ``k`` has the gains from ``bounds[k]`` to ``bounds[k + 1]``.
+    def grams_of(n: int):
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("word").to_pylist()
+                own = batch.column("key").to_numpy()
+                for part in slices(texts):
+                    words, keys = Words(texts[part]), own[part]
+                    owner, found = words.grams(np.arange(len(words.start)), n)
+                    many = np.bincount(owner, minlength=len(words.start))
+                    heads, place = distinct(owner.astype(np.uint64), found)
+                    owner, times = owner[heads], np.bincount(place, minlength=len(heads))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[words.doc[owner]]), pa.array(found[heads].view(np.int64)), pa.array(times.astype(np.int64)),
+                         pa.array(many[owner])], ["word_key", "key", "times", "many"])
+        return grams
+
+    done = None
+    for n in range(longest, 0, -1):
+        asked = unseen.mapInArrow(grams_of(n), "word_key bigint, key bigint, times bigint, many bigint")
+        each = asked.join(known.where(F.col("n") == n), "key").select("word_key", "times", "many", F.explode("gains").alias("g")) \
+            .groupBy("word_key", "g.place").agg(F.round(F.sum(F.col("g.gain") * F.col("times")) / F.first("many")).cast("bigint").alias("gain"))
+        got = checkpointed(each.groupBy(F.col("word_key").alias("key"))
+                           .agg(F.collect_list(F.struct("place", "gain")).alias("gains")), "language-backoff")
+        done = got if done is None else done.unionByName(got)
+        if n > 1:
+            unseen = checkpointed(unseen.join(got.select("key"), "key", "left_anti"), "language-unseen")
+    return done
+
+
+def totals_of(docs: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray,
+              place: np.ndarray, gain: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """``document * languages + place`` codes, sorted, and the sum of the gains of each.
+
+    Word ``k`` stands in ``sizes[k]`` of the ``docs``, ``counts`` times each. Word ``at[j]`` has
+    the gains from ``bounds[j]`` to ``bounds[j + 1]``.
+    """
+    answer = np.full(len(sizes), -1, np.int64)
+    answer[at] = np.arange(len(at))
+    reply = np.repeat(answer, sizes)
+    codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for low in range(0, len(docs), STEP):
+        got = reply[low:low + STEP]
+        hit = got >= 0
+        got = got[hit]
+        n = bounds[got + 1] - bounds[got]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[got], n)
+        code = np.repeat(docs[low:low + STEP][hit].astype(np.int64), n) * languages + place[entry]
+        value = gain[entry] * np.repeat(counts[low:low + STEP][hit].astype(np.int64), n)
+        codes, sums = summed(np.concatenate([codes, code]), np.concatenate([sums, value]))
+    return codes, sums
+
+
+def predict(many: np.ndarray, codes: np.ndarray, sums: np.ndarray, names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The best language of each document of ``many`` words, and the share of belief it gets.
+
+    What all languages have in common, the floor, changes neither order nor belief; a
+    language without a code has no gain.
     """
-    size, many = len(names), np.bincount(words.doc, minlength=texts)
+    n, size = len(many), len(names)
     if not size:
-        return [UNKNOWN] * texts, np.zeros(texts)
-    total = np.zeros(texts * size)
-    if len(keys) and len(words.start):
-        asked = words.word_keys().view(np.int64)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        hit = keys[at] == asked
-        at, doc = at[hit], words.doc[hit]
-        n = bounds[at + 1] - bounds[at]
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[at], n)
-        total = np.bincount(np.repeat(doc, n) * size + place[entry], gain[entry], texts * size)
-    # what all languages have in common, the floor, changes neither order nor belief
-    mean = np.round(total.reshape(texts, size) / np.maximum(many, 1)[:, None], DIGITS)
-    belief = np.exp(np.log(10) * (mean - mean.max(1, keepdims=True)) * np.minimum(many, 10)[:, None])
-    belief /= belief.sum(1, keepdims=True)
-    best = mean.argmax(1)
-    return ([names[k] if n else UNKNOWN for k, n in zip(best, many)],
-            np.where(many > 0, belief[np.arange(texts), best], 0.0))
+        return [UNKNOWN] * n, np.zeros(n)
+    doc, place = codes // size, codes % size
+    mean = np.round(sums / 10.0 ** DIGITS / np.maximum(many, 1)[doc], DIGITS)
+    order = np.lexsort((place, -mean, doc))
+    first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    best, top = np.zeros(n, np.int64), np.zeros(n)
+    best[doc[first]], top[doc[first]] = place[first], mean[first]
+    weight = np.log(10) * np.minimum(many, 10)
+    belief = np.bincount(doc, np.exp((mean - top[doc]) * weight[doc]), n) \
+        + (size - np.bincount(doc, minlength=n)) * np.exp(-top * weight)
+    return ([names[k] if m else UNKNOWN for k, m in zip(best, many)], np.where(many > 0, 1 / belief, 0.0))
 
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -235,37 +347,37 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     learned. Ties go to the language that sorts first. Repeated rows count and are
     answered each; an empty table gives no rows; extra columns are not read.
     """
-    names, known, _ = fit(docs, id, text, lang, min_share, longest)
-    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS) == HELD_OUT)
-    asked = checkpointed(staged.rows.groupBy("block").applyInArrow(
-        asked_words, "block bigint, key bigint, word string"), "language-words")
+    read = read_chunks(docs, id, text, lang)
+    spots = read.where("ids is null")
+    # a word that nothing is learned from keeps a row without a language
+    words = checkpointed(spots.select("key", "word", F.explode_outer(F.arrays_zip("langs", "times")).alias("t"))
+                         .groupBy("key", F.col("t.langs").alias("lang"))
+                         .agg(F.min("word").alias("word"), F.sum("t.times").alias("times")), "language-words")
+    taught = words.where("lang is not null")
+    names, known, _ = fit(taught, min_share, longest)
     if known is None:
-        gains = docs.sparkSession.createDataFrame([], "key bigint, gains array<struct<place int, gain double>>")
+        gains = docs.sparkSession.createDataFrame([], "key bigint, gains array<struct<place int, gain bigint>>")
     else:
-        seen = known.where("n = 0").select("key", "gains")
-        each = asked.groupBy("key").agg(F.min("word").alias("word"))
-        unseen = each.join(seen.select("key"), "key", "left_anti")
-        gains = seen.unionByName(unseen_gains(unseen, known.where("n > 0"), longest))
-    answers = asked.select("block", "key").join(gains, "key") \
-        .select("block", "key", F.col("gains.place").alias("place"), F.col("gains.gain").alias("gain"))
+        unseen = words.where("lang is null").join(taught.select("key"), "key", "left_anti").select("key", "word")
+        gains = known.where("n = 0").select("key", "gains").unionByName(unseen_gains(unseen, known.where("n > 0"), longest))
+    answers = spots.select("chunk", "at", "key").join(gains, "key") \
+        .select(F.col("chunk").alias("of"), "at", F.col("gains.place").alias("place"), F.col("gains.gain").alias("gain"))
     id_type = docs.schema[id].dataType
     arrow_id = to_arrow_type(id_type)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = opened(left)
-        right = right.sort_by("key").combine_chunks()
-        keys = right["key"].to_numpy()
-        sizes = pc.list_value_length(right["place"]).to_numpy()
-        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        row = left.to_pylist()[0]
+        right = right.combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(right["place"]).to_numpy())]).astype(np.int64)
         place, gain = (pc.list_flatten(right[c]).to_numpy() for c in ("place", "gain"))
-        preds, scores = [], []
-        for part, texts, words in words_of(block):
-            got, score = predict(words, len(texts), names, keys, bounds, place, gain)
-            preds += got
-            scores.append(score)
-        return pa.table({"doc_id": pa.array(block.ids, arrow_id), "held_out": pa.array(block.marks.astype(bool)),
-                         "lang_pred": pa.array(preds, pa.string()),
-                         "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
-
-    return staged.rows.groupBy("block").cogroup(answers.groupBy("block")) \
+        many = np.array(row["many"], np.int64)
+        codes, sums = totals_of(unpacked(row["docs"], np.uint32), unpacked(row["counts"], np.uint32),
+                                unpacked(row["sizes"], np.uint32), right["at"].to_numpy(), bounds,
+                                place, gain, len(names))
+        preds, score = predict(many, codes, sums, names)
+        return pa.table({"doc_id": pa.array(row["ids"], arrow_id), "held_out": pa.array(row["marks"], pa.bool_()),
+                         "lang_pred": pa.array(preds, pa.string()), "score": pa.array(score)})
+
+    chunks = read.where("ids is not null").select("chunk", "ids", "marks", "many", "sizes", "docs", "counts")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")) \
         .applyInArrow(answer, f"doc_id {id_type.simpleString()}, held_out boolean, lang_pred string, score double")
