@@ -130,15 +130,14 @@ def similar(rows: pd.DataFrame) -> np.ndarray:
 
 def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                counted: bool = False) -> DataFrame:
+                counted: bool = True) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, n_links, kept``.
 
-    Documents are linked if the Jaccard similarity of their shingles of ``shingle`` words
-    is at least ``similarity``, and equal texts (A-Z lower-cased) always; classes are the
-    components. ``class_id`` is the smallest id of the class, whose row is ``kept``.
+    Documents are linked if the Jaccard similarity of their shingles of ``shingle`` words,
+    each weighed by its occurrences, is at least ``similarity``, and equal texts (A-Z
+    lower-cased) always; classes are the components. Without ``counted`` all weights are 1. ``class_id`` is the smallest id of the class, whose row is ``kept``.
     ``n_links`` counts verified links of a document's text with different texts; links
-    inside a component that were already implied need not be among them. ``counted``
-    weighs a shingle by its occurrences, and similarity is then the weighted one.
+    inside a component that were already implied need not be among them.
 
     Texts of fewer words are one shingle. Texts without words, null included, are linked
     only to equal ones. Rows that repeat an id and a text share their class, and one of
@@ -181,25 +180,30 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
                     n = part.stop - part.start
                     owner, keys, weights = shingles_of(bodies[part], shingle, counted)
                     at = np.searchsorted(owner, np.arange(n + 1))
-                    cells = owner * (64 * WORDS) + (keys % np.uint64(64 * WORDS)).astype(np.int64)
-                    odd = np.bincount(cells, minlength=n * 64 * WORDS).astype(np.uint8) & (0 if counted else 1)
+                    # the k-th occurrence of a shingle is an element of its own, so that
+                    # the bound by parities and sizes holds for weights too
+                    times = weights.astype(np.int64)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    element = np.repeat(keys, times) + np.uint64(GOLDEN) * nth.astype(np.uint64)
+                    cells = np.repeat(owner, times) * (64 * WORDS) + (mixed(element) % np.uint64(64 * WORDS)).astype(np.int64)
+                    odd = np.bincount(cells, minlength=n * 64 * WORDS).astype(np.uint8) & 1
                     yield frame.iloc[part][["node"]].assign(
                         set=[keys[i:j].tobytes() + weights[i:j].astype(np.uint64).tobytes() for i, j in zip(at, at[1:])],
-                        marks=list(np.packbits(odd).view(np.int64).reshape(n, WORDS)))
+                        marks=list(np.packbits(odd).view(np.int64).reshape(n, WORDS)),
+                        size=np.bincount(owner, weights, n))
 
         # a text's first row stands for its copies
         texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["rep"])).where(F.sha2("body", 256) == F.col("sha")) \
             .select("node", "body")
-        return texts.mapInPandas(pack, "node bigint, set binary, marks array<bigint>").groupBy("node") \
-            .agg(F.min("set").alias("set"), F.min("marks").alias("marks")) \
-            .withColumn("size", F.length("set") / 16)
+        return texts.mapInPandas(pack, "node bigint, set binary, marks array<bigint>, size double").groupBy("node") \
+            .agg(F.min("set").alias("set"), F.min("marks").alias("marks"), F.min("size").alias("size"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.loc[similar(frame) >= similarity, ["a", "b"]]
 
     roots, links = link_groups(members, describe, lambda pairs: pairs.mapInPandas(compare, "a bigint, b bigint"),
-                               0.0 if counted else similarity, WORDS)
+                               similarity, WORDS)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("sha", "node").join(roots, "node", "left").join(degree, "node", "left") \
         .select("sha", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -161,6 +161,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(r["kept"] for r in got.values()) == len({find(i) for i in sets})
 
 
+def test_near_weighs_repeated_shingles(spark):
+    """Classes against all pairs of weighted sets: a passage said twice and nine times is not the same."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        for c in range(4):
+            own = list(words)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(60)] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((g * 10 + c, " ".join(own + words[:20] * rng.choice([0, 1, 1, 2, 9])), "s"))
+
+    def bag(text):
+        words = text.split()
+        return Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+    bags = {i: bag(t) for i, t, _ in rows}
+    up = {i: i for i in bags}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(bags, 2):
+        if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["doc_id"]: r["class_id"] for r in near.find_groups(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in bags}
+    assert len(set(got.values())) > 12
+
+
 def test_near_edges(spark):
     got = near.find_groups(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
