@@ -242,11 +242,14 @@ def fit(words: DataFrame, min_share: float = MIN_SHARE, longest: int = LONGEST)
     Without anything counted there are no languages and no table. The languages' names and
     totals are held by the driver, as they are part of the model.
     """
-    grams = count_grams(words, longest)
-    counts = checkpointed(words.select("lang", F.lit(0).alias("n"), "key", "times").unionByName(grams), "language-counts")
-    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()
+    # a word of m letters has m + 3 - n n-grams: the totals need no table of counts
+    many = [F.sum(F.col("times") * (F.greatest(F.char_length("word") + 3 - n, F.lit(0)) if n else F.lit(1))).alias(str(n))
+            for n in range(longest + 1)]
+    found = words.groupBy("lang").agg(*many).collect()
+    totals = [{"lang": r["lang"], "n": n, "total": r[str(n)]} for r in found for n in range(longest + 1) if r[str(n)]]
     if not totals:
         return [], None, 0.0
+    counts = words.select("lang", F.lit(0).alias("n"), "key", "times").unionByName(count_grams(words, longest))
     names = sorted({r["lang"] for r in totals})
     place = {name: k for k, name in enumerate(names)}
     floor = min(np.log10(min_share), -np.log10(max(r["total"] for r in totals))) - 1
