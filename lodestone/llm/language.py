@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpointed, fold, quoted
+from .common import checkpointed, fold, quoted, scratch_path
 from .hashing import Stretches, distinct, from_planes, mixed, planes
 
 #: what was never seen scores a tenth of this share, or of one occurrence if that is less
@@ -112,6 +112,13 @@ def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[new], np.add.reduceat(values, new) if len(new) else values
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, compressed more than the default."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class _Chunk:
     """Documents that are read together: their facts, and the places of their words."""
 
@@ -196,7 +203,7 @@ def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
         if chunk.ids:
             yield from chunk.rows(schema)
 
-    return checkpointed(rows.mapInArrow(read, (
+    return written(rows.mapInArrow(read, (
         f"chunk bigint, ids array<{kind.simpleString()}>, marks array<boolean>, many array<bigint>, sizes binary, "
         "docs binary, counts binary, at int, key bigint, word string, langs array<string>, times array<bigint>")), "language-chunks")
 
@@ -258,7 +265,7 @@ def fit(words: DataFrame, min_share: float = MIN_SHARE, longest: int = LONGEST)
     gain = F.round((F.log10(F.col("times") / F.col("total")) - float(floor)) * 10 ** DIGITS).cast("bigint")
     known = counts.join(F.broadcast(sizes), ["lang", "n"]).groupBy("n", "key") \
         .agg(F.collect_list(F.struct("place", gain.alias("gain"))).alias("gains"))
-    return names, checkpointed(known, "language-known"), float(floor)
+    return names, written(known, "language-known"), float(floor)
 
 
 def unseen_gains(unseen: DataFrame, known: DataFrame, longest: int) -> DataFrame:
@@ -353,7 +360,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     read = read_chunks(docs, id, text, lang)
     spots = read.where("ids is null")
     # a word that nothing is learned from keeps a row without a language
-    words = checkpointed(spots.select("key", "word", F.explode_outer(F.arrays_zip("langs", "times")).alias("t"))
+    words = written(spots.select("key", "word", F.explode_outer(F.arrays_zip("langs", "times")).alias("t"))
                          .groupBy("key", F.col("t.langs").alias("lang"))
                          .agg(F.min("word").alias("word"), F.sum("t.times").alias("times")), "language-words")
     taught = words.where("lang is not null")
