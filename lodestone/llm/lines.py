@@ -1,9 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line is known by its character shingles, from every place. Minima of keyed hashes over
-the shingles make bands; lines that share a band are compared by the exact Jaccard
-similarity of their shingles, and union-find over the verified links leaves one line of
-each component. Equal lines are one node throughout, however often they occur.
+A line is known by its character shingles, from every place. The smallest hashes of the
+distinct shingles are its sketch, minima of keyed hashes over the sketch make bands; lines
+that share a band are compared by the exact Jaccard similarity of all their shingles, and
+union-find over the verified links leaves one line of each component. Equal lines are one
+node throughout, however often they occur.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from .common import checkpointed, fresh, quoted
 from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
+#: hashes of a sketch; sets of at most so many shingles are their own sketch
+SKETCH = 64
 #: longs of parities that a set is compared by first; a power of two
 WORDS = 4
 #: a shingle: CHARS characters from any place; matches take a whole character each
@@ -35,21 +38,26 @@ def shingles(line: Column, chars: int = CHARS) -> Column:
         .otherwise(F.regexp_extract_all(line, F.lit(SHINGLES % chars), 1))
 
 
+def hashed(line: Column, chars: int = CHARS) -> Column:
+    """Hashes of the distinct shingles of a normal line."""
+    return F.array_distinct(F.transform(shingles(line, chars), lambda s: F.xxhash64(s)))
+
+
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
     """``node``, ``key`` for each band of each different line of ``node``, ``line``.
 
-    Shingles become rows, and one aggregation takes all minima: a line's rows are
-    neighbours, so nearly all of it happens before the shuffle.
+    A line's sketch is taken within its row, so that no text is shuffled. Its hashes become
+    rows, and one aggregation takes all minima: a line's rows are neighbours, so nearly all
+    of it happens before the shuffle.
     """
     # 31 bits of each minimum are enough to tell lines apart, and shuffle well; one hash gives two
     def part(i: int) -> Column:
         h = F.xxhash64("h", F.lit(i // 2))
         return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
 
-    least = [F.min(part(i)).alias(f"m{i}") for i in range(bands * rows)]
-    minima = lines.select("node", "line").distinct() \
-        .select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
-        .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
+    least = [F.min(part(i)).cast("int").alias(f"m{i}") for i in range(bands * rows)]
+    sketch = F.slice(F.sort_array(hashed(F.col("line"), chars)), 1, SKETCH)
+    minima = lines.select("node", F.explode(sketch).alias("h")).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
@@ -70,6 +78,7 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
     """
     placed = _lines(docs, id, text).withColumn("node", F.xxhash64("line"))
     spots = checkpointed(placed.select("doc_id", "print", "pos", "node"), "spots")
+
     def parity(word: int) -> Column:
         """Parities of the elements in the cells of one long."""
         return F.aggregate(F.filter("set", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == word),
@@ -77,21 +86,31 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
                                F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
     def describe(asked: DataFrame) -> DataFrame:
-        return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.first("line").alias("line")) \
-            .select("node", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set")) \
-            .withColumn("size", F.size("set")).withColumn("marks", F.array(*[parity(w) for w in range(WORDS)]))
+        # lines stand for their sets, which would take eight times the room
+        return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.min("line").alias("line")) \
+            .select("node", F.col("line").alias("body"), hashed(F.col("line"), chars).alias("set")) \
+            .select("node", F.col("body").alias("set"), F.size("set").alias("size"),
+                    F.array(*[parity(w) for w in range(WORDS)]).alias("marks"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return pairs.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+        both = [F.array_distinct(shingles(F.col(c), chars)) for c in ("set_a", "set_b")]
+
+        def alike(x: Column) -> Column:
+            common = F.size(F.array_intersect(x[0], x[1]))
+            return common >= similarity * (F.size(x[0]) + F.size(x[1]) - common)
+
+        # bound once, as a filter would make the arrays anew wherever it names them
+        return pairs.where(F.transform(F.array(F.array(*both)), alike)[0]).select("a", "b")
 
     # equal lines are one node; 64-bit hashes stand for lines
     roots, _ = link_groups(band_members(placed, chars, bands, rows), describe, similar, similarity, WORDS)
     grouped = spots.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "print", "pos")).alias("first"), F.count("*").alias("n")) \
         .where("n > 1").select("root", "first")
-    return grouped.join(first, "root").where(~F.struct("doc_id", "print", "pos").eqNullSafe(F.col("first"))) \
+    gone = grouped.join(first, "root").where(~F.struct("doc_id", "print", "pos").eqNullSafe(F.col("first"))) \
         .groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    # written, so that its size is known where it meets the texts
+    return checkpointed(gone, "gone")
 
 
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = None,
@@ -117,7 +136,12 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row per document: ``doc_id, n_lines, n_removed, kept_chars, kept_sha256``."""
+    """One row per document: ``doc_id, n_lines, n_removed, kept_chars, kept_sha256``.
+
+    Null texts count as empty, an empty text as one blank line. Rows that repeat an id and
+    a text give equal rows; of tied lines the first place stays. An empty table gives no
+    rows; extra columns are not read.
+    """
     key, content = quoted([id, text])
     rows = docs.select(key.alias("doc_id"), F.coalesce(content, F.lit("")).alias("text")) \
         .withColumn("n_lines", F.size(F.split("text", "\n")).cast("bigint"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed
 
@@ -34,13 +34,23 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def within_reach(similarity: float, words: int) -> Column:
+    """Whether ``size, marks`` and ``size2, marks2`` allow the similarity.
+
+    ``marks`` are the parities of a set's elements in some cells; where two sets differ in
+    ``d`` parities, at least ``d`` elements are in one of them only, so that their Jaccard
+    similarity is at most ``(sizes - d) / (sizes + d)``. The bound is exact: no link is lost.
+    """
+    apart = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("marks2", F.lit(i)))) for i in range(words)), F.lit(0))
+    low = similarity - 1e-9  # a similarity met exactly must pass
+    return (F.least("size", "size2") >= low * F.greatest("size", "size2")) \
+        & (apart * (1 + low) <= (F.col("size") + F.col("size2")) * (1 - low))
+
+
 def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
     """Distinct pairs ``a < b`` that share a bucket but not a component.
 
-    The join itself leaves out pairs that can't reach the similarity. ``marks`` are the
-    parities of a set's elements in some cells; where two sets differ in ``d`` parities,
-    at least ``d`` elements are in one of them only, so that their Jaccard similarity is
-    at most ``(sizes - d) / (sizes + d)``. The bound is exact: no link is lost.
+    The join itself leaves out pairs that can't reach the similarity.
     """
     placed = buckets.join(roots, "node", "left").join(sets.select("node", "size", "marks"), "node") \
         .select("key", "node", "size", "marks", F.coalesce("root", "node").alias("root"))
@@ -48,11 +58,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, similarity
         .where("low < high").select("key")
     left = checkpointed(placed.join(mixed, "key"), "open")
     right = left.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2", "marks": "marks2"})
-    apart = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("marks2", F.lit(i)))) for i in range(words)), F.lit(0))
-    low = similarity - 1e-9  # a similarity met exactly must pass
-    near = (F.least("size", "size2") >= low * F.greatest("size", "size2")) \
-        & (apart * (1 + low) <= (F.col("size") + F.col("size2")) * (1 - low))
-    return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & near) \
+    return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & within_reach(similarity, words)) \
         .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -96,16 +102,23 @@ def link_groups(members: DataFrame, describe: Callable[[DataFrame], DataFrame],
     unverified only if its members are already in one component.
     """
     buckets = crowded(members)
-    sets = checkpointed(describe(buckets.select("node").distinct()), "sets")
+    # written, so that its size is known where it meets the texts
+    asked = checkpointed(buckets.select("node").distinct(), "asked")
+    sets = checkpointed(describe(asked), "sets")
 
     plain = sets.select("node", "set")
+    light = sets.select("node", "size", "marks")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return similar(pairs.join(plain.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
                        .join(plain.withColumnsRenamed({"node": "b", "set": "set_b"}), "b"))
 
     tried = checkpointed(leader_pairs(buckets), "tried")
-    links = checkpointed(verified(tried), "links")
+    # only pairs that can reach the similarity fetch their sets
+    likely = tried.join(light.withColumnsRenamed({"node": "a"}), "a") \
+        .join(light.withColumnsRenamed({"node": "b", "size": "size2", "marks": "marks2"}), "b") \
+        .where(within_reach(similarity, words)).select("a", "b")
+    links = checkpointed(verified(likely), "links")
     roots = components(links)
     rest = checkpointed(open_pairs(buckets, roots, sets, similarity, words).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
