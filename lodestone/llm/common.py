@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpointed, scratch_path
 
-__all__ = ["ascii_lower", "checkpointed", "fold", "fresh", "part_count", "scratch_path", "table"]
+__all__ = ["ascii_lower", "checkpointed", "fold", "fresh", "part_count", "scratch_path", "small", "table"]
 
+#: bytes that a broadcast side may have
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,6 +37,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
+def small(df: DataFrame, room: Column) -> DataFrame:
+    """A written table, to be broadcast if its rows, of ``room`` bytes each, measure little in all.
+
+    Larger ones are joined by a shuffle; the answer is the same.
+    """
+    total = df.agg(F.sum(room.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,23 +1,20 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line is known by its character shingles, from every place. The smallest hashes of the
-distinct shingles are its sketch, minima of keyed hashes over the sketch make bands; lines
-that share a band are compared by the exact Jaccard similarity of all their shingles, and
-union-find over the verified links leaves one line of each component. Equal lines are one
-node throughout, however often they occur.
+A line is known by its character shingles, from every place. Minima of keyed hashes over
+the shingles make bands; lines that share a band are compared by the exact Jaccard
+similarity of their shingles, and union-find over the verified links leaves one line of
+each component. Equal lines are one node throughout, however often they occur.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, fresh, quoted
+from .common import checkpointed, fresh, quoted, small
 from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
-BANDS, ROWS = 10, 3
-#: hashes of a sketch; sets of at most so many shingles are their own sketch
-SKETCH = 64
+BANDS, ROWS = 8, 3
 #: longs of parities that a set is compared by first; a power of two
 WORDS = 4
 #: a shingle: CHARS characters from any place; matches take a whole character each
@@ -46,9 +43,8 @@ def hashed(line: Column, chars: int = CHARS) -> Column:
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
     """``node``, ``key`` for each band of each different line of ``node``, ``line``.
 
-    A line's sketch is taken within its row, so that no text is shuffled. Its hashes become
-    rows, and one aggregation takes all minima: a line's rows are neighbours, so nearly all
-    of it happens before the shuffle.
+    Shingles become rows, and one aggregation takes all minima: a line's rows are
+    neighbours, so nearly all of it happens before the shuffle, which no text enters.
     """
     # 31 bits of each minimum are enough to tell lines apart, and shuffle well; one hash gives two
     def part(i: int) -> Column:
@@ -56,8 +52,8 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
         return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
 
     least = [F.min(part(i)).cast("int").alias(f"m{i}") for i in range(bands * rows)]
-    sketch = F.slice(F.sort_array(hashed(F.col("line"), chars)), 1, SKETCH)
-    minima = lines.select("node", F.explode(sketch).alias("h")).groupBy("node").agg(*least)
+    minima = lines.select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
+        .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
@@ -87,7 +83,7 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
 
     def describe(asked: DataFrame) -> DataFrame:
         # lines stand for their sets, which would take eight times the room
-        return placed.select("node", "line").join(asked, "node").groupBy("node").agg(F.min("line").alias("line")) \
+        return placed.select("node", "line").join(small(asked, F.lit(32)), "node").groupBy("node").agg(F.min("line").alias("line")) \
             .select("node", F.col("line").alias("body"), hashed(F.col("line"), chars).alias("set")) \
             .select("node", F.col("body").alias("set"), F.size("set").alias("size"),
                     F.array(*[parity(w) for w in range(WORDS)]).alias("marks"))
@@ -124,7 +120,9 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     """
     key, content = quoted([id, text])
     gone_id, gone_print, gone_at = (fresh(docs, c) for c in ("gone_id", "gone_print", "gone_at"))
-    gone = surplus_lines(docs, id, text, **options).withColumnsRenamed({"doc_id": gone_id, "print": gone_print, "gone": gone_at})
+    surplus = surplus_lines(docs, id, text, **options)
+    room = F.octet_length(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) + 4 * F.size("gone") + 64
+    gone = small(surplus, room).withColumnsRenamed({"doc_id": gone_id, "print": gone_print, "gone": gone_at})
     both = docs.join(gone, key.eqNullSafe(F.col(gone_id)) & (F.xxhash64(content) == F.col(gone_print)), "left")
     left = F.filter(F.split(content, "\n"), lambda x, i: ~F.array_contains(gone_at, i))
     new = F.when(F.col(gone_at).isNull(), content).otherwise(F.array_join(left, "\n"))
