@@ -112,6 +112,27 @@ def test_sources_of_a_store_open_only_what_is_asked_for(spark):
     assert {(r.source, r.content) for r in hits} == {(s, f"text {c}") for s in ("code", "docs") for c in "ab"}
 
 
+def test_requests_meet_answers_in_a_shuffle(spark, corpus):
+    plan = plan_of(analyze.analyze_batch(asked(spark), corpus, MODEL))
+    # the last joins add requests and parsed columns: a broadcast there leaves them to few tasks
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert all("SortMergeJoin" in line for line in joins[:2])
+
+
+def test_answers_are_shaped_once_for_equal_requests(spark, corpus):
+    seen = []
+
+    def shape(rows):
+        seen.extend(r.search_id for r in rows.where("position = 1").collect())
+        return rows.select("search_id", "position", F.md5("content").alias("digest"))
+
+    rows = analyze.analyze_batch(asked(spark), corpus, MODEL, shape=shape)
+    assert rows.columns == ["request_id", "position", "digest"] and rows.count() == 5 * 20
+    whole = analyze.analyze_batch(asked(spark), corpus, MODEL).select("request_id", "position", F.md5("content").alias("digest"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, whole.collect()))
+    assert len(seen) == 4  # requests 1 and 2 differ by an empty version only
+
+
 def test_late_columns_come_by_broadcast(spark, corpus):
     hits = spark.createDataFrame([("code", "code1"), ("code", "code1"), ("qa", "qa2")], "source string, chunk_id string")
     details = corpora.details_of(hits, corpus)
