@@ -219,3 +219,24 @@ def test_merged_order(spark):
 def test_version_filter(spark, version, kept):
     rows = spark.createDataFrame([("code", "4.1.0"), ("docs", "3.5.4"), ("qa", None), ("issues", "3.5.4")], "s string, v string")
     assert rows.where(rank.version_allowed(version, F.col("s"), F.col("v"))).count() == kept
+
+
+def test_hopeless_pairs_are_not_scored_exactly():
+    rng = np.random.default_rng(5)
+    asked, held = search._unit(rng.standard_normal((1500, 24))), search._unit(rng.standard_normal((30_000, 24)))
+    held[100:140], held[200:240] = asked[7], 0  # copies of a query and empty vectors tie
+    asked[:3] = 0
+    ids = rng.permutation(len(held))
+    scorer = search._Scorer(np.arange(len(asked)), asked, None, 10, True)
+    for at in range(0, len(held), 10_000):
+        part = slice(at, at + 10_000)
+        scorer.add(ids[part], held[part], [()] * 10_000, [None] * 10_000)
+    found = {}
+    for _, queries, rows, sims in scorer.hits():
+        for q, r, sim in zip(queries.tolist(), rows.tolist(), np.rint(sims * 10**6).astype(int).tolist()):
+            found.setdefault(q, set()).add((-sim, r))
+    scores = np.rint(asked @ held.T * 10**6).astype(int)
+    for q in [0, 1, 2, 7, *range(10, 1500, 37)]:
+        every = sorted((-s, i) for s, i in zip(scores[q].tolist(), ids.tolist()) if i != q)
+        assert found[q] == set(every[:10])
+    assert scorer.scored < 0.1 * scores.size
