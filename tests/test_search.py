@@ -3,6 +3,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from lodestone.functions import embed
 from lodestone.functions.embed import Model, hashing_model, token_code
 from lodestone.operators import rank, search, vectors
 from lodestone.plans import registry
@@ -240,3 +241,12 @@ def test_hopeless_pairs_are_not_scored_exactly():
         every = sorted((-s, i) for s, i in zip(scores[q].tolist(), ids.tolist()) if i != q)
         assert found[q] == set(every[:10])
     assert scorer.scored < 0.1 * scores.size
+
+
+def test_token_codes_stay_few_within_a_text(monkeypatch):
+    text = " ".join(f"w{i % 700}" for i in range(3000))
+    whole = embed.hash_texts([text, None, "w1 w1"], DIM, embed._Codes(DIM))
+    monkeypatch.setattr(embed, "_CACHE", 50)
+    codes = embed._Codes(DIM)
+    assert np.array_equal(embed.hash_texts([text, None, "w1 w1"], DIM, codes), whole)
+    assert len(codes) <= 50
