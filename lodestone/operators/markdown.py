@@ -8,7 +8,7 @@ but the small include lookup, and only when tags are to be resolved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.ids import doc_chunk_id
@@ -40,10 +40,13 @@ def _escaped(text: Column) -> Column:
 
 
 def _restored(text: Column) -> Column:
-    out = text
-    for mark, letter in reversed(list(zip(_MARKS, "abcde"))):
-        out = F.replace(out, F.lit("\x01" + letter), F.lit(mark))
-    return F.when(text.contains("\x01"), out).otherwise(text)
+    def plain(held: Column) -> Column:
+        out = held
+        for mark, letter in reversed(list(zip(_MARKS, "abcde"))):
+            out = F.replace(out, F.lit("\x01" + letter), F.lit(mark))
+        return F.when(held.contains("\x01"), out).otherwise(held)
+
+    return tx.let(text, plain)
 
 
 def _folded(text: Column, pattern: str, group: int, mark: str, prepare) -> Column:
@@ -64,8 +67,9 @@ def _placeholders(text: Column) -> Column:
 
 def fold_blocks(content: Column) -> Column:
     """The text with every fence and every table on one marked line of its own."""
-    without_code = _folded(content, FENCE, 2, _CODE, tx.strip)
-    return _folded(without_code, TABLE, 0, _TABLE, _placeholders)
+    return tx.let(content, lambda text: tx.let(
+        _folded(text, FENCE, 2, _CODE, tx.strip),
+        lambda without_code: _folded(without_code, TABLE, 0, _TABLE, _placeholders)))
 
 
 def _unfold(line: Column) -> Column:
@@ -129,7 +133,7 @@ def section_parts(body: Column) -> Column:
     blocks = F.transform(F.regexp_extract_all(body, F.lit(_MARKED), 1), lambda m: F.struct(
         F.when(m.startswith(_CODE), "code_example").otherwise("config_table").alias("content_type"),
         F.when(m.startswith(_CODE), _restored(_unfold(m)))
-        .otherwise(tx.table_to_text(_restored(_unfold(m)))).alias("content")))
+        .otherwise(tx.let(_restored(_unfold(m)), tx.table_to_text)).alias("content")))
     ordered = F.flatten(F.zip_with(prose, blocks, lambda a, b: F.array(a, b)))
     return F.filter(ordered, lambda p: p.isNotNull() & F.when(
         p["content_type"] == "prose", F.length(p["content"]) > MIN_PROSE_CHARS)
@@ -171,6 +175,12 @@ def code_blocks(content: Column) -> Column:
     return F.filter(found, lambda c: c != "")
 
 
+def _written(docs: DataFrame) -> DataFrame:
+    """The same rows from a scratch table; columns without a type, which it can't hold, stay nulls."""
+    untyped = [f.name for f in docs.schema if isinstance(f.dataType, T.NullType)]
+    return checkpointed(docs.drop(*untyped), "documents").withColumns({c: F.lit(None) for c in untyped}).select(*docs.columns)
+
+
 def resolve_includes(docs: DataFrame, lookup: DataFrame, content: str = "content") -> DataFrame:
     """Replace include tags by the looked-up code, by name, then by path.
 
@@ -178,9 +188,11 @@ def resolve_includes(docs: DataFrame, lookup: DataFrame, content: str = "content
     documents: a document without tags does not enter the shuffle. The join carries
     names and code only; texts are cut and put back together within their row. Equal
     texts have equal tags, so that a text's digest finds them: no document key is
-    needed, and a null one loses nothing.
+    needed, and a null one loses nothing. The documents are written out first: they are
+    read three times, and what made their texts is not to run for each filter on them.
     """
-    tagged = F.coalesce(F.rlike(F.col(content), F.lit(INCLUDE)), F.lit(False))
+    docs = _written(docs)
+    tagged = F.coalesce(F.col(content).contains("include_example") & F.rlike(F.col(content), F.lit(INCLUDE)), F.lit(False))
     digest = F.sha2(F.col(content), 256)
     tags = docs.where(tagged).select(
         digest.alias("_text"), F.posexplode(F.arrays_zip(

@@ -264,3 +264,19 @@ def test_dedup_keeps_the_first_in_order(spark):
     out = threads.dedup_latest(rows, [-F.col("n")])
     assert plan_of(out).count("Exchange") == 1
     assert sorted((r.chunk_id, r.n) for r in out.collect()) == [("a", 3), ("b", 2)]
+
+
+def test_costly_folds_stand_once_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "# A\n```\nx\n```\n<table><tr><td>\x01</td></tr></table>")], "doc_id int, content string")
+    plan = plan_of(markdown.split_sections(docs))
+    assert plan.count("(?dms)^```") == 2  # the blocks are found, and the text is split at them
+
+
+def test_includes_keep_untyped_columns(spark):
+    docs = spark.createDataFrame([(1, "a {% include_example k p %} b"), (2, None), (3, "plain")], "doc_id int, content string") \
+        .select(F.lit(None).alias("nothing"), "doc_id", "content")
+    lookup = spark.createDataFrame([("k", "code")], "key string, code string")
+    out = markdown.resolve_includes(docs, lookup)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.nothing, r.content or "") for r in out.collect()) \
+        == [(1, None, "a ```\ncode\n``` b"), (2, None, ""), (3, None, "plain")]
