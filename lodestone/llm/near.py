@@ -11,7 +11,7 @@ on their shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,8 @@ BANDS, ROWS = 16, 4
 #: longs of parities that a set is compared by first
 WORDS = 16
 GOLDEN = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2 << 20
+#: bytes of texts that a task works on at once; its arrays take some 60 times as much
+SLICE_BYTES = 512 << 10
 #: chances that a cell of area one holds at most 0, 1, 2, ... darts (Poisson, mean 1)
 AT_MOST = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
 
@@ -106,15 +107,18 @@ def shingles_of(texts: list[bytes], size: int, counted: bool) -> tuple[np.ndarra
     return owner[heads], key[heads], weight
 
 
-def _slices(bodies: list[bytes]) -> Iterator[slice]:
-    low = size = 0
-    for k, b in enumerate(bodies):
-        size += len(b)
-        if size >= SLICE_BYTES:
-            yield slice(low, k + 1)
-            low, size = k + 1, 0
-    if low < len(bodies):
-        yield slice(low, len(bodies))
+def _slices(texts: Iterable[str]) -> Iterator[tuple[slice, list[bytes]]]:
+    """Neighbouring texts as bytes, together little: a longer text stands alone."""
+    low, size, held = 0, 0, []
+    for k, text in enumerate(texts):
+        body = text.encode("utf-8", "replace")
+        if held and size + len(body) > SLICE_BYTES:
+            yield slice(low, k), held
+            low, size, held = k, 0, []
+        size += len(body)
+        held.append(body)
+    if held:
+        yield slice(low, low + len(held)), held
 
 
 def similar(rows: pd.DataFrame) -> np.ndarray:
@@ -151,9 +155,8 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            bodies = [b.encode("utf-8", "replace") for b in frame["body"]]
-            for part in _slices(bodies):
-                owner, keys, weights = shingles_of(bodies[part], shingle, counted)
+            for part, bodies in _slices(frame["body"]):
+                owner, keys, weights = shingles_of(bodies, shingle, counted)
                 n = part.stop - part.start
                 sig = dart_signatures(owner, keys, weights, n, k).reshape(n, bands, rows)
                 band = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
@@ -175,10 +178,9 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
 
         def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                bodies = [b.encode("utf-8", "replace") for b in frame["body"]]
-                for part in _slices(bodies):
+                for part, bodies in _slices(frame["body"]):
                     n = part.stop - part.start
-                    owner, keys, weights = shingles_of(bodies[part], shingle, counted)
+                    owner, keys, weights = shingles_of(bodies, shingle, counted)
                     at = np.searchsorted(owner, np.arange(n + 1))
                     # the k-th occurrence of a shingle is an element of its own, so that
                     # the bound by parities and sizes holds for weights too

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from lodestone.llm import near
 from lodestone.llm.hashing import PRIME, Stretches, powers
 from lodestone.llm.lm import score_texts
 
@@ -46,3 +47,11 @@ def test_made_word_is_unknown(spark):
     rows = {r.doc_id: r for r in score_texts(spark.createDataFrame([(1, one), (held, other)], "doc_id long, text string")).collect()}
     assert zlib.crc32(b"1") % 10 and rows[held].held_out
     assert (rows[1].n_known, rows[held].n_known, rows[1].train_tokens) == (2, 1, 2)
+
+
+def test_slices_hold_little_text_at_once():
+    texts = ["a" * 300_000, "b" * 300_000, "c" * 2_000_000, "", "é", "d" * 500_000]
+    parts = list(near._slices(texts))
+    assert [t for _, bodies in parts for t in bodies] == [t.encode() for t in texts]
+    assert [i for part, _ in parts for i in range(part.start, part.stop)] == list(range(len(texts)))
+    assert all(len(bodies) == 1 or sum(map(len, bodies)) <= near.SLICE_BYTES <= 1 << 19 for _, bodies in parts)
