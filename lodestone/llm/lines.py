@@ -15,8 +15,9 @@ from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
-#: longs of parities that a set is compared by first; a power of two
-WORDS = 4
+#: longs of parities that a set is compared by first; a power of two. Few of them say nothing about a line of
+#: hundreds of shingles: all pairs of a bucket would pass
+WORDS = 16
 #: a shingle: CHARS characters from any place; matches take a whole character each
 SHINGLES = r"(?s)(?=(.{%d}))."
 
@@ -35,9 +36,24 @@ def shingles(line: Column, chars: int = CHARS) -> Column:
         .otherwise(F.regexp_extract_all(line, F.lit(SHINGLES % chars), 1))
 
 
-def hashed(line: Column, chars: int = CHARS) -> Column:
-    """Hashes of the distinct shingles of a normal line."""
-    return F.array_distinct(F.transform(shingles(line, chars), lambda s: F.xxhash64(s)))
+def hashed_shingles(lines: DataFrame, chars: int = CHARS) -> DataFrame:
+    """``node``, ``h`` for every shingle of each ``node``, ``line``: the hashes of ``shingles``, without its strings.
+
+    Shingles are cut from bytes, where each costs the same wherever it stands: a line of
+    one-byte characters as it is, others with four bytes a character.
+    """
+    line = F.col("line")
+    whole = F.char_length(line) <= chars
+    plain = whole | (F.octet_length(line) == F.char_length(line))
+    cut = lines.select("node", plain.alias("plain"),
+                       F.when(plain, line.cast("binary")).otherwise(F.encode(line, "UTF-32")).alias("body"),
+                       F.when(whole, F.octet_length(line)).when(plain, chars).otherwise(4 * chars).alias("take"))
+    step = F.when(F.col("plain"), 1).otherwise(4)
+    last = F.floor((F.octet_length("body") - F.col("take")) / step).cast("int")
+    spots = cut.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    piece = F.substring(F.col("body"), F.col("at") * step + 1, F.col("take"))
+    return spots.select("node", F.when(F.col("plain"), F.xxhash64(piece))
+                        .otherwise(F.xxhash64(F.decode(piece, "UTF-32"))).alias("h"))
 
 
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
@@ -52,8 +68,7 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
         return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
 
     least = [F.min(part(i)).cast("int").alias(f"m{i}") for i in range(bands * rows)]
-    minima = lines.select("node", F.explode(shingles(F.col("line"), chars)).alias("s")) \
-        .select("node", F.xxhash64("s").alias("h")).groupBy("node").agg(*least)
+    minima = hashed_shingles(lines, chars).groupBy("node").agg(*least)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
@@ -75,18 +90,19 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
     placed = _lines(docs, id, text).withColumn("node", F.xxhash64("line"))
     spots = checkpointed(placed.select("doc_id", "print", "pos", "node"), "spots")
 
-    def parity(word: int) -> Column:
-        """Parities of the elements in the cells of one long."""
-        return F.aggregate(F.filter("set", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == word),
-                           F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(
-                               F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    def describe(asked: DataFrame) -> DataFrame:
+    def describe(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         # lines stand for their sets, which would take eight times the room
-        return placed.select("node", "line").join(small(asked, F.lit(32)), "node").groupBy("node").agg(F.min("line").alias("line")) \
-            .select("node", F.col("line").alias("body"), hashed(F.col("line"), chars).alias("set")) \
-            .select("node", F.col("body").alias("set"), F.size("set").alias("size"),
-                    F.array(*[parity(w) for w in range(WORDS)]).alias("marks"))
+        bodies = checkpointed(placed.select("node", "line").join(small(asked, F.lit(32)), "node")
+                              .groupBy("node").agg(F.min("line").alias("set")), "bodies")
+        element = bodies.select("node", F.explode(F.array_distinct(shingles(F.col("set"), chars))).alias("s")) \
+            .select("node", F.xxhash64("s").alias("x"))
+        word = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+        # parities of the elements in the cells of each long
+        odd = [F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
+        marks = element.groupBy("node").agg(F.count("*").alias("size"), *odd) \
+            .select("node", "size", F.array(*[f"w{w}" for w in range(WORDS)]).alias("marks"))
+        return bodies, checkpointed(marks, "marks")
 
     def similar(pairs: DataFrame) -> DataFrame:
         both = [F.array_distinct(shingles(F.col(c), chars)) for c in ("set_a", "set_b")]

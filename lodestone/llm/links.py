@@ -47,18 +47,21 @@ def within_reach(similarity: float, words: int) -> Column:
         & (apart * (1 + low) <= (F.col("size") + F.col("size2")) * (1 - low))
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
+def open_pairs(buckets: DataFrame, roots: DataFrame, light: DataFrame, similarity: float, words: int) -> DataFrame:
     """Distinct pairs ``a < b`` that share a bucket but not a component.
 
-    The join itself leaves out pairs that can't reach the similarity.
+    The join itself leaves out pairs that can't reach the similarity, and makes a pair in
+    the first bucket that both are in, however many these are.
     """
-    placed = buckets.join(roots, "node", "left").join(sets.select("node", "size", "marks"), "node") \
-        .select("key", "node", "size", "marks", F.coalesce("root", "node").alias("root"))
+    keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    placed = buckets.join(roots, "node", "left").join(light, "node").join(keys, "node") \
+        .select("key", "node", "size", "marks", "keys", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
         .where("low < high").select("key")
     left = checkpointed(placed.join(mixed, "key"), "open")
-    right = left.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2", "marks": "marks2"})
-    return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & within_reach(similarity, words)) \
+    right = left.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2", "marks": "marks2", "keys": "keys2"})
+    once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+    return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & within_reach(similarity, words) & once) \
         .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -91,23 +94,20 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def link_groups(members: DataFrame, describe: Callable[[DataFrame], DataFrame],
+def link_groups(members: DataFrame, describe: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
                 similar: Callable[[DataFrame], DataFrame], similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
     """Components and verified links of everything that shares a bucket.
 
     ``members`` holds ``key`` and ``node``. ``describe`` gets the nodes that share any
-    bucket and returns ``node``, ``set``, ``size`` and ``marks``
-    (``words`` longs, see ``open_pairs``); ``similar`` gets pairs with ``set_a`` and
+    bucket and returns two written tables, ``node``, ``set`` and ``node``, ``size``, ``marks``
+    (``words`` longs, see ``within_reach``); ``similar`` gets pairs with ``set_a`` and
     ``set_b`` and returns the links ``a``, ``b`` among them. A pair in a bucket goes
     unverified only if its members are already in one component.
     """
     buckets = crowded(members)
     # written, so that its size is known where it meets the texts
     asked = checkpointed(buckets.select("node").distinct(), "asked")
-    sets = checkpointed(describe(asked), "sets")
-
-    plain = sets.select("node", "set")
-    light = sets.select("node", "size", "marks")
+    plain, light = describe(asked)
 
     def verified(pairs: DataFrame) -> DataFrame:
         return similar(pairs.join(plain.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
@@ -120,7 +120,7 @@ def link_groups(members: DataFrame, describe: Callable[[DataFrame], DataFrame],
         .where(within_reach(similarity, words)).select("a", "b")
     links = checkpointed(verified(likely), "links")
     roots = components(links)
-    rest = checkpointed(open_pairs(buckets, roots, sets, similarity, words).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = checkpointed(open_pairs(buckets, roots, light, similarity, words).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = checkpointed(links.unionByName(verified(rest)), "links")
         roots = components(links)

@@ -173,7 +173,7 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
                          .withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
 
-    def describe(asked: DataFrame) -> DataFrame:
+    def describe(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = nodes.join(asked, "node").select("node", "sha", "rep")
 
         def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,8 +197,9 @@ def find_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
         # a text's first row stands for its copies
         texts = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["rep"])).where(F.sha2("body", 256) == F.col("sha")) \
             .select("node", "body")
-        return texts.mapInPandas(pack, "node bigint, set binary, marks array<bigint>, size double").groupBy("node") \
-            .agg(F.min("set").alias("set"), F.min("marks").alias("marks"), F.min("size").alias("size"))
+        sets = checkpointed(texts.mapInPandas(pack, "node bigint, set binary, marks array<bigint>, size double").groupBy("node")
+                            .agg(F.min("set").alias("set"), F.min("marks").alias("marks"), F.min("size").alias("size")), "sets")
+        return sets.select("node", "set"), sets.select("node", "size", "marks")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from lodestone.llm import decontam, exact, language, lines, links, mixing, near, pii, quality
 from lodestone.llm.common import table
+from pyspark.sql import functions as F
 
 TEXTS = "doc_id bigint, text string, source string, id int, node string, key string, kept int"
 
@@ -248,6 +249,41 @@ def test_lines_against_all_pairs_of_character_shingles(spark):
     assert len(texts) > len({find(t) for t in texts}) > 30
 
 
+def test_shingles_cut_from_bytes_hash_like_those_of_the_pattern(spark):
+    texts = ["", "short", "exactly 9", "ten letters", "naïve façade of été", "ab é", "😀😁😂🤣😃😄😅😆😉😊😋😎", "a\nb\rc d e f g h", "x" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, line string")
+    want = {r["node"]: Counter(r["h"]) for r in rows.select(
+        "node", F.transform(lines.shingles(F.col("line")), lambda s: F.xxhash64(s)).alias("h")).collect()}
+    got = {k: Counter() for k in want}
+    for r in lines.hashed_shingles(rows).collect():
+        got[r["node"]][r["h"]] += 1
+    assert got == want
+
+
+def test_long_lines_below_the_similarity_are_not_paired(spark, monkeypatch):
+    """Members of one bucket, of 590 shingles each and a similarity of about 0.7: few pairs fetch their texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    base, texts = [word() for _ in range(75)], []
+    for _ in range(40):
+        own = list(base)
+        for k in rng.sample(range(75), 4):
+            own[k] = word()
+        texts.append(" ".join(own))
+    sets = [{t[i:i + 9] for i in range(len(t) - 8)} for t in texts]
+    near_ones = sum(len(a & b) >= 0.75 * len(a | b) for a, b in itertools.combinations(sets, 2))
+    counts, plain = {}, links.checkpointed
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(links, "checkpointed", counted)
+    lines.deduplicated(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert counts["open"] > 40 and counts["rest"] <= near_ones + 40 < 390
+
+
 def test_base_spans_match_plain_patterns():
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
