@@ -30,28 +30,40 @@ SENT = "part int, block bigint, payload binary"
 
 @dataclass
 class Staged:
-    """``rows``: ``block``, ``doc_id``, ``body`` (bytes) and ``mark``, in a bucketed table."""
+    """``rows``: ``block``, ``doc_id``, ``body`` (bytes) and ``mark``, in a bucketed table.
+
+    The first ``apart`` blocks hold the rows of the mark set apart, and no others.
+    """
     rows: DataFrame
     blocks: int
     ranges: int
+    apart: int = 0
 
 
 def stage(docs: DataFrame, id: str, text: str, mark: Column | None = None, block_bytes: int = BLOCK_BYTES,
-          range_bytes: int = RANGE_BYTES) -> Staged:
-    """Write texts (null: empty) into blocks. The table stays in the shared folder."""
+          range_bytes: int = RANGE_BYTES, apart: int | None = None) -> Staged:
+    """Write texts (null: empty) into blocks. The table stays in the shared folder.
+
+    Rows whose mark is ``apart`` get blocks of their own, for passes that ask for them alone.
+    """
     spark = docs.sparkSession
     key, content = quoted([id, text])
     rows = docs.select(key.alias("doc_id"), F.coalesce(content, F.lit("")).cast("binary").alias("body"),
                        (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
     # a row counts for some bytes besides its text
-    total = rows.agg(F.sum(F.octet_length("body") + 32)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    room, alone = F.octet_length("body") + 32, F.col("mark").eqNullSafe(F.lit(apart).cast("int")) if apart is not None else F.lit(False)
+    sums = rows.agg(F.sum(room).alias("all"), F.sum(F.when(alone, room)).alias("apart")).first()
+    total, own = sums["all"] or 0, sums["apart"] or 0
+    first, others = math.ceil(own / block_bytes), math.ceil((total - own) / block_bytes)
+    blocks = max(1, first + others)
     buckets = min(blocks, MOST_BUCKETS)
     name = f"staged_{uuid.uuid4().hex}"
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    drawn = F.xxhash64(F.monotonically_increasing_id())
+    dealt = rows.withColumn("block", F.when(alone, F.pmod(drawn, F.lit(max(1, first))))
+                            .otherwise(first + F.pmod(drawn, F.lit(max(1, others)))).cast("bigint"))
     dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet") \
         .option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
-    return Staged(spark.table(name), blocks, max(24, math.ceil(total / range_bytes)))
+    return Staged(spark.table(name), blocks, max(24, math.ceil(total / range_bytes)), first)
 
 
 @dataclass

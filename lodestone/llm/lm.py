@@ -12,6 +12,7 @@ n-gram leaves a block once, with its count.
 
 from __future__ import annotations
 
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -156,7 +157,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
     """
     if order < 1:
         raise ValueError("order must be positive")
-    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS), block_bytes=SCORED_BYTES, range_bytes=COUNTED_BYTES)
+    staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS), block_bytes=SCORED_BYTES, range_bytes=COUNTED_BYTES,
+                   apart=DELETED)
     ranges = staged.ranges
 
     def sender(k: int):
@@ -185,20 +187,19 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
         return t, [_counts(got.get(f"order{k + 1}", []), distinct(t.keys[k])[1]) for k in range(order)]
 
     def estimates(block: int, b: Block, got: dict) -> pa.Table:
-        if not (b.marks == DELETED).any():
-            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         t, counts = looked_up(b, got)
-        rates, bucket = _estimates([c[0] - c[1] for c in counts], t, n_rest, v_rest, rest)
-        own, code = t.mark == DELETED, bucket
+        rates, code = _estimates([c[0] - c[1] for c in counts], t, n_rest, v_rest, rest)
         for r in reversed(rates):
             q = np.full(len(r), LOWEST + 1, np.int64)
             np.clip(np.rint(-np.log10(r, out=np.zeros(len(r)), where=r > 0) / STEP), 0, LOWEST, out=q, where=r > 0, casting="unsafe")
             code = code * (LOWEST + 2) + q
-        codes, times = np.unique(code[own], return_counts=True)
+        codes, times = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(codes, pa.int64()), "n": pa.array(times, pa.int64())})
 
+    # the deleted part stands in blocks of its own, so that no other text or answer is read;
     # buckets times steps: a table of bounded size, whatever the corpus
-    learned = per_block(staged, answers, estimates, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    part = replace(staged, rows=staged.rows.where(F.col("block") < staged.apart))
+    learned = per_block(part, answers.where(F.col("block") < staged.apart), estimates, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(learned["code"].to_numpy(np.int64), learned["n"].to_numpy(np.float64), order, 1 / (v_rest + 1))
 
     kind = docs.schema[id].dataType

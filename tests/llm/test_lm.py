@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from lodestone.llm import lm
 from lodestone.llm.common import table
 from lodestone.llm.lm import learn_weights, score_texts
 
@@ -64,3 +65,22 @@ def test_edges(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["n_tokens"] == 1 and by[3]["n_tokens"] == 50_001 and by[4]["n_tokens"] == 3
     assert score_texts(df.limit(0)).collect() == []
+
+
+def test_weights_are_learned_from_blocks_of_their_own(spark, monkeypatch):
+    """Estimates for the mixture open the deleted part's blocks, not all texts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 40, 30))) for i in range(400)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r["doc_id"]: r["score"] for r in score_texts(docs).collect() if r["doc_id"] not in (7, None)}
+    read, plain = [], lm.per_block
+
+    def seen(staged, answers, fn, schema):
+        if fn.__name__ == "estimates":
+            read.append({r["mark"] for r in staged.rows.select("mark").distinct().collect()})
+        return plain(staged, answers, fn, schema)
+
+    monkeypatch.setattr(lm, "SCORED_BYTES", 4000)
+    monkeypatch.setattr(lm, "per_block", seen)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs).collect() if r["doc_id"] not in (7, None)}
+    assert read == [{lm.DELETED}] and got == pytest.approx(want, rel=1e-9)
