@@ -39,6 +39,8 @@ SLICE_CHARS = 1 << 20
 CHUNK_CHARS = 64 << 20
 #: entries of gains added up at a time
 STEP = 1 << 20
+#: answers that a task packs at a time
+PACKED_ROWS = 1 << 19
 BLANK = 32
 
 _LETTERS: dict[str, np.ndarray] = {}  # of a worker process
@@ -104,6 +106,22 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return from_planes(raw[8:], dtype)
 
 
+def gaps(docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each word's ascending documents as their first and the steps between them, which pack better."""
+    out = docs.copy()
+    out[1:] -= docs[:-1]
+    first = np.cumsum(sizes) - sizes
+    out[first] = docs[first]
+    return out
+
+
+def from_gaps(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sizes = sizes.astype(np.int64)
+    sums = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    return (sums - np.repeat(sums[first] - steps[first], sizes)).astype(np.uint32)
+
+
 def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes and the exact sum of each one's values."""
     order = np.argsort(codes, kind="stable")
@@ -151,7 +169,7 @@ class _Chunk:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(first, len(keys)))
         yield from self._batch(schema, 1, chunk=[name], ids=[self.ids], marks=[self.marks], many=[self.many],
-                               sizes=[packed(sizes.astype(np.uint32))], docs=[packed(docs)], counts=[packed(counts)])
+                               sizes=[packed(sizes.astype(np.uint32))], docs=[packed(gaps(docs, sizes))], counts=[packed(counts)])
         names = sorted({x for x in self.langs if x is not None})
         code = np.array([-1 if x is None else names.index(x) for x in self.langs], np.int64)[docs]
         rank = np.repeat(np.arange(len(first)), sizes)
@@ -163,7 +181,7 @@ class _Chunk:
         own = keys[first]
         yield from self._batch(
             schema, len(first), chunk=np.full(len(first), name), at=np.arange(len(first), dtype=np.int32),
-            key=own.view(np.int64), word=[self.spelled[k] for k in own.tolist()],
+            word=[self.spelled[k] for k in own.tolist()],
             langs=pa.ListArray.from_arrays(pa.array(ends), labels), times=pa.ListArray.from_arrays(pa.array(ends), pa.array(times)))
 
     @staticmethod
@@ -178,8 +196,7 @@ def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
     """All documents as chunks, in one pass, written once so that a chunk's name holds.
 
     Rows with ``ids`` hold a chunk's documents; the others one word of a chunk each:
-    ``at`` (its rank in the chunk), ``key``, ``word`` and its ``times`` in ``langs`` that
-    are learned from.
+    ``at`` (its rank in the chunk), ``word`` and its ``times`` in ``langs`` that are learned from.
     """
     key, content, label = quoted([id, text, lang])
     held = fold(key, FOLDS) == HELD_OUT
@@ -188,7 +205,7 @@ def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
     kind = docs.schema[id].dataType
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("marks", pa.list_(pa.bool_())),
                         ("many", pa.list_(pa.int64())), ("sizes", pa.binary()), ("docs", pa.binary()),
-                        ("counts", pa.binary()), ("at", pa.int32()), ("key", pa.int64()), ("word", pa.string()),
+                        ("counts", pa.binary()), ("at", pa.int32()), ("word", pa.string()),
                         ("langs", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +222,7 @@ def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
 
     return written(rows.mapInArrow(read, (
         f"chunk bigint, ids array<{kind.simpleString()}>, marks array<boolean>, many array<bigint>, sizes binary, "
-        "docs binary, counts binary, at int, key bigint, word string, langs array<string>, times array<bigint>")), "language-chunks")
+        "docs binary, counts binary, at int, word string, langs array<string>, times array<bigint>")), "language-chunks")
 
 
 def count_grams(words: DataFrame, longest: int) -> DataFrame:
@@ -303,6 +320,38 @@ def unseen_gains(unseen: DataFrame, known: DataFrame, longest: int) -> DataFrame
     return done
 
 
+def pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers ``of, at, place, gain``, one a word, as one row for each chunk of some of them.
+
+    A shuffle of rows and arrays would take several times the room.
+    """
+    held, size = [], 0
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        of, at = rows["of"].to_numpy(), rows["at"].to_numpy()
+        order = np.lexsort((at, of))
+        rows, of = rows.take(pa.array(order)).combine_chunks(), of[order]
+        firsts = np.flatnonzero(np.diff(of, prepend=of[:1] - 1))
+        for low, high in zip(firsts, np.append(firsts[1:], len(of))):
+            part = rows.slice(low, high - low).combine_chunks()
+            many = pc.list_value_length(part["place"]).to_numpy()
+            place, gain = (pc.list_flatten(part[c]).to_numpy() for c in ("place", "gain"))
+            columns = {"at": part["at"].to_numpy(), "sizes": many, "place": place, "gain": gain}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(of[low])], pa.int64()), *(pa.array([packed(np.ascontiguousarray(c))], pa.binary()) for c in columns.values())],
+                ["of", *columns])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKED_ROWS:
+            yield from emit()
+            held, size = [], 0
+    if size:
+        yield from emit()
+
+
 def totals_of(docs: np.ndarray, counts: np.ndarray, sizes: np.ndarray, at: np.ndarray, bounds: np.ndarray,
               place: np.ndarray, gain: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
     """``document * languages + place`` codes, sorted, and the sum of the gains of each.
@@ -358,11 +407,13 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     answered each; an empty table gives no rows; extra columns are not read.
     """
     read = read_chunks(docs, id, text, lang)
-    spots = read.where("ids is null")
+    # a word's key follows from the word, so that neither tables nor the shuffle of words hold it
+    key = F.xxhash64("word").alias("key")
+    spots = read.where("ids is null").select("chunk", "at", "word", "langs", "times")
     # a word that nothing is learned from keeps a row without a language
-    words = written(spots.select("key", "word", F.explode_outer(F.arrays_zip("langs", "times")).alias("t"))
-                    .groupBy("key", F.col("t.langs").alias("lang"))
-                    .agg(F.min("word").alias("word"), F.sum("t.times").alias("times")), "language-words")
+    words = written(spots.select("word", F.explode_outer(F.arrays_zip("langs", "times")).alias("t"))
+                    .groupBy("word", F.col("t.langs").alias("lang"))
+                    .agg(F.sum("t.times").alias("times")), "language-words").select(key, "lang", "word", "times")
     taught = words.where("lang is not null")
     names, known, _ = fit(taught, min_share, longest)
     if known is None:
@@ -370,20 +421,24 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     else:
         unseen = words.where("lang is null").join(taught.select("key"), "key", "left_anti").select("key", "word")
         gains = known.where("n = 0").select("key", "gains").unionByName(unseen_gains(unseen, known.where("n > 0"), longest))
-    answers = spots.select("chunk", "at", "key").join(gains, "key") \
-        .select(F.col("chunk").alias("of"), "at", F.col("gains.place").alias("place"), F.col("gains.gain").alias("gain"))
+    answers = spots.select("chunk", "at", key).join(gains, "key") \
+        .select(F.col("chunk").alias("of"), "at", F.col("gains.place").alias("place"), F.col("gains.gain").alias("gain")) \
+        .mapInArrow(pack_answers, "of bigint, at binary, sizes binary, place binary, gain binary")
     id_type = docs.schema[id].dataType
     arrow_id = to_arrow_type(id_type)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        right = right.combine_chunks()
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(right["place"]).to_numpy())]).astype(np.int64)
-        place, gain = (pc.list_flatten(right[c]).to_numpy() for c in ("place", "gain"))
+
+        def whole(name: str, dtype) -> np.ndarray:
+            return np.concatenate([np.zeros(0, dtype), *(unpacked(x, dtype) for x in right[name].to_pylist())])
+
+        bounds = np.concatenate([[0], np.cumsum(whole("sizes", np.int32), dtype=np.int64)])
         many = np.array(row["many"], np.int64)
-        codes, sums = totals_of(unpacked(row["docs"], np.uint32), unpacked(row["counts"], np.uint32),
-                                unpacked(row["sizes"], np.uint32), right["at"].to_numpy(), bounds,
-                                place, gain, len(names))
+        sizes = unpacked(row["sizes"], np.uint32)
+        codes, sums = totals_of(from_gaps(unpacked(row["docs"], np.uint32), sizes), unpacked(row["counts"], np.uint32),
+                                sizes, whole("at", np.int32), bounds,
+                                whole("place", np.int32), whole("gain", np.int64), len(names))
         preds, score = predict(many, codes, sums, names)
         return pa.table({"doc_id": pa.array(row["ids"], arrow_id), "held_out": pa.array(row["marks"], pa.bool_()),
                          "lang_pred": pa.array(preds, pa.string()), "score": pa.array(score)})

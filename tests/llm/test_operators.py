@@ -415,3 +415,39 @@ def test_classifier_and_language_edges(spark):
     found = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert found[1]["lang_pred"] == "und" and found[2]["lang_pred"] == "und" and len(found) == 7
     assert language.identify(docs.limit(0)).collect() == []
+
+
+def test_language_answers_are_packed_by_chunk(monkeypatch):
+    """A chunk's answers are one row of a few bytes a word, whatever order they come in."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(8)
+    rows = [(rng.choice([5, 9]), k, [j for j in range(k % 3)], [rng.choice([10 ** 9, 2 * 10 ** 9]) for _ in range(k % 3)]) for k in range(3000)]
+    rng.shuffle(rows)
+    kinds = [("of", pa.int64()), ("at", pa.int32()), ("place", pa.list_(pa.int32())), ("gain", pa.list_(pa.int64()))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[low:low + 700]), kinds)], [n for n, _ in kinds])
+               for low in range(0, 3000, 700)]
+    monkeypatch.setattr(language, "PACKED_ROWS", 1500)
+    got, room, packs = {}, 0, 0
+    for b in language.pack_answers(iter(batches)):
+        for r in b.to_pylist():
+            at, sizes, place, gain = (language.unpacked(r[c], t) for c, t in
+                                      (("at", np.int32), ("sizes", np.int32), ("place", np.int32), ("gain", np.int64)))
+            ends = np.cumsum(sizes)
+            for a, low, high in zip(at.tolist(), ends - sizes, ends):
+                got[r["of"], a] = (place[low:high].tolist(), gain[low:high].tolist())
+            room, packs = room + sum(len(r[c]) for c in ("at", "sizes", "place", "gain")), packs + 1
+    assert got == {(of, at): (place, gain) for of, at, place, gain in rows}
+    assert packs == 4 and room < 8 * len(rows)
+    assert list(language.pack_answers(iter([]))) == []
+
+
+def test_language_documents_of_words_pack_as_gaps():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    each = [np.sort(rng.choice(5000, n, replace=False)).astype(np.uint32) for n in [1, 4000, 1, 2, 900, 3]]
+    docs, sizes = np.concatenate(each), np.array([len(e) for e in each], np.uint32)
+    assert language.from_gaps(language.gaps(docs, sizes), sizes).tolist() == docs.tolist()
+    assert len(language.packed(language.gaps(docs, sizes))) < 0.8 * len(language.packed(docs))
+    none = np.zeros(0, np.uint32)
+    assert language.from_gaps(language.gaps(none, none), none).tolist() == []
