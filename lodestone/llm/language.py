@@ -34,11 +34,13 @@ FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 #: gains are counted in units of ten to the minus DIGITS
 DIGITS = 9
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 #: a chunk ends with the document that fills it
 CHUNK_CHARS = 64 << 20
+#: words of a chunk that are written at a time
+WORD_ROWS = 1 << 15
 #: entries of gains added up at a time
-STEP = 1 << 20
+STEP = 1 << 18
 #: answers that a task packs at a time
 PACKED_ROWS = 1 << 19
 BLANK = 32
@@ -83,11 +85,11 @@ class Words:
         return owner, mixed(self.hash.of(at, at + n) + np.uint64(n))
 
 
-def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[slice]:
+def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[slice]:
     """Neighbouring texts, about ``limit`` characters at a time."""
     low = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        size += n or 0
         if size >= limit:
             yield slice(low, k + 1)
             low, size = k + 1, 0
@@ -141,19 +143,29 @@ class _Chunk:
     """Documents that are read together: their facts, and the places of their words."""
 
     def __init__(self) -> None:
-        self.ids, self.marks, self.langs, self.many = [], [], [], []
-        self.parts, self.spelled, self.chars = [], {}, 0
+        self.ids, self.marks, self.langs, self.many, self.chars = [], [], [], [], 0
+        self.keys, self.docs, self.counts = [], [], []
+        # keys of the words so far, in order; the same and their letters, as they were found
+        self.known, self.found, self.spelled = np.zeros(0, np.uint64), [], []
 
     def add(self, ids: list, marks: list, langs: list, texts: list) -> None:
         words = Words(texts)
         keys = words.word_keys()
         heads, place = distinct(keys, words.doc.astype(np.uint64))
-        self.parts.append((keys[heads], (words.doc[heads] + len(self.ids)).astype(np.uint32),
-                           np.bincount(place, minlength=len(heads)).astype(np.uint32)))
-        first, _ = distinct(keys)
-        for k, s, e in zip(keys[first].tolist(), words.start[first].tolist(), words.end[first].tolist()):
-            if k not in self.spelled:
-                self.spelled[k] = words.points[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace")
+        own = keys[heads]
+        self.keys.append(own)
+        self.docs.append((words.doc[heads] + len(self.ids)).astype(np.uint32))
+        self.counts.append(np.bincount(place, minlength=len(heads)).astype(np.uint32))
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        at = np.searchsorted(self.known, own[first])
+        held = np.append(self.known, np.uint64(0))[at] == own[first]
+        held &= at < len(self.known)
+        at, first = at[~held], first[~held]
+        self.known = np.insert(self.known, at, own[first])
+        self.found.append(own[first])
+        self.spelled.append(pa.array([
+            words.points[s:e].astype("<u4").tobytes().decode("utf-32-le", "replace")
+            for s, e in zip(words.start[heads[first]].tolist(), words.end[heads[first]].tolist())], pa.string()))
         self.many += np.bincount(words.doc, minlength=len(texts)).tolist()
         self.ids += ids
         self.marks += marks
@@ -161,28 +173,42 @@ class _Chunk:
         self.chars += sum(len(t or "") for t in texts)
 
     def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """One row of the documents, then one of each word."""
+        """One row of the documents, then one of each word, some at a time; the chunk is used up."""
         name = uuid.uuid4().int >> 65
-        keys, docs, counts = (np.concatenate(c) for c in zip(*self.parts))
+
+        def taken(parts: list) -> np.ndarray:
+            out = np.concatenate(parts)
+            parts.clear()
+            return out
+
+        keys = taken(self.keys)
         order = np.argsort(keys, kind="stable")
-        keys, docs, counts = keys[order], docs[order], counts[order]
+        keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(first, len(keys)))
+        bounds = np.append(first, len(keys))
+        sizes = np.diff(bounds)
+        del keys
+        docs, counts = taken(self.docs)[order], taken(self.counts)[order]
+        del order
         yield from self._batch(schema, 1, chunk=[name], ids=[self.ids], marks=[self.marks], many=[self.many],
                                sizes=[packed(sizes.astype(np.uint32))], docs=[packed(gaps(docs, sizes))], counts=[packed(counts)])
         names = sorted({x for x in self.langs if x is not None})
-        code = np.array([-1 if x is None else names.index(x) for x in self.langs], np.int64)[docs]
-        rank = np.repeat(np.arange(len(first)), sizes)
-        taught = code >= 0
-        pair, times = summed(rank[taught] * len(names) + code[taught], counts[taught].astype(np.int64))
-        ends = np.searchsorted(pair, np.arange(len(first) + 1) * len(names)).astype(np.int32)
-        labels = pa.DictionaryArray.from_arrays(pa.array(pair % max(len(names), 1), pa.int32()),
-                                                pa.array(names, pa.string())).dictionary_decode()
-        own = keys[first]
-        yield from self._batch(
-            schema, len(first), chunk=np.full(len(first), name), at=np.arange(len(first), dtype=np.int32),
-            word=[self.spelled[k] for k in own.tolist()],
-            langs=pa.ListArray.from_arrays(pa.array(ends), labels), times=pa.ListArray.from_arrays(pa.array(ends), pa.array(times)))
+        code = np.array([-1 if x is None else names.index(x) for x in self.langs], np.int64)
+        spelled = pa.concat_arrays(self.spelled)
+        by_key = np.argsort(taken(self.found))
+        for low in range(0, len(first), WORD_ROWS):
+            high = min(low + WORD_ROWS, len(first))
+            part = slice(bounds[low], bounds[high])
+            lang, rank = code[docs[part]], np.repeat(np.arange(high - low), sizes[low:high])
+            taught = lang >= 0
+            pair, times = summed(rank[taught] * len(names) + lang[taught], counts[part][taught].astype(np.int64))
+            ends = np.searchsorted(pair, np.arange(high - low + 1) * len(names)).astype(np.int32)
+            labels = pa.DictionaryArray.from_arrays(pa.array(pair % max(len(names), 1), pa.int32()),
+                                                    pa.array(names, pa.string())).dictionary_decode()
+            yield from self._batch(
+                schema, high - low, chunk=np.full(high - low, name), at=np.arange(low, high, dtype=np.int32),
+                word=spelled.take(pa.array(by_key[low:high])),
+                langs=pa.ListArray.from_arrays(pa.array(ends), labels), times=pa.ListArray.from_arrays(pa.array(ends), pa.array(times)))
 
     @staticmethod
     def _batch(schema: pa.Schema, n: int, **columns) -> Iterator[pa.RecordBatch]:
@@ -211,9 +237,9 @@ def read_chunks(docs: DataFrame, id: str, text: str, lang: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in batches:
-            ids, texts, marks, langs = (batch.column(c).to_pylist() for c in ("id", "text", "mark", "lang"))
-            for part in slices(texts):
-                chunk.add(ids[part], marks[part], langs[part], texts[part])
+            for part in slices(batch.column("text")):
+                own = batch.slice(part.start, part.stop - part.start)
+                chunk.add(*(own.column(c).to_pylist() for c in ("id", "mark", "lang", "text")))
                 if chunk.chars >= CHUNK_CHARS:
                     yield from chunk.rows(schema)
                     chunk = _Chunk()
@@ -294,10 +320,9 @@ def unseen_gains(unseen: DataFrame, known: DataFrame, longest: int) -> DataFrame
     def grams_of(n: int):
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column("word").to_pylist()
-                own = batch.column("key").to_numpy()
+                texts, own = batch.column("word"), batch.column("key").to_numpy()
                 for part in slices(texts):
-                    words, keys = Words(texts[part]), own[part]
+                    words, keys = Words(texts[part].to_pylist()), own[part]
                     owner, found = words.grams(np.arange(len(words.start)), n)
                     many = np.bincount(owner, minlength=len(words.start))
                     heads, place = distinct(owner.astype(np.uint64), found)

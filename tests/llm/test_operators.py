@@ -451,3 +451,32 @@ def test_language_documents_of_words_pack_as_gaps():
     assert len(language.packed(language.gaps(docs, sizes))) < 0.8 * len(language.packed(docs))
     none = np.zeros(0, np.uint32)
     assert language.from_gaps(language.gaps(none, none), none).tolist() == []
+
+
+def test_language_chunk_holds_little_beside_its_texts():
+    """Words as Python strings, and the facts of all words at once, took about 19 bytes a character."""
+    import tracemalloc
+    import pandas  # noqa: F401  pyarrow loads it at some point, which would count
+    import pyarrow as pa
+    rng = random.Random(6)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(pool, k=1000)) for _ in range(300)]
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.bool_())),
+                        ("many", pa.list_(pa.int64())), ("sizes", pa.binary()), ("docs", pa.binary()),
+                        ("counts", pa.binary()), ("at", pa.int32()), ("word", pa.string()),
+                        ("langs", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+    pa.array(language.Words(texts[:1]).word_keys())
+    tracemalloc.start()
+    try:
+        chunk = language._Chunk()
+        for low in range(0, 300, 20):
+            chunk.add(list(range(low, low + 20)), [False] * 20, ["x"] * 20, texts[low:low + 20])
+        batches = list(chunk.rows(schema))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 13 * sum(map(len, texts)), peak
+    assert batches[0]["many"][0].as_py() == [1000] * 300 and max(b.num_rows for b in batches[1:]) <= 1 << 15
+    got = {w: sum(n) for b in batches[1:] for w, n in zip(b["word"].to_pylist(), b["times"].to_pylist())}
+    assert got == Counter(" ".join(texts).split())
+    assert [k for b in batches[1:] for k in b["at"].to_pylist()] == list(range(len(got)))
