@@ -99,16 +99,26 @@ def sent(block: int, hi: np.ndarray, ranges: int, payload: Callable[[slice], byt
                      "payload": pa.array([payload(slice(at[k], at[k + 1])) for k in parts], pa.binary())})
 
 
+def with_kept(asked: pa.Table, block: int, kept: bytes) -> pa.Table:
+    """What a block sends in a round, and what it keeps for itself until the next ones."""
+    own = pa.table({"part": pa.array([-1 - block], pa.int32()), "block": pa.array([block], pa.int64()),
+                    "payload": pa.array([kept], pa.binary())})
+    return pa.concat_tables([asked, own])
+
+
 def round_of(staged: Staged, send: Callable[[int, Block, dict], pa.Table],
              answer: Callable[[list[bytes]], list[bytes]], earlier: DataFrame | None, kind: str) -> DataFrame:
     """One round; returns the answers so far, as ``block``, ``kind``, ``part``, ``payload``.
 
     ``send`` gets a block and the answers of earlier rounds by kind, in key order;
-    ``answer`` gets what a range's blocks sent and answers each.
+    ``answer`` gets what a range's blocks sent and answers each. What a block keeps comes back as ``kind`` kept.
     """
     asked = per_block(staged, earlier, send, SENT)
 
     def own(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() < 0:
+            return pa.table({"block": table["block"], "kind": pa.array([f"{kind} kept"] * table.num_rows, pa.string()),
+                             "part": table["part"], "payload": table["payload"]})
         table = table.sort_by("block")
         replies = answer(table["payload"].to_pylist())
         return pa.table({"block": table["block"], "kind": pa.array([kind] * table.num_rows, pa.string()),

@@ -14,6 +14,8 @@ import numpy as np
 
 PRIME = (1 << 31) - 1
 _P, _31 = np.uint64(PRIME), np.uint64(31)
+#: symbols or stretches that are worked on at a time
+PIECE = 1 << 15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,23 +63,35 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Stretches:
-    """Hashes of stretches ``[start, end)`` of one array of symbols."""
+    """Hashes of stretches ``[start, end)`` of one array of symbols.
+
+    All of it goes by pieces that stay in a core's cache: arrays as long as the data cost several times as much.
+    """
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         self.n = n = len(data)
         self.limbs = []
         for limb in (1, 2):
-            base = _number(seed, limb)
-            if data.dtype == np.uint8:
-                values = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(_number(seed, limb, 3))) % _P)[data]
-            else:
-                values = mixed(data.astype(np.uint64) + np.uint64(_number(seed, limb, 3))) % _P
-            values *= powers(base, n)[:n]
+            base, extra = _number(seed, limb), np.uint64(_number(seed, limb, 3))
+            steps = powers(base, n)
+            bytewise = mixed(np.arange(256, dtype=np.uint64) + extra) % _P if data.dtype == np.uint8 else None
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_folded(values), out=sums[1:])
+            for low in range(0, n, PIECE):
+                piece = data[low:low + PIECE]
+                values = mixed(piece.astype(np.uint64) + extra) % _P if bytewise is None else bytewise[piece]
+                values *= steps[low:low + len(piece)]
+                values = _folded(values)
+                values[0] += sums[low]
+                np.cumsum(values, out=sums[low + 1:low + len(piece) + 1])
             self.limbs.append((base, sums))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        for low in range(0, len(starts), PIECE):
+            out[low:low + PIECE] = self._of(starts[low:low + PIECE], ends[low:low + PIECE])
+        return out
+
+    def _of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         parts = []
         for base, sums in self.limbs:
             # all stretches are brought to one place, the end of the array, and from there to 0

@@ -13,6 +13,8 @@ all. Of the rest
 3. only the suffixes around marked names go to their bucket, a key range that one task
    sorts at a time; equal neighbours are repeats.
 
+Which positions repeat, and which ranked windows do, is found once and kept with the
+block, so that later passes hash the bytes of the windows they look at, and no others.
 Keys have 94 bits, so that a chance tie is less likely than a disk error.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import BLOCK_BYTES, Block, bits_of, per_block, round_of, sent, split, stage, to_bits
+from .blocks import BLOCK_BYTES, Block, bits_of, per_block, round_of, sent, split, stage, to_bits, with_kept
 from .hashing import Stretches, distinct, from_planes, planes
 
 # Perfect difference sets; every residue is a difference of two members.
@@ -48,13 +50,28 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return v, COVERS[v]
 
 
+def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that stretches ``[low, high)`` fill, both ascending: their starts and ends, and the run of each stretch."""
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] > high[:-1]
+    first = np.flatnonzero(new)
+    return low[first], high[np.append(first[1:], len(low))[:len(first)] - 1], np.cumsum(new) - 1
+
+
+def _filled(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places runs that don't touch cover."""
+    step = np.zeros(n + 1, np.int8)
+    step[starts], step[ends] = 1, -1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
 class _View:
-    """What the passes over a block share: cover positions, names, window keys."""
+    """What the passes over a block share: cover positions and the windows around them."""
 
     def __init__(self, block: Block, length: int):
         v, cover = cover_for(length)
         self.b, self.length, self.v = block, length, v
-        name = length - v + 1
+        self.name = name = length - v + 1
         # whole periods of the cover from each text's start, then those with room for a name
         periods = (block.ends - block.starts - name) // v + 1
         periods[block.ends - block.starts < name] = 0
@@ -63,38 +80,41 @@ class _View:
         at = (block.starts[owner] + nth * v)[:, None] + np.array(cover)
         fits = at + name <= block.ends[owner][:, None]
         self.cover, owner = at[fits], np.broadcast_to(owner[:, None], at.shape)[fits]
-        self.first = Stretches(block.data, 1)
-        names = self.first.of(self.cover, self.cover + name)
-        # 32 bits beside the range are enough: a chance tie only adds candidates
-        self.names = names & ~np.uint64(0xFFF)
-        self.heads, self.place = distinct(self.names)
         # starts of the windows that a cover position answers for: from low to high
         self.low = np.maximum(self.cover - v + 1, block.starts[owner])
         self.high = np.minimum(self.cover, block.ends[owner] - length)
 
+    def hashes(self, starts: np.ndarray, size: int, *seeds: int) -> list[np.ndarray]:
+        """Hashes of the ``size`` bytes at ascending ``starts``, for each seed; no other bytes are read."""
+        low, high, run = _merged(starts, starts + size)
+        sizes = high - low
+        moved = starts - (low - np.cumsum(sizes) + sizes)[run]
+        inside = self.b.data[_filled(len(self.b.data), low, high)]
+        return [Stretches(inside, seed).of(moved, moved + size) for seed in seeds]
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        # 32 bits beside the range are enough: a chance tie only adds candidates
+        return self.hashes(at, self.name, 1)[0] & ~np.uint64(0xFFF)
+
     def twice(self, place: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(place, minlength=n) > 1
 
     def repeated(self, got: dict) -> np.ndarray:
         """Which cover positions have a repeated name."""
-        flags = bits_of(got.get("names", []), len(self.heads)) | self.twice(self.place, len(self.heads))
-        return flags[self.place]
+        if "ranks kept" in got:
+            return bits_of(got["ranks kept"], len(self.cover))
+        heads, place = distinct(self.names(self.cover))
+        flags = bits_of(got.get("names", []), len(heads)) | self.twice(place, len(heads))
+        return flags[place]
 
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        # the second hash reads the bytes of the windows alone, which stay together
-        inside = self.covered(starts)
-        moved = (np.cumsum(inside) - 1)[starts]
-        second = Stretches(self.b.data[inside], 2).of(moved, moved + self.length)
-        return self.first.of(starts, starts + self.length), (second >> np.uint64(32)).astype(np.uint32)
+        first, second = self.hashes(starts, self.length, 1, 2)
+        return first, (second >> np.uint64(32)).astype(np.uint32)
 
     def covered(self, starts: np.ndarray) -> np.ndarray:
-        """Bytes inside the windows at ``starts``."""
-        step = np.zeros(len(self.b.data) + 1, np.int64)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + self.length, -1)
-        return np.cumsum(step[:-1]) > 0
+        """Bytes inside the windows at ascending ``starts``."""
+        low, high, _ = _merged(starts, starts + self.length)
+        return _filled(len(self.b.data), low, high)
 
     def ranked(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of the windows that the first ranking looks at."""
@@ -102,29 +122,28 @@ class _View:
         return at[self.high[repeated] >= at]
 
     def known(self, kind: str, starts: np.ndarray, got: dict) -> np.ndarray:
-        """Those of ``starts`` whose window starts elsewhere too."""
+        """Which of ``starts`` have a window that starts elsewhere too."""
         hi, lo = self.keys(starts)
         heads, place = distinct(hi, lo)
         flags = bits_of(got.get(kind, []), len(heads)) | self.twice(place, len(heads))
-        return starts[flags[place]]
+        return flags[place]
 
-    def open_names(self, repeated: np.ndarray, got: dict) -> np.ndarray:
-        """Of the repeated cover positions: whether a window around isn't settled."""
-        left = np.concatenate([[0], np.cumsum(~self.covered(self.known("ranks", self.ranked(repeated), got)))])
+    def open_names(self, repeated: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """Of the repeated cover positions: whether a window around isn't inside the ``settled`` ones."""
+        start, end, _ = _merged(settled, settled + self.length)
         low, high = self.low[repeated], self.high[repeated]
-        some = high >= low
-        return some & (left[np.where(some, high + self.length, low)] > left[low])
+        run = np.searchsorted(start, low, side="right") - 1
+        inside = np.append(end, 0)[run] >= high + self.length
+        return (high >= low) & ~(inside & (run >= 0))
 
     def around(self, repeated: np.ndarray, got: dict) -> np.ndarray:
         """Starts of all windows around marked names."""
-        heads, place = distinct(self.names[repeated])
+        heads, place = distinct(self.names(self.cover[repeated]))
         marked = bits_of(got.get("marks", []), len(heads))[place]
         low, high = self.low[repeated][marked], self.high[repeated][marked]
         some = high >= low
-        step = np.zeros(len(self.b.data) + 1, np.int64)
-        np.add.at(step, low[some], 1)
-        np.add.at(step, high[some] + 1, -1)
-        return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        start, end, _ = _merged(low[some], high[some] + 1)
+        return np.flatnonzero(_filled(len(self.b.data), start, end))
 
 
 def _name_bytes(names: np.ndarray) -> np.ndarray:
@@ -174,7 +193,8 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
 
     def send_names(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
-        names = view.names[view.heads]
+        names = view.names(view.cover)
+        names = names[distinct(names)[0]]
         return sent(block, names, ranges, lambda s: planes(_name_bytes(names[s])))
 
     def send_windows(block: int, view: _View, starts: np.ndarray) -> pa.Table:
@@ -185,15 +205,19 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
 
     def send_ranks(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
-        return send_windows(block, view, view.ranked(view.repeated(got)))
+        repeated = view.repeated(got)
+        return with_kept(send_windows(block, view, view.ranked(repeated)), block, to_bits(repeated))
 
     def send_marks(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
         repeated = view.repeated(got)
-        heads, place = distinct(view.names[repeated])
-        names = view.names[repeated][heads]
-        is_open = np.bincount(place, view.open_names(repeated, got), len(heads)) > 0
-        return sent(block, names, ranges, lambda s: planes(_name_bytes(names[s])) + is_open[s].tobytes())
+        names = view.names(view.cover[repeated])
+        heads, place = distinct(names)
+        names, starts = names[heads], view.ranked(repeated)
+        known = view.known("ranks", starts, got)
+        is_open = np.bincount(place, view.open_names(repeated, starts[known]), len(heads)) > 0
+        return with_kept(sent(block, names, ranges, lambda s: planes(_name_bytes(names[s])) + is_open[s].tobytes()),
+                         block, to_bits(known))
 
     def send_suffixes(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
@@ -210,8 +234,9 @@ def find_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     def remove(block: int, b: Block, got: dict) -> pa.Table:
         view = _View(b, length)
         repeated = view.repeated(got)
-        gone = view.covered(np.concatenate([view.known("ranks", view.ranked(repeated), got),
-                                            view.known("suffixes", view.around(repeated, got), got)]))
+        ranked, rest = view.ranked(repeated), view.around(repeated, got)
+        gone = view.covered(np.sort(np.concatenate([ranked[bits_of(got["marks kept"], len(ranked))],
+                                                    rest[view.known("suffixes", rest, got)]])))
         size, removed, spans, kept = [], [], [], []
         for start, end in zip(b.starts, b.ends):
             own = gone[start:end]

@@ -58,3 +58,29 @@ def test_long_and_wide(spark):
                                "doc_id bigint, text string, block string, mark int")
     got = {r["doc_id"]: r for r in find_repeats(df).collect()}
     assert (got[1]["n_removed"], got[1]["n_spans"]) == (199_000, 1) and got[2]["n_removed"] == 199_000
+
+
+def test_passes_hash_the_bytes_of_their_windows_only(monkeypatch):
+    """A pass over a block of which little is open hashed all of it, and all names, again."""
+    import numpy as np
+    from lodestone.llm import repeats
+    from lodestone.llm.blocks import Block, to_bits
+    data = np.random.default_rng(3).integers(0, 256, 300_000).astype(np.uint8)
+    block = Block([1, 2], data, np.array([0, 100_000]), np.array([100_000, 300_000]), np.zeros(2))
+    hashed, plain = [], repeats.Stretches
+    monkeypatch.setattr(repeats, "Stretches", lambda part, seed: hashed.append(len(part)) or plain(part, seed))
+    view = repeats._View(block, 200)
+    flags = np.zeros(len(view.cover), bool)
+    flags[[5, 6, 9000]] = True
+    repeated = view.repeated({"ranks kept": [to_bits(flags)]})
+    starts = view.around(repeated, {"marks": [to_bits(np.ones(3, bool))]})
+    hi, lo = view.keys(starts)
+    assert len(starts) > 100 and sum(hashed) < 5000
+    whole = plain(data, 1).of(starts, starts + 200)
+    assert (hi == whole).all() and (lo == plain(data, 2).of(starts, starts + 200) >> np.uint64(32)).all()
+    want = np.zeros(len(data), bool)
+    for s in starts.tolist():
+        want[s:s + 200] = True
+    assert (view.covered(starts) == want).all()
+    near = (view.cover[:, None] + np.arange(-132, 1))[flags]
+    assert starts.tolist() == sorted({int(x) for x in near.ravel() if x >= 0})
