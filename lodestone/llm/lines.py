@@ -15,6 +15,9 @@ from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
+#: shingles that a row holds while minima are taken; at least two
+ABREAST = 4
+GOLDEN = 0.6180339887498949
 #: longs of parities that a set is compared by first; a power of two. Few of them say nothing about a line of
 #: hundreds of shingles: all pairs of a bucket would pass
 WORDS = 16
@@ -59,17 +62,34 @@ def hashed_shingles(lines: DataFrame, chars: int = CHARS) -> DataFrame:
 def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFrame:
     """``node``, ``key`` for each band of each different line of ``node``, ``line``.
 
-    Shingles become rows, and one aggregation takes all minima: a line's rows are
-    neighbours, so nearly all of it happens before the shuffle, which no text enters.
+    Shingles become rows, several in one, and one aggregation takes all minima: a line's rows
+    are neighbours, so nearly all of it happens before the shuffle, which no text enters.
+    They are cut from UTF-16, where places of all lines are alike; characters beyond it count
+    as two here, and only here. The last row of a line repeats its last shingle, which changes
+    no minimum: values that can't be null cost half.
     """
-    # 31 bits of each minimum are enough to tell lines apart, and shuffle well; one hash gives two
-    def part(i: int) -> Column:
-        h = F.xxhash64("h", F.lit(i // 2))
-        return F.shiftrightunsigned(h, 33) if i % 2 else h.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint"))
-
-    least = [F.min(part(i)).cast("int").alias(f"m{i}") for i in range(bands * rows)]
-    minima = hashed_shingles(lines, chars).groupBy("node").agg(*least)
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
+    body = F.col("body")
+    cut = lines.select("node", F.encode("line", "UTF-16BE").alias("body")) \
+        .select("node", "body", F.least(F.octet_length(body), F.lit(2 * chars)).alias("take"))
+    cut = cut.select("*", F.shiftright(F.octet_length(body) - F.col("take"), 1).alias("last"))
+    spots = cut.select("*", F.explode(F.sequence(F.lit(0), "last", F.lit(ABREAST))).alias("at"))
+    own = [F.xxhash64(F.substring(body, F.least(F.col("at") + k, F.col("last")) * 2 + 1, F.col("take"))).alias(f"h{k}")
+           for k in range(ABREAST)]
+
+    # a band's values are 31 bits of a hash from places of their own, as far as a hash reaches, which is enough to tell
+    # lines apart and shuffles well; its order is that of the distance (xor) from a place of the band's own
+    def part(k: int, r: int) -> Column:
+        h = F.col(f"h{k}") if r < 3 else F.xxhash64(f"h{k}", F.lit(r // 3))
+        return F.shiftrightunsigned(F.shiftleft(h, 21 * (r % 3)), 33).cast("int").alias(f"h{k}_{r}")
+
+    values = spots.select("node", *own).select("node", *[part(k, r) for k in range(ABREAST) for r in range(rows)])
+
+    def least(b: int, r: int) -> Column:
+        place = F.lit(int((b + 1) * GOLDEN % 1 * (1 << 31)))
+        return F.min(F.least(*[F.col(f"h{k}_{r}").bitwiseXOR(place) for k in range(ABREAST)])).alias(f"m{b}_{r}")
+
+    minima = values.groupBy("node").agg(*[least(b, r) for b in range(bands) for r in range(rows)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{b}_{r}" for r in range(rows)]) for b in range(bands)]
     return minima.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
