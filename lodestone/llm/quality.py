@@ -37,11 +37,14 @@ class Net:
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Bytes 0-255, plus 256 where the last ``RUN`` bytes stand a short distance earlier too."""
+    """Bytes 0-255, plus 256 where the last ``RUN`` bytes stand a short distance earlier too.
+
+    Two bytes each, as the driver holds the whole sample in this form.
+    """
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     n = len(raw)
     if n < RUN:
-        return raw.astype(np.int64)
+        return raw.astype(np.int16)
     word = np.zeros(n, np.uint64)
     for k in range(RUN):
         word[k:] |= raw[:n - k].astype(np.uint64) << np.uint64(8 * k)
@@ -49,7 +52,7 @@ def symbols(text: str | None) -> np.ndarray:
     for lag in LAGS:
         if n > lag + RUN:
             again[lag + RUN:] |= word[lag + RUN:] == word[RUN:-lag]
-    return raw + 256 * again.astype(np.int64)
+    return raw + again.astype(np.int16) * np.int16(256)
 
 
 def chunk_count(n: int) -> int:

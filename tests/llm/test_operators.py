@@ -480,3 +480,31 @@ def test_language_chunk_holds_little_beside_its_texts():
     got = {w: sum(n) for b in batches[1:] for w, n in zip(b["word"].to_pylist(), b["times"].to_pylist())}
     assert got == Counter(" ".join(texts).split())
     assert [k for b in batches[1:] for k in b["at"].to_pylist()] == list(range(len(got)))
+
+
+def test_training_holds_two_bytes_a_symbol():
+    for text in ("", "abc", "a long text, a long text, a long text é"):
+        assert quality.symbols(text).itemsize == 2
+    again = quality.symbols("abcdefgh" * 3)
+    assert (again % 256).tolist() == list(b"abcdefgh" * 3) and again.max() == 256 + ord("h")
+
+
+def test_signatures_take_several_shingles_a_row(spark):
+    """Shingles of any characters become rows by fours, and no piece is decoded on its own."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    rows, pairs = [], []
+    for k, letters in enumerate(["abcdefghij", "aéîoüxyz", "日本語文字列検索", "😀😁😂🤣x"] * 30):
+        text = " ".join(word(letters) for _ in range(rng.randint(2, 40)))
+        rows += [(3 * k, text), (3 * k + 1, text + "!"), (3 * k + 2, " ".join(word(letters) for _ in range(20)))]
+        pairs += [(3 * k, 3 * k + 1)] if len(text) >= 60 else []
+    rows += [(1000, "x"), (1001, "exactly 9"), (1002, "ten letters")]
+    found = lines.band_members(spark.createDataFrame(rows, "node bigint, line string"), 9, 8, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "decode(" not in plan and len(set(re.findall(r"xxhash64\(substring\(body#\d+, .*? AS (h\d)#", plan))) == lines.ABREAST, plan
+    keys = {}
+    for r in found.collect():
+        keys.setdefault(r["node"], []).append(r["key"])
+    assert len(keys) == len(rows) and all(len(set(v)) == 8 for v in keys.values())
+    assert len(pairs) > 60 and all(set(keys[a]) & set(keys[b]) for a, b in pairs)
+    assert not any(set(keys[a]) & set(keys[a + 2]) for a, _ in pairs)
