@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed, quoted, scratch_path
-from .hashing import from_planes
 
 BLOCK_BYTES = 4 << 20
 #: the key ranges' share of text: an owner holds the keys of about so many bytes of text
@@ -159,12 +158,6 @@ def to_bits(flags: np.ndarray) -> bytes:
     return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
 
 
-def from_planes_many(data: bytes, dtype, n: int) -> list[np.ndarray]:
-    """``n`` arrays of one length, each stored by ``planes``, end to end."""
-    size = len(data) // n
-    return [from_planes(data[k * size:(k + 1) * size], dtype) for k in range(n)]
-
-
 def split(values: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
     at = 0
     for n in sizes:

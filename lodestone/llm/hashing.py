@@ -16,6 +16,8 @@ PRIME = (1 << 31) - 1
 _P, _31 = np.uint64(PRIME), np.uint64(31)
 #: symbols or stretches that are worked on at a time
 PIECE = 1 << 15
+#: symbols that ``hashes`` sums up together, a longer stretch being alone
+HASHED_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,6 +105,20 @@ class Stretches:
         return mixed((parts[0] << _31) | parts[1])
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of stretches that follow each other, as of ``Stretches``, from some of the data at a time.
+
+    Sums over all of the data would take many times its room.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        to = np.searchsorted(starts, low + HASHED_BYTES)
+        out[at:to] = Stretches(data[low:ends[to - 1]], seed).of(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
 def distinct(hi: np.ndarray, lo: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys: an index of the first of each, and each row's place among them."""
     order = np.argsort(hi)

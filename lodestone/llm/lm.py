@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import Block, from_planes_many, per_block, round_of, sent, stage
+from .blocks import Block, per_block, round_of, sent, split, stage
 from .common import fold, quoted
-from .hashing import Stretches, distinct, from_planes, lowered, mixed, planes, word_bounds
+from .hashing import distinct, from_planes, hashes, lowered, mixed, planes, word_bounds
 
 END, START, CHAIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD6E8FEB86659FD93
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
@@ -42,7 +42,7 @@ class _Tokens:
     def __init__(self, b: Block, order: int):
         data = lowered(b.data)
         first, last = word_bounds(data, b.starts, b.ends)
-        words = Stretches(data, 3).of(first, last)
+        words = hashes(data, first, last, 3)
         doc = np.searchsorted(b.ends, first, side="right")
         self.sizes = np.bincount(doc, minlength=len(b.ids)) + 1
         close = np.cumsum(self.sizes) - 1
@@ -65,28 +65,46 @@ class _Tokens:
         return out
 
 
+def _width(counts: np.ndarray) -> int:
+    """Bytes that hold each of the counts."""
+    most = int(counts.max(initial=0))
+    return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+
+
+def _asked(keys: np.ndarray, counts: np.ndarray, deleted: bool) -> bytes:
+    """The counts' width, whether they are of the deleted part, keys and counts."""
+    w = _width(counts)
+    return bytes([w, deleted]) + planes(keys) + planes(counts.astype(f"u{w}"))
+
+
 def _add(payloads: list[bytes]) -> list[bytes]:
-    """Sums of the blocks' counts for each key, after the range's totals."""
-    each = [(from_planes(p[:len(p) // 2], np.uint64), *from_planes_many(p[len(p) // 2:], np.uint32, 2)) for p in payloads]
-    heads, place = distinct(np.concatenate([e[0] for e in each]))
-    n = len(heads)
-    total = np.bincount(place, np.concatenate([e[1] for e in each]), n).astype(np.uint64)
-    deleted = np.bincount(place, np.concatenate([e[2] for e in each]), n).astype(np.uint64)
+    """Sums of the blocks' counts for each key, after the range's totals; those of the deleted part to its blocks only."""
+    views = [memoryview(p)[2:] for p in payloads]
+    sizes = [len(x) // (8 + p[0]) for x, p in zip(views, payloads)]
+    heads, place = distinct(np.concatenate([from_planes(x[:8 * n], np.uint64) for x, n in zip(views, sizes)]))
+    total, deleted = np.zeros(len(heads), np.uint64), np.zeros(len(heads), np.uint64)
+    owns = list(split(place, sizes))
+    for p, x, n, own in zip(payloads, views, sizes, owns):
+        counts = from_planes(x[8 * n:], f"u{p[0]}")
+        total[own] += counts  # a block names a key once
+        if p[1]:
+            deleted[own] += counts
     head = np.array([total.sum(), (total > 0).sum(), deleted.sum(), (total > deleted).sum()], np.uint64).tobytes()
-    out, at = [], 0
-    for keys, _, _ in each:
-        own = place[at:at + len(keys)]
-        out.append(head + planes(total[own]) + planes(deleted[own]))
-        at += len(keys)
+    out = []
+    for p, own in zip(payloads, owns):
+        both = [total[own], deleted[own]] if p[1] else [total[own]]
+        w = _width(both[0])
+        out.append(head + bytes([w, len(both)]) + b"".join(planes(c.astype(f"u{w}")) for c in both))
     return out
 
 
-def _counts(payloads: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All and deleted counts for each token's n-gram."""
-    both = [from_planes_many(p[32:], np.uint64, 2) for p in payloads]
-    if not both:
-        return np.zeros(len(place)), np.zeros(len(place))
-    return tuple(np.concatenate([x[k] for x in both]).astype(np.float64)[place] for k in (0, 1))
+def _counts(payloads: list[bytes], place: np.ndarray, k: int) -> np.ndarray:
+    """All (``k`` 0) or deleted (1) counts for each token's n-gram."""
+    found = []
+    for p in payloads:
+        w, size = p[32], (len(p) - 34) // p[33]
+        found.append(from_planes(memoryview(p)[34 + k * size:34 + (k + 1) * size], f"u{w}"))
+    return np.concatenate(found).astype(np.float64)[place] if found else np.zeros(len(place))
 
 
 def _totals(answers: DataFrame) -> dict:
@@ -159,7 +177,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
         raise ValueError("order must be positive")
     staged = stage(docs, id, text, mark=fold(quoted([id])[0], FOLDS), block_bytes=SCORED_BYTES, range_bytes=COUNTED_BYTES,
                    apart=DELETED)
-    ranges = staged.ranges
+    # blocks below ``apart`` are of the deleted part alone, which no other block has
+    ranges, apart = staged.ranges, staged.apart
 
     def sender(k: int):
         def send(block: int, b: Block, got: dict) -> pa.Table:
@@ -167,9 +186,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
             keys = t.keys[k - 1]
             heads, place = distinct(keys)
             hi = keys[heads]
-            total = np.bincount(place, t.mark != HELD_OUT, len(heads)).astype(np.uint32)
-            deleted = np.bincount(place, t.mark == DELETED, len(heads)).astype(np.uint32)
-            return sent(block, hi, ranges, lambda s: planes(hi[s]) + planes(total[s]) + planes(deleted[s]))
+            total = np.bincount(place[t.mark != HELD_OUT], minlength=len(heads))
+            return sent(block, hi, ranges, lambda s: _asked(hi[s], total[s], block < apart))
         return send
 
     answers = None
@@ -182,13 +200,18 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
     train, rest = marks["train"], marks["train"] - marks["deleted"]
     n_rest, v_rest = n - sums["n_deleted"], sums["v_rest"]
 
-    def looked_up(b: Block, got: dict) -> tuple[_Tokens, list]:
-        t = _Tokens(b, order)
-        return t, [_counts(got.get(f"order{k + 1}", []), distinct(t.keys[k])[1]) for k in range(order)]
+    def looked_up(b: Block, got: dict, without_deleted: bool) -> tuple[_Tokens, list]:
+        t, counts = _Tokens(b, order), []
+        for k in range(order):
+            payloads, place = got.get(f"order{k + 1}", []), distinct(t.keys[k])[1]
+            counts.append(_counts(payloads, place, 0))
+            if without_deleted:
+                counts[-1] -= _counts(payloads, place, 1)
+        return t, counts
 
     def estimates(block: int, b: Block, got: dict) -> pa.Table:
-        t, counts = looked_up(b, got)
-        rates, code = _estimates([c[0] - c[1] for c in counts], t, n_rest, v_rest, rest)
+        t, counts = looked_up(b, got, True)
+        rates, code = _estimates(counts, t, n_rest, v_rest, rest)
         for r in reversed(rates):
             q = np.full(len(r), LOWEST + 1, np.int64)
             np.clip(np.rint(-np.log10(r, out=np.zeros(len(r)), where=r > 0) / STEP), 0, LOWEST, out=q, where=r > 0, casting="unsafe")
@@ -206,13 +229,11 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", order:
     id_type = to_arrow_type(kind)
 
     def score(block: int, b: Block, got: dict) -> pa.Table:
-        t, counts = looked_up(b, got)
-        counts = [c[0] for c in counts]
+        t, counts = looked_up(b, got, False)
         rates, bucket = _estimates(counts, t, n, v, train)
-        w = weights[bucket]
-        p = w[:, 0] / (v + 1)
+        p = weights[bucket, 0] / (v + 1)
         for k, r in enumerate(rates):
-            p = p + w[:, k + 1] * r
+            p += weights[bucket, k + 1] * r
         size, known, base, model = len(b.ids), counts[0] > 0, np.log10((counts[0] + 0.1) / (n + 0.1 * (v + 1))), np.log10(p)
         return pa.table({"doc_id": pa.array(b.ids, id_type), "held_out": pa.array(b.marks == HELD_OUT),
                          "n_tokens": pa.array(t.sizes, pa.int64()),

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from lodestone.llm import near
+from lodestone.llm import hashing, near
 from lodestone.llm.hashing import PRIME, Stretches, powers
 from lodestone.llm.lm import score_texts
 
@@ -55,3 +55,21 @@ def test_slices_hold_little_text_at_once():
     assert [t for _, bodies in parts for t in bodies] == [t.encode() for t in texts]
     assert [i for part, _ in parts for i in range(part.start, part.stop)] == list(range(len(texts)))
     assert all(len(bodies) == 1 or sum(map(len, bodies)) <= near.SLICE_BYTES <= 1 << 19 for _, bodies in parts)
+
+
+def test_following_stretches_are_summed_up_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 5, 5000).astype(np.uint8)
+    cuts = np.sort(rng.choice(5000, 301, replace=False))
+    starts, ends = cuts[:-1], np.maximum(cuts[:-1], cuts[1:] - 1)
+    want, sizes, plain = Stretches(data, 3).of(starts, ends), [], Stretches.__init__
+
+    def seen(self, data, seed=0):
+        sizes.append(len(data))
+        plain(self, data, seed)
+
+    monkeypatch.setattr(Stretches, "__init__", seen)
+    monkeypatch.setattr(hashing, "HASHED_BYTES", 500)
+    assert (hashing.hashes(data, starts, ends, 3) == want).all()
+    assert len(sizes) > 5 and max(sizes) < 500 + (ends - starts).max()
+    assert len(hashing.hashes(data, starts[:0], ends[:0], 3)) == 0

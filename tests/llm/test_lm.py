@@ -84,3 +84,17 @@ def test_weights_are_learned_from_blocks_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(lm, "per_block", seen)
     got = {r["doc_id"]: r["score"] for r in score_texts(docs).collect() if r["doc_id"] not in (7, None)}
     assert read == [{lm.DELETED}] and got == pytest.approx(want, rel=1e-9)
+
+
+def test_counts_take_the_room_they_need():
+    """Large counts stay whole, small ones take a byte, and blocks outside the deleted part get no counts of it."""
+    keys = np.array([3, 9, 1 << 63], np.uint64)
+    sent = [lm._asked(keys, np.array([5, 1 << 33, 0]), False), lm._asked(keys[:2], np.array([2, 3]), True),
+            lm._asked(keys[2:], np.array([0]), False)]
+    assert len(sent[1]) == 2 + 2 * 9
+    first, second, third = lm._add(sent)
+    assert np.frombuffer(first[:32], np.uint64).tolist() == [10 + (1 << 33), 2, 5, 2]
+    at = np.arange(3)
+    assert lm._counts([first], at, 0).tolist() == [7, 3 + (1 << 33), 0] and len(first) == 34 + 3 * 8
+    assert lm._counts([second], at[:2], 0).tolist() == [7, 3 + (1 << 33)] and lm._counts([second], at[:2], 1).tolist() == [2, 3]
+    assert lm._counts([third, second], np.array([0, 2]), 0).tolist() == [0, 3 + (1 << 33)] and len(third) == 34 + 1
