@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from .common import checkpointed, fresh, quoted, small
 from .links import link_groups
 
 CHARS, SIMILARITY = 9, 0.8
 BANDS, ROWS = 8, 3
 #: shingles that a row holds while minima are taken; at least two
-ABREAST = 4
+ABREAST = 8
 GOLDEN = 0.6180339887498949
 #: longs of parities that a set is compared by first; a power of two. Few of them say nothing about a line of
 #: hundreds of shingles: all pairs of a bucket would pass
@@ -96,8 +97,9 @@ def band_members(lines: DataFrame, chars: int, bands: int, rows: int) -> DataFra
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Lines with their place: ``doc_id``, ``print`` (of the text), ``pos``, ``line``; blank lines are left out."""
     key, content = quoted([id, text])
-    return docs.select(key.alias("doc_id"), F.xxhash64(content).alias("print"),
-                       F.posexplode(F.split(content, "\n")).alias("pos", "raw")) \
+    # hashed below the generator, once a text and not once a line
+    texts = docs.select(key.alias("doc_id"), F.xxhash64(content).alias("print"), F.split(content, "\n").alias("all"))
+    return texts.select("doc_id", "print", F.posexplode("all").alias("pos", "raw")) \
         .select("doc_id", "print", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
 
 
@@ -119,20 +121,17 @@ def surplus_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars
         word = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
         # parities of the elements in the cells of each long
-        odd = [F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
+        none = F.lit(0).cast("bigint")
+        odd = [F.bit_xor(F.when(word == w, bit).otherwise(none)).alias(f"w{w}") for w in range(WORDS)]
         marks = element.groupBy("node").agg(F.count("*").alias("size"), *odd) \
             .select("node", "size", F.array(*[f"w{w}" for w in range(WORDS)]).alias("marks"))
         return bodies, checkpointed(marks, "marks")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        both = [F.array_distinct(shingles(F.col(c), chars)) for c in ("set_a", "set_b")]
-
-        def alike(x: Column) -> Column:
-            common = F.size(F.array_intersect(x[0], x[1]))
-            return common >= similarity * (F.size(x[0]) + F.size(x[1]) - common)
-
-        # bound once, as a filter would make the arrays anew wherever it names them
-        return pairs.where(F.transform(F.array(F.array(*both)), alike)[0]).select("a", "b")
+        # equal shingles count once in the sizes and here
+        common = F.size(F.array_intersect(shingles(F.col("set_a"), chars), shingles(F.col("set_b"), chars)))
+        sizes = F.col("size") + F.col("size2")
+        return pairs.where(let(common, lambda x: x >= similarity * (sizes - x))).select("a", "b")
 
     # equal lines are one node; 64-bit hashes stand for lines
     roots, _ = link_groups(band_members(placed, chars, bands, rows), describe, similar, similarity, WORDS)

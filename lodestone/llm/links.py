@@ -48,7 +48,7 @@ def within_reach(similarity: float, words: int) -> Column:
 
 
 def open_pairs(buckets: DataFrame, roots: DataFrame, light: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a bucket but not a component.
+    """Distinct pairs ``a < b`` that share a bucket but not a component, with ``size`` and ``size2``.
 
     The join itself leaves out pairs that can't reach the similarity, and makes a pair in
     the first bucket that both are in, however many these are.
@@ -62,7 +62,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, light: DataFrame, similarit
     right = left.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2", "marks": "marks2", "keys": "keys2"})
     once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
     return left.join(right, "key").where(F.expr("node < node2 and root <> root2") & within_reach(similarity, words) & once) \
-        .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+        .select(F.col("node").alias("a"), F.col("node2").alias("b"), "size", "size2").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def link_groups(members: DataFrame, describe: Callable[[DataFrame], tuple[DataFr
 
     ``members`` holds ``key`` and ``node``. ``describe`` gets the nodes that share any
     bucket and returns two written tables, ``node``, ``set`` and ``node``, ``size``, ``marks``
-    (``words`` longs, see ``within_reach``); ``similar`` gets pairs with ``set_a`` and
-    ``set_b`` and returns the links ``a``, ``b`` among them. A pair in a bucket goes
+    (``words`` longs, see ``within_reach``); ``similar`` gets pairs with ``set_a``, ``set_b``
+    and their ``size`` and ``size2``, and returns the links ``a``, ``b`` among them. A pair in a bucket goes
     unverified only if its members are already in one component.
     """
     buckets = crowded(members)
@@ -117,7 +117,7 @@ def link_groups(members: DataFrame, describe: Callable[[DataFrame], tuple[DataFr
     # only pairs that can reach the similarity fetch their sets
     likely = tried.join(light.withColumnsRenamed({"node": "a"}), "a") \
         .join(light.withColumnsRenamed({"node": "b", "size": "size2", "marks": "marks2"}), "b") \
-        .where(within_reach(similarity, words)).select("a", "b")
+        .where(within_reach(similarity, words)).select("a", "b", "size", "size2")
     links = checkpointed(verified(likely), "links")
     roots = components(links)
     rest = checkpointed(open_pairs(buckets, roots, light, similarity, words).join(tried, ["a", "b"], "left_anti"), "rest")

@@ -508,3 +508,19 @@ def test_signatures_take_several_shingles_a_row(spark):
     assert len(keys) == len(rows) and all(len(set(v)) == 8 for v in keys.values())
     assert len(pairs) > 60 and all(set(keys[a]) & set(keys[b]) for a, b in pairs)
     assert not any(set(keys[a]) & set(keys[a + 2]) for a, _ in pairs)
+
+
+def test_texts_are_hashed_once_and_not_for_each_line(spark):
+    plan = lines._lines(frame(spark, [(1, "a\nb", "s")]).repartition(2), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("xxhash64("), plan
+
+
+def test_lines_compared_by_known_sizes(spark):
+    """Links at the similarity itself stay, also where shingles repeat; verification is given the sizes."""
+    plain = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [plain + "!", plain + "?", plain[:26], plain[:25] + "!", "z" * 40, "z" * 90, "é" * 30, "é" * 50, plain[:20] + "a" * 30, plain[:20] + "a" * 60]
+    sets = {t: {t[i:i + 9] for i in range(len(t) - 8)} for t in texts}
+    want = {tuple(sorted((texts.index(a), texts.index(b)))) for a, b in itertools.combinations(texts, 2)
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = lines.drop_lines(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"] for r in got if not r["text"]} == {b for _, b in want} and (4, 5) in want and (8, 9) in want
