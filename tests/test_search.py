@@ -250,3 +250,33 @@ def test_token_codes_stay_few_within_a_text(monkeypatch):
     codes = embed._Codes(DIM)
     assert np.array_equal(embed.hash_texts([text, None, "w1 w1"], DIM, codes), whole)
     assert len(codes) <= 50
+
+
+def plain_vector(text, dim):
+    counts = np.zeros(dim)
+    for token in embed.TOKEN.findall((text or "").lower()):
+        bucket, sign = token_code(token, dim)
+        counts[bucket] += sign
+    norm = np.linalg.norm(counts)
+    return counts / norm if norm else counts
+
+
+@pytest.mark.parametrize("chars, few", [(1 << 19, 200), (40, 200), (40, 3), (1 << 19, 3)])
+def test_tokens_of_any_script_as_one_by_one(monkeypatch, chars, few):
+    letters = ["a", "B", "\u00c9", "\u00df", "\u0130", "\u03a3", "\u03c3", "_", "7", "\u0663", "\u4e2d", "\U0001d538",
+               "\U0001f600", " ", "'", "\n", "\u0307", "\u0416", "\u212a", "-", "\u3000"]
+    texts = ["".join(RNG.choice(letters, n)) for n in RNG.integers(0, 50, 400)]
+    texts += [None, "", "x" * 55, "x" * 56, "\u00e9" * 28, "\u00e9" * 300, "A\u03a3 " * 90, "".join(RNG.choice(letters, 2000))]
+    monkeypatch.setattr(embed, "_GROUP_CHARS", chars)
+    monkeypatch.setattr(embed, "_FEW", few)
+    found = embed.hash_texts(texts, DIM, embed._Codes(DIM))
+    assert np.allclose(found, [plain_vector(t, DIM) for t in texts], atol=1e-12)
+
+
+def test_many_tokens_are_digested_together(monkeypatch):
+    made = []
+    monkeypatch.setattr(embed, "token_code", lambda t, dim: made.append(t) or token_code(t, dim))
+    texts = [" ".join(f"w{i * j}" for j in range(100)) for i in range(50)] + ["y" * 100]
+    found = embed.hash_texts(texts, DIM, embed._Codes(DIM))
+    assert made == ["y" * 100]
+    assert np.allclose(found, [plain_vector(t, DIM) for t in texts], atol=1e-12)
