@@ -243,6 +243,56 @@ def test_hopeless_pairs_are_not_scored_exactly():
     assert scorer.scored < 0.1 * scores.size
 
 
+@pytest.mark.parametrize("limited", [False, True])
+def test_far_rows_are_not_looked_at(limited):
+    """Queries and rows around a few directions, copies, empty and undefined vectors: the hits are those of all pairs."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((6, 24))
+    around = lambda n: centres[rng.integers(0, 6, n)] + 0.3 * rng.standard_normal((n, 24))
+    asked, held = search._unit(around(2500)), search._unit(around(20_000))
+    held[50:90], held[90:200], held[200] = asked[7], 0, np.nan
+    asked[:3], asked[3] = 0, np.nan
+    wants = [None if i % 3 else "a" for i in range(len(asked))] if limited else None
+    kinds = ["a" if i % 2 else "b" for i in range(len(held))] if limited else [None] * len(held)
+    ids = rng.permutation(len(held))
+    scorer = search._Scorer(np.arange(len(asked)), asked, wants, 10, True)
+    for at in range(0, len(held), 5000):
+        part = slice(at, at + 5000)
+        scorer.add(ids[part], held[part], [()] * 5000, kinds[part])
+    found = {}
+    for _, queries, rows, sims in scorer.hits():
+        for q, r, sim in zip(queries.tolist(), rows.tolist(), np.rint(sims * 10**6).astype(int).tolist()):
+            found.setdefault(q, []).append((-sim, r))
+    for q in [0, 1, 7, *range(10, 2500, 61)]:
+        scores = np.rint(np.delete(held, 200, 0) @ asked[q] * 10**6).astype(int)
+        rest = zip(scores.tolist(), np.delete(ids, 200).tolist(), kinds[:200] + kinds[201:])
+        every = sorted((-s, i) for s, i, kind in rest if i != q and (wants is None or wants[q] is None or kind == wants[q]))
+        assert sorted(found[q]) == every[:10]
+    assert 3 not in found
+    assert scorer.looked < 0.5 * len(asked) * len(held)
+
+
+def test_layout_of_groups():
+    for n_queries, n_rows, tasks in ((300_000, 3_000_000, 32), (25_000, 250_000, 32), (3000, 10_000_000, 32), (23, 400, 32), (5_000_000, 600, 8)):
+        blocks, cells = search._layout(n_queries, n_rows, 50, tasks, 65_536, 524_288)
+        assert -(-n_queries // blocks) <= 65_536 and -(-n_rows // cells) <= 524_288
+        assert blocks * cells >= min(tasks, n_queries * n_rows // search._GROUP_PAIRS)
+        assert blocks * cells <= max(2 * tasks, 2 * (-(-n_queries // 65_536)) * (-(-n_rows // 524_288)))
+
+
+def test_every_group_has_a_task_of_its_own(spark, monkeypatch):
+    q, c = vectors_of(60), vectors_of(300)
+    monkeypatch.setattr(search, "_GROUP_PAIRS", 100)
+    assert len(set(search._labels(spark, 13))) == 13
+    queries, corpus = frame(spark, "query_id", q), frame(spark, "chunk_id", c, source=["s"] * 300)
+    hits = search.top_k(queries, corpus, 5, by=["source"], broadcast_bytes=0)
+    assert result(hits) == brute(q, c, 5, range(60), range(300), ["s"] * 300)
+    groups = -(-60 * 300 // 100)
+    tasks = min(groups, search.TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    blocks, cells = search._layout(60, 300, 5, tasks, 1000, 1000)
+    assert "hashpartitioning(_group#" in plan_of(hits) and f", {blocks * cells})" in plan_of(hits).replace("L, ", ", ")
+
+
 def test_token_codes_stay_few_within_a_text(monkeypatch):
     text = " ".join(f"w{i % 700}" for i in range(3000))
     whole = embed.hash_texts([text, None, "w1 w1"], DIM, embed._Codes(DIM))
